@@ -1,0 +1,4 @@
+"""Named queries over the driver tables, each beside the SQL that must give the same rows."""
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
