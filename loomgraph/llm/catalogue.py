@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontam, mixing, sharding, urlrep
 from .common import table
 
 QUERIES = {
+    "op3_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
+    "op4_url_filter": lambda spark, d: urlrep.judge(table(spark, d, "pages"), table(spark, d, "labels")),
     "op8_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
+    "op10_decontamination": lambda spark, d: decontam.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 ORACLES = {
+    "op4_url_filter": urlrep.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op10_decontamination": decontam.ORACLE,
 }
