@@ -1,4 +1,52 @@
-"""From raw documents to shards."""
+"""From raw documents to shards: five stages, each written as Parquet and read again as the next one's input."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgraph.llm import decontam, mixing, quality, sharding, simhash
+from loomgraph.llm.common import shared_dir, table
+
+
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.emit(mixing.plan(docs), docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality", reject_poor),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    root = shared_dir(spark)
+    for name, function in STAGES:
+        function(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return docs
+
+
+#: The classifier and the fingerprints are beyond SQL.
+ORACLE_SQL = None
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {}

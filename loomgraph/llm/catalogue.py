@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding, urlrep
+from . import decontam, mixing, quality, sharding, simhash, urlrep
 from .common import table
 
 QUERIES = {
+    "op1_quality": lambda spark, d: quality.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
     "op4_url_filter": lambda spark, d: urlrep.judge(table(spark, d, "pages"), table(spark, d, "labels")),
+    "op6_simhash": lambda spark, d: simhash.digest(table(spark, d, "documents")),
     "op8_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op10_decontamination": lambda spark, d: decontam.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
