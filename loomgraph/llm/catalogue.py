@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality, sharding, simhash, urlrep
+from . import decontam, lm, mixing, quality, sharding, simhash, urlrep
 from .common import table
 
 QUERIES = {
     "op1_quality": lambda spark, d: quality.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op2_lm": lambda spark, d: lm.digest(table(spark, d, "documents")),
     "op3_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
     "op4_url_filter": lambda spark, d: urlrep.judge(table(spark, d, "pages"), table(spark, d, "labels")),
     "op6_simhash": lambda spark, d: simhash.digest(table(spark, d, "documents")),
