@@ -22,22 +22,29 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stage
 
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words before A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 13
 #: Windows broadcast at once: some 10 MB at 13 words of 12 bytes.
 BLOCK = 50_000
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(ITEM_WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words in their own case; `said` lower-cases what is compared."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
+
+
+def said(run: Column) -> Column:
+    """A run of words as one lower-cased text."""
+    return ascii_lower(F.array_join(run, " "))
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Distinct windows: window (its words), items (whose it is, as strings)."""
+    """Distinct windows: window (its text), length (in words), items (whose it is, as strings)."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
-    windows = items.select("item", "w", F.explode(starts).alias("start")).select("item", F.slice("w", F.col("start"), F.lit(width)).alias("window"))
-    return windows.groupBy("window").agg(F.collect_set("item").alias("items"))
+    windows = items.select("item", "w", F.explode(starts).alias("start")).select("item", F.slice("w", F.col("start"), F.lit(width)).alias("run"))
+    return windows.groupBy(said(F.col("run")).alias("window"), F.size("run").alias("length")).agg(F.collect_set("item").alias("items"))
 
 
 def _blocks(df: DataFrame, n: int, by: str) -> list[DataFrame]:
@@ -54,33 +61,35 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def anchored(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Windows that can occur: with the corpus's rarest word of each and its place in the window."""
-    vocabulary = stage(windows.select(F.explode("window").alias("word")).distinct())
-    said = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    counts = _union([said.join(F.broadcast(v), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")) for v in _blocks(vocabulary, vocabulary.count(), "word")])
-    each = windows.select("window", "items", F.posexplode("window").alias("at", "word")).join(stage(counts), "word", "left")
-    return each.groupBy("window").agg(
-        F.first("items").alias("items"),
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("rarest"),
-    ).where("rarest.n > 0").select("window", "items", F.col("rarest.word").alias("anchor"), F.col("rarest.at").alias("at"))
+    """Windows that can occur, with the corpus's rarest word of each (anchor) and its place in the window (at).
+
+    Anchors meet document words in lower case by Unicode, which is quick and equal wherever lower-casing A-Z is.
+    """
+    each = windows.select("window", "length", "items", F.posexplode(F.split("window", " ")).alias("at", "word")).withColumn("word", F.lower("word"))
+    vocabulary = stage(each.select("word").distinct())
+    spoken = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
+    counts = _union([spoken.join(F.broadcast(v), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")) for v in _blocks(vocabulary, vocabulary.count(), "word")])
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at"))
+    return each.join(stage(counts), "word", "left").groupBy("window").agg(F.first("length").alias("length"), F.first("items").alias("items"), rarest.alias("rarest")).where("rarest.n > 0").select(
+        "window", "length", "items", F.col("rarest.word").alias("anchor"), F.col("rarest.at").alias("at")
+    )
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, items (sorted ids of those with a window in it), contaminated."""
-    windows = stage(item_windows(benchmark, width))
-    table = stage(anchored(windows, docs)).withColumn("length", F.size("window"))
+    table = stage(anchored(stage(item_windows(benchmark, width)), docs))
     # An empty word before the first one meets an empty anchor, so that each document leaves one row besides its hits.
     text = docs.select("doc_id", F.xxhash64("text").alias("_text"), words(F.col("text")).alias("_words"))
-    said = text.select("doc_id", "_text", "_words", F.posexplode(F.concat(F.array(F.lit("")), "_words")).alias("_place", "_word"))
-    every = docs.sparkSession.range(1).select(
-        F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"), F.lit("").alias("anchor"), F.lit(0).alias("at"), F.lit(0).alias("length")
-    )
+    spoken = text.select("doc_id", "_text", "_words", F.posexplode(F.concat(F.array(F.lit("")), "_words")).alias("_place", "_word"))
+    every = docs.sparkSession.range(1).select(F.lit("").alias("window"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("items"), F.lit("").alias("anchor"), F.lit(0).alias("at"))
     start = F.col("_place") - F.col("at")
-    occurs = (F.col("_place") == 0) | ((start >= 1) & (start + F.col("length") - 1 <= F.size("_words")) & (F.slice("_words", F.greatest(start, F.lit(1)), F.col("length")) == F.col("window")))
+    occurs = (F.col("_place") == 0) | (
+        (start >= 1) & (start + F.col("length") - 1 <= F.size("_words")) & (said(F.slice("_words", F.greatest(start, F.lit(1)), F.col("length"))) == F.col("window"))
+    )
     hits = []
     for k, block in enumerate(_blocks(table, table.count(), "window")):
         block = block.unionByName(every) if k == 0 else block
-        found = said.join(F.broadcast(block), (F.col("_word") == F.col("anchor")) & occurs)
+        found = spoken.join(F.broadcast(block), (F.lower("_word") == F.col("anchor")) & occurs)
         hits.append(found.select("doc_id", "_text", F.size("_words").alias("n_words"), F.when(F.col("_place") > 0, F.struct(start.alias("start"), F.col("length"))).alias("run"), "items"))
     docs_hit = _union(hits).groupBy("doc_id", "_text", "n_words").agg(
         F.array_sort(F.collect_set("run")).alias("runs"),
