@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, lm, mixing, quality, sharding, simhash, tokenstore, urlrep
+from . import ann, decontam, lm, mixing, quality, sharding, simhash, tokenstore, urlrep, warc
 from .common import table
 
 QUERIES = {
@@ -10,9 +10,11 @@ QUERIES = {
     "op2_lm": lambda spark, d: lm.digest(table(spark, d, "documents")),
     "op3_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
     "op4_url_filter": lambda spark, d: urlrep.judge(table(spark, d, "pages"), table(spark, d, "labels")),
+    "op5_ann": lambda spark, d: ann.digest(table(spark, d, "embeddings")),
     "op6_simhash": lambda spark, d: simhash.digest(table(spark, d, "documents")),
     "op7_token_store": lambda spark, d: tokenstore.digest(table(spark, d, "documents")),
     "op8_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
+    "op9_warc": lambda spark, d: warc.digest(table(spark, d, "pages")),
     "op10_decontamination": lambda spark, d: decontam.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 ORACLES = {
