@@ -1,0 +1,148 @@
+"""Dataflow and taint inside a function, and from function to function."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ..functions.lists import SANITIZERS, TAINT_SINKS, TAINT_SOURCES
+
+DEEPEST = 20
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+
+
+def found_in(text: str, marks: tuple[str, ...], match: str) -> str | None:
+    """The longest mark in the text, the first by name among equals: anywhere ("substring"), or as a called name ("call")."""
+    for mark in sorted(marks, key=lambda m: (-len(m), m)):
+        if mark in text and (match == "substring" or re.search(rf"(?<![\w]){re.escape(mark)}\s*(?![\w.])", text)):
+            return mark
+    return None
+
+
+def sink_kind(text: str) -> str:
+    if "execute" in text:
+        return "database"
+    if "system" in text or "subprocess" in text or "popen" in text:
+        return "shell"
+    if "eval" in text or "exec" in text or "compile" in text:
+        return "code_execution"
+    return "output"
+
+
+def risk_of(text: str) -> str:
+    return {"database": "SQL injection", "shell": "Command injection", "code_execution": "Code injection"}.get(sink_kind(text), "unknown")
+
+
+def flow(symbol: dict, match: str = "call") -> dict:
+    """variables (with the earlier ones that each depends on), flow_chains, sources and sinks of one function."""
+    known: list[str] = []
+    variables, needs = [], {}
+    for a in symbol["assigns"] or []:
+        deps = sorted(n for n in set(a["names"]) if n in known)
+        variables.append({"name": a["name"], "line": a["line"], "depends_on": deps, "source_expr": a["expr"]})
+        needs.setdefault(a["name"], []).extend(d for d in deps if d not in needs.get(a["name"], ()))
+        if a["name"] not in known:
+            known.append(a["name"])
+    seen: set[str] = set()
+
+    def walk(name: str) -> list[str]:
+        seen.add(name)
+        out = [name]
+        for d in needs.get(name, ()):
+            if d not in seen:
+                out += walk(d)
+        return out
+
+    chains = [c for name in reversed(known) if name not in seen and len(c := walk(name)) > 1]
+    sources, sinks = [], []
+    for c in symbol["call_sites"] or []:
+        if found_in(c["expr"], TAINT_SOURCES, match):
+            sources.append({"expr": c["expr"], "line": c["line"], "kind": "external_input"})
+        if found_in(c["expr"], TAINT_SINKS, match):
+            sinks.append({"expr": c["expr"], "line": c["line"], "kind": sink_kind(c["expr"])})
+    return {"variables": variables, "flow_chains": chains, "sources": sources, "sinks": sinks}
+
+
+def taint(symbol: dict, match: str = "call", tainted: frozenset[str] = frozenset()) -> list[dict]:
+    """Ways from a source to a sink: verdict, chain, sanitizer, risk. `tainted` names are from outside by themselves."""
+    last = {a["name"]: a for a in symbol["assigns"] or []}
+    out = []
+    for site in symbol["call_sites"] or []:
+        if not found_in(site["expr"], TAINT_SINKS, match):
+            continue
+        for name in dict.fromkeys(_NAME.findall(site["expr"])):
+            if name not in last and name not in tainted:
+                continue
+            chain, todo = [], [name]
+            while todo and len(chain) < DEEPEST:
+                at = todo.pop(0)
+                if at in chain:
+                    continue
+                chain.append(at)
+                todo += [n for n in (last[at]["names"] if at in last else ()) if n in last or n in tainted]
+            exprs = [last[n]["expr"] for n in chain if n in last and "(" in last[n]["expr"]]
+            if not any(n in tainted for n in chain) and not any(found_in(e, TAINT_SOURCES, match) for e in exprs):
+                continue
+            clean = next((s for e in exprs if (s := found_in(e, SANITIZERS, match))), None)
+            out.append({"verdict": "SAFE" if clean else "UNSAFE", "chain": [*chain, site["expr"]], "sanitizer": clean, "risk": None if clean else risk_of(site["expr"])})
+    return out
+
+
+def tainted_names(symbol: dict, match: str = "call", given: frozenset[str] = frozenset()) -> frozenset[str]:
+    """Names that hold something from outside, by closure over the assignments."""
+    names = set(given)
+    while True:
+        more = {a["name"] for a in symbol["assigns"] or [] if found_in(a["expr"], TAINT_SOURCES, match) or names & set(a["names"])}
+        if more <= names:
+            return frozenset(names)
+        names |= more
+
+
+def cross_taint(start: list[dict], lookup: Callable[[list[str]], list[dict]], depth: int = 3, match: str = "call", bind_args: bool = True) -> dict:
+    """Taint paths of a function and of what it hands tainted values to, `depth` calls deep.
+
+    `lookup` gives the symbols of some names: one query a level. With bind_args, the parameters that get a tainted
+    value are tainted in the callee; without, a callee is judged by itself.
+    """
+    seen, paths, level = set(), [], [(s, frozenset(), (s["name"],)) for s in start]
+    for _ in range(depth + 1):
+        wanted: dict[str, list[tuple[tuple[str, ...], list[int]]]] = {}
+        for symbol, given, way in level:
+            key = (symbol["path"], symbol["name"])
+            if key in seen:
+                continue
+            seen.add(key)
+            paths += [p | {"functions": list(way)} for p in taint(symbol, match, given if bind_args else frozenset())]
+            names = tainted_names(symbol, match, given if bind_args else frozenset())
+            for site in symbol["call_sites"] or []:
+                head, _, rest = site["expr"].partition("(")
+                args = rest.rstrip(")").split(",")
+                hit = [i for i, a in enumerate(args) if names & set(_NAME.findall(a))]
+                if hit:
+                    wanted.setdefault(head.strip().rpartition(".")[2], []).append((way, hit))
+        if not wanted:
+            break
+        level = []
+        for s in lookup(sorted(wanted)):
+            params = [v["name"] for v in s["variables"] or [] if v["kind"] == "parameter"]
+            for way, hit in wanted[s["name"]]:
+                level.append((s, frozenset(params[i] for i in hit if i < len(params)), (*way, s["name"])))
+    return {"paths": paths, "depth_reached": len(seen)}
+
+
+TAINT_KIND = "path string, name string, verdict string, chain array<string>, sanitizer string, risk string"
+
+
+def taint_paths(symbols: DataFrame, match: str = "call") -> DataFrame:
+    """taint() of every function of a symbol table: a task sees each function by itself, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("verdict", pa.string()), ("chain", pa.list_(pa.string())), ("sanitizer", pa.string()), ("risk", pa.string())])
+        for batch in batches:
+            rows = [{"path": s["path"], "name": s["name"], **p} for s in batch.to_pylist() for p in taint(s, match)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return symbols.where("kind in ('function', 'method')").select("path", "name", "assigns", "call_sites").mapInArrow(run, TAINT_KIND)
