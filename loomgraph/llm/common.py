@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import shared_dir, stage
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "join_on_hot_key", "shared_dir", "small_batches", "stage", "table"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,21 +23,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared one; a temporary one only where none is named, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, *, path: str | None = None) -> DataFrame:
-    """Write to the shared folder and read again: computed once, and lost executors don't matter."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB from here on: texts are long, and a batch is held on both sides of a Python worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2048), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, copies: str, *, hot: int = 1000) -> DataFrame:

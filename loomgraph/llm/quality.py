@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Hashed words, hashed shapes, then one feature each for repeats and for shortness.
 WORDS, SHAPES = 8192, 254
 WIDTH = WORDS + SHAPES + 2
@@ -102,6 +104,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model | None:
     """Learn from labelled documents outside the held-out fold; None if there are none."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
     order = F.xxhash64("doc_id")
@@ -144,6 +147,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.drop("score")
     if model is None:
         return docs.withColumn("score", F.lit(0.5))
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_on_hot_key, stage
+from .common import join_on_hot_key, small_batches, stage
 
 SEED, WIDTH, RADIUS = 42, 3, 3
 #: Nodes in a tile, and tiles; past both, tiles grow. Two tiles are compared in slices of SLICE by STRIDE.
@@ -84,6 +84,7 @@ def with_fingerprints(docs: DataFrame, *, width: int = WIDTH, n_words: int = 1,
     the number of shingles, big-endian.
     """
     kind = docs.schema["doc_id"].dataType
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,9 +214,9 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, radius: int = RADIUS
     marked = stage(with_fingerprints(docs, width=width, n_words=n_words, sizes=sizes))
     nodes = stage(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies")))
     roots = components(stage(links(nodes.select("node"), radius=radius, n_words=n_words, sizes=sizes)))
-    named = nodes.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("first").alias("first"))
-    table = stage(named.drop("first").join(names, "root").select("node", "copies", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_hash")))
+    named = stage(nodes.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")))
+    names = stage(named.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("members")))
+    table = stage(join_on_hot_key(named.drop("first"), names, "root", "members").select("node", "copies", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_hash")))
     joined = join_on_hot_key(marked, table, "node", "copies")
     return joined.select("doc_id", "text_hash", F.lower(F.hex(F.substring("node", 1, 8 * n_words))).alias("fingerprint"), "component_id", "component_hash")
 
@@ -234,7 +235,8 @@ def keep_one(docs: DataFrame, *, width: int = 5, n_words: int = 4, radius: int =
     marked = stage(near_duplicates(docs, width=width, radius=radius, n_words=n_words, sizes=True).select("doc_id", "text_hash", "component_id", "component_hash"))
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("component_hash"))
     gone = stage(marked.where(~first).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    kept = docs.withColumn("_text", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti")
+    # What goes grows with the corpus, so it is never broadcast; hashing it spares the texts a sort.
+    kept = docs.withColumn("_text", F.xxhash64("text")).join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti")
     if marked.where(first).groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         return kept.drop("_text")
     return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")  # the same row, more than once

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_on_hot_key, shared_dir, stage
+from .common import join_on_hot_key, shared_dir, small_batches, stage
 
 DICTIONARY_MAGIC, SKIPPABLE, FRAME_MAGIC, RAW_DICTIONARY = 0x184D2A5D, 0x184D2A50, 0xFD2FB528, 0xEC30A437
 #: The dictionary is made from at most so many pages, none longer than SAMPLE_BYTES.
@@ -107,6 +107,7 @@ def decisions(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
 
 def write(pages: DataFrame, root: str, *, min_bytes: int = 0) -> DataFrame:
     """Archive all pages under root: a staged table of path, records, bytes."""
+    small_batches(pages.sparkSession)
     sample = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id", "html")).limit(SAMPLE).select("html").collect()
     dictionary = dictionary_of([r["html"].encode() for r in sample])
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
