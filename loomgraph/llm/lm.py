@@ -33,11 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Tokens in a block, beyond which a task begins another, and tokens for each bucket of the hash space.
-BLOCK, BUCKET = 1_500_000, 3_000_000
+BLOCK, BUCKET = 1_500_000, 1_000_000
 TEST, DEV, TRAIN = 0, 1, 2
 ROUNDS, CELL = 60, 4.0
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -78,6 +78,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     if kind not in ("bigint", "int"):
         raise ValueError("doc_id must be an integer")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
