@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stage
 
 SALTS = 16
 #: Rules as (verdict, host/path-start).
@@ -68,21 +68,21 @@ def _posterior(level: DataFrame, parent_mean: Column) -> DataFrame:
     over = F.when(n > 0, m * (1 - m) * (n - 1)).otherwise(0.0)
     with_mean = level.withColumn("m", parent_mean)
     rho = with_mean.agg(F.sum(spread).alias("s"), F.sum(seen).alias("e"), F.sum(over).alias("o")).select(
-        F.round(F.least(F.greatest(F.when(F.col("o") > 0, (F.col("s") - F.col("e")) / F.col("o")).otherwise(F.lit(LEAST_RHO)), F.lit(LEAST_RHO)), F.lit(MOST_RHO)), 9).alias("rho")
-    )
-    kappa = (1 - F.col("rho")) / F.col("rho")
-    return with_mean.join(F.broadcast(rho)).withColumns({"alpha": kappa * m + good, "beta": kappa * (1 - m) + (n - good)}).drop("m", "rho")
+        F.round(F.least(F.greatest(F.when(F.col("o") > 0, (F.col("s") - F.col("e")) / F.col("o")).otherwise(F.lit(LEAST_RHO)), F.lit(LEAST_RHO)), F.lit(MOST_RHO)), 9)
+    ).first()[0]  # one number
+    kappa = (1 - rho) / rho
+    return with_mean.withColumns({"alpha": kappa * m + good, "beta": kappa * (1 - m) + (n - good)}).drop("m")
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
     """Per host of (host, n labelled, good): n, good and the posterior's mean and lower bound."""
     suffix, domain = suffix_and_domain(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("good").cast("double").alias("good")).withColumns({"suffix": suffix, "domain": domain})
+    hosts = stage(outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("good").cast("double").alias("good")).withColumns({"suffix": suffix, "domain": domain}))
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
     mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
-    root = hosts.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + ROOT_GOOD) / (F.coalesce(F.sum("n"), F.lit(0.0)) + ROOT_ALL)).alias("root"))
-    suffixes = _posterior(hosts.groupBy("suffix").agg(*sums).join(F.broadcast(root)), F.col("root")).select("suffix", F.round(mean, 9).alias("suffix_mean"))
-    domains = _posterior(hosts.groupBy("suffix", "domain").agg(*sums).join(suffixes, "suffix"), F.col("suffix_mean")).select("domain", F.round(mean, 9).alias("domain_mean"))
+    root = hosts.agg((F.coalesce(F.sum("good"), F.lit(0.0)) + ROOT_GOOD) / (F.coalesce(F.sum("n"), F.lit(0.0)) + ROOT_ALL)).first()[0]
+    suffixes = _posterior(hosts.groupBy("suffix").agg(*sums), F.lit(root)).select("suffix", F.round(mean, 9).alias("suffix_mean"))
+    domains = stage(_posterior(hosts.groupBy("suffix", "domain").agg(*sums).join(stage(suffixes), "suffix"), F.col("suffix_mean")).select("domain", F.round(mean, 9).alias("domain_mean")))
     both = F.col("alpha") + F.col("beta")
     deviation = F.sqrt(F.col("alpha") * F.col("beta") / (both * both * (both + 1)))
     return _posterior(hosts.join(domains, "domain"), F.col("domain_mean")).select(
@@ -104,7 +104,7 @@ def judge(pages: DataFrame, labels: DataFrame, *, rules: tuple[tuple[str, str],
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")
     )
     counts = urls.join(seen, "page_id", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
-    known = reputations(counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = stage(reputations(counts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     dealt = urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     by_host = F.when(F.col("good_bound") >= min_good, "allow").otherwise("block")
