@@ -99,7 +99,12 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact cosines in double precision, each row's by itself, so that copies have equal ones."""
+    """Exact cosines in double precision, each row's by itself, so that copies have equal ones.
+
+    Scaling by a power of two changes no digit, and keeps squares of very large or small components in range.
+    """
+    query = np.ldexp(query, -np.frexp(np.abs(query).max())[1])
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
     return (rows * query).sum(axis=1) / (math.sqrt((query * query).sum()) * np.sqrt((rows * rows).sum(axis=1)))
 
 
