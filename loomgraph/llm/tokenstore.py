@@ -25,6 +25,7 @@ once a task and then once; its references are joined by broadcast.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_on_hot_key, shared_dir, stage
+from .common import join_on_hot_key, shared_dir, small_batches, stage
 
 END = 1
 WINDOW, MIN, MAX, BITS = 16, 64, 2048, 9
-#: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 300_000
+#: Words of a generation, and pieces, whose ids a worker remembers.
+REMEMBERED = 250_000
 DOCS_AT_ONCE = 1024
+#: First bytes of UTF-8 from U+0240 on. Before, nothing combines, and lower-casing goes letter by letter.
+BEYOND_LATIN = bytes(range(0xC9, 0x100))
 GEAR = np.random.default_rng(20).integers(0, 1 << 64, 1 << 16, np.uint64)
 POLYNOMIAL = 0xEDB88320
 
@@ -52,25 +55,75 @@ def tokenizer_path() -> str:
 
 
 class Encoder(dict):
-    """Ids of words, as bytes."""
+    """Ids of lower-case words, as bytes; the words met lately, and before them an older generation.
+
+    New words are cut into the pieces that the tokenizer encodes by themselves, and the new ones of these are
+    encoded together: each ends with a token that closes a word, which tells them apart again. Texts with characters
+    beyond Latin or parts of special tokens are encoded whole, as are all by a tokenizer of another kind.
+    """
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         self._tokenizer, self._kind = Tokenizer.from_file(path), kind
+        self._older: dict[bytes, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+        made = json.loads(self._tokenizer.to_str())
+        steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        suffix = made["model"].get("end_of_word_suffix")
+        self._cut = None
+        if steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("type") == "Split" and splits[0].get("invert") and suffix:
+            self._cut = regex.compile(f"(?:{splits[0]['pattern']['Regex']})|\n").findall
+            self._closes = np.zeros(self._tokenizer.get_vocab_size(), bool)
+            self._closes[[i for t, i in self._tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self._kind) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            ids = self._ids([" ".join(part)])[0]
+            ends = np.flatnonzero(self._closes[ids]) + 1
+            if len(ends) == len(part):
+                flat, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+                self._pieces.update(zip(part, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+            else:
+                self._pieces.update(zip(part, (i.tobytes() for i in self._ids(part))))
+
+    def _learn(self, words: set[bytes]) -> None:
+        older = self._older
+        new = [w for w in words if w not in older]
+        if len(new) < len(words):
+            self.update((w, older[w]) for w in words if w in older)
+        if not new:
+            return
+        flat = self._cut((b"\n".join(new) + b"\n").decode().lower())
+        if len(self._pieces) > REMEMBERED:
+            self._pieces.clear()
+        self._pieces["\n"] = b""
+        self._learn_pieces([p for p in dict.fromkeys(flat) if p not in self._pieces])
+        ids = list(map(self._pieces.__getitem__, flat))
+        joined, ends = b"".join(ids), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        ends = ends[np.fromiter(map("\n".__eq__, flat), bool, len(flat))].tolist()
+        self.update(zip(new, [joined[a:b] for a, b in zip([0, *ends], ends)]))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, then the end."""
         if len(self) > REMEMBERED:
+            self._older = dict(self)
             self.clear()
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self})
-        for w, e in zip(new, self._tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self[w] = np.array(e.ids, self._kind).tobytes()
+        plain = [self._cut is not None and b"<|" not in t and len(t.translate(None, BEYOND_LATIN)) == len(t) for t in texts]
+        words = [t.lower().split() if p else () for t, p in zip(texts, plain)]
+        if new := {w for ws in words for w in ws if w not in self}:
+            self._learn(new)
+        others = iter([i.tobytes() for i in self._ids([t.decode() for t, p in zip(texts, plain) if not p])])
         end, of = np.array([END], self._kind).tobytes(), self.__getitem__
-        return [b"".join(map(of, ws)) + end for ws in words]
+        return [(b"".join(map(of, ws)) if p else next(others)) + end for ws, p in zip(words, plain)]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -87,7 +140,7 @@ def cuts(ids: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
     """Where the chunks of each document end, counted from the first id of all."""
     rolled = np.zeros(len(ids), np.uint64)
     gear = GEAR[ids & 0xFFFF]
-    for j in range(WINDOW):
+    for j in range(min(WINDOW, len(ids))):
         rolled[j:] += gear[: len(ids) - j] << np.uint64(j)
     natural = np.flatnonzero(rolled >> np.uint64(64 - BITS) == 0) + 1
     ends = np.cumsum(lengths)
@@ -199,6 +252,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write(docs: DataFrame, root: str, *, path: Callable[[], str] = tokenizer_path, kind: str = "<u2") -> None:
     """Encode all documents into a new store at `root`."""
+    small_batches(docs.sparkSession)
     once = stage(encoded(docs, path, kind))
     once.select(F.inline("fresh")).repartition("digest").mapInArrow(_unique, "digest binary, ids binary").write.option("compression", "zstd").parquet(f"{root}/chunks")
     id_kind = docs.schema["doc_id"].dataType.simpleString()
