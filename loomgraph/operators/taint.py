@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.lists import SANITIZERS, TAINT_SINKS, TAINT_SOURCES
+from ..staging import ship
 
 DEEPEST = 20
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -138,6 +139,7 @@ TAINT_KIND = "path string, name string, verdict string, chain array<string>, san
 
 def taint_paths(symbols: DataFrame, match: str = "call") -> DataFrame:
     """taint() of every function of a symbol table: a task sees each function by itself, so nothing is shuffled."""
+    ship(symbols.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("verdict", pa.string()), ("chain", pa.list_(pa.string())), ("sanitizer", pa.string()), ("risk", pa.string())])

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lists import LANGUAGES, SKIPPED_FOLDERS, TEST_FOLDERS
+from ..staging import ship
 
 FILES_PER_TASK = 64
 
@@ -106,6 +107,7 @@ def _lexed() -> frozenset[str]:
 
 def read(spark: SparkSession, root: str, paths: DataFrame | None = None) -> DataFrame:
     """A row per source file under root with everything parsed; `paths` (path, mtime) in place of a listing."""
+    ship(spark)
     if paths is None:
         found = listing(root)
         paths = spark.createDataFrame(found, "path string, mtime timestamp").repartition(max(1, -(-len(found) // FILES_PER_TASK)), "path")

@@ -1,9 +1,11 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""What reaches the executors: intermediate tables in the folder that all share, and this package itself."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, *, path: str | None = None) -> DataFrame:
-    """Write to the shared folder and read again: computed once, lineage cut, and lost executors don't matter."""
+#: Rows of a small table that are worth a file.
+ROWS_PER_FILE = 250_000
+
+
+def stage(df: DataFrame, *, path: str | None = None, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read again: computed once, lineage cut, and lost executors don't matter.
+
+    `rows` is a bound on a table of short rows: it is written as a file for each ROWS_PER_FILE, however many
+    partitions a shuffle has left it in.
+    """
     spark = df.sparkSession
     path = path or shared_dir(spark)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="loomgraph-code-"), "loomgraph.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
