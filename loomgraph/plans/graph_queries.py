@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..sources.tables import DEGREES, PG, PGR, part_graph, parts, returned_graph, table
+from ..staging import stage
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,7 +44,7 @@ def repo_map_start_here(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PG} SELECT 'callee' AS role, dst AS id FROM pg WHERE src = 7 UNION ALL SELECT 'caller', src FROM pg WHERE dst = 7")
 def call_graph_in_out(spark: SparkSession, d: str) -> DataFrame:
-    edges = part_graph(spark, d)
+    edges = part_graph(spark, d).where("src = 7 or dst = 7")
     out = edges.where("src = 7").select(F.lit("callee").alias("role"), F.col("dst").alias("id"))
     return out.union(edges.where("dst = 7").select(F.lit("caller"), F.col("src")))
 
@@ -59,12 +60,12 @@ def _reach(edge: str, seeds: str, depth: int) -> str:
 @query(_reach("in", "SELECT 7::BIGINT AS id, 0 AS depth", 2) + " SELECT id, min(depth) AS depth FROM reach GROUP BY id")
 def blast_radius_callers(spark: SparkSession, d: str) -> DataFrame:
     seeds = spark.range(7, 8)
-    return graph.bfs(graph.reverse(part_graph(spark, d)), seeds, 2)
+    return graph.bfs(graph.reverse(stage(part_graph(spark, d))), seeds, 2)
 
 
 @query(_reach("out", "SELECT 7::BIGINT AS id, 0 AS depth", 2) + " SELECT id, min(depth) AS depth FROM reach GROUP BY id")
 def blast_radius_deps(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bfs(part_graph(spark, d), spark.range(7, 8), 2)
+    return graph.bfs(stage(part_graph(spark, d)), spark.range(7, 8), 2)
 
 
 _CHANGED = "SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_name = (SELECT min(p_name) FROM part) AND p_size <= 10"
@@ -79,13 +80,13 @@ def _changed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_IMPACT + " SELECT id, hop, CASE hop WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM hops WHERE hop > 0")
 def change_impact(spark: SparkSession, d: str) -> DataFrame:
-    return graph.change_impact(part_graph(spark, d), _changed(spark, d), 2)
+    return graph.change_impact(stage(part_graph(spark, d)), _changed(spark, d), 2)
 
 
 @query(_IMPACT + " SELECT id, hop, quality FROM hops JOIN labels ON doc_id = id WHERE hop > 0")
 def change_impact_tests(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return graph.change_impact(part_graph(spark, d), _changed(spark, d), 2).join(labels, "id").select("id", "hop", "quality")
+    return graph.change_impact(stage(part_graph(spark, d)), _changed(spark, d), 2).join(labels, "id").select("id", "hop", "quality")
 
 
 def _pagerank(edges: str, rounds: int) -> str:
@@ -106,12 +107,12 @@ def _pagerank(edges: str, rounds: int) -> str:
 
 @query(_pagerank("pg", 25))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(part_graph(spark, d), parts(spark, d).select("id")).select("id", F.round("score", 6).alias("score"))
+    return graph.pagerank(stage(part_graph(spark, d)), parts(spark, d).select("id")).select("id", F.round("score", 6).alias("score"))
 
 
 @query(_pagerank("pgr", 10))
 def pagerank_dangling(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(returned_graph(spark, d), parts(spark, d).select("id"), iterations=10).select("id", F.round("score", 6).alias("score"))
+    return graph.pagerank(stage(returned_graph(spark, d)), parts(spark, d).select("id"), iterations=10).select("id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -139,7 +140,7 @@ def resolve_ranked(spark: SparkSession, d: str) -> DataFrame:
 )
 def search_graph_page(spark: SparkSession, d: str) -> DataFrame:
     p = parts(spark, d).select("id", F.col("p_name").alias("name"), "p_size")
-    page = graph.search_page(p, part_graph(spark, d), where=F.col("p_size") >= 20, min_degree=10, max_degree=100, linked_to=p.where("p_size < 5"), offset=10)
+    page = graph.search_page(p, stage(part_graph(spark, d)), where=F.col("p_size") >= 20, min_degree=10, max_degree=100, linked_to=p.where("p_size < 5"), offset=10)
     return page.select("id", "name", "in_degree", "out_degree", "degree", "total")
 
 
