@@ -10,8 +10,8 @@ A store is a folder of Parquet files:
 
 A chunk ends where the rolling hash of the last WINDOW ids has its highest bits zero, after MIN ids at least and MAX
 at most; as MIN exceeds WINDOW, a document's chunks don't depend on what stands before it, so copies and long shared
-passages meet in the same chunks. White space always separates tokens of this tokenizer, so each distinct word is
-encoded once in a worker and remembered, which gives the ids of the whole text.
+passages meet in the same chunks. White space always separates tokens of this tokenizer, so the ids of a text
+are those of its words, and each distinct word of a batch is looked at once.
 
 Reading verifies: each chunk's bytes against its digest, each part's roots against its totals row, and each document's
 length against its recipe. `summary` then gets a document's CRC-32 from those of its chunks by the linearity of CRC,
@@ -32,18 +32,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_on_hot_key, shared_dir, small_batches, stage
+from .common import join_on_hot_key, python_workers, shared_dir, stage
 
 END = 1
 WINDOW, MIN, MAX, BITS = 16, 64, 2048, 9
-#: Words of a generation, and pieces, whose ids a worker remembers.
+#: Pieces of a generation whose ids a worker remembers.
 REMEMBERED = 250_000
 DOCS_AT_ONCE = 1024
-#: First bytes of UTF-8 from U+0240 on. Before, nothing combines, and lower-casing goes letter by letter.
-BEYOND_LATIN = bytes(range(0xC9, 0x100))
+#: Characters from U+0240 on; before, nothing combines. And white space that isn't ASCII, and the one letter with two in lower case.
+BEYOND_LATIN = r"[^\x00-\x{84}\x{86}-\x{9F}\x{A1}-\x{12F}\x{131}-\x{23F}]"
 GEAR = np.random.default_rng(20).integers(0, 1 << 64, 1 << 16, np.uint64)
 POLYNOMIAL = 0xEDB88320
 
@@ -54,76 +55,100 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder(dict):
-    """Ids of lower-case words, as bytes; the words met lately, and before them an older generation.
+class Encoder:
+    """Ids of texts. Arrow tells a batch's words apart, and cuts each distinct one into the pieces that the tokenizer
+    encodes by themselves; the ids of pieces met lately are remembered, and before them an older generation.
 
-    New words are cut into the pieces that the tokenizer encodes by themselves, and the new ones of these are
-    encoded together: each ends with a token that closes a word, which tells them apart again. Texts with characters
-    beyond Latin or parts of special tokens are encoded whole, as are all by a tokenizer of another kind.
+    New pieces are encoded together: each ends with a token that closes a word, which tells them apart again. Texts
+    with characters beyond Latin or parts of special tokens are encoded whole, as are all by a tokenizer of another kind.
     """
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self._tokenizer, self._kind = Tokenizer.from_file(path), kind
-        self._older: dict[bytes, bytes] = {}
         self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         made = json.loads(self._tokenizer.to_str())
         steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
         splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         suffix = made["model"].get("end_of_word_suffix")
         self._cut = None
         if steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("type") == "Split" and splits[0].get("invert") and suffix:
-            self._cut = regex.compile(f"(?:{splits[0]['pattern']['Regex']})|\n").findall
+            self._cut = f"({splits[0]['pattern']['Regex']})"
             self._closes = np.zeros(self._tokenizer.get_vocab_size(), bool)
             self._closes[[i for t, i in self._tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self._kind) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        if len(self._pieces) > REMEMBERED:
+            self._older, self._pieces = self._pieces, {}
+        known, older = self._pieces, self._older
+        known[""] = b""
+        if new := [p for p in pieces if p not in known]:
+            known.update((p, older[p]) for p in new if p in older)
+            new = [p for p in new if p not in known]
         for at in range(0, len(new), 1024):
             part = new[at : at + 1024]
             ids = self._ids([" ".join(part)])[0]
             ends = np.flatnonzero(self._closes[ids]) + 1
             if len(ends) == len(part):
                 flat, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
-                self._pieces.update(zip(part, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+                known.update(zip(part, [flat[a:b] for a, b in zip([0, *ends], ends)]))
             else:
-                self._pieces.update(zip(part, (i.tobytes() for i in self._ids(part))))
-
-    def _learn(self, words: set[bytes]) -> None:
-        older = self._older
-        new = [w for w in words if w not in older]
-        if len(new) < len(words):
-            self.update((w, older[w]) for w in words if w in older)
-        if not new:
-            return
-        flat = self._cut((b"\n".join(new) + b"\n").decode().lower())
-        if len(self._pieces) > REMEMBERED:
-            self._pieces.clear()
-        self._pieces["\n"] = b""
-        self._learn_pieces([p for p in dict.fromkeys(flat) if p not in self._pieces])
-        ids = list(map(self._pieces.__getitem__, flat))
-        joined, ends = b"".join(ids), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        ends = ends[np.fromiter(map("\n".__eq__, flat), bool, len(flat))].tolist()
-        self.update(zip(new, [joined[a:b] for a, b in zip([0, *ends], ends)]))
-
-    def texts(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, then the end."""
-        if len(self) > REMEMBERED:
-            self._older = dict(self)
-            self.clear()
-        plain = [self._cut is not None and b"<|" not in t and len(t.translate(None, BEYOND_LATIN)) == len(t) for t in texts]
-        words = [t.lower().split() if p else () for t, p in zip(texts, plain)]
-        if new := {w for ws in words for w in ws if w not in self}:
-            self._learn(new)
-        others = iter([i.tobytes() for i in self._ids([t.decode() for t, p in zip(texts, plain) if not p])])
-        end, of = np.array([END], self._kind).tobytes(), self.__getitem__
-        return [(b"".join(map(of, ws)) if p else next(others)) + end for ws, p in zip(words, plain)]
+                known.update(zip(part, (i.tobytes() for i in self._ids(part))))
+        return list(map(known.__getitem__, pieces))
+
+    def _spaced(self, words: pa.Array) -> pa.Array:
+        """Words with spaces between their pieces: letters alone are one, and most others are letters and a full stop or comma."""
+        most, last = pc.utf8_slice_codeunits(words, 0, -1), pc.utf8_slice_codeunits(words, -1)
+        closed = pc.and_(pc.utf8_is_alpha(most), pc.is_in(last, pa.array([",", "."])))
+        out = pc.if_else(closed, pc.binary_join_element_wise(most, last, " "), words)
+        rest = pc.invert(pc.or_(closed, pc.utf8_is_alpha(words)))
+        return pc.replace_with_mask(out, rest, pc.replace_substring_regex(words.filter(rest), self._cut, r"\1 "))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of plain texts, without ends, and how many each has."""
+        said, words = _told_apart(pc.ascii_lower(texts))
+        cut, pieces = _told_apart(self._spaced(pc.utf8_lower(words)))
+        ids = self._ids_of_pieces(pieces.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(ids), self._kind)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        return _put_together(*said, *_put_together(*cut, flat, lengths))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by the end, and how many each has."""
+        texts = texts.fill_null("")
+        other = np.asarray(pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, BEYOND_LATIN))) if self._cut else np.ones(len(texts), bool)
+        flat, lengths = self._plain(texts.filter(pa.array(~other))) if not other.all() else (np.empty(0, self._kind), np.empty(0, np.int64))
+        ends = np.cumsum(lengths)
+        if other.any():
+            parts, own = np.empty(len(texts), object), iter(self._ids(texts.filter(pa.array(other)).to_pylist()))
+            for i, (a, b) in zip(np.flatnonzero(~other), zip(ends - lengths, ends)):
+                parts[i] = flat[a:b]
+            for i in np.flatnonzero(other):
+                parts[i] = next(own)
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+            flat, ends = np.concatenate([np.empty(0, self._kind), *parts]), np.cumsum(lengths)
+        return np.insert(flat, ends, END), lengths + 1
+
+
+def _told_apart(texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], pa.Array]:
+    """(Where each text's words begin and the last ends, each word's number), and the distinct words."""
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    offsets = np.asarray(split.offsets)
+    return (offsets - offsets[0], np.asarray(coded.indices)), coded.dictionary
+
+
+def _put_together(offsets: np.ndarray, code: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts, one after the other, and how many each has, from those of their words by number."""
+    size = lengths[code]
+    shift = (np.cumsum(lengths) - lengths)[code] - (np.cumsum(size) - size)
+    return flat[np.repeat(shift, size) + np.arange(size.sum())], np.diff(np.r_[0, np.cumsum(size)][offsets])
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -138,10 +163,10 @@ def encoder(path: str, kind: str) -> Encoder:
 
 def cuts(ids: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
     """Where the chunks of each document end, counted from the first id of all."""
-    rolled = np.zeros(len(ids), np.uint64)
-    gear = GEAR[ids & 0xFFFF]
-    for j in range(min(WINDOW, len(ids))):
-        rolled[j:] += gear[: len(ids) - j] << np.uint64(j)
+    rolled, step = GEAR[ids & 0xFFFF], 1
+    while step < WINDOW:  # sums over 2, 4, 8, 16 ids, each id a bit further up
+        rolled = np.r_[rolled[:step], rolled[step:] + (rolled[:-step] << np.uint64(step))]
+        step *= 2
     natural = np.flatnonzero(rolled >> np.uint64(64 - BITS) == 0) + 1
     ends = np.cumsum(lengths)
     first, last = np.searchsorted(natural, ends - lengths), np.searchsorted(natural, ends)
@@ -180,11 +205,10 @@ def encoded(docs: DataFrame, path: Callable[[], str], kind: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(at, DOCS_AT_ONCE)
-                said = encode.texts([t.as_py() or b"" for t in part.column("text").cast(pa.binary())])
-                lengths = np.fromiter((len(s) // width for s in said), np.int64, len(said))
-                flat = b"".join(said)
+                ids, lengths = encode.texts(part.column("text"))
+                flat = ids.tobytes()
                 digests, sizes, offsets, names, chunks, begin = [], [], [0], [], [], 0
-                for ends in cuts(np.frombuffer(flat, kind), lengths):
+                for ends in cuts(ids, lengths):
                     own = []
                     for end in ends:
                         piece = flat[begin * width : end * width]
@@ -252,7 +276,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write(docs: DataFrame, root: str, *, path: Callable[[], str] = tokenizer_path, kind: str = "<u2") -> None:
     """Encode all documents into a new store at `root`."""
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
     once = stage(encoded(docs, path, kind))
     once.select(F.inline("fresh")).repartition("digest").mapInArrow(_unique, "digest binary, ids binary").write.option("compression", "zstd").parquet(f"{root}/chunks")
     id_kind = docs.schema["doc_id"].dataType.simpleString()
@@ -339,12 +363,14 @@ def _verified_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def references(spark: SparkSession, root: str) -> DataFrame:
+    python_workers(spark)
     recipes = spark.read.parquet(f"{root}/recipes").where(~F.col("total")).select("part", "place", "digests", "sizes")
     return recipes.mapInArrow(_references, "part int, place long, step long, digest binary, size long, after long")
 
 
 def verify(spark: SparkSession, root: str) -> DataFrame:
     """The parts whose Merkle roots hold: part and its number of ids; an error if one doesn't. Each part's file is read whole, by one task."""
+    python_workers(spark)
     rows = spark.read.parquet(f"{root}/recipes").select("part", "place", "n", "digests", "total").repartition("part").sortWithinPartitions("part", "total", "place")
     return rows.select("part", "n", "digests", "total").mapInArrow(_verified_parts, "part int, n long")
 
@@ -357,7 +383,7 @@ def summary(spark: SparkSession, root: str, *, kind: str = "<u2") -> DataFrame:
     chunks = spark.read.parquet(f"{root}/chunks").mapInArrow(_checked(kind), "digest binary, chunk_n long, crc long")
     refs = stage(references(spark, root))
     counted = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    known = stage(chunks.join(counted, "digest"))
+    known = stage(chunks.join(counted, "digest"))  # reads and checks all chunks, so by as many tasks as they need
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
