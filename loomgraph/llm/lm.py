@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import python_workers, stage
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Tokens in a block, beyond which a task begins another, and tokens for each bucket of the hash space.
@@ -73,12 +73,23 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def pack_sorted(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte planes apart: the high planes are all zeros and cost nothing."""
+    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = unpack(data, "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Token streams: documents of one part (test, deleted, training) by block."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     if kind not in ("bigint", "int"):
         raise ValueError("doc_id must be an integer")
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -158,7 +169,7 @@ def questions(packed: DataFrame, buckets: int) -> DataFrame:
                 columns: list[list] = [[] for _ in range(7)]
                 for k in range(buckets):
                     w, p = slice(at[k], at[k + 1]), slice(to[k], to[k + 1])
-                    for c, v in zip(columns, (row["block"], row["part"], k, words[w].tobytes(), pack(n[w]), b["pairs"][p].tobytes(), pack(b["n"][p]))):
+                    for c, v in zip(columns, (row["block"], row["part"], k, pack_sorted(words[w]), pack(n[w]), pack_sorted(b["pairs"][p]), pack(b["n"][p]))):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=[c.split()[0] for c in ASK_KIND.split(", ")])
 
@@ -194,7 +205,7 @@ def answers(asked: DataFrame) -> DataFrame:
         out: dict[str, list] = {"words": [], "pairs": []}
         totals = (0, 0, 0)
         for what in ("words", "pairs"):
-            keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column(what)]
+            keys = [unpack_sorted(x.as_py()) for x in table.column(what)]
             counts = [unpack(x.as_py(), "u4") for x in table.column(f"n_{what}")]
             held = {}
             for name, which in (("all", part != TEST), ("dev", part == DEV)):
