@@ -161,12 +161,17 @@ class Engine:
         return self._first(file_path, function_name).select(F.inline("variables"))
 
     def get_ast(self, file_path: str, symbol_name: str | None = None, max_depth: int = -1) -> str:
-        """The syntax tree of a Python file or symbol as nested (type [line:column-line:column] ...)."""
+        """The syntax tree of a Python file or symbol as nested (type [line:column-line:column] ...), of others as nested tokens."""
         import ast
 
+        from .functions.lists import LANGUAGES
+        from .parse.lexer import nested
+
         rows = self.get_symbol(file_path, symbol_name).collect() if symbol_name else self.parsed.where(F.col("path") == checked(file_path)).select("source").collect()
-        if not rows or not file_path.endswith(".py"):
+        if not rows:
             return ""
+        if not file_path.endswith(".py"):
+            return nested(rows[0]["source"], LANGUAGES[file_path.rpartition(".")[2]], max_depth)
 
         def show(node: ast.AST, depth: int) -> str:
             where = f" [{node.lineno}:{node.col_offset}-{node.end_lineno}:{node.end_col_offset}]" if hasattr(node, "lineno") else ""

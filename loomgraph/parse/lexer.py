@@ -100,3 +100,25 @@ def normalised(source: str, language: str) -> str:
         else:
             out.append({"string": "_STR_", "number": "_NUM_"}.get(t.kind, t.text))
     return " ".join(out)
+
+
+def nested(source: str, language: str, max_depth: int = -1) -> str:
+    """Tokens as a tree of brackets: (kind [line:column] text) and (group [line:column-line:column] ...)."""
+    code = [t for t in tokens(source, language) if t.kind != "comment"]
+    pairs, _ = matches(code)
+
+    def show(i: int, end: int, depth: int) -> list[str]:
+        out = []
+        while i < end:
+            t = code[i]
+            if i in pairs and pairs[i] > i:
+                last = code[pairs[i]]
+                inner = ["..."] if depth == max_depth else show(i + 1, pairs[i], depth + 1)
+                out.append(f"(group [{t.line}:{t.column}-{last.line}:{last.column + 1}] {' '.join([repr(t.text), *inner, repr(last.text)])})")
+                i = pairs[i]
+            else:
+                out.append(f"({t.kind} [{t.line}:{t.column}] {t.text!r})")
+            i += 1
+        return out
+
+    return f"(file {' '.join(show(0, len(code), 1))})"

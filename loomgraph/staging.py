@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of a small table that are worth a file.
-ROWS_PER_FILE = 250_000
+ROWS_PER_FILE = 50_000
 
 
 def stage(df: DataFrame, *, path: str | None = None, rows: int | None = None) -> DataFrame:

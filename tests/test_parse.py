@@ -3,6 +3,7 @@
 import pytest
 
 from loomgraph.parse import normalised, parse_source, register_language
+from loomgraph.parse.lexer import nested
 from loomgraph.parse.model import Parsed, Symbol
 
 
@@ -244,3 +245,9 @@ def test_a_language_can_be_added_and_a_failing_one_is_contained():
     from loomgraph.functions.lists import LANGUAGES
 
     del LANGUAGES["toy"]
+
+
+def test_nested_tokens():
+    assert nested("f(a)\n", "go") == "(file (name [1:0] 'f') (group [1:1-1:4] '(' (name [1:2] 'a') ')'))"
+    assert nested("f(a(b))", "go", 1) == "(file (name [1:0] 'f') (group [1:1-1:7] '(' ... ')'))"
+    assert nested("((", "go").startswith("(file")
