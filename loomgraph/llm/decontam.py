@@ -66,18 +66,20 @@ def anchored(windows: DataFrame, docs: DataFrame) -> DataFrame:
     Anchors meet document words in lower case by Unicode, which is quick and equal wherever lower-casing A-Z is.
     """
     each = windows.select("window", "length", "items", F.posexplode(F.split("window", " ")).alias("at", "word")).withColumn("word", F.lower("word"))
-    vocabulary = stage(each.select("word").distinct())
+    vocabulary = stage(each.select("word").distinct(), rows=each.count())
+    n = vocabulary.count()
     spoken = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
-    counts = _union([spoken.join(F.broadcast(v), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")) for v in _blocks(vocabulary, vocabulary.count(), "word")])
+    counts = _union([spoken.join(F.broadcast(v), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")) for v in _blocks(vocabulary, n, "word")])
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at"))
-    return each.join(stage(counts), "word", "left").groupBy("window").agg(F.first("length").alias("length"), F.first("items").alias("items"), rarest.alias("rarest")).where("rarest.n > 0").select(
+    return each.join(stage(counts, rows=n), "word", "left").groupBy("window").agg(F.first("length").alias("length"), F.first("items").alias("items"), rarest.alias("rarest")).where("rarest.n > 0").select(
         "window", "length", "items", F.col("rarest.word").alias("anchor"), F.col("rarest.at").alias("at")
     )
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, items (sorted ids of those with a window in it), contaminated."""
-    table = stage(anchored(stage(item_windows(benchmark, width)), docs))
+    windows = stage(item_windows(benchmark, width))
+    table = stage(anchored(windows, docs), rows=windows.count())
     # An empty word before the first one meets an empty anchor, so that each document leaves one row besides its hits.
     text = docs.select("doc_id", F.xxhash64("text").alias("_text"), words(F.col("text")).alias("_words"))
     spoken = text.select("doc_id", "_text", "_words", F.posexplode(F.concat(F.array(F.lit("")), "_words")).alias("_place", "_word"))
