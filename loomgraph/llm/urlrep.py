@@ -76,22 +76,25 @@ def _posterior(level: DataFrame, parent_mean: Column) -> DataFrame:
 
 def reputations(outcomes: DataFrame) -> DataFrame:
     """Per host of (host, n labelled, good): n, good and the posterior's mean and lower bound."""
+    rows = outcomes.count()
     suffix, domain = suffix_and_domain(F.col("host"))
-    hosts = stage(outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("good").cast("double").alias("good")).withColumns({"suffix": suffix, "domain": domain}))
+    hosts = stage(outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("good").cast("double").alias("good")).withColumns({"suffix": suffix, "domain": domain}), rows=rows)
+    rows = hosts.count()
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
     mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
     root = hosts.agg((F.coalesce(F.sum("good"), F.lit(0.0)) + ROOT_GOOD) / (F.coalesce(F.sum("n"), F.lit(0.0)) + ROOT_ALL)).first()[0]
     suffixes = _posterior(hosts.groupBy("suffix").agg(*sums), F.lit(root)).select("suffix", F.round(mean, 9).alias("suffix_mean"))
-    domains = stage(_posterior(hosts.groupBy("suffix", "domain").agg(*sums).join(stage(suffixes), "suffix"), F.col("suffix_mean")).select("domain", F.round(mean, 9).alias("domain_mean")))
+    domains = stage(_posterior(hosts.groupBy("suffix", "domain").agg(*sums).join(stage(suffixes, rows=rows), "suffix"), F.col("suffix_mean")).select("domain", F.round(mean, 9).alias("domain_mean")), rows=rows)
     both = F.col("alpha") + F.col("beta")
     deviation = F.sqrt(F.col("alpha") * F.col("beta") / (both * both * (both + 1)))
-    return _posterior(hosts.join(domains, "domain"), F.col("domain_mean")).select(
+    known = _posterior(hosts.join(domains, "domain"), F.col("domain_mean")).select(
         "host",
         F.col("n").cast("long").alias("n_labelled"),
         F.col("good").cast("long").alias("n_good"),
         F.round(mean, 6).alias("good_rate"),
         F.round(mean - Z * deviation, 6).alias("good_bound"),
     )
+    return stage(known, rows=rows)
 
 
 def judge(pages: DataFrame, labels: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, min_good: float = MIN_GOOD) -> DataFrame:
@@ -104,7 +107,7 @@ def judge(pages: DataFrame, labels: DataFrame, *, rules: tuple[tuple[str, str],
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")
     )
     counts = urls.join(seen, "page_id", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
-    known = stage(reputations(counts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = reputations(counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     dealt = urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     by_host = F.when(F.col("good_bound") >= min_good, "allow").otherwise("block")
