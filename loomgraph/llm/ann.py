@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import hash_sample, python_workers, stage
 
 #: The bound on vectors that centroids and codebooks are fitted on.
 SAMPLE = 16_384
@@ -147,12 +147,13 @@ def _doubles(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, n: int, sample: int = SAMPLE) -> Index:
-    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).select("embedding").toArrow()
+    found = hash_sample(rows.select("vec_id", "embedding"), "vec_id", sample).select("embedding").toArrow()
     return fit_rows(unit(_doubles(found.column("embedding"))), n)
 
 
 def search(embeddings: DataFrame, is_query: Column, *, k: int = K, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query, the k nearest others found."""
+    python_workers(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     spark, n = embeddings.sparkSession, rows.count()
@@ -179,7 +180,7 @@ def search(embeddings: DataFrame, is_query: Column, *, k: int = K, shortlist: in
 
     placed = stage(rows.mapInArrow(place, "vec_id long, embedding array<double>, list int, codes binary, probes array<int>"))
     # at most MOST_LISTS rows
-    blocks = stage(placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")))
+    blocks = stage(placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), rows=MOST_LISTS)
     candidates = placed.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "embedding", "codes")
     queries = placed.where(F.size("probes") > 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("probes").alias("list"))
     queries = queries.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "query")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_on_hot_key, shared_dir, small_batches, stage
+from .common import hash_sample, join_on_hot_key, python_workers, shared_dir, stage
 
 DICTIONARY_MAGIC, SKIPPABLE, FRAME_MAGIC, RAW_DICTIONARY = 0x184D2A5D, 0x184D2A50, 0xFD2FB528, 0xEC30A437
 #: The dictionary is made from at most so many pages, none longer than SAMPLE_BYTES.
@@ -101,14 +101,14 @@ def decisions(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     hashed = stage(pages.select("page_id", F.sha1(html).alias("_sha1"), F.octet_length(html).alias("size")))
     groups = hashed.where(F.col("size") >= min_bytes).groupBy("_sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies"))
     groups = groups.where((F.col("copies") > 1) & F.col("refers_to").isNotNull())
-    both = join_on_hot_key(hashed.select("page_id", "_sha1"), stage(groups), "_sha1", "copies")
+    both = join_on_hot_key(hashed.select("page_id", "_sha1"), stage(groups, rows=hashed.count()), "_sha1", "copies")
     return both.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("_page"), "_sha1", "refers_to").distinct()
 
 
 def write(pages: DataFrame, root: str, *, min_bytes: int = 0) -> DataFrame:
     """Archive all pages under root: a staged table of path, records, bytes."""
-    small_batches(pages.sparkSession)
-    sample = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id", "html")).limit(SAMPLE).select("html").collect()
+    python_workers(pages.sparkSession)
+    sample = hash_sample(pages.select("page_id", "html").where(F.octet_length("html").between(1, SAMPLE_BYTES)), "page_id", SAMPLE).select("html").collect()
     dictionary = dictionary_of([r["html"].encode() for r in sample])
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     revisits = stage(decisions(pages, min_bytes=min_bytes))
@@ -260,6 +260,7 @@ def read(spark: SparkSession, paths: list[str], *, payloads: bool = False) -> Da
                 names = [c.split()[0] for c in READ_KIND.split(", ")] + ["payload"] * payloads
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
+    python_workers(spark)
     kind = READ_KIND + ", payload binary" * payloads
     if not paths:
         return spark.createDataFrame([], kind)
