@@ -119,7 +119,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataF
     """The documents that are not contaminated, with all their columns."""
     # staged, so its size is known when Spark chooses between a broadcast and a shuffle
     dirty = stage(scan(docs, benchmark, width=width).where("contaminated").select(F.col("doc_id").alias("_id"), "_text").distinct())
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_text")), "left_anti")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]) & (F.xxhash64(docs["text"]) == dirty["_text"]), "left_anti")
 
 
 #: For each item window, where it begins in a document's space-joined words.

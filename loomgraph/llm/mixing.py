@@ -78,6 +78,12 @@ def emit(planned: DataFrame, columns: list[str]) -> DataFrame:
     return planned.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns, whatever these are called."""
+    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
+    return emit(plan(rows, **options), ["_row"]).select("_row.*")
+
+
 def digest(docs: DataFrame, **options) -> DataFrame:
     planned = plan(docs.select("doc_id", "text", "source"), **options)
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, hash_sample, python_workers, stage
 
 #: Hashed words, hashed shapes, then one feature each for repeats and for shortness.
 WORDS, SHAPES = 8192, 254
@@ -104,11 +104,11 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model | None:
     """Learn from labelled documents outside the held-out fold; None if there are none."""
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
-    order = F.xxhash64("doc_id")
-    chosen = known.orderBy(order, "doc_id").limit(sample)
+    known = stage(known)
+    chosen = stage(hash_sample(known, "doc_id", sample), rows=sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,12 +142,12 @@ def votes(model: Model, rows: list[Sparse], neighbours: int = NEIGHBOURS, power:
     return np.clip(np.round(out, 9), 0, 1)
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents with `score` beside their columns (one named so is replaced)."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """The documents with their score beside their columns (one of its name is replaced)."""
+    docs = docs.drop(name)
     if model is None:
-        return docs.withColumn("score", F.lit(0.5))
-    small_batches(docs.sparkSession)
+        return docs.withColumn(name, F.lit(0.5))
+    python_workers(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +155,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             scores = [votes(known, [features(t.as_py() or b"") for t in texts[at : at + BLOCK]]) for at in range(0, batch.num_rows, BLOCK)]
-            yield batch.append_column("score", pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64()))
+            yield batch.append_column(name, pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64()))
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,4 +174,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected."""
-    return score(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    name = free_name(docs, "score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= THRESHOLD).drop(name)

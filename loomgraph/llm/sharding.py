@@ -30,10 +30,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import free_name, shared_dir
 
 TARGET, SMALLEST, FANOUT = 64 << 20, 1 << 20, 4
-_ARRIVAL = "_arrival"
 
 
 class Conflict(Exception):
@@ -119,7 +118,8 @@ class ShardStore:
         base = self.manifest()
         folder = f"a{base['version'] + 1:09d}-{uuid.uuid4().hex[:8]}"
         schema = base["schema"] or df.schema.json()
-        df.withColumn(_ARRIVAL, F.lit(0) if arrival is None else arrival).write.partitionBy(_ARRIVAL).option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
+        name = free_name(df, "_arrival")
+        df.withColumn(name, F.lit(0) if arrival is None else arrival).write.partitionBy(name).option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
         return self.commit(base, base["shards"] + self._listed(folder, base["version"] + 1), schema)
 
     def due(self, manifest: dict) -> list[list[dict]]:

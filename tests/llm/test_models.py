@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from loomgraph.llm import ann, lm, quality, simhash, tokenstore, warc
-from loomgraph.llm.common import shared_dir, small_batches
+from loomgraph.llm.common import hash_sample, python_workers, shared_dir
 
 from .test_native import DOCS, ODD
 
@@ -455,6 +455,13 @@ def test_keeping_one_of_each_group(spark, odd):
 
 def test_arrow_batches_only_shrink(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
-    small_batches(spark)
+    python_workers(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "100"
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sample_by_hash(spark):
+    rows_ = spark.range(20_000).withColumnRenamed("id", "k").repartition(7)
+    few = sorted(r["k"] for r in hash_sample(rows_, "k", 300).collect())
+    assert len(few) == 300 and few == sorted(r["k"] for r in rows_.orderBy(F.shiftrightunsigned(F.xxhash64("k"), 11)).limit(300).collect())
+    assert hash_sample(rows_.limit(5), "k", 300).count() == 5 and hash_sample(rows_.limit(0), "k", 300).count() == 0
