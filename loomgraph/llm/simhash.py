@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_on_hot_key, small_batches, stage
+from .common import free_name, join_on_hot_key, python_workers, stage
 
 SEED, WIDTH, RADIUS = 42, 3, 3
 #: Nodes in a tile, and tiles; past both, tiles grow. Two tiles are compared in slices of SLICE by STRIDE.
@@ -84,7 +84,7 @@ def with_fingerprints(docs: DataFrame, *, width: int = WIDTH, n_words: int = 1,
     the number of shingles, big-endian.
     """
     kind = docs.schema["doc_id"].dataType
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +173,12 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, n_words: int = 1, sizes: bo
     names = tiles_of(counts, max(256, min(TILE, total // 24), total // MOST_TILES))
     cells = spark.createDataFrame([(b, o, t.start, len(t)) for (b, o), t in names.items()], "band int, ones int, first int, tiles int")
     tile = F.col("first") + F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    packed = stage(keyed.join(F.broadcast(cells), ["band", "ones"]).groupBy(tile.alias("tile")).agg(F.collect_list("node").alias("nodes")))
-    pairs = spark.createDataFrame(tile_pairs(names, radius), "s int, t int")
+    packed = stage(keyed.join(F.broadcast(cells), ["band", "ones"]).groupBy(tile.alias("tile")).agg(F.collect_list("node").alias("nodes")), rows=total)
+    meet = tile_pairs(names, radius)
+    pairs = spark.createDataFrame(meet, "s int, t int")
     both = pairs.join(packed.toDF("s", "a"), "s").join(packed.toDF("t", "b"), "t")
+    # by the work, not by the bytes: a pair is little to send and much to compare
+    both = both.repartition(max(1, min(len(meet), 4 * spark.sparkContext.defaultParallelism)), "s", "t")
     wide = n_words + sizes
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,18 +196,23 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, n_words: int = 1, sizes: bo
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each component, for nodes that have an edge. `edges` is staged (u, v)."""
-    both = stage(edges.union(edges.select("v", "u")).toDF("u", "v").where("u <> v").distinct())
-    labels = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")))
+    """(node, root): the least node of each component, for nodes that have an edge. `edges` is staged (u, v).
+
+    Each round a node takes the least label of itself and its neighbours, then its label's label. Nodes with many
+    neighbours, and labels with many nodes, are joined by broadcast: there are few of them, by their share of rows.
+    """
+    rows = 2 * edges.count()
+    both = stage(edges.union(edges.select("v", "u")).toDF("u", "v").where("u <> v").distinct(), rows=rows)
+    labels = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c"), F.count(F.lit(1)).alias("links")), rows=rows)
     while True:
-        heard = both.join(labels.toDF("v", "d"), "v").groupBy("u").agg(F.min("d").alias("d"))
-        lower = labels.join(heard, "u").select("u", F.least("c", "d").alias("c"), F.col("c").alias("was"))
-        lower = stage(lower)
-        jumped = lower.join(lower.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c")
-        new = stage(jumped.select("u", F.col("cc").alias("c"), (F.col("cc") != F.col("was")).alias("moved")))
+        heard = join_on_hot_key(both, labels.toDF("v", "d", "links"), "v", "links").groupBy("u").agg(F.min("d").alias("d"))
+        lower = stage(labels.join(heard, "u").select("u", F.least("c", "d").alias("c"), F.col("c").alias("was"), "links"), rows=rows)
+        named = lower.groupBy("c").agg(F.count(F.lit(1)).alias("members")).join(lower.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c")
+        jumped = join_on_hot_key(lower, stage(named, rows=rows), "c", "members")
+        new = stage(jumped.select("u", F.col("cc").alias("c"), "links", (F.col("cc") != F.col("was")).alias("moved")), rows=rows)
         if new.where("moved").isEmpty():
             return new.select(F.col("u").alias("node"), F.col("c").alias("root"))
-        labels = new.select("u", "c")
+        labels = new.select("u", "c", "links")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, radius: int = RADIUS, n_words: int = 1, sizes: bool = False) -> DataFrame:
@@ -212,11 +220,12 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, radius: int = RADIUS
     component_hash (the least text_hash of the rows with that id there).
     """
     marked = stage(with_fingerprints(docs, width=width, n_words=n_words, sizes=sizes))
-    nodes = stage(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies")))
+    nodes = stage(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies")), rows=marked.count())
+    n = nodes.count()
     roots = components(stage(links(nodes.select("node"), radius=radius, n_words=n_words, sizes=sizes)))
-    named = stage(nodes.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")))
-    names = stage(named.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("members")))
-    table = stage(join_on_hot_key(named.drop("first"), names, "root", "members").select("node", "copies", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_hash")))
+    named = stage(nodes.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")), rows=n)
+    names = stage(named.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("members")), rows=n)
+    table = stage(join_on_hot_key(named.drop("first"), names, "root", "members").select("node", "copies", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_hash")), rows=n)
     joined = join_on_hot_key(marked, table, "node", "copies")
     return joined.select("doc_id", "text_hash", F.lower(F.hex(F.substring("node", 1, 8 * n_words))).alias("fingerprint"), "component_id", "component_hash")
 
@@ -236,7 +245,9 @@ def keep_one(docs: DataFrame, *, width: int = 5, n_words: int = 4, radius: int =
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("component_hash"))
     gone = stage(marked.where(~first).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     # What goes grows with the corpus, so it is never broadcast; hashing it spares the texts a sort.
-    kept = docs.withColumn("_text", F.xxhash64("text")).join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti")
+    own = free_name(docs, "_text")
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    kept = hashed.join(gone.hint("shuffle_hash"), hashed["doc_id"].eqNullSafe(gone["_id"]) & (hashed[own] == gone["_hash"]), "left_anti")
     if marked.where(first).groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        return kept.drop("_text")
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")  # the same row, more than once
+        return kept.drop(own)
+    return kept.dropDuplicates(["doc_id", own]).drop(own)  # the same row, more than once
