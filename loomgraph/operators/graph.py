@@ -100,6 +100,21 @@ def resolve_callees(calls: DataFrame, symbols: DataFrame, confirmed: Column) ->
     return kept.groupBy("caller", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("?::"), "name")).alias("target")).agg(F.max("weight").alias("weight"))
 
 
+def resolve_callees_by(calls: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
+    """resolve_callees() where equal `key`s confirm: `calls` (caller, name, key) against `symbols` (name, id, key).
+
+    Only a caller's names without a confirmed target meet all symbols of the name.
+    """
+    calls, symbols = calls.select("caller", "name", key).distinct(), symbols.select("name", "id", key).distinct()
+    known = symbols.where(F.col("id").isNotNull())
+    sure = calls.join(known, ["name", key]).select("caller", "name", "id", F.lit(1.0).alias("weight"))
+    hits = calls.join(known.select("name", key).distinct().withColumn("hit", F.lit(True)), ["name", key], "left")
+    loose = hits.groupBy("caller", "name").agg(F.max("hit").alias("hit")).where("hit is null").select("caller", "name")
+    unsure = loose.join(symbols.select("name", "id").distinct(), "name", "left").select("caller", "name", "id", F.lit(0.5).alias("weight"))
+    target = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("?::"), "name")).alias("target")
+    return sure.unionByName(unsure).groupBy("caller", target).agg(F.max("weight").alias("weight"))
+
+
 def resolve_ranked(symbols: DataFrame, name: str, *, hints: list[Column], limit: int = 10) -> DataFrame:
     """Symbols of a name, whatever its case, best first by hints (descending, then id descending)."""
     order = [h.desc() for h in hints] + [F.col("id").desc()]
