@@ -8,6 +8,9 @@ tiles is compared whole with exclusive-or and bit counts, so no link is lost. A
 spanning forest of its links, not with all of them: at most one row per node, however large a group is.
 The components come from minimum labels with pointer jumping over those rows, staged each round.
 
+Where links must be true (keep_one), those components only say which documents to compare: within each, links are
+verified by the exact Jaccard similarity of the shingle sets, and the components are formed anew from verified ones.
+
 Comparing all pairs of tiles is quadratic in the number of distinct fingerprints: about 2 ns a pair on one
 core, less by what the skipped tiles save.
 
@@ -34,6 +37,8 @@ SEED, WIDTH, RADIUS = 42, 3, 3
 TILE, MOST_TILES, SLICE, STRIDE = 65_536, 2048, 256, 4096
 #: Shingle hashes whose bits are counted at once: 64 bytes each.
 VOTES = 1 << 17
+#: A component is verified in blocks of about MEMBERS sets, in at most MOST_BLOCKS unless one would be over BLOCK_BYTES.
+MEMBERS, MOST_BLOCKS, BLOCK_BYTES = 128, 64, 8 << 20
 #: Odd multipliers that turn a hash into the further words of a fingerprint longer than 64 bits.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -80,8 +85,10 @@ def fingerprints(hashes: list[list[int]], n_words: int = 1) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, *, width: int = WIDTH, n_words: int = 1, sizes: bool = False) -> DataFrame:
-    """doc_id, text_hash (XXH64 of the text) and node per row: the fingerprint's n_words 64-bit words, then with `sizes`
-    the number of shingles, big-endian.
+    """doc_id, text_hash (XXH64 of the text) and node per row: the fingerprint's n_words 64-bit words, big-endian.
+
+    With `sizes`, repeated shingles count once, and their number and a hash of their set follow in the node, so that
+    only texts with equal sets share one.
     """
     kind = docs.schema["doc_id"].dataType
     python_workers(docs.sparkSession)
@@ -91,9 +98,12 @@ def with_fingerprints(docs: DataFrame, *, width: int = WIDTH, n_words: int = 1,
             texts = batch.column("text").cast(pa.binary())
             for at in range(0, batch.num_rows, 512):
                 hashes = [shingle_hashes(t.as_py() or b"", width) for t in texts[at : at + 512]]
+                if sizes:
+                    hashes = [sorted(set(h)) for h in hashes]
                 rows = fingerprints(hashes, n_words)
                 if sizes:
-                    rows = np.column_stack([rows, np.fromiter(map(len, hashes), np.uint64, len(hashes))])
+                    marks = [xxhash.xxh64_intdigest(np.array(h, ">u8").tobytes(), SEED) for h in hashes]
+                    rows = np.column_stack([rows, np.fromiter(map(len, hashes), np.uint64, len(hashes)), np.array(marks, np.uint64)])
                 flat, size = rows.astype(">u8").tobytes(), 8 * rows.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[at : at + 512], batch.column("text_hash")[at : at + 512], pa.array([flat[i : i + size] for i in range(0, len(flat), size)], pa.binary())],
@@ -179,14 +189,13 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, n_words: int = 1, sizes: bo
     both = pairs.join(packed.toDF("s", "a"), "s").join(packed.toDF("t", "b"), "t")
     # by the work, not by the bytes: a pair is little to send and much to compare
     both = both.repartition(max(1, min(len(meet), 4 * spark.sparkContext.defaultParallelism)), "s", "t")
-    wide = n_words + sizes
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 same = batch.column("s")[i].as_py() == batch.column("t")[i].as_py()
                 of_a, of_b = batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
-                a, b = (np.frombuffer(b"".join(x), ">u8").astype(np.uint64).reshape(-1, wide) for x in (of_a, of_b))
+                a, b = (np.frombuffer(b"".join(x), ">u8").astype(np.uint64).reshape(len(x), -1) for x in (of_a, of_b))
                 every = of_a if same else of_a + of_b
                 label = _forest(a, b, n_words, radius, same)
                 found = [(every[label[x]], every[x]) for x in np.flatnonzero(label != np.arange(len(label)))]
@@ -195,6 +204,77 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, n_words: int = 1, sizes: bo
     return both.mapInArrow(compare, "u binary, v binary")
 
 
+def _verified(marks: np.ndarray, sets: list[np.ndarray], cut: int, n_words: int, radius: int) -> np.ndarray:
+    """The least index of each row's component among the links within the radius whose sets have a Jaccard similarity
+    of 0.8 or more: links between the first `cut` rows and the others, or among all if cut is their number.
+
+    Rows that are already in one component aren't compared, so a group of copies costs about a comparison a row.
+    """
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(flat, np.cumsum(n)[:-1])
+    label, has = np.arange(len(sets)), np.zeros(len(flat), bool)
+    for i in range(cut):
+        to = i + 1 if cut == len(sets) else cut
+        near = np.bitwise_count(marks[to:, :n_words] ^ marks[i, :n_words]).sum(axis=1, dtype=np.int64) <= radius
+        hit = np.flatnonzero(near & (5 * np.minimum(n[to:], n[i]) >= 4 * np.maximum(n[to:], n[i]))) + to
+        hit = hit[label[hit] != label[i]]
+        if not len(hit):
+            continue
+        has[ids[i]] = True
+        first = hit[np.unique(label[hit], return_index=True)[1]]  # one of each component, then what that leaves open
+        for rest in (False, True):
+            others = np.setdiff1d(hit[label[hit] != label[i]], first) if rest else first
+            shared = np.fromiter((np.count_nonzero(has[ids[j]]) for j in others), np.int64, len(others))
+            true = others[5 * shared >= 4 * (n[others] + n[i] - shared)]
+            found = np.unique(np.append(label[true], label[i]))
+            if len(found) > 1:
+                label[np.isin(label, found)] = found[0]
+        has[ids[i]] = False
+    return label
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, *, width: int, n_words: int, radius: int) -> DataFrame:
+    """Rows (u, v) over the nodes of `roots` whose components are those of all their verified links.
+
+    `nodes` names a row of docs that has the node's text. A component's sets meet in one task, those of a large one
+    block by block.
+    """
+    picks = nodes.join(roots, "node").select("node", "root", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = texts.join(picks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("root", "node", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t.as_py() or b"", width), np.uint64)).tobytes() for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(sets, pa.binary())], names=["root", "node", "set"])
+
+    sets = stage(texts.mapInArrow(cut, "root binary, node binary, set binary").groupBy("node").agg(F.first("root").alias("root"), F.first("set").alias("set")))
+    size, n = F.sum(F.octet_length("set")), F.count(F.lit(1))
+    blocks = F.greatest(F.least(F.ceil(n / F.lit(MEMBERS)), F.lit(MOST_BLOCKS)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    dealt = stage(sets.groupBy("root").agg(n.alias("members"), blocks.alias("blocks")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    packed = stage(join_on_hot_key(sets, dealt, "root", "members").groupBy("root", block, "blocks").agg(F.collect_list(F.struct("node", "set")).alias("a")))
+    pairs = dealt.where("blocks > 1").select("root", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"))
+    pairs = pairs.select("root", "s", F.explode(F.sequence("s", F.col("blocks") - 1)).alias("t"))
+    several = pairs.join(packed.select("root", F.col("block").alias("s"), "a"), ["root", "s"]).join(packed.select("root", F.col("block").alias("t"), F.col("a").alias("b")), ["root", "t"])
+    several = several.select("a", F.when(F.col("s") != F.col("t"), F.col("b")).alias("b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = [x.values for x in (batch.column("a")[i], batch.column("b")[i]) if x.is_valid]
+                names = [m for x in sides for m in x.field("node").to_pylist()]
+                held = [np.frombuffer(m, np.uint64) for x in sides for m in x.field("set").to_pylist()]
+                marks = np.frombuffer(b"".join(names), ">u8").astype(np.uint64).reshape(len(names), -1)
+                label = _verified(marks, held, len(sides[0]), n_words, radius)
+                found = [(names[label[x]], names[x]) for x in np.flatnonzero(label != np.arange(len(label)))]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+    alone = packed.where("blocks = 1").select("a", F.lit(None).cast(packed.schema["a"].dataType).alias("b"))
+    return alone.unionByName(several).mapInArrow(compare, "u binary, v binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component, for nodes that have an edge. `edges` is staged (u, v).
 
@@ -215,14 +295,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("u", "c", "links")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = WIDTH, radius: int = RADIUS, n_words: int = 1, sizes: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = WIDTH, radius: int = RADIUS, n_words: int = 1, verify: bool = False) -> DataFrame:
     """Per row: doc_id, text_hash, fingerprint (hex), component_id (the smallest doc_id of its component) and
-    component_hash (the least text_hash of the rows with that id there).
+    component_hash (the least text_hash of the rows with that id there). With `verify`, only links whose sets of
+    shingles have a Jaccard similarity of 0.8 or more count.
     """
-    marked = stage(with_fingerprints(docs, width=width, n_words=n_words, sizes=sizes))
+    marked = stage(with_fingerprints(docs, width=width, n_words=n_words, sizes=verify))
     nodes = stage(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies")), rows=marked.count())
     n = nodes.count()
-    roots = components(stage(links(nodes.select("node"), radius=radius, n_words=n_words, sizes=sizes)))
+    roots = components(stage(links(nodes.select("node"), radius=radius, n_words=n_words, sizes=verify)))
+    if verify:
+        roots = components(stage(verified_links(docs, nodes, roots, width=width, n_words=n_words, radius=radius)))
     named = stage(nodes.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")), rows=n)
     names = stage(named.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("members")), rows=n)
     table = stage(join_on_hot_key(named.drop("first"), names, "root", "members").select("node", "copies", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_hash")), rows=n)
@@ -234,14 +317,16 @@ def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, *, width: int = 5, n_words: int = 4, radius: int = 51) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 5, n_words: int = 4, radius: int = 72) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with all its columns.
 
-    256-bit fingerprints of five-word shingles link at 51 or fewer differing bits, a similarity of 0.8 or more,
-    if the smaller number of shingles is at least 4/5 of the larger: no documents with a Jaccard similarity of 0.8
-    differ by more. Unrelated documents differ by 128 bits, give or take 8.
+    A group is a component of links between documents whose sets of five-word shingles have a Jaccard similarity of
+    0.8 or more; that is verified exactly, by the 64-bit hashes of the shingles. The search for links is by 256-bit
+    fingerprints of the sets, which is likely but not certain to find one: sets of equal size at exactly 0.8 differ by
+    39 bits, give or take 6, sets of four and five shingles by 48, and the radius is 72. Unrelated documents differ by
+    128 bits, give or take 8.
     """
-    marked = stage(near_duplicates(docs, width=width, radius=radius, n_words=n_words, sizes=True).select("doc_id", "text_hash", "component_id", "component_hash"))
+    marked = stage(near_duplicates(docs, width=width, radius=radius, n_words=n_words, verify=True).select("doc_id", "text_hash", "component_id", "component_hash"))
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("component_hash"))
     gone = stage(marked.where(~first).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     # What goes grows with the corpus, so it is never broadcast; hashing it spares the texts a sort.

@@ -453,6 +453,27 @@ def test_keeping_one_of_each_group(spark, odd):
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("members", [128, 3])
+def test_only_verified_links_drop_documents(spark, monkeypatch, members):
+    """Against exact similarities, in one block and in many: shared passages alone, or repeated text, drop nothing."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    draw = random.Random(10)
+    fresh = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    passage, docs = fresh(300), []
+    for n in (12, 30, 45, 60, 90, 110) * 2:  # similarities of some 0.55 to 0.95 between them
+        docs.append(" ".join(passage + fresh(n)))
+    docs += [" ".join(passage + fresh(5)) for _ in range(12)]
+    twice = fresh(100)
+    docs += [" ".join(twice), " ".join(twice + twice), " ".join(["again"] * 900 + fresh(30)), " ".join(["again"] * 900 + fresh(30))]
+    cut = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets = {i: cut(t) for i, t in enumerate(docs)}
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    roots = least(list(sets), [(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])])
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots.values()))
+    assert 8 <= len(set(roots.values())) <= len(docs) - 8
+
+
 def test_arrow_batches_only_shrink(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     python_workers(spark)
