@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import text
 from ..sources.tables import table
+from ..staging import stage
 
 QUERIES, ORACLES = {}, {}
 
@@ -108,18 +109,33 @@ def dead_with_residual(spark: SparkSession, d: str) -> DataFrame:
 _FIRST = "string_split(text, ' ')[1:6]"
 
 
+#: Words of an item that find its documents; the rest is verified.
+OPENING = 13
+
+
 def _needles(spark: SparkSession, d: str) -> DataFrame:
-    """The first 13 words of each benchmark item, as one text."""
+    """Each benchmark item with its opening of at most 13 words as one text, and their number."""
     words = F.split("text", " ")
-    return table(spark, d, "benchmark").where(F.size(words) >= 13).select("item_id", F.array_join(F.slice(words, 1, 13), " ").alias("needle"))
+    items = table(spark, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("item"), words.alias("w"), F.least(F.size(words), F.lit(OPENING)).alias("n"))
+    return items.select("item_id", "item", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("needle"))
 
 
 def _holders(spark: SparkSession, d: str) -> DataFrame:
-    """(item_id, id) of documents that contain an item's first 13 words: by their hash among the document's runs of 13 words."""
-    words = F.split("text", " ")
-    runs = _docs(spark, d).where(F.size(words) >= 13).select("id", "lang", words.alias("w")).select("id", "lang", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 12)).alias("at"))
-    runs = runs.select("id", "lang", F.array_join(F.slice("w", F.col("at"), 13), " ").alias("needle"))
-    return runs.join(_needles(spark, d), "needle").select("item_id", "id", "lang").distinct()
+    """(item_id, id) of documents that contain an item's words, all of them in a row: found by its opening among the
+    document's runs of as many words, and verified in the text.
+
+    The SQL looks at the first 13 words only, and at no item of fewer.
+    """
+    needles = stage(_needles(spark, d))
+    docs = _docs(spark, d).where("text is not null")
+    # at most OPENING rows
+    lengths = F.broadcast(needles.select("n").distinct())
+    runs = docs.select("id", F.split("text", " ").alias("w")).join(lengths, F.size("w") >= F.col("n")).select("id", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("at"))
+    runs = runs.select("id", "n", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("needle"))
+    found = runs.join(needles, ["needle", "n"]).select("item_id", "item", F.col("id").alias("found")).distinct()
+    apart = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    whole = docs.join(found, F.col("id").eqNullSafe(F.col("found"))).where(F.contains(apart("text"), apart("item")))
+    return whole.select("item_id", "id", "lang").distinct()
 
 
 _HOLD = """needles AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:13], ' ') AS needle FROM benchmark WHERE len(string_split(text, ' ')) >= 13),

@@ -36,3 +36,25 @@ def test_resolve_weighted_takes_all_orders(spark, tables):
         want |= {(caller, str(p[0]), 1.0 if sure else 0.5) for p in sure or found} or {(caller, f"?::{name}", 0.5)}
     assert {w for _, _, w in want} == {0.5, 1.0} and any(t.startswith("?") for _, t, _ in want)
     assert sorted(values(QUERIES["resolve_weighted"](spark, d))) == sorted(want)
+
+
+@pytest.fixture
+def texts(tables):
+    whole = " ".join(f"w{i}" for i in range(20))
+    opening = " ".join(f"w{i}" for i in range(13))
+    docs = [(1, f"so {whole} and on", "en"), (2, f"only {opening} and no more", "en"), (3, f"{whole}", "de"), (4, f"a short  item here\n{whole}x", "en"), (5, "a short  item", "en"), (6, "a short  items", "fr"), (7, None, "en"), (None, f"x {whole}", "en")]
+    items = [(10, whole), (11, "a short  item"), (12, opening), (13, None), (14, "w5 w6")]
+    return docs, items, tables(documents=(docs, "doc_id long, text string, lang string"), benchmark=(items, "item_id long, text string"))
+
+
+def test_items_are_held_whole_or_not_at_all(spark, texts):
+    docs, items, d = texts
+    want = {(i, k) for i, item in items for k, text, _ in docs if item and text and f" {item} " in f" {text} "}
+    assert {(10, 1), (11, 4), (11, 5), (12, 2), (14, 3)} <= want and not {(10, 2), (10, 4), (11, 6)} & want
+    assert set(values(QUERIES["tests_edges"](spark, d))) == want
+    best = {}
+    for i, k in want:
+        lang = next(x for n, _, x in docs if n == k)
+        best.setdefault(i, []).append((-(3 + 2 * (lang == "en") + (k is not None and k % 2 == 0)), k is not None, k or 0))
+    got = {i: (k, s) for i, k, s in values(QUERIES["test_discovery"](spark, d))}
+    assert {i: (k if known else None, -s) for i, (s, known, k) in ((i, min(b)) for i, b in best.items())} == got
