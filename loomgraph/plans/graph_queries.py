@@ -80,13 +80,15 @@ def _changed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_IMPACT + " SELECT id, hop, CASE hop WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM hops WHERE hop > 0")
 def change_impact(spark: SparkSession, d: str) -> DataFrame:
-    return graph.change_impact(stage(part_graph(spark, d)), _changed(spark, d), 2)
+    """At the operator's depth of three hops. The SQL ends at two, so it has no MEDIUM."""
+    return graph.change_impact(stage(part_graph(spark, d)), _changed(spark, d))
 
 
 @query(_IMPACT + " SELECT id, hop, quality FROM hops JOIN labels ON doc_id = id WHERE hop > 0")
 def change_impact_tests(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return graph.change_impact(stage(part_graph(spark, d)), _changed(spark, d), 2).join(labels, "id").select("id", "hop", "quality")
+    """Like change_impact; its SQL ends at two hops, too."""
+    return graph.change_impact(stage(part_graph(spark, d)), _changed(spark, d)).join(labels, "id").select("id", "hop", "quality")
 
 
 def _pagerank(edges: str, rounds: int) -> str:

@@ -58,3 +58,18 @@ def test_items_are_held_whole_or_not_at_all(spark, texts):
         best.setdefault(i, []).append((-(3 + 2 * (lang == "en") + (k is not None and k % 2 == 0)), k is not None, k or 0))
     got = {i: (k, s) for i, k, s in values(QUERIES["test_discovery"](spark, d))}
     assert {i: (k if known else None, -s) for i, (s, known, k) in ((i, min(b)) for i, b in best.items())} == got
+
+
+def test_change_impact_goes_three_hops(spark, tables):
+    parts = [(i, "a" if i < 2 else f"n{i}", 5) for i in range(60)]
+    follows = [(i + 2, i) for i in range(0, 58)] + [(9, 0), (30, 9)]  # src, dst: a line of an order each
+    lines = [(o, 1 + n, p, 1, 1.0) for o, pair in enumerate(follows) for n, p in enumerate(pair)]
+    labels = [(i, i % 2) for i in range(0, 60, 3)]
+    d = tables(part=(parts, "p_partkey long, p_name string, p_size int"), lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"), labels=(labels, "doc_id long, quality int"))
+    hops, level = {0: 0, 1: 0}, {0, 1}
+    for hop in (1, 2, 3):
+        level = {s for s, t in follows if t in level} - hops.keys()
+        hops |= dict.fromkeys(level, hop)
+    want = {(i, h, ("CRITICAL", "HIGH", "MEDIUM")[h - 1]) for i, h in hops.items() if h}
+    assert set(values(QUERIES["change_impact"](spark, d))) == want and {h for _, h, _ in want} == {1, 2, 3}
+    assert set(values(QUERIES["change_impact_tests"](spark, d))) == {(i, h, dict(labels)[i]) for i, h, _ in want if i in dict(labels)}
