@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from ..functions.lists import SANITIZERS, TAINT_SINKS, TAINT_SOURCES
 from ..staging import ship
 
-DEEPEST = 20
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -78,7 +77,7 @@ def taint(symbol: dict, match: str = "call", tainted: frozenset[str] = frozenset
             if name not in last and name not in tainted:
                 continue
             chain, todo = [], [name]
-            while todo and len(chain) < DEEPEST:
+            while todo:  # each variable once, so cycles end
                 at = todo.pop(0)
                 if at in chain:
                     continue
