@@ -73,3 +73,14 @@ def test_change_impact_goes_three_hops(spark, tables):
     want = {(i, h, ("CRITICAL", "HIGH", "MEDIUM")[h - 1]) for i, h in hops.items() if h}
     assert set(values(QUERIES["change_impact"](spark, d))) == want and {h for _, h, _ in want} == {1, 2, 3}
     assert set(values(QUERIES["change_impact_tests"](spark, d))) == {(i, h, dict(labels)[i]) for i, h, _ in want if i in dict(labels)}
+
+
+def test_pagerank_dangling_runs_all_iterations(spark, tables):
+    n = 12  # a chain, so mass still moves after ten steps
+    lines = [(o, 1 + k, o + k, 1, 1.0, "R") for o in range(n - 1) for k in (0, 1)] + [(99, 1, 3, 1, 1.0, "N"), (99, 2, 0, 1, 1.0, "N")]
+    d = tables(part=([(i,) for i in range(n + 1)], "p_partkey long"), lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"))
+    rank = dict.fromkeys(range(n + 1), 1 / (n + 1))
+    for _ in range(25):
+        loose = rank[n - 1] + rank[n]
+        rank = {i: (0.15 + 0.85 * loose) / (n + 1) + (0.85 * rank[i - 1] if 0 < i < n else 0) for i in rank}
+    assert dict(values(QUERIES["pagerank_dangling"](spark, d))) == pytest.approx(rank, abs=1e-6)
