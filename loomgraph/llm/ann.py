@@ -9,8 +9,8 @@ cosine of the original vectors in double precision. The best K of all lists are
 
 Lists are dealt to tasks in blocks of about `BLOCK` rows, whatever their length, and a query goes to each block of the
 lists that it probes; so one vector with a third of all copies is many blocks, and a block answers with K rows a query.
-Of the copies of a vector in a block, all but the K + 1 with the smallest ids are set aside before the shortlist: ties go
-to smaller ids, so no others can be in a result.
+Of the copies of a vector in a block, only those with the smallest ids are kept for the shortlist, so many that K are left
+whichever id asks: ties go to smaller ids, so no others can be in a result.
 
 Vectors without clusters need many probes: at 0.75 of the lists, recall is 0.94 or more on every table here.
 
@@ -109,7 +109,7 @@ def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def search_block(index: Index, list_id: int, ids: np.ndarray, codes: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, shortlist: int) -> tuple[list, list, list]:
-    """query ids, ids and exact cosines of the best k rows of a block for each query. ids ascend."""
+    """query ids, places and exact cosines of the best k rows of a block for each query. ids ascend."""
     out: tuple[list, list, list] = ([], [], [])
     near = unit(queries)
     tables = np.einsum("qsd,scd->qsc", near.reshape(len(near), len(index.books), -1), index.books)
@@ -122,19 +122,19 @@ def search_block(index: Index, list_id: int, ids: np.ndarray, codes: np.ndarray,
         exact = cosines(queries[q], rows[best])
         top = np.lexsort((ids[best], -exact))[:k]
         out[0].extend([name] * len(top))
-        out[1].extend(ids[best][top].tolist())
+        out[1].extend(best[top].tolist())
         out[2].extend(exact[top].tolist())
     return out
 
 
-def not_beaten(rows: np.ndarray, k: int) -> np.ndarray:
-    """Indexes of the first k + 1 copies of each row."""
-    seen: dict[bytes, int] = {}
+def not_beaten(rows: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Indexes of the first copies of each row, until k are left without those of any one id; k copies an id at most."""
+    seen: dict[bytes, dict[int, int]] = {}
     keep = []
-    for i, row in enumerate(rows):
-        key = row.tobytes()
-        seen[key] = n = seen.get(key, 0) + 1
-        if n <= k + 1:
+    for i, (row, name) in enumerate(zip(rows, ids.tolist())):
+        kept = seen.setdefault(row.tobytes(), {})
+        if kept.get(name, 0) < k and sum(kept.values()) - max(kept.values(), default=0) < k:
+            kept[name] = kept.get(name, 0) + 1
             keep.append(i)
     return np.array(keep, np.int64)
 
@@ -178,26 +178,32 @@ def search(embeddings: DataFrame, is_query: Column, *, k: int = K, shortlist: in
                 names=["vec_id", "embedding", "list", "codes", "probes"],
             )
 
-    placed = stage(rows.mapInArrow(place, "vec_id long, embedding array<double>, list int, codes binary, probes array<int>"))
+    placed = rows.mapInArrow(place, "vec_id long, embedding array<double>, list int, codes binary, probes array<int>")
+    placed = stage(placed.withColumn("row", F.monotonically_increasing_id()))  # staged, so each row keeps its number
     # at most MOST_LISTS rows
     blocks = stage(placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), rows=MOST_LISTS)
-    candidates = placed.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "embedding", "codes")
-    queries = placed.where(F.size("probes") > 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("probes").alias("list"))
+    candidates = placed.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "row", "embedding", "codes")
+    # a query's repeated rows ask once
+    queries = placed.where(F.size("probes") > 0).dropDuplicates(["vec_id", "embedding"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("probes").alias("list"))
     queries = queries.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "query")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: tuple[list, list, list] = ([], [], [])
+        found: tuple = ([], [], [], [])
         if left.num_rows and right.num_rows:
             known = Index(*sent.value)
             ids = np.asarray(left.column("vec_id").combine_chunks(), np.int64)
             rows, order = _doubles(left.column("embedding")), np.argsort(ids, kind="stable")
-            order = order[not_beaten(rows[order], k)]
+            order = order[not_beaten(rows[order], ids[order], k)]
             codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             names = np.asarray(right.column("query_id").combine_chunks(), np.int64)
             found = search_block(known, left.column("list")[0].as_py(), ids[order], codes[order], rows[order], names, _doubles(right.column("query")), k, shortlist)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+            at = order[np.array(found[1], np.int64)]
+            found = (found[0], ids[at], np.asarray(left.column("row").combine_chunks(), np.int64)[at], found[2])
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "row": pa.array(found[2], pa.int64()), "score": pa.array(found[3], pa.float64())})
 
-    found = candidates.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = candidates.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInArrow(compare, "query_id long, vec_id long, row long, score double")
+    # rows of a query with different vectors answer together: a candidate row counts once, by its best score
+    found = found.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -362,6 +362,15 @@ def test_few_and_repeated_rows(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 1), (0, 2, 1)]
 
 
+def test_repeated_rows_of_a_query_answer_as_one(spark):
+    vectors = [(0, [1.0, 0.0])] * 9 + [(i, [1.0, i / 10]) for i in range(1, 8)] + [(3, [1.0, 0.3])] + [(20 + i, [1.0, 0.0]) for i in range(2)]
+    vectors += [(50, [0.0, 1.0]), (50, [-1.0, 0.0])]  # one id, two vectors
+    got = {}
+    for r in ann.digest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {0: [20, 21, 1, 2, 3], 50: [7, 6, 5, 4, 3]}
+
+
 # SimHash
 
 
