@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, folds: int
     python_workers(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
-    known = stage(known)
+    # the sample is drawn from labels that have a document here: others would use it up
+    known = stage(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
     chosen = stage(hash_sample(known, "doc_id", sample), rows=sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,6 +73,14 @@ def test_labels_of_the_held_out_fold_teach_nothing(spark, odd):
     assert rows(quality.digest(docs, labels)) == rows(quality.digest(docs, turned))
 
 
+def test_labels_without_a_document_take_no_room_in_the_sample(spark):
+    draw = random.Random(13)
+    docs = spark.createDataFrame([(i, junk(draw) if i % 4 == 0 else prose(draw)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(3000)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, sample=40)
+    assert len(model.labels) == 40 and set(model.labels) == {0.0, 1.0}
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1), (6, None)], "doc_id long, quality int")
     got = quality.digest(odd, labels)
