@@ -12,8 +12,10 @@ without a shuffle; texts are read whole.
 
 Defined cases: null and empty texts are one and the same text, without words but with the shape feature of
 shortness, and so vote like the shortest; labels of one doc_id are averaged; null labels and ids teach
-nothing; without any label each score is 0.5; rows that repeat a doc_id are scored one by one; an empty
-table gives no rows.
+nothing; without any label each score is 0.5; rows that repeat a doc_id are scored one by one; labelled rows as near as
+the last neighbour all vote, so copies in the sample don't depend on its order; cosines are single precision, so scores may
+differ in the last of their nine digits with the shape of a block; very long texts are read whole; an empty table gives
+no rows. A column of the documents that is called like the score is replaced by `score` and kept by `keep`.
 """
 
 from __future__ import annotations
@@ -73,29 +75,59 @@ def features(text: bytes) -> Sparse:
     return np.r_[at, to + WORDS].astype(np.int32), np.r_[said, np.sqrt(shape[to])].astype(np.float32)
 
 
-def _dense(rows: list[Sparse]) -> np.ndarray:
-    out = np.zeros((len(rows), WIDTH), np.float32)
-    for k, (at, values) in enumerate(rows):
-        out[k, at] = values
-    return out
-
-
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
+class Sample:
+    """Weighted rows of length 1, never held densely but for a block of ROWS."""
+
+    ROWS = 256
+
+    def __init__(self, rows: list[Sparse]):
+        self.at = np.concatenate([i for i, _ in rows])
+        values = np.concatenate([v for _, v in rows])
+        self.ends = np.cumsum([len(i) for i, _ in rows])
+        n = len(rows)
+        self.weights = np.log((1 + n) / (1 + np.bincount(self.at[values > 0], minlength=WIDTH))).astype(np.float32)
+        self.weights[WORDS:] = 1
+        values *= self.weights[self.at]
+        starts = self.ends - np.diff(self.ends, prepend=0)
+        norms = np.sqrt(np.add.reduceat(values.astype(np.float64) ** 2, starts))
+        self.values = values / np.repeat(np.maximum(norms, 1e-9), self.ends - starts).astype(np.float32)
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        block, n = np.empty((self.ROWS, WIDTH), np.float32), len(self.ends)
+        for first in range(0, n, self.ROWS):
+            to = min(first + self.ROWS, n)
+            a, b = self.ends[first - 1] if first else 0, self.ends[to - 1]
+            block[:] = 0
+            block[np.repeat(np.arange(to - first), np.diff(self.ends[first:to], prepend=a)), self.at[a:b]] = self.values[a:b]
+            yield slice(first, to), block[: to - first]
+
+    def times(self, space: np.ndarray) -> np.ndarray:
+        out = np.empty((len(self.ends), space.shape[1]), np.float32)
+        for rows, x in self.blocks():
+            out[rows] = x @ space
+        return out
+
+    def gram_times(self, space: np.ndarray) -> np.ndarray:
+        """The sample's transpose by the sample by `space`."""
+        out = np.zeros_like(space)
+        for _, x in self.blocks():
+            out += x.T @ (x @ space)
+        return out
+
+
 def fit_rows(rows: list[Sparse], labels: np.ndarray, rank: int = RANK) -> Model:
-    """The decomposition by seeded subspace iteration, which touches the sample a few times."""
-    x = _dense(rows)
-    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32)
-    weights[WORDS:] = 1
-    x = _unit(x * weights)
-    space = np.random.default_rng(7).standard_normal((WIDTH, min(rank + 8, len(x)))).astype(np.float32)
+    """The decomposition by seeded subspace iteration, which goes over the sample a few times, block by block."""
+    sample = Sample(rows)
+    space = np.random.default_rng(7).standard_normal((WIDTH, min(rank + 8, len(rows)))).astype(np.float32)
     for _ in range(4):
-        space, _ = np.linalg.qr(x.T @ (x @ space))
-    _, _, turn = np.linalg.svd(x @ space, full_matrices=False)
+        space, _ = np.linalg.qr(sample.gram_times(space))
+    _, _, turn = np.linalg.svd(sample.times(space), full_matrices=False)
     basis = (space @ turn.T)[:, :rank].astype(np.float32)
-    return Model(weights, basis, _unit(x @ basis).astype(np.float32), labels.astype(np.float64))
+    return Model(sample.weights, basis, _unit(sample.times(basis)).astype(np.float32), labels.astype(np.float64))
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -121,10 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, folds: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, f"doc_id {kind}, label double, at binary, value binary")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "at", "value").limit(sample).collect()  # at most `sample` rows, of which none is longer than WIDTH
-    if not rows:
+    # at most `sample` rows, of which none is longer than WIDTH
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "at", "value").limit(sample).select("label", "at", "value").toArrow()
+    if not rows.num_rows:
         return None
-    return fit_rows([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in rows], np.array([r["label"] for r in rows]))
+    arrays = ([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)] for name, kind in (("at", np.int32), ("value", np.float32)))
+    return fit_rows(list(zip(*arrays)), rows.column("label").to_numpy())
 
 
 def votes(model: Model, rows: list[Sparse], neighbours: int = NEIGHBOURS, power: int = POWER) -> np.ndarray:
@@ -138,8 +172,13 @@ def votes(model: Model, rows: list[Sparse], neighbours: int = NEIGHBOURS, power:
         cosines = _unit(x) @ model.vectors.T
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosines, near, 1).astype(np.float64), 0) ** power
-        total = weight.sum(axis=1)
-        out[at : at + BLOCK] = np.where(total > 0, (weight * model.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), prior)
+        total, said = weight.sum(axis=1), (weight * model.labels[near]).sum(axis=1)
+        least = np.take_along_axis(cosines, near, 1).min(axis=1, keepdims=True)
+        for i in np.flatnonzero((cosines >= least).sum(axis=1) > k):  # ties at the last place
+            every = np.flatnonzero(cosines[i] >= least[i])
+            weight = np.maximum(cosines[i, every].astype(np.float64), 0) ** power
+            total[i], said[i] = weight.sum(), (weight * model.labels[every]).sum()
+        out[at : at + BLOCK] = np.where(total > 0, said / np.where(total > 0, total, 1), prior)
     return np.clip(np.round(out, 9), 0, 1)
 
 
