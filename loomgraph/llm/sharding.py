@@ -2,23 +2,28 @@
 
 DataFrame functions only on the data; the driver handles file names and sizes, never rows. A store is a
 folder with `data/` (Parquet files, written once and never changed) and `manifests/` (one JSON file a
-version: every live shard's path, bytes, rows, tier and the version that made it).
+version: every live shard's path, bytes, rows, tier and the version that made it, and the store's schema).
 
 * `append` writes each arrival's rows where they are (no shuffle): one small shard per task and arrival.
 * `compact` looks at sizes only. Shards fall into tiers, a factor `fanout` apart; a tier with at least
   `fanout` shards below the target size is merged, map-only, into files of about the target size. It
   repeats until no tier is due.
 * `commit` writes the new manifest under a temporary name and renames it to the next version's name, which
-  fails if another writer has taken that version. Readers that hold an older manifest keep a whole
-  snapshot, for old shards stay until `vacuum`. A job that dies before its commit leaves files that no
-  manifest lists.
+  fails if another writer has taken that version, and then reads it back, for not every file system renames
+  atomically. Readers that hold an older manifest keep a whole snapshot, for old shards stay until `vacuum`. A job
+  that dies before its commit leaves files that no manifest lists.
 
 Hot keys don't matter, as nothing is dealt by key; a lost executor's tasks are run again by Spark and only
-committed files are listed. Every merge checks that it wrote as many rows as it read.
+committed files are listed. Each append checks that every row it can count is in a listed shard, and each merge that
+it wrote as many rows as it read. The driver holds a manifest's entry a shard, as Spark's planner does for
+any scan: some 1.6 million at 100 TB and the default target, which is why `target` is a parameter. Folders whose
+shards are all live are read by the folder's name.
 
 Defined cases: an empty arrival adds no shard and an empty store reads as no rows; nulls, repeated rows and
-further columns are stored as they are; columns of the store that clash with the input's (`shard`,
-`shard_tier`, `shard_version`) are the store's.
+very long texts are stored as they are. An arrival may have any value, null too. A later append may lack
+columns (null when read) or add some (null in older rows); one whose column has another type, or that has a column
+twice, is refused before anything is written. The store's own columns (`shard`, `shard_tier`, `shard_version`) get
+underscores at the end where the rows have columns of these names.
 """
 
 from __future__ import annotations
@@ -26,9 +31,12 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from .common import free_name, shared_dir
 
@@ -39,6 +47,35 @@ class Conflict(Exception):
     """Another writer committed this version first."""
 
 
+class SchemaMismatch(ValueError):
+    """Rows that the store's schema can't take."""
+
+
+def _nullable(kind: DataType) -> DataType:
+    """The type with nulls allowed everywhere, as Parquet files of any origin are read."""
+
+    def loosen(value: object) -> object:
+        if isinstance(value, dict):
+            return {k: True if k in ("nullable", "containsNull", "valueContainsNull") else {} if k == "metadata" else loosen(v) for k, v in value.items()}
+        return [loosen(v) for v in value] if isinstance(value, list) else value
+
+    return StructField.fromJson(loosen(StructField("x", kind).jsonValue())).dataType
+
+
+def merged_schema(old: StructType | None, new: StructType) -> StructType:
+    """The old columns in their order, then the new ones; names are equal whatever their case."""
+    fields = {f.name.lower(): f for f in old or []}
+    names = [f.name.lower() for f in new]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise SchemaMismatch(f"columns that occur twice: {', '.join(twice)}")
+    for f in new:
+        kind = _nullable(f.dataType)
+        known = fields.setdefault(f.name.lower(), StructField(f.name, kind))
+        if known.dataType != kind:
+            raise SchemaMismatch(f"column {f.name} is {f.dataType.simpleString()} and was {known.dataType.simpleString()}")
+    return StructType(list(fields.values()))
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, *, target: int = TARGET, smallest: int = SMALLEST, fanout: int = FANOUT):
         self.spark, self.root, self.target, self.smallest, self.fanout = spark, root.rstrip("/"), target, smallest, fanout
@@ -69,10 +106,11 @@ class ShardStore:
         finally:
             stream.close()
 
-    def commit(self, base: dict, shards: list[dict], schema: str) -> dict:
+    def commit(self, base: dict, shards: list[dict], schema: str | None) -> dict:
         """Publish shards as the version after base's, or raise Conflict."""
-        new = {"version": base["version"] + 1, "schema": schema, "shards": sorted(shards, key=lambda s: s["path"])}
-        temporary = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
+        token = uuid.uuid4().hex
+        new = {"version": base["version"] + 1, "token": token, "schema": schema, "shards": sorted(shards, key=lambda s: s["path"])}
+        temporary = self._path(f"{self.root}/manifests/.{token}")
         stream = self._fs.create(temporary, False)
         stream.write(bytearray(json.dumps(new).encode()))
         stream.close()
@@ -82,9 +120,13 @@ class ShardStore:
         none[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
         try:
             files.rename(self._fs.makeQualified(temporary), self._fs.makeQualified(final), none)
-        except Exception as taken:
+        except Py4JJavaError as error:
             self._fs.delete(temporary, False)
-            raise Conflict(f"version {new['version']} of {self.root}: {taken}") from taken
+            if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            raise Conflict(f"version {new['version']} of {self.root}") from error
+        if self.manifest(new["version"])["token"] != token:
+            raise Conflict(f"version {new['version']} of {self.root}")
         return new
 
     # Shards
@@ -104,20 +146,20 @@ class ShardStore:
         if not out:
             return out
         # a count by file; readers take it from footers and page headers, not from the texts
-        rows = {r[0]: r[1] for r in self._raw([s["path"] for s in out]).groupBy(F.col("_metadata.file_path")).count().collect()}
-        tails = {k[k.rindex(f"/data/{folder}/") + 1 :]: v for k, v in rows.items()}
+        found = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/data/{folder}").groupBy(F.col("_metadata.file_path").alias("file")).count().collect()
+        counts = {(path := unquote(r["file"]))[path.rindex(f"/data/{folder}/") + 1 :]: r["count"] for r in found}
         for s in out:
-            s["rows"] = tails.get(s["path"], 0)
-        return [s for s in out if s["rows"]]
-
-    def _raw(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/{p}" for p in paths])
+            s["rows"] = counts.pop(s["path"], 0)
+        if counts:
+            raise RuntimeError(f"rows in files that aren't listed: {sorted(counts)[:3]}")
+        out = [s for s in out if s["rows"]]
+        return [s | {"of": len(out)} for s in out]
 
     def append(self, df: DataFrame, arrival: Column | None = None) -> dict:
         """Add rows as small shards, one per task and arrival; the committed manifest."""
         base = self.manifest()
         folder = f"a{base['version'] + 1:09d}-{uuid.uuid4().hex[:8]}"
-        schema = base["schema"] or df.schema.json()
+        schema = merged_schema(self._schema(base), df.schema).json()
         name = free_name(df, "_arrival")
         df.withColumn(name, F.lit(0) if arrival is None else arrival).write.partitionBy(name).option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
         return self.commit(base, base["shards"] + self._listed(folder, base["version"] + 1), schema)
@@ -137,11 +179,12 @@ class ShardStore:
             merged, gone = [], set()
             for k, run in enumerate(runs):
                 files = max(1, round(sum(s["bytes"] for s in run) / self.target))
+                read = sum(s["rows"] for s in run)
                 folder = f"c{base['version'] + 1:09d}-{k}-{uuid.uuid4().hex[:8]}"
-                rows = self._rows([s["path"] for s in run], base["schema"])
-                rows.coalesce(files).write.option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
+                # tasks may be fewer than files, as Spark reads small files together: then a task writes several
+                self._rows(run, base).coalesce(files).write.option("compression", "zstd").option("maxRecordsPerFile", -(-read // files)).parquet(f"{self.root}/data/{folder}")
                 new = self._listed(folder, base["version"] + 1)
-                if (wrote := sum(s["rows"] for s in new)) != (read := sum(s["rows"] for s in run)):
+                if (wrote := sum(s["rows"] for s in new)) != read:
                     raise RuntimeError(f"a merge read {read} rows and wrote {wrote}")
                 if len(new) >= len(run):
                     continue
@@ -152,29 +195,32 @@ class ShardStore:
             base = self.commit(base, [s for s in base["shards"] if s["path"] not in gone] + merged, base["schema"])
         return base
 
-    def _rows(self, paths: list[str], schema: str) -> DataFrame:
-        """Rows of some shards, without what the path holds."""
-        from pyspark.sql.types import StructType
+    def _schema(self, manifest: dict) -> StructType | None:
+        return StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else None
 
-        kind = StructType.fromJson(json.loads(schema))
-        return self.spark.read.schema(kind).parquet(*[f"{self.root}/{p}" for p in paths])
+    def _rows(self, shards: list[dict], manifest: dict) -> DataFrame:
+        """Rows of some shards in the store's columns, without what the path holds."""
+        folders: dict[str, list[dict]] = {}
+        for s in shards:
+            folders.setdefault("/".join(s["path"].split("/")[:2]), []).append(s)
+        paths = [p for folder, own in folders.items() for p in ([folder] if len(own) == own[0]["of"] else [s["path"] for s in own])]
+        return self.spark.read.schema(self._schema(manifest)).option("recursiveFileLookup", True).parquet(*[f"{self.root}/{p}" for p in paths])
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, each with its shard, that shard's tier and the version that made it."""
         manifest = self.manifest(version)
+        kind = self._schema(manifest) or StructType()
         if not manifest["shards"]:
-            from pyspark.sql.types import StructType
-
-            kind = StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else StructType()
-            return self.spark.createDataFrame([], kind).withColumns({"shard": F.lit(None).cast("string"), "shard_tier": F.lit(0), "shard_version": F.lit(0)})
-        rows = self._rows([s["path"] for s in manifest["shards"]], manifest["schema"])
-        shard = F.regexp_extract(F.col("_metadata.file_path"), r"/(data/.*)$", 1)
-        size = F.col("_metadata.file_size")
+            rows = self.spark.createDataFrame([], kind)
+            return rows.withColumns({free_name(rows, "shard"): F.lit(None).cast("string"), free_name(rows, "shard_tier"): F.lit(0), free_name(rows, "shard_version"): F.lit(0)})
+        rows = self._rows(manifest["shards"], manifest)
+        path, size = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), F.col("_metadata.file_size")
         steps = F.lit(0)
         for t in range(self.tier(1 << 50) + 1):
             steps = F.when(size >= self.smallest * self.fanout**t, t + 1).otherwise(steps)
-        made = F.regexp_extract(F.col("_metadata.file_path"), r"/data/[ac](\d+)-", 1).cast("int")
-        return rows.withColumns({"shard": shard, "shard_tier": steps, "shard_version": made})
+        made = F.regexp_extract(path, r"^.*/data/[ac](\d+)-", 1).cast("int")
+        own = {"shard": F.regexp_extract(path, r"^.*/(data/[ac]\d+-.*)$", 1), "shard_tier": steps, "shard_version": made}
+        return rows.withColumns({free_name(rows, name): value for name, value in own.items()})
 
     def vacuum(self) -> int:
         """Delete files that the last manifest doesn't list; how many. Readers of older versions lose their snapshots."""

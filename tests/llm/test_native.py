@@ -118,6 +118,89 @@ def test_files_without_a_commit_are_never_read(spark, tmp_path):
     assert store.read().count() == 10 and store.vacuum() > 0
 
 
+@pytest.mark.parametrize("values", [["1 10:00", "1 q", "1%", "%3A", "a+b", "x/y", "Ünï {a} [b]*?"], [None, "", "n"], [1.5, float("inf")]])
+def test_arrivals_of_any_value_are_read_back(spark, tmp_path, values):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target=60_000, smallest=100, fanout=3)
+    docs = spark.createDataFrame([(i, values[i % len(values)], f"text {i}") for i in range(70)], f"doc_id long, at {'double' if isinstance(values[0], float) else 'string'}, text string")
+    store.append(docs.coalesce(1), F.col("at"))
+    assert sum(s["rows"] for s in store.manifest()["shards"]) == 70
+    got = store.read()
+    assert rows(got.select("doc_id", "text")) == rows(docs.select("doc_id", "text"))
+    assert {r["shard"] for r in got.select("shard").collect()} == {s["path"] for s in store.manifest()["shards"]}
+    store.compact()
+    assert rows(store.read().select("doc_id", "text")) == rows(docs.select("doc_id", "text"))
+
+
+def test_columns_may_come_and_go_but_not_change_their_type(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), fanout=3)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(2, "b", [7])], "doc_id long, Text string, more array<int>"))
+    store.append(spark.createDataFrame([(3,)], "doc_id long"))
+    want = [(1, "a", None), (2, "b", [7]), (3, None, None)]
+    for refused in ("doc_id string", "doc_id long, more array<string>"):
+        with pytest.raises(sharding.SchemaMismatch):
+            store.append(spark.createDataFrame([], refused))
+    assert rows(store.read().select("doc_id", "text", "more")) == rows(spark.createDataFrame(want, "doc_id long, text string, more array<int>"))
+    assert store.compact()["version"] == 4 and store.vacuum() > 0
+    assert rows(store.read().select("doc_id", "text", "more")) == rows(spark.createDataFrame(want, "doc_id long, text string, more array<int>"))
+    assert store.versions() == [1, 2, 3, 4]
+
+
+def test_columns_called_like_the_stores_own_are_kept(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"))
+    store.append(spark.createDataFrame([(1, "mine", 9)], "doc_id long, shard string, shard_tier int"))
+    row = store.read().first()
+    assert (row["shard"], row["shard_tier"], row["shard_tier_"], row["shard_version"]) == ("mine", 9, 0, 1) and row["shard_"].startswith("data/a")
+
+
+def test_a_name_that_is_taken_by_a_folder_raises(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"))
+    base = store.manifest()
+    (tmp_path / "s" / "manifests").mkdir(parents=True)
+    (tmp_path / "s" / "manifests" / "v000000001.json").mkdir()  # no file, so it can't be replaced
+    with pytest.raises(Exception):
+        store.commit(base, [], None)
+
+
+def test_only_a_taken_version_is_a_conflict(spark, tmp_path):
+    (tmp_path / "s").write_text("a file where the store's folder should be")
+    with pytest.raises(Exception) as raised:
+        store = sharding.ShardStore(spark, str(tmp_path / "s"))
+        store.commit({"version": 0}, [], None)
+    assert not isinstance(raised.value, sharding.Conflict)
+
+
+def test_each_rows_shard_tier_and_version_by_the_files(spark, tmp_path):
+    """The files that a store has left, read one by one without Spark, against what the digest says of each row."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, "".join(random.Random(i).choices("abcdefgh ", k=200 + 40 * (i % 9)))) for i in range(800)] + [(None, None), (5, "")], "doc_id long, text string").repartition(5)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target=80_000, smallest=4_000, fanout=3)
+    for part in range(4):
+        store.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) == part), F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    store.compact()
+    manifest = store.manifest()
+    want = []
+    for s in manifest["shards"]:
+        full = tmp_path / "s" / s["path"]
+        size, tier = os.path.getsize(full), 0
+        while size >= 4_000 * 3**tier:
+            tier += 1
+        assert (s["bytes"], s["tier"]) == (size, tier) and size <= 1.5 * 80_000
+        table = pq.ParquetFile(full).read(["doc_id", "text"]).to_pylist()
+        assert len(table) == s["rows"]
+        want += [(r["doc_id"], r["text"], s["path"], tier, int(s["path"].split("/")[1][1:10])) for r in table]
+    assert rows(store.read().select("doc_id", "text", "shard", "shard_tier", "shard_version")) == sorted(want, key=str)
+    assert sorted((r[:2] for r in want), key=str) == rows(docs.select("doc_id", "text"))
+    by_tier = {}
+    for s in manifest["shards"]:
+        if 2 * s["bytes"] <= 80_000:
+            by_tier.setdefault(s["tier"], []).append(s)
+    assert all(len(run) < 3 for run in by_tier.values())
+
+
 # Urls
 
 PAGES = "page_id long, url string, html string"
