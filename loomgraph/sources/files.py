@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lists import LANGUAGES, SKIPPED_FOLDERS, TEST_FOLDERS
+from ..parse import added_languages, know_languages
 from ..staging import ship
 
 FILES_PER_TASK = 64
@@ -106,20 +107,25 @@ def _lexed() -> frozenset[str]:
 
 
 def read(spark: SparkSession, root: str, paths: DataFrame | None = None) -> DataFrame:
-    """A row per source file under root with everything parsed; `paths` (path, mtime) in place of a listing."""
+    """A row per source file under root with everything parsed; `paths` (path, mtime) in place of a listing.
+
+    A file that has gone since the listing is left out; one that can't be read fails the job.
+    """
     ship(spark)
+    added = added_languages()
     if paths is None:
         found = listing(root)
         paths = spark.createDataFrame(found, "path string, mtime timestamp").repartition(max(1, -(-len(found) // FILES_PER_TASK)), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        know_languages(added)
         for batch in batches:
             rows = []
             for path, mtime in zip(batch.column("path").to_pylist(), batch.column("mtime").to_pylist()):
                 try:
                     with open(os.path.join(root, path), "rb") as f:
                         rows.append(parsed_row(path, f.read(), mtime))
-                except OSError:  # gone since the listing
+                except FileNotFoundError:  # gone since the listing
                     continue
             yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
 

@@ -173,6 +173,54 @@ def test_history(engine, spark, repo):
     assert gitlog.changed_paths(root, "working") == ["calc.py"] and gitlog.changed_paths(root, "--output=x") == []
 
 
+def test_git_errors_are_raised_not_empty_answers(spark, repo):
+    root = repo({"calc.py": "a = 1\n"})
+    git(root, "init", "-q")
+    assert values(gitlog.commits(spark, root)) == [] == values(gitlog.blame(spark, root, "calc.py"))  # no commit yet
+    git(root, "add", "-A")
+    git(root, "commit", "-qm", "c")
+    assert values(gitlog.blame(spark, root, "unknown.py")) == []
+    with pytest.raises(gitlog.GitError, match="nosuch"):
+        gitlog.changed_paths(root, "nosuch")
+    for name in os.listdir(os.path.join(root, ".git", "objects")):  # a broken repository
+        if len(name) == 2:
+            for file in os.listdir(os.path.join(root, ".git", "objects", name)):
+                os.remove(os.path.join(root, ".git", "objects", name, file))
+    with pytest.raises(gitlog.GitError):
+        gitlog.commits(spark, root)
+
+
+def test_an_added_language_is_read_by_the_workers_and_a_failing_one_contained(spark, repo):
+    from loomgraph.parse import Parsed, Symbol, register_language, unregister_language
+
+    def lines(source):
+        return Parsed([Symbol(line.split()[1], "function", None, n, n, source=line) for n, line in enumerate(source.splitlines(), 1) if line.startswith("let ")])
+
+    def fail(source):
+        return {}[source]  # KeyError
+
+    register_language("letl", "letl", lines)
+    register_language("badl", "badl", fail)
+    try:
+        e = Engine(spark, repo({"a.letl": "let x\nno\nlet y\n", "b.badl": "?", "c.py": "def f(): pass\n"}))
+        assert sorted(values(e.symbols, "path", "name", "line")) == [("a.letl", "x", 1), ("a.letl", "y", 3), ("c.py", "f", 1)]
+        assert sorted(values(e.files, "path", "has_errors")) == [("a.letl", False), ("b.badl", True), ("c.py", False)]
+    finally:
+        unregister_language("letl")
+        unregister_language("badl")
+    assert values(Engine(spark, e.root).files, "path") == [("c.py",)]
+
+
+def test_a_file_that_cannot_be_read_fails_the_job_and_one_that_has_gone_does_not(spark, repo):
+    root = repo({"a.py": "def f(): pass\n"})
+    os.mkdir(os.path.join(root, "b.py"))  # reading it is an OSError, even for root
+    when = source_files.listing(root)[0][1]
+    paths = lambda *names: spark.createDataFrame([(n, when) for n in names], "path string, mtime timestamp")
+    assert values(source_files.read(spark, root, paths("a.py", "gone.py")), "path") == [("a.py",)]
+    with pytest.raises(Exception, match="b.py"):
+        source_files.read(spark, root, paths("a.py", "b.py")).collect()
+
+
 def test_history_without_a_repository(spark, tmp_path):
     assert values(gitlog.commits(spark, str(tmp_path / "gone"))) == []
 
