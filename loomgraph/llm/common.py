@@ -53,14 +53,15 @@ def hash_sample(df: DataFrame, key: str, size: int) -> DataFrame:
     return df.where(place < share).orderBy(place, *df.columns).limit(size)
 
 
-def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, copies: str, *, hot: int = 1000) -> DataFrame:
+def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, copies: str, *, hot: int = 1000, short: bool = True) -> DataFrame:
     """Inner join of a staged `left` with `right`, which has one row per `key` and its number of
     left rows in `copies`. Keys with over 1/hot of all left rows are at most `hot` and so are
-    broadcast; the others are small and meet in a shuffle. Rows are short, so the result is in partitions of some
-    ROWS_PER_FILE rows at least.
+    broadcast; the others are small and meet in a shuffle. `short` rows (some numbers, no texts or lists) leave in
+    partitions of some ROWS_PER_FILE rows at least; others stay in the tasks that Spark chose by their bytes.
     """
     total = left.count()
     limit = max(1, total // hot)
     heavy = F.broadcast(right.where(F.col(copies) > limit))
     light = right.where(F.col(copies) <= limit)
-    return left.join(heavy, key).unionByName(left.join(light, key)).coalesce(max(1, -(-total // ROWS_PER_FILE)))
+    joined = left.join(heavy, key).unionByName(left.join(light, key))
+    return joined.coalesce(max(1, -(-total // ROWS_PER_FILE))) if short else joined

@@ -40,9 +40,10 @@ from .common import join_on_hot_key, python_workers, shared_dir, stage
 
 END = 1
 WINDOW, MIN, MAX, BITS = 16, 64, 2048, 9
-#: Pieces of a generation whose ids a worker remembers.
-REMEMBERED = 250_000
-DOCS_AT_ONCE = 1024
+#: Pieces that are encoded as one text, and pieces that a worker remembers.
+TOGETHER, REMEMBERED = 1024, 500_000
+#: Bytes and documents that are looked at together, and documents that are sent together.
+GROUP, DOCS_AT_ONCE, SENT = 12 << 20, 8192, 1024
 #: Characters from U+0240 on; before, nothing combines. And white space that isn't ASCII, and the one letter with two in lower case.
 BEYOND_LATIN = r"[^\x00-\x{84}\x{86}-\x{9F}\x{A1}-\x{12F}\x{131}-\x{23F}]"
 GEAR = np.random.default_rng(20).integers(0, 1 << 64, 1 << 16, np.uint64)
@@ -57,10 +58,11 @@ def tokenizer_path() -> str:
 
 class Encoder:
     """Ids of texts. Arrow tells a batch's words apart, and cuts each distinct one into the pieces that the tokenizer
-    encodes by themselves; the ids of pieces met lately are remembered, and before them an older generation.
+    encodes by themselves.
 
-    New pieces are encoded together: each ends with a token that closes a word, which tells them apart again. Texts
-    with characters beyond Latin or parts of special tokens are encoded whole, as are all by a tokenizer of another kind.
+    New pieces are encoded together: each ends with a token that closes a word, which tells them apart again; those met
+    more than once lately are remembered. Texts with characters beyond Latin or parts of special tokens
+    are encoded whole, as are all by a tokenizer of another kind.
     """
 
     def __init__(self, path: str, kind: str):
@@ -68,8 +70,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer, self._kind = Tokenizer.from_file(path), kind
-        self._pieces: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._forget()
         made = json.loads(self._tokenizer.to_str())
         steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
         splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
@@ -83,24 +84,49 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self._kind) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self._pieces) > REMEMBERED:
-            self._older, self._pieces = self._pieces, {}
-        known, older = self._pieces, self._older
-        known[""] = b""
-        if new := [p for p in pieces if p not in known]:
-            known.update((p, older[p]) for p in new if p in older)
-            new = [p for p in new if p not in known]
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            ids = self._ids([" ".join(part)])[0]
+    def _ids_of_new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, one after the other, and how many each has (none, if it is empty)."""
+        starts = np.r_[0 : len(pieces) : TOGETHER, len(pieces)]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pieces), " ")
+        flat, lengths = [np.empty(0, self._kind)], [np.empty(0, np.int64)]
+        for a, b, ids in zip(starts, starts[1:], self._ids(joined.to_pylist())):
+            said = np.asarray(pc.binary_length(pieces[a:b])) > 0
             ends = np.flatnonzero(self._closes[ids]) + 1
-            if len(ends) == len(part):
-                flat, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
-                known.update(zip(part, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+            size = np.zeros(b - a, np.int64)
+            if len(ends) == said.sum() and (not len(ids) or len(ends) and ends[-1] == len(ids)):
+                size[said] = np.diff(ends, prepend=0)
             else:
-                known.update(zip(part, (i.tobytes() for i in self._ids(part))))
-        return list(map(known.__getitem__, pieces))
+                each = self._ids(pieces[a:b].to_pylist())
+                ids, size = np.concatenate(each), np.fromiter(map(len, each), np.int64, b - a)
+            flat.append(ids)
+            lengths.append(size)
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def _ids_of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with those that have been met lately taken from what is remembered."""
+        at = pc.index_in(pieces, self._known)
+        fresh = np.flatnonzero(np.asarray(at.is_null()))
+        new = pieces.take(pa.array(fresh))
+        ids, sizes = self._ids_of_new(new)
+        place = np.array(at.fill_null(0))
+        place[fresh] = len(self._known) + np.arange(len(fresh))
+        self._known = pa.concat_arrays([self._known, new])
+        self._flat, self._sizes = np.r_[self._flat, ids], np.r_[self._sizes, sizes]
+        self._used = np.r_[self._used, np.zeros(len(fresh), np.int64)]
+        self._used[place] += 1
+        size, shift = self._sizes[place], (np.cumsum(self._sizes) - self._sizes)[place]
+        out = self._flat[np.repeat(shift - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        if len(self._known) > REMEMBERED:  # what came once since the last time goes
+            keep = self._used > 1
+            self._flat, self._known = self._flat[np.repeat(keep, self._sizes)], self._known.filter(pa.array(keep))
+            self._sizes, self._used = self._sizes[keep], np.zeros(int(keep.sum()), np.int64)
+            if len(self._known) > REMEMBERED // 2:
+                self._forget()
+        return out, size
+
+    def _forget(self) -> None:
+        self._known, self._flat = pa.array([], pa.string()), np.empty(0, self._kind)
+        self._sizes, self._used = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _spaced(self, words: pa.Array) -> pa.Array:
         """Words with spaces between their pieces: letters alone are one, and most others are letters and a full stop or comma."""
@@ -114,15 +140,16 @@ class Encoder:
         """All ids of plain texts, without ends, and how many each has."""
         said, words = _told_apart(pc.ascii_lower(texts))
         cut, pieces = _told_apart(self._spaced(pc.utf8_lower(words)))
-        ids = self._ids_of_pieces(pieces.to_numpy(zero_copy_only=False).tolist())
-        flat = np.frombuffer(b"".join(ids), self._kind)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
-        return _put_together(*said, *_put_together(*cut, flat, lengths))
+        return _put_together(*said, *_put_together(*cut, *self._ids_of_pieces(pieces)))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by the end, and how many each has."""
         texts = texts.fill_null("")
-        other = np.asarray(pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, BEYOND_LATIN))) if self._cut else np.ones(len(texts), bool)
+        other = np.ones(len(texts), bool)
+        if self._cut:
+            other = np.array(pc.match_substring(texts, "<|"))
+            wide = np.flatnonzero(~np.asarray(pc.string_is_ascii(texts)))
+            other[wide] |= np.asarray(pc.match_substring_regex(texts.take(pa.array(wide)), BEYOND_LATIN))
         flat, lengths = self._plain(texts.filter(pa.array(~other))) if not other.all() else (np.empty(0, self._kind), np.empty(0, np.int64))
         ends = np.cumsum(lengths)
         if other.any():
@@ -195,6 +222,19 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about GROUP bytes: the more documents at once, the fewer of their distinct words are new."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded(docs: DataFrame, path: Callable[[], str], kind: str) -> DataFrame:
     """Per document: doc_id, n, digests and sizes of its chunks, and `fresh`, the chunks that its task hadn't seen."""
     id_kind = docs.schema["doc_id"].dataType.simpleString()
@@ -202,7 +242,7 @@ def encoded(docs: DataFrame, path: Callable[[], str], kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = encoder(path(), kind), set()
         width = np.dtype(kind).itemsize
-        for batch in batches:
+        for batch in _together(batches):
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(at, DOCS_AT_ONCE)
                 ids, lengths = encode.texts(part.column("text"))
@@ -226,9 +266,10 @@ def encoded(docs: DataFrame, path: Callable[[], str], kind: str) -> DataFrame:
                     split.append(flat_sizes[at_size : at_size + len(d) // 32].tobytes())
                     at_size += len(d) // 32
                 fresh = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(chunks, pa.binary())], ["digest", "ids"]))
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(lengths), pa.array(digests, pa.binary()), pa.array(split, pa.binary()), fresh], names=["doc_id", "n", "digests", "sizes", "fresh"]
                 )
+                yield from (out.slice(i, SENT) for i in range(0, out.num_rows, SENT))
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_kind}, n long, digests binary, sizes binary, fresh array<struct<digest: binary, ids: binary>>")
 
@@ -403,7 +444,7 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     chunks = spark.read.parquet(f"{root}/chunks")
     refs = stage(references(spark, root))
     counted = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    pieces = join_on_hot_key(refs, stage(chunks.join(counted, "digest")), "digest", "copies")
+    pieces = join_on_hot_key(refs, stage(chunks.join(counted, "digest")), "digest", "copies", short=False)
     joined = pieces.groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("step", "ids"))).alias("pieces"))
     ids = F.aggregate("pieces", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
     recipes = spark.read.parquet(f"{root}/recipes").where(~F.col("total")).select("part", "place", "doc_id")
