@@ -39,6 +39,8 @@ TILE, MOST_TILES, SLICE, STRIDE = 65_536, 2048, 256, 4096
 VOTES = 1 << 17
 #: A component is verified in blocks of about MEMBERS sets, in at most MOST_BLOCKS unless one would be over BLOCK_BYTES.
 MEMBERS, MOST_BLOCKS, BLOCK_BYTES = 128, 64, 8 << 20
+#: Edges that a task turns into stars.
+FOREST_ROWS = 200_000
 #: Odd multipliers that turn a hash into the further words of a fingerprint longer than 64 bits.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -254,7 +256,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, *, width
     blocks = F.greatest(F.least(F.ceil(n / F.lit(MEMBERS)), F.lit(MOST_BLOCKS)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
     dealt = stage(sets.groupBy("root").agg(n.alias("members"), blocks.alias("blocks")))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    packed = stage(join_on_hot_key(sets, dealt, "root", "members").groupBy("root", block, "blocks").agg(F.collect_list(F.struct("node", "set")).alias("a")))
+    packed = stage(join_on_hot_key(sets, dealt, "root", "members", short=False).groupBy("root", block, "blocks").agg(F.collect_list(F.struct("node", "set")).alias("a")))
     pairs = dealt.where("blocks > 1").select("root", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"))
     pairs = pairs.select("root", "s", F.explode(F.sequence("s", F.col("blocks") - 1)).alias("t"))
     several = pairs.join(packed.select("root", F.col("block").alias("s"), "a"), ["root", "s"]).join(packed.select("root", F.col("block").alias("t"), F.col("a").alias("b")), ["root", "t"])
@@ -275,12 +277,42 @@ def verified_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, *, width
     return alone.unionByName(several).mapInArrow(compare, "u binary, v binary")
 
 
+def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (u, v) of a task as stars: the least node of each component with each other node of it."""
+    parent: dict = {}
+    kind = pa.binary()
+
+    def find(x: object) -> object:
+        root = x
+        while (up := parent.get(root)) is not None:
+            root = up
+        while x != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        kind = batch.column("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            low, high = sorted((find(u), find(v)))
+            if low != high:
+                parent[high] = low
+    nodes = list(parent)
+    for at in range(0, len(nodes), 4096):
+        part = nodes[at : at + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in part], kind), pa.array(part, kind)], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component, for nodes that have an edge. `edges` is staged (u, v).
 
-    Each round a node takes the least label of itself and its neighbours, then its label's label. Nodes with many
-    neighbours, and labels with many nodes, are joined by broadcast: there are few of them, by their share of rows.
+    First each task turns some FOREST_ROWS edges into stars, so that few edges and short ways are left. Then, each round, a
+    node takes the least label of itself and its neighbours, then its label's label. Nodes with many neighbours, and
+    labels with many nodes, are joined by broadcast: there are few of them, by their share of rows.
     """
+    python_workers(edges.sparkSession)
+    found = edges.count()
+    # dealt round robin, so that no node's edges gather in a task
+    edges = stage(edges.repartition(max(1, -(-found // FOREST_ROWS))).mapInArrow(local_forest, edges.schema), rows=found)
     rows = 2 * edges.count()
     both = stage(edges.union(edges.select("v", "u")).toDF("u", "v").where("u <> v").distinct(), rows=rows)
     labels = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c"), F.count(F.lit(1)).alias("links")), rows=rows)
