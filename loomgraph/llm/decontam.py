@@ -11,8 +11,8 @@ windows there are.
 
 Defined cases: null and wordless texts have no words and are not contaminated; items without words or
 without id take no part; rows that repeat an item_id add to one item; repeated rows of documents each
-get a row, and rows that share a doc_id but not the text are told apart; empty tables give no items and
-no rows.
+get a row, and rows that share a doc_id but not the text are told apart; very long texts are read whole; further
+columns, whatever they are called, take no part and `clean` keeps them; empty tables give no items and no rows.
 """
 
 from __future__ import annotations
@@ -39,12 +39,15 @@ def said(run: Column) -> Column:
     return ascii_lower(F.array_join(run, " "))
 
 
-def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Distinct windows: window (its text), length (in words), items (whose it is, as strings)."""
+def item_windows(benchmark: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows: window_id, window (its text), length (in words); and whose they are: window_id, item (as a string)."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
-    windows = items.select("item", "w", F.explode(starts).alias("start")).select("item", F.slice("w", F.col("start"), F.lit(width)).alias("run"))
-    return windows.groupBy(said(F.col("run")).alias("window"), F.size("run").alias("length")).agg(F.collect_set("item").alias("items"))
+    runs = items.select("item", "w", F.explode(starts).alias("start")).select("item", F.slice("w", F.col("start"), F.lit(width)).alias("run"))
+    owned = stage(runs.select("item", said(F.col("run")).alias("window"), F.size("run").alias("length")).distinct())
+    # staged, so each window keeps its number
+    windows = stage(owned.select("window", "length").distinct().withColumn("window_id", F.monotonically_increasing_id()))
+    return windows, stage(owned.join(windows, ["window", "length"]).select("window_id", "item"))
 
 
 def _blocks(df: DataFrame, n: int, by: str) -> list[DataFrame]:
@@ -65,25 +68,24 @@ def anchored(windows: DataFrame, docs: DataFrame) -> DataFrame:
 
     Anchors meet document words in lower case by Unicode, which is quick and equal wherever lower-casing A-Z is.
     """
-    each = windows.select("window", "length", "items", F.posexplode(F.split("window", " ")).alias("at", "word")).withColumn("word", F.lower("word"))
+    each = windows.select("window_id", "window", "length", F.posexplode(F.split("window", " ")).alias("at", "word")).withColumn("word", F.lower("word"))
     vocabulary = stage(each.select("word").distinct(), rows=each.count())
     n = vocabulary.count()
     spoken = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
     counts = _union([spoken.join(F.broadcast(v), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")) for v in _blocks(vocabulary, n, "word")])
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at"))
-    return each.join(stage(counts, rows=n), "word", "left").groupBy("window").agg(F.first("length").alias("length"), F.first("items").alias("items"), rarest.alias("rarest")).where("rarest.n > 0").select(
-        "window", "length", "items", F.col("rarest.word").alias("anchor"), F.col("rarest.at").alias("at")
-    )
+    chosen = each.join(stage(counts, rows=n), "word", "left").groupBy("window_id").agg(F.first("window").alias("window"), F.first("length").alias("length"), rarest.alias("rarest"))
+    return chosen.where("rarest.n > 0").select("window_id", "window", "length", F.col("rarest.word").alias("anchor"), F.col("rarest.at").alias("at"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, items (sorted ids of those with a window in it), contaminated."""
-    windows = stage(item_windows(benchmark, width))
+def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per document row: doc_id, n_words, n_hit, windows (ids of those in it), contaminated, _text (its text's hash)."""
     table = stage(anchored(windows, docs), rows=windows.count())
     # An empty word before the first one meets an empty anchor, so that each document leaves one row besides its hits.
     text = docs.select("doc_id", F.xxhash64("text").alias("_text"), words(F.col("text")).alias("_words"))
     spoken = text.select("doc_id", "_text", "_words", F.posexplode(F.concat(F.array(F.lit("")), "_words")).alias("_place", "_word"))
-    every = docs.sparkSession.range(1).select(F.lit("").alias("window"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("items"), F.lit("").alias("anchor"), F.lit(0).alias("at"))
+    none = F.lit(None).cast("long")
+    every = docs.sparkSession.range(1).select(none.alias("window_id"), F.lit("").alias("window"), F.lit(0).alias("length"), F.lit("").alias("anchor"), F.lit(0).alias("at"))
     start = F.col("_place") - F.col("at")
     occurs = (F.col("_place") == 0) | (
         (start >= 1) & (start + F.col("length") - 1 <= F.size("_words")) & (said(F.slice("_words", F.greatest(start, F.lit(1)), F.col("length"))) == F.col("window"))
@@ -92,11 +94,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFr
     for k, block in enumerate(_blocks(table, table.count(), "window")):
         block = block.unionByName(every) if k == 0 else block
         found = spoken.join(F.broadcast(block), (F.lower("_word") == F.col("anchor")) & occurs)
-        hits.append(found.select("doc_id", "_text", F.size("_words").alias("n_words"), F.when(F.col("_place") > 0, F.struct(start.alias("start"), F.col("length"))).alias("run"), "items"))
+        hits.append(found.select("doc_id", "_text", F.size("_words").alias("n_words"), F.when(F.col("_place") > 0, F.struct(start.alias("start"), F.col("length"))).alias("run"), "window_id"))
+    # a document's runs and windows are no more than its words by the lengths of windows, of which there are `width`
     docs_hit = _union(hits).groupBy("doc_id", "_text", "n_words").agg(
-        F.array_sort(F.collect_set("run")).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.count(F.when(F.col("run").isNull(), 1)).alias("rows"),
+        F.array_sort(F.collect_set("run")).alias("runs"), F.collect_set("window_id").alias("windows"), F.count(F.when(F.col("run").isNull(), 1)).alias("rows")
     )
     covered = F.aggregate(
         "runs",
@@ -106,10 +107,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFr
             F.greatest(a["end"], r["start"] + r["length"]).alias("end"),
         ),
     )["hit"]
-    measured = docs_hit.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "items", F.explode(F.sequence(F.lit(1).cast("long"), "rows")), "_text").drop("col")
+    measured = docs_hit.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "windows", F.explode(F.sequence(F.lit(1).cast("long"), "rows")), "_text").drop("col")
     return measured.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFrame:
+    """Per document row: doc_id, n_words, n_hit, items (sorted ids of those with a window in it), contaminated, _text.
+
+    Items are looked up after windows have been found, so a window that many items share is no longer than another.
+    """
+    windows, owners = item_windows(benchmark, width)
+    found = stage(occurrences(docs, windows))
+    met = found.where(F.size("windows") > 0).select("doc_id", "_text", F.explode("windows").alias("window_id")).distinct()
+    named = met.join(owners, "window_id").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    both = found.join(stage(named), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
+    return both.select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "contaminated", "_text")
+
+
 def digest(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFrame:
     found = scan(docs, benchmark, width=width)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -118,7 +132,7 @@ def digest(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> Data
 def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     # staged, so its size is known when Spark chooses between a broadcast and a shuffle
-    dirty = stage(scan(docs, benchmark, width=width).where("contaminated").select(F.col("doc_id").alias("_id"), "_text").distinct())
+    dirty = stage(occurrences(docs, item_windows(benchmark, width)[0]).where("contaminated").select(F.col("doc_id").alias("_id"), "_text").distinct())
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]) & (F.xxhash64(docs["text"]) == dirty["_text"]), "left_anti")
 
 
