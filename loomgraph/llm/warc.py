@@ -5,9 +5,10 @@ or not; after it, each record is one frame. The reader loads the dictionary, wal
 and block sizes without decoding, decodes each by itself, and checks the version line, the mandatory headers, the
 content length, the record's end, the payload's length and its SHA-1. Broken archives raise an error.
 
-Archives are read through Spark's binaryFile source, so from any store that Spark reads, a task per archive. They
-are written by the tasks through pyarrow's file systems into the shared folder, some tens of MB each. A task's row
-names its file, and only files that rows of finished tasks name are read, so what a lost task left is never read.
+Archives from elsewhere are read through Spark's binaryFile source, so from any store that Spark reads. Those written here
+are written and read by the tasks through pyarrow's file systems, in the shared folder, some tens of MB each. A task's row
+names its file; these rows are a table that never comes to the driver, and only files in it are read, so what a lost
+task left is never read.
 
 Records of equal payloads: that with the largest page_id is a response, the others are revisits without payload that
 name it. Digests are grouped and joined by themselves; pages then meet only their own decision, by page_id, so a
@@ -15,7 +16,8 @@ group of copies of any size doesn't gather anywhere.
 
 Defined cases: null html is an empty payload; a null page_id is less than any other and never named, and copies
 that all have null ids are all responses, as are rows that repeat the largest page_id; a null url gives a record without
-target; control characters and spaces in urls are percent-encoded; an empty table gives no archive and no rows.
+target; control characters and spaces in urls are percent-encoded; pages of any length are one record each; further columns take no part; an empty table gives no
+archive and no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from .common import hash_sample, join_on_hot_key, python_workers, shared_dir, st
 DICTIONARY_MAGIC, SKIPPABLE, FRAME_MAGIC, RAW_DICTIONARY = 0x184D2A5D, 0x184D2A50, 0xFD2FB528, 0xEC30A437
 #: The dictionary is made from at most so many pages, none longer than SAMPLE_BYTES.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 65_536, 32_768
-ARCHIVE_BYTES, LEVEL = 16 << 20, 3
+ARCHIVE_BYTES, LEVEL, READ_BYTES = 16 << 20, 3, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -242,23 +244,27 @@ def records(data: bytes) -> Iterator[Record]:
 READ_KIND = "archive string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
+def _rows(path: str, content: bytes, payloads: bool) -> pa.RecordBatch:
+    columns: list[list] = [[] for _ in range(8 + payloads)]
+    number = lambda h, k: int(h[k]) if k in h else None
+    for r in records(content):
+        h = r.headers
+        size = len(r.payload) if r.payload is not None else number(h, "x-payload-length")
+        row = [path, r.offset, number(h, "x-page-id"), h.get("warc-target-uri"), h["warc-type"], size, h.get("warc-payload-digest", "").removeprefix("sha1:"), number(h, "x-refers-to-page-id")]
+        for c, v in zip(columns, row + [r.payload] * payloads):
+            c.append(v)
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in READ_KIND.split(", ")] + ["payload"] * payloads
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
 def read(spark: SparkSession, paths: list[str], *, payloads: bool = False) -> DataFrame:
-    """A row per record of the archives, with `payload` (null for revisits) if asked for."""
+    """A row per record of the archives, with `payload` (null for revisits) if asked for. From any store that Spark reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
-                columns: list[list] = [[] for _ in range(8 + payloads)]
-                number = lambda h, k: int(h[k]) if k in h else None
-                for r in records(content.as_py()):
-                    h = r.headers
-                    size = len(r.payload) if r.payload is not None else number(h, "x-payload-length")
-                    row = [path.as_py(), r.offset, number(h, "x-page-id"), h.get("warc-target-uri"), h["warc-type"], size, h.get("warc-payload-digest", "").removeprefix("sha1:"), number(h, "x-refers-to-page-id")]
-                    for c, v in zip(columns, row + [r.payload] * payloads):
-                        c.append(v)
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-                names = [c.split()[0] for c in READ_KIND.split(", ")] + ["payload"] * payloads
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                yield _rows(path.as_py(), content.as_py(), payloads)
 
     python_workers(spark)
     kind = READ_KIND + ", payload binary" * payloads
@@ -267,8 +273,26 @@ def read(spark: SparkSession, paths: list[str], *, payloads: bool = False) -> Da
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, kind)
 
 
+def read_written(archives: DataFrame, *, payloads: bool = False) -> DataFrame:
+    """The same for the archives that `write` has listed: the list stays a table, whose rows tasks read some READ_BYTES of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                files, name = pyarrow.fs.FileSystem.from_uri(path)
+                with files.open_input_stream(name, compression=None) as archive:
+                    content = archive.read()
+                yield _rows(path, content, payloads)
+
+    spark = archives.sparkSession
+    python_workers(spark)
+    n, size = archives.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(-(-size // READ_BYTES), 2 * spark.sparkContext.defaultParallelism)))
+    return archives.select("path").repartition(tasks).mapInArrow(run, READ_KIND + ", payload binary" * payloads)
+
+
 def digest(pages: DataFrame) -> DataFrame:
-    spark = pages.sparkSession
-    # a path per archive of some 16 MB, not per page
-    archives = [r["path"] for r in write(pages, shared_dir(spark)).select("path").collect()]
-    return read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = write(pages, shared_dir(pages.sparkSession))
+    return read_written(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
