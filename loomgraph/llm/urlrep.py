@@ -6,14 +6,17 @@ comes from the level's own over-dispersion by the method of moments of the beta-
 is allowed if the lower bound (mean less z standard deviations) of its posterior good rate reaches
 a threshold, so a host without labels stands as its domain does.
 
-Counts are combined map-side, so a host with a third of all pages is one partial row per task.
-The verdicts come back to pages by host and a salt: `SALTS` copies of the short host table meet
-pages dealt over as many keys.
+Counts are combined map-side, so a host with a third of all pages is one partial row per task. What is known of
+suffixes, domains and hosts comes back to domains, hosts and pages by joins that broadcast hot keys and shuffle the others.
+
+For reputation, a host's port and a full stop at its end don't count. The suffix is the longest listed one, else the last label;
+the domain has one label more. `suffixes` is a parameter, for a list as long as is wanted; the default is a short one.
+An address in numbers is its own domain and suffix.
 
 Defined cases: a null url, or one without "://", has empty host and path and is judged as the empty
 host; labels of one page add up; repeated page rows each count and each get the verdict; pages with
-null ids count as unlabelled; no labels at all give every host the prior mean 1/2; an empty table
-gives no rows.
+null ids count as unlabelled; no labels at all give every host the prior mean 1/2; very long urls are read whole; hosts of
+equal standing are judged alike, for nothing is ranked; further columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +24,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage
+from .common import ascii_lower, join_on_hot_key, stage
 
-SALTS = 16
 #: Rules as (verdict, host/path-start).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Suffixes of two labels; any other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
+# Suffixes of several labels under which anyone registers names.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "plc.uk", "sch.uk",
+    "com.au", "edu.au", "gov.au", "net.au", "org.au", "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz",
+    "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "com.br", "gov.br", "net.br", "org.br",
+    "com.cn", "gov.cn", "net.cn", "org.cn", "co.in", "gov.in", "net.in", "org.in", "co.kr", "go.kr", "or.kr",
+    "co.id", "co.il", "co.za", "com.ar", "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua",
+    "appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app",
+    "s3.amazonaws.com",
+)
 Z, MIN_GOOD = 1.645, 0.5
 #: The prior of the root, and the bounds of the over-dispersion of a level.
 ROOT_GOOD, ROOT_ALL, LEAST_RHO, MOST_RHO = 1.0, 2.0, 0.001, 0.5
@@ -52,12 +62,23 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return rule, verdict
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    labels = F.split(F.regexp_replace(host, r":[0-9]*$", ""), r"\.")
-    n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
-    two = last(2).isin(*TWO_LABEL_SUFFIXES)
-    return F.when(two, last(2)).otherwise(last(1)), F.when(two, last(3)).otherwise(last(2))
+ADDRESS = r"^(\[.*|[0-9]+(\.[0-9]+){3})$"
+
+
+def suffix_and_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    name = F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"\.$", "")
+    labels = F.split(name, r"\.")
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), k), ".")
+    suffix, domain = last(1), last(2)
+    for k, listed in _by_length(suffixes):  # later, longer ones win
+        suffix, domain = F.when(last(k).isin(*listed), last(k)).otherwise(suffix), F.when(last(k).isin(*listed), last(k + 1)).otherwise(domain)
+    address = name.rlike(ADDRESS)
+    return F.when(address, name).otherwise(suffix), F.when(address, name).otherwise(domain)
+
+
+def _by_length(suffixes: tuple[str, ...]) -> list[tuple[int, list[str]]]:
+    lengths = sorted({s.count(".") + 1 for s in suffixes})
+    return [(k, [s for s in suffixes if s.count(".") + 1 == k]) for k in lengths]
 
 
 def _posterior(level: DataFrame, parent_mean: Column) -> DataFrame:
@@ -74,50 +95,59 @@ def _posterior(level: DataFrame, parent_mean: Column) -> DataFrame:
     return with_mean.withColumns({"alpha": kappa * m + good, "beta": kappa * (1 - m) + (n - good)}).drop("m")
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
-    """Per host of (host, n labelled, good): n, good and the posterior's mean and lower bound."""
+def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """Per host of (host, n labelled, good): n, good, the posterior's mean and lower bound, and `rows`, how many it has."""
     rows = outcomes.count()
-    suffix, domain = suffix_and_domain(F.col("host"))
-    hosts = stage(outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("good").cast("double").alias("good")).withColumns({"suffix": suffix, "domain": domain}), rows=rows)
-    rows = hosts.count()
-    sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
+    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
+    sums = [F.sum("n").cast("double").alias("n"), F.sum("good").cast("double").alias("good")]
+    hosts = stage(outcomes.groupBy("host").agg(*sums, F.count(F.lit(1)).alias("rows")).withColumns({"suffix": suffix, "domain": domain}), rows=rows)
+    rows, members = hosts.count(), F.count(F.lit(1)).alias("members")
     mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
     root = hosts.agg((F.coalesce(F.sum("good"), F.lit(0.0)) + ROOT_GOOD) / (F.coalesce(F.sum("n"), F.lit(0.0)) + ROOT_ALL)).first()[0]
-    suffixes = _posterior(hosts.groupBy("suffix").agg(*sums), F.lit(root)).select("suffix", F.round(mean, 9).alias("suffix_mean"))
-    domains = stage(_posterior(hosts.groupBy("suffix", "domain").agg(*sums).join(stage(suffixes, rows=rows), "suffix"), F.col("suffix_mean")).select("domain", F.round(mean, 9).alias("domain_mean")), rows=rows)
+    domains = stage(hosts.groupBy("suffix", "domain").agg(*sums, members), rows=rows)
+    of_suffix = _posterior(domains.groupBy("suffix").agg(*sums, members.alias("domains")), F.lit(root)).select("suffix", "domains", F.round(mean, 9).alias("suffix_mean"))
+    domains = stage(join_on_hot_key(domains, stage(of_suffix, rows=rows), "suffix", "domains"), rows=rows)
+    of_domain = stage(_posterior(domains, F.col("suffix_mean")).select("domain", "members", F.round(mean, 9).alias("domain_mean")), rows=rows)
     both = F.col("alpha") + F.col("beta")
     deviation = F.sqrt(F.col("alpha") * F.col("beta") / (both * both * (both + 1)))
-    known = _posterior(hosts.join(domains, "domain"), F.col("domain_mean")).select(
+    known = _posterior(stage(join_on_hot_key(hosts, of_domain, "domain", "members"), rows=rows), F.col("domain_mean")).select(
         "host",
         F.col("n").cast("long").alias("n_labelled"),
         F.col("good").cast("long").alias("n_good"),
         F.round(mean, 6).alias("good_rate"),
         F.round(mean - Z * deviation, 6).alias("good_bound"),
+        "rows",
     )
     return stage(known, rows=rows)
 
 
-def judge(pages: DataFrame, labels: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, min_good: float = MIN_GOOD) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, min_good: float = MIN_GOOD, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page, and the host's reputation. `labels` has doc_id
     (a page's id) and quality, 1 for a good outcome.
     """
     host, path = host_and_path(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    urls = stage(pages.select("page_id", host.alias("host"), path.alias("path")))
     seen = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")
     )
-    counts = urls.join(seen, "page_id", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
-    known = reputations(counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = urls.select("page_id", "host").join(seen, "page_id", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    dealt = urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     by_host = F.when(F.col("good_bound") >= min_good, "allow").otherwise("block")
-    return dealt.join(known, ["host", "salt"]).select(
+    return join_on_hot_key(urls, reputations(counts, suffixes), "host", "rows", short=False).select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "n_labelled", "n_good", "good_rate", "good_bound"
     )
 
 
-_LABELS = r"string_split(regexp_replace(host, ':[0-9]*$', ''), '.')"
-_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+_HOST = r"regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '\.$', '')"
+
+
+def _registered(more: int, address: str) -> str:
+    """SQL of suffix_and_domain: the last labels of a host, `more` than its suffix has."""
+    cases = [f"WHEN array_to_string(parts[-{k}:], '.') IN ({', '.join(repr(s) for s in listed)}) THEN array_to_string(parts[-{k + more}:], '.')" for k, listed in reversed(_by_length(SUFFIXES))]
+    return f"CASE WHEN {address} THEN name {' '.join(cases)} ELSE array_to_string(parts[-{1 + more}:], '.') END"
+
+
+_ADDRESS = f"regexp_matches(name, '{ADDRESS}')"
 
 
 def _level(name: str, base: str, mean: str) -> str:
@@ -141,9 +171,8 @@ WITH urls AS (
 ), counts AS (
   SELECT host, sum(coalesce(n, 0))::DOUBLE AS n, sum(coalesce(good, 0))::DOUBLE AS good FROM urls LEFT JOIN seen ON page_id = doc_id GROUP BY host
 ), hosts AS (
-  SELECT *, CASE WHEN two THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix,
-            CASE WHEN two THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain
-  FROM (SELECT *, {_LABELS} AS parts, array_to_string(({_LABELS})[-2:], '.') IN ({_TWO}) AS two FROM counts)
+  SELECT *, {_registered(0, _ADDRESS)} AS suffix, {_registered(1, _ADDRESS)} AS domain
+  FROM (SELECT *, {_HOST} AS name, string_split({_HOST}, '.') AS parts FROM counts)
 ), root AS (
   SELECT (sum(good) + {ROOT_GOOD}::DOUBLE) / (sum(n) + {ROOT_ALL}::DOUBLE) AS root FROM hosts
 ), suffix_base AS (
