@@ -2,22 +2,24 @@
 
 The centroids and the codebooks are fitted on the driver on at most `SAMPLE` vectors, those with the least hash of
 vec_id; every row is indexed. A row goes to the list of its nearest centroid with one byte per subspace of its
-residual (unit vectors, so that nearness by distance is nearness by cosine). A query probes the lists nearest to it.
-In a list it makes one table of inner products per subspace (its own, shared by all lists, plus one with the
-centroid), adds up each code's entries, and keeps the `SHORTLIST` best codes, which the same task reranks by the exact
-cosine of the original vectors in double precision. The best K of all lists are a query's result.
+residual (unit vectors, so that nearness by distance is nearness by cosine). A query probes the lists nearest to it, and
+for these makes tables of inner products, one per subspace (its own, shared by all lists, plus one with the
+centroid), and adds up each code's entries. The best codes of all lists are its one shortlist, whose rows alone are
+fetched and reranked by the exact cosine of the original vectors in double precision.
 
-Lists are dealt to tasks in blocks of about `BLOCK` rows, whatever their length, and a query goes to each block of the
-lists that it probes; so one vector with a third of all copies is many blocks, and a block answers with K rows a query.
-Of the copies of a vector in a block, only those with the smallest ids are kept for the shortlist, so many that K are left
-whichever id asks: ties go to smaller ids, so no others can be in a result.
+How many lists are probed and how long the shortlist is follow from the sample: for CHECKED of its rows the true neighbours
+are found by brute force, and both are as large as FOUND of these ask for, each, and the shortlist as many times longer as there
+are more rows than the sample has. So clustered vectors need few probes; vectors without clusters need most lists.
 
-Vectors without clusters need many probes: at 0.75 of the lists, recall is 0.94 or more on every table here.
+Rows are dealt to tasks by ranges of lists and, in a list, of rows, so a list of any length is split. Queries go to the tasks
+in broadcast blocks of at most QUERIES, however many there are, and a task answers with its best codes a query, so what is
+moved is the shortlists. A vector with a third of all rows is first cut to those copies that can be in a result: ties go
+to smaller ids, so that is 2K of them.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries or
 candidates; rows that share a vec_id are candidates each, except for queries of that id, and answer as one query; a null vec_id takes no part;
-fewer than K candidates give all of them; vectors of other lengths than the first row's raise an error; an empty table
-gives no rows.
+fewer than K candidates give all of them; vectors of different lengths raise a ValueError; ties go to the smaller id; further
+columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,15 +38,19 @@ from .common import hash_sample, python_workers, stage
 #: The bound on vectors that centroids and codebooks are fitted on.
 SAMPLE = 16_384
 K, QUERY_STEP = 5, 50
-SUBSPACES, CODES, ITERATIONS = 16, 64, 8
-PROBED, SHORTLIST, BLOCK = 0.75, 64, 256
-LEAST_LISTS, MOST_LISTS, LEAST_PROBES = 4, 4096, 8
+SUBSPACES, CODES, ITERATIONS = 32, 256, 8
+#: Rows of the sample that codebooks are fitted on, rows whose neighbours are checked, and the share of these to be found.
+BOOK_ROWS, CHECKED, FOUND = 8192, 512, 0.985
+LEAST_LISTS, MOST_LISTS, LEAST_PROBES, LEAST_SHORTLIST = 4, 4096, 8, 64
+#: Queries that are broadcast at once, queries and rows times queries that a task looks at together.
+QUERIES, TOGETHER, CELLS = 16_384, 128, 8_000_000
 
 
 class Index(NamedTuple):
     centroids: np.ndarray  # lists by dimensions
     books: np.ndarray  # subspaces by codes by dimensions of a subspace
     probes: int
+    shortlist: int
 
 
 def usable(v: Column) -> Column:
@@ -76,19 +82,55 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def fit_rows(x: np.ndarray, n: int) -> Index:
+def fit_rows(x: np.ndarray, n: int, k: int = K) -> Index:
     """An index for about n rows like x, whose rows are unit vectors."""
     rng = np.random.default_rng(11)
     lists = int(max(LEAST_LISTS, min(MOST_LISTS, 2 ** round(math.log2(max(1, math.sqrt(n)))))))
     centroids = _means(x, lists, rng)
     width = x.shape[1]
     subspaces = max(s for s in range(1, min(SUBSPACES, width) + 1) if width % s == 0)
-    parts = (x - centroids[nearest(x, centroids)]).reshape(len(x), subspaces, -1)
+    parts = (x - centroids[nearest(x, centroids)])[:BOOK_ROWS].reshape(min(len(x), BOOK_ROWS), subspaces, -1)
     books = []
     for s in range(subspaces):
         book = _means(np.ascontiguousarray(parts[:, s]), CODES, rng)
         books.append(np.vstack([book, np.repeat(book[:1], CODES - len(book), axis=0)]))
-    return Index(centroids, np.stack(books), max(min(LEAST_PROBES, len(centroids)), math.ceil(PROBED * len(centroids))))
+    index = Index(centroids, np.stack(books), len(centroids), len(x))
+    return index._replace(**dict(zip(("probes", "shortlist"), _wanted(index, x, n, k, rng))))
+
+
+def _wanted(index: Index, x: np.ndarray, n: int, k: int, rng: np.random.Generator) -> tuple[int, int]:
+    """Lists to probe and length of the shortlist by which FOUND of the checked rows' true neighbours are met."""
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(index.centroids), LEAST_SHORTLIST
+    at, codes = encode(index, x)
+    places, ranks = [], []
+    for own in np.array_split(rng.permutation(len(x))[:CHECKED], min(8, len(x))):
+        exact = x[own] @ x.T
+        exact[np.arange(len(own)), own] = -np.inf
+        true = np.argpartition(-exact, k - 1, axis=1)[:, :k]
+        order = np.argsort(list_order(index, x[own]), axis=1)
+        places.append(np.take_along_axis(order, at[true], axis=1).ravel())
+        guess = guesses(index, x[own], at, codes)
+        guess[np.arange(len(own)), own] = -np.inf
+        ranks += [np.count_nonzero(g > g[t]) for g, row in zip(guess, true) for t in row]
+    place, rank = (float(np.quantile(v, FOUND)) for v in (np.concatenate(places), np.array(ranks)))
+    longer = max(1.0, n / len(x))
+    return min(len(index.centroids), max(LEAST_PROBES, math.ceil(place) + 1)), max(LEAST_SHORTLIST, 4 * k, math.ceil((rank + 1) * longer))
+
+
+def list_order(index: Index, queries: np.ndarray) -> np.ndarray:
+    """The lists of each query, nearest first."""
+    return np.argsort((index.centroids**2).sum(axis=1) - 2 * (queries @ index.centroids.T), axis=1, kind="stable")
+
+
+def guesses(index: Index, queries: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Each query's inner product with each coded row, by tables of its products with the codebooks."""
+    tables = np.einsum("qsd,scd->sqc", queries.reshape(len(queries), len(index.books), -1), index.books)
+    out = (queries @ index.centroids.T)[:, at]
+    for s, table in enumerate(tables):
+        out += table[:, codes[:, s]]
+    return out
 
 
 def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,115 +140,156 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.stack([nearest(np.ascontiguousarray(parts[:, s]), b) for s, b in enumerate(index.books)], axis=1).astype(np.uint8)
 
 
-def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact cosines in double precision, each row's by itself, so that copies have equal ones.
+def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Exact cosines in double precision of each query with its row, each by itself, so that copies have equal ones.
 
     Scaling by a power of two changes no digit, and keeps squares of very large or small components in range.
     """
-    query = np.ldexp(query, -np.frexp(np.abs(query).max())[1])
-    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
-    return (rows * query).sum(axis=1) / (math.sqrt((query * query).sum()) * np.sqrt((rows * rows).sum(axis=1)))
-
-
-def search_block(index: Index, list_id: int, ids: np.ndarray, codes: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, shortlist: int) -> tuple[list, list, list]:
-    """query ids, places and exact cosines of the best k rows of a block for each query. ids ascend."""
-    out: tuple[list, list, list] = ([], [], [])
-    near = unit(queries)
-    tables = np.einsum("qsd,scd->qsc", near.reshape(len(near), len(index.books), -1), index.books)
-    base = near @ index.centroids[list_id]
-    subspaces = np.arange(len(index.books))
-    for q, name in enumerate(query_ids):
-        guess = base[q] + tables[q][subspaces, codes].sum(axis=1)
-        best = np.argsort(-guess, kind="stable")
-        best = best[ids[best] != name][:shortlist]
-        exact = cosines(queries[q], rows[best])
-        top = np.lexsort((ids[best], -exact))[:k]
-        out[0].extend([name] * len(top))
-        out[1].extend(best[top].tolist())
-        out[2].extend(exact[top].tolist())
-    return out
+    queries, rows = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (queries, rows))
+    return (rows * queries).sum(axis=1) / (np.sqrt((queries * queries).sum(axis=1)) * np.sqrt((rows * rows).sum(axis=1)))
 
 
-def not_beaten(rows: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indexes of the first copies of each row, until k are left without those of any one id; k copies an id at most."""
-    seen: dict[bytes, dict[int, int]] = {}
-    keep = []
-    for i, (row, name) in enumerate(zip(rows, ids.tolist())):
-        kept = seen.setdefault(row.tobytes(), {})
-        if kept.get(name, 0) < k and sum(kept.values()) - max(kept.values(), default=0) < k:
-            kept[name] = kept.get(name, 0) + 1
-            keep.append(i)
-    return np.array(keep, np.int64)
+def shortlisted(index: Index, sizes: np.ndarray, at: np.ndarray, codes: np.ndarray, ids: np.ndarray, names: np.ndarray, queries: np.ndarray, needed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some queries at a time: numbers of queries, places of their best codes among the rows, and what the codes promise.
+
+    `sizes` are those of all lists; a query probes as many as the index says, and more until they hold the rows it needs.
+    """
+    by_list = np.argsort(at, kind="stable")
+    at, codes, ids = at[by_list], codes[by_list], ids[by_list]
+    here, begin = np.unique(at, return_index=True)
+    end = np.r_[begin[1:], len(at)]
+    by_id = np.argsort(ids, kind="stable")
+    most = max(1, min(TOGETHER, CELLS // max(1, len(at))))
+    for first in range(0, len(names), most):
+        part, own = queries[first : first + most], names[first : first + most]
+        order = list_order(index, part)
+        held = np.cumsum(sizes[order], axis=1)
+        probes = np.maximum(index.probes, (held < needed[first : first + most, None]).sum(axis=1) + 1)
+        probed = np.zeros((len(part), len(index.centroids)), bool)
+        np.put_along_axis(probed, order, np.arange(order.shape[1])[None] < probes[:, None], axis=1)
+        guess = np.full((len(part), len(at)), -np.inf, np.float32)
+        for name, a, b in zip(here, begin, end):
+            who = np.flatnonzero(probed[:, name])
+            if len(who):
+                guess[who, a:b] = guesses(index, part[who], at[a:b], codes[a:b])
+        for q, (a, b) in enumerate(zip(*(np.searchsorted(ids, own, side, sorter=by_id) for side in ("left", "right")))):
+            guess[q, by_id[a:b]] = -np.inf
+        if guess.shape[1] > index.shortlist:
+            best = np.argpartition(-guess, index.shortlist - 1, axis=1)[:, : index.shortlist]
+        else:
+            best = np.broadcast_to(np.arange(guess.shape[1]), guess.shape)
+        found = np.take_along_axis(guess, best, axis=1)
+        who, place = np.nonzero(found > -np.inf)
+        yield first + who, by_list[best[who, place]], found[who, place]
 
 
 def _doubles(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = np.diff(np.asarray(column.offsets)) if len(column) else np.zeros(0, int)
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors of different lengths")
     flat = np.asarray(column.flatten(), np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def fit(rows: DataFrame, n: int, sample: int = SAMPLE) -> Index:
+def fit(rows: DataFrame, n: int, sample: int = SAMPLE, k: int = K) -> Index:
     found = hash_sample(rows.select("vec_id", "embedding"), "vec_id", sample).select("embedding").toArrow()
-    return fit_rows(unit(_doubles(found.column("embedding"))), n)
+    return fit_rows(unit(_doubles(found.column("embedding"))), n, k)
 
 
-def search(embeddings: DataFrame, is_query: Column, *, k: int = K, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
+def _few_copies(rows: DataFrame, k: int) -> DataFrame:
+    """The rows without copies of a vector that can't be in a result: K of an id and 2K in all, smallest ids first, are kept."""
+    hashed = rows.withColumn("_hash", F.xxhash64("embedding"))
+    often = stage(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 2 * k).select("_hash"))
+    if often.isEmpty():
+        return rows
+    place = lambda *by: F.row_number().over(Window.partitionBy("_hash", *by).orderBy("vec_id"))
+    many = hashed.join(often, "_hash", "left_semi").withColumn("_own", place("embedding", "vec_id")).where(F.col("_own") <= k)
+    many = many.withColumn("_all", place("embedding")).where(F.col("_all") <= 2 * k)
+    return hashed.join(often, "_hash", "left_anti").select(*rows.columns).unionByName(many.select(*rows.columns))
+
+
+def search(embeddings: DataFrame, is_query: Column, *, k: int = K, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query, the k nearest others found."""
-    python_workers(embeddings.sparkSession)
+    spark = embeddings.sparkSession
+    python_workers(spark)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    spark, n = embeddings.sparkSession, rows.count()
+    n, least, most = rows.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != most:
+        raise ValueError(f"vectors of different lengths: {least} to {most}")
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = fit(rows, n, sample)
+    index = fit(rows, n, sample, k)
     sent = spark.sparkContext.broadcast(tuple(index))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Index(*sent.value)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(_doubles(batch.column("embedding")))
-            at, codes = encode(known, x)
-            order = np.argsort((known.centroids**2).sum(axis=1) - 2 * (x @ known.centroids.T), axis=1)[:, : known.probes]
-            asks = np.asarray(batch.column("is_query").fill_null(False))
-            flat = pa.array(order[asks].reshape(-1).astype(np.int32))
-            offsets = pa.array(np.r_[0, np.cumsum(np.where(asks, known.probes, 0))].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("embedding"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
-                names=["vec_id", "embedding", "list", "codes", "probes"],
-            )
-
-    placed = rows.mapInArrow(place, "vec_id long, embedding array<double>, list int, codes binary, probes array<int>")
-    placed = stage(placed.withColumn("row", F.monotonically_increasing_id()))  # staged, so each row keeps its number
-    # at most MOST_LISTS rows
-    blocks = stage(placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), rows=MOST_LISTS)
-    candidates = placed.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "row", "embedding", "codes")
-    # a query's repeated rows ask once
-    queries = placed.where(F.size("probes") > 0).dropDuplicates(["vec_id", "embedding"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("probes").alias("list"))
-    queries = queries.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "query")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: tuple = ([], [], [], [])
-        if left.num_rows and right.num_rows:
-            known = Index(*sent.value)
-            ids = np.asarray(left.column("vec_id").combine_chunks(), np.int64)
-            rows, order = _doubles(left.column("embedding")), np.argsort(ids, kind="stable")
-            order = order[not_beaten(rows[order], ids[order], k)]
-            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            names = np.asarray(right.column("query_id").combine_chunks(), np.int64)
-            found = search_block(known, left.column("list")[0].as_py(), ids[order], codes[order], rows[order], names, _doubles(right.column("query")), k, shortlist)
-            at = order[np.array(found[1], np.int64)]
-            found = (found[0], ids[at], np.asarray(left.column("row").combine_chunks(), np.int64)[at], found[2])
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "row": pa.array(found[2], pa.int64()), "score": pa.array(found[3], pa.float64())})
-
-    found = candidates.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInArrow(compare, "query_id long, vec_id long, row long, score double")
-    # rows of a query with different vectors answer together: a candidate row counts once, by its best score
-    found = found.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))
+            if batch.num_rows:
+                at, codes = encode(known, unit(_doubles(batch.column("embedding"))))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("vec_id"), batch.column("embedding"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "embedding", "list", "codes"]
+                )
+
+    few = _few_copies(rows.select("vec_id", "embedding"), k)
+    placed = few.mapInArrow(place, "vec_id long, embedding array<double>, list int, codes binary")
+    # dealt by lists, and staged, so that each row keeps its number
+    placed = stage(placed.repartitionByRange("list", "vec_id").withColumn("row", F.monotonically_increasing_id()))
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in placed.groupBy("list").count().collect():  # at most MOST_LISTS rows
+        sizes[r["list"]] = r["count"]
+    # a query's repeated rows ask once, and `own` rows are none of its candidates
+    asked = rows.where("is_query").select("vec_id", "embedding")
+    asked = stage(asked.distinct().join(stage(asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"))), "vec_id"))
+    blocks = -(-asked.count() // QUERIES)
+    if not blocks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = None
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+        part = _answers(placed, block, index, sizes, k)
+        found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _answers(placed: DataFrame, asked: DataFrame, index: Index, sizes: np.ndarray, k: int) -> DataFrame:
+    """query_id, vec_id, row, score of the shortlists of a block of queries, which is all that is collected here."""
+    spark = placed.sparkSession
+    table = asked.toArrow()
+    names, vectors = table.column("vec_id").to_numpy(), _doubles(table.column("embedding"))
+    sent = spark.sparkContext.broadcast((tuple(index), sizes, names, vectors, table.column("own").to_numpy()))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches([b for b in batches if b.num_rows] or [], schema=pa.schema([("vec_id", pa.int64()), ("list", pa.int32()), ("codes", pa.binary()), ("row", pa.int64())]))
+        if not held.num_rows:
+            return
+        known, sizes, names, vectors, own = sent.value
+        known = Index(*known)
+        at, ids, row = (held.column(c).to_numpy() for c in ("list", "vec_id", "row"))
+        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        for who, place, guess in shortlisted(known, sizes, at, codes, ids, names, unit(vectors), own + k):
+            yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), pa.array(row[place]), pa.array(guess)], names=["query", "row", "guess"])
+
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.col("guess").desc(), "row"))
+    near = placed.select("vec_id", "list", "codes", "row").mapInArrow(probe, "query int, row long, guess float")
+    near = near.withColumn("_place", best).where(F.col("_place") <= index.shortlist).select("query", "row")
+    pairs = placed.select("vec_id", "row", "embedding").join(near, "row")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, names, vectors, _ = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                who = batch.column("query").to_numpy()
+                score = cosines(vectors[who], _doubles(batch.column("embedding")))
+                yield pa.RecordBatch.from_arrays([pa.array(names[who]), batch.column("vec_id"), batch.column("row"), pa.array(score)], names=["query_id", "vec_id", "row", "score"])
+
+    answered = pairs.select("query", "vec_id", "row", "embedding").mapInArrow(rerank, "query_id long, vec_id long, row long, score double")
+    # rows of a query with different vectors answer together: a candidate row counts once, by its best score
+    return answered.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))
+
+
 def digest(embeddings: DataFrame) -> DataFrame:
     return search(embeddings, F.col("vec_id") % QUERY_STEP == 0)

@@ -365,6 +365,35 @@ def test_vectors_that_take_no_part(spark):
     assert rows(ann.digest(frame.where("vec_id = 0"))) == []
 
 
+def test_recall_without_clusters_from_short_lists(spark, monkeypatch):
+    """No structure at all: most lists are probed, but few rows are reranked; in blocks of queries."""
+    monkeypatch.setattr(ann, "QUERIES", 40)
+    draw = np.random.default_rng(8)
+    vectors = [(i, draw.standard_normal(32).astype(np.float32).tolist()) for i in range(6000)]
+    index = ann.fit_rows(ann.unit(np.array([v for _, v in vectors])), 6000)
+    assert index.shortlist <= 0.03 * 6000
+    got = {}
+    for r in ann.digest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = by_brute_force(vectors, [i for i, _ in vectors if i % 50 == 0])
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
+
+
+def test_clusters_are_found_with_few_probes():
+    draw = np.random.default_rng(9)
+    centres = draw.standard_normal((64, 16)) * 8
+    index = ann.fit_rows(ann.unit(np.array([centres[i % 64] + draw.standard_normal(16) for i in range(4096)])), 4096)
+    assert index.probes <= len(index.centroids) // 4
+
+
+def test_vectors_of_different_lengths_raise(spark):
+    for odd in ([1.0], [1.0, 2.0, 3.0], []):
+        with pytest.raises(ValueError, match="different lengths"):
+            ann.digest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, odd or [1.0] * 5)], "vec_id long, embedding array<double>"))
+    empty = ann.digest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [])], "vec_id long, embedding array<double>"))
+    assert rows(empty.select("query_id", "vec_id")) == [(0, 1)]  # without components it is zero
+
+
 def test_few_and_repeated_rows(spark):
     got = ann.digest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>")).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 1), (0, 2, 1)]
@@ -448,6 +477,24 @@ def test_components_of_a_chain_and_a_star(spark):
     assert set(got.values()) == {"c000", "s00"} and len(got) == 101
 
 
+@pytest.mark.parametrize("most", [3, 17, 200_000])
+def test_components_however_many_edges_a_task_joins(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "FOREST_ROWS", most)
+    draw = random.Random(most)
+    pairs = [(draw.randrange(160), draw.randrange(160)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(7, 7), (300, 300)]
+    named = [(f"{u:04d}", f"{v:04d}") for u, v in pairs]
+    linked = {x: {b for a, b in named if a == x} | {a for a, b in named if b == x} for x in {x for p in named for x in p}}
+    want = {}
+    for x in sorted(linked):
+        if x not in want:
+            todo, own = [x], {x}
+            while todo:
+                todo += (new := linked[todo.pop()] - own)
+                own |= new
+            want |= {y: x for y in own if len(own) > 1}
+    assert dict(rows(simhash.components(simhash.stage(spark.createDataFrame(named, "u string, v string"))))) == want
+
+
 def test_simhash_of_odd_rows(spark, odd, none):
     got = simhash.digest(odd)
     assert got.count() == len(ODD) and rows(simhash.digest(none)) == []

@@ -72,6 +72,20 @@ def test_mixing_emits_what_it_plans(spark, odd):
     assert len(taken) == 7 and all(r["taken"] == pytest.approx(r["target"], rel=0.06) for r in taken)
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "copies", "own"])
+def test_sources_come_near_their_targets_whatever_the_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    docs = [({"null": None, "one": 7, "copies": 7, "own": i}[ids], "same five words in all" if ids == "copies" else f"{i} " + "w " * 2, s, i % 3) for s in "abc" for i in range(1000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, other int")
+    planned = mixing.plan(frame)
+    assert planned.count() == 3000 and planned.where(F.col("size") * F.col("copies") > 2 * F.col("size")).isEmpty()
+    taken = planned.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert len(taken) == 3 and all(r["taken"] == pytest.approx(r["target"], rel=0.03) for r in taken)
+    assert rows(planned) == rows(mixing.plan(frame.repartition(7, "text")))  # whatever the partitions
+    assert rows(mixing.mix(frame).groupBy(*frame.columns).count()) == rows(mixing.mix(frame.repartition(3)).groupBy(*frame.columns).count())
+    same(mixing.digest(frame), mixing.ORACLE, documents=frame)
+
+
 def test_mixing_with_many_sources_joins_by_salt(spark, odd, monkeypatch):
     want = rows(mixing.digest(odd))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
@@ -231,6 +245,28 @@ def test_urls_without_labels_or_rows(spark):
     assert rows(urlrep.judge(pages.limit(0), none)) == []
 
 
+@pytest.mark.parametrize(
+    "host, suffix, domain",
+    [
+        ("a.b.example.com", "com", "example.com"), ("x.co.uk", "co.uk", "x.co.uk"), ("s.co.nz", "co.nz", "s.co.nz"), ("co.nz", "co.nz", "co.nz"), ("a.github.io", "github.io", "a.github.io"), ("b.a.github.io:8080", "github.io", "a.github.io"),
+        ("10.1.2.3", "10.1.2.3", "10.1.2.3"), ("99.9.2.3:80", "99.9.2.3", "99.9.2.3"), ("[2001:db8::1]:80", "[2001:db8::1]", "[2001:db8::1]"), ("example.com.", "com", "example.com"), ("example.com.:80", "com", "example.com"),
+        ("bucket.s3.amazonaws.com", "s3.amazonaws.com", "bucket.s3.amazonaws.com"), ("localhost", "localhost", "localhost"), ("", "", ""), ("1.2.3", "3", "2.3"),
+    ],
+)
+def test_registered_domains(spark, host, suffix, domain):
+    got = spark.createDataFrame([(host,)], "host string").select(*urlrep.suffix_and_domain(F.col("host"))).first()
+    assert tuple(got) == (suffix, domain)
+
+
+def test_suffixes_are_a_parameter_and_odd_hosts_agree_with_sql(spark):
+    got = spark.createDataFrame([("x.y.toy",)], "host string").select(*urlrep.suffix_and_domain(F.col("host"), ("y.toy",))).first()
+    assert tuple(got) == ("y.toy", "x.y.toy")
+    hosts = ["a.github.io", "b.github.io", "10.1.2.3", "99.9.2.3:80", "[::1]:80", "example.com.", "example.com", "s.co.nz", "t.co.nz", "bucket.s3.amazonaws.com"]
+    pages = spark.createDataFrame([(i, f"http://{hosts[i % len(hosts)]}/p{i}", "") for i in range(80)], PAGES)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(0, 80, 2)], "doc_id long, quality int, toxic int")
+    same(urlrep.judge(pages, labels), urlrep.ORACLE, pages=pages, labels=labels)
+
+
 def test_reputation_shrinks_to_the_domain(spark):
     outcomes = [("a.good.com", 50, 48), ("b.good.com", 1, 0), ("a.bad.com", 50, 1), ("b.bad.com", 1, 1), ("new.bad.com", 0, 0)]
     known = {r["host"]: r for r in urlrep.reputations(spark.createDataFrame(outcomes, "host string, n long, good long")).collect()}
