@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of a small table that are worth a file.
 ROWS_PER_FILE = 50_000
+#: Bytes of a Parquet row group: a writer holds one in memory, and an executor has several writers.
+ROW_GROUP = 32 << 20
 
 
 def stage(df: DataFrame, *, path: str | None = None, rows: int | None = None) -> DataFrame:
@@ -39,7 +41,7 @@ def stage(df: DataFrame, *, path: str | None = None, rows: int | None = None) ->
     path = path or shared_dir(spark)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
