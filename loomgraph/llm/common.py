@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import ROWS_PER_FILE, shared_dir, ship, stage
+from ..staging import ROW_GROUP, ROWS_PER_FILE, shared_dir, ship, stage
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "free_name", "hash_sample", "join_on_hot_key", "python_workers", "shared_dir", "stage", "table"]
+__all__ = ["LOWER", "ROW_GROUP", "UPPER", "WORD", "ascii_lower", "free_name", "hash_sample", "join_on_hot_key", "python_workers", "shared_dir", "stage", "table"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -38,9 +38,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import free_name, shared_dir
+from .common import ROW_GROUP, free_name, shared_dir
 
 TARGET, SMALLEST, FANOUT = 64 << 20, 1 << 20, 4
+WRITTEN = {"compression": "zstd", "parquet.block.size": ROW_GROUP}
 
 
 class Conflict(Exception):
@@ -161,7 +162,7 @@ class ShardStore:
         folder = f"a{base['version'] + 1:09d}-{uuid.uuid4().hex[:8]}"
         schema = merged_schema(self._schema(base), df.schema).json()
         name = free_name(df, "_arrival")
-        df.withColumn(name, F.lit(0) if arrival is None else arrival).write.partitionBy(name).option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
+        df.withColumn(name, F.lit(0) if arrival is None else arrival).write.partitionBy(name).options(**WRITTEN).parquet(f"{self.root}/data/{folder}")
         return self.commit(base, base["shards"] + self._listed(folder, base["version"] + 1), schema)
 
     def due(self, manifest: dict) -> list[list[dict]]:
@@ -182,7 +183,7 @@ class ShardStore:
                 read = sum(s["rows"] for s in run)
                 folder = f"c{base['version'] + 1:09d}-{k}-{uuid.uuid4().hex[:8]}"
                 # tasks may be fewer than files, as Spark reads small files together: then a task writes several
-                self._rows(run, base).coalesce(files).write.option("compression", "zstd").option("maxRecordsPerFile", -(-read // files)).parquet(f"{self.root}/data/{folder}")
+                self._rows(run, base).coalesce(files).write.options(**WRITTEN, maxRecordsPerFile=-(-read // files)).parquet(f"{self.root}/data/{folder}")
                 new = self._listed(folder, base["version"] + 1)
                 if (wrote := sum(s["rows"] for s in new)) != read:
                     raise RuntimeError(f"a merge read {read} rows and wrote {wrote}")
