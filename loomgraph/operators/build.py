@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph, store
+
 #: What an import statement's words are made of, besides names.
 WORDS_APART = r"[\s\"'<>;{}()]+"
 IMPORT_WORDS = ("import", "from", "use", "require", "require_relative", "using", "include", "as", "namespace", "package", "static", "pub", "crate", "self", "super")
@@ -30,8 +32,7 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def latest_symbols(symbols: DataFrame) -> DataFrame:
     """One row per qualified name, the lowest in the file."""
-    last = Window.partitionBy("id").orderBy(F.col("line").desc(), F.col("ordinal").desc())
-    return symbols.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+    return store.newest(symbols, ["id"], ["line", "ordinal"])
 
 
 def calls_of(symbols: DataFrame) -> DataFrame:
@@ -43,14 +44,9 @@ def call_edges(symbols: DataFrame, imports: DataFrame, files: DataFrame) -> Data
     """(src, dst, weight): a target in the caller's file or in one it imports has weight 1, another of the name 0.5, and
     is left out if the name has a target of weight 1; names without symbols go to `?::name`.
     """
-    targets = symbols.select("name", "id", F.col("path").alias("target_path")).distinct()
-    linked = import_edges(imports, files).select(F.col("src").alias("path"), F.col("dst").alias("target_path"), F.lit(True).alias("imported"))
-    pairs = calls_of(symbols).join(targets, "name", "left").join(linked, ["path", "target_path"], "left")
-    sure = (F.col("path") == F.col("target_path")) | F.coalesce("imported", F.lit(False))
-    weight = F.when(F.col("id").isNotNull() & F.coalesce(sure, F.lit(False)), 1.0).otherwise(0.5)
-    best = F.max("weight").over(Window.partitionBy("caller", "name"))
-    kept = pairs.select("caller", "name", "id", weight.alias("weight")).withColumn("best", best).where(F.col("weight") == F.col("best"))
-    return kept.groupBy(F.col("caller").alias("src"), F.coalesce("id", F.concat(F.lit("?::"), "name")).alias("dst")).agg(F.max("weight").alias("weight"))
+    linked = import_edges(imports, files).toDF("path", "other")
+    found = graph.resolve_callees_by(calls_of(symbols), symbols.select("name", "id", "path"), "path", linked)
+    return found.select(F.col("caller").alias("src"), F.col("target").alias("dst"), "weight")
 
 
 def name_edges(symbols: DataFrame) -> DataFrame:
@@ -71,7 +67,7 @@ def tests_edges(symbols: DataFrame) -> DataFrame:
 def edges(symbols: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
     """All edges: src, dst, type (CALLS, CONTAINS, IMPORTS, TESTS), weight; one row each."""
     typed = lambda df, kind: df.select("src", "dst", F.lit(kind).alias("type"), F.lit(1.0).alias("weight"))
-    contains = symbols.where("parent is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst")).distinct()
+    contains = graph.contains_edges([symbols.where("parent is not null").select(F.col("parent_id").alias("parent"), F.col("id").alias("child"))]).toDF("src", "dst")
     of_files = import_edges(imports, files).select(F.concat("src", F.lit("::__file__")).alias("src"), F.concat("dst", F.lit("::__file__")).alias("dst"))
     calls = call_edges(symbols, imports, files).select("src", "dst", F.lit("CALLS").alias("type"), "weight")
     return calls.unionByName(typed(contains, "CONTAINS")).unionByName(typed(of_files, "IMPORTS")).unionByName(typed(tests_edges(symbols), "TESTS"))

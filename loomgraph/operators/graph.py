@@ -4,7 +4,7 @@ traversals stage one table a level, so the plan stays as short at depth 50 as at
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
@@ -63,29 +63,53 @@ def change_impact(calls: DataFrame, changed: DataFrame, depth: int = 3, min_weig
     return reached.where("depth > 0").select("id", F.col("depth").alias("hop"), risk(F.col("depth")).alias("risk"))
 
 
+#: A node with over 1/HUB of all edges is a hub, so there are fewer than HUB of them.
+HUB = 1000
+#: Iterations that are one job, where none needs a number from the one before.
+AT_ONCE = 5
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame, *, damping: float = 0.85, iterations: int = 25) -> DataFrame:
     """(id, score) by fixed iterations from a uniform start; nodes without out-edges share their rank with all.
 
-    The edges are staged once with 1/out-degree. Without dangling nodes, five iterations are one job; with some, their
-    mass is one number an iteration.
+    Links and nodes are dealt once, by the same key, and kept; then only gains are shuffled, once an iteration. Links of hubs stay
+    where they are and meet the hubs' ranks by broadcast. The mass of nodes without out-edges is counted while their ranks are
+    written, one number an iteration. What is kept comes from staged tables, so it can be made again where an executor is lost.
     """
-    nodes = stage(nodes.select("id").distinct())
-    n = nodes.count()
+    spark = edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = stage(edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    nodes = stage(nodes.select("id").distinct().join(out, "id", "left"))
+    n, loose = nodes.agg(F.count(F.lit(1)), F.count(F.when(F.col("n").isNull(), 1))).first()
     if not n:
-        return nodes.withColumn("score", F.lit(0.0))
-    out = edges.groupBy("src").agg((1.0 / F.count(F.lit(1))).alias("share"))
-    links = stage(edges.select("src", "dst").join(out, "src"))
-    dangling = stage(nodes.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
-    loose = dangling.count()
-    ranks = nodes.withColumn("score", F.lit(1.0 / n))
+        return nodes.select("id", F.lit(0.0).alias("score"))
+    total = out.agg(F.sum("n")).first()[0] or 0
+    hubs = out.where(F.col("n") > max(total // HUB, 1)).select(F.col("id").alias("src"))
+    some_hubs = total > HUB and not hubs.isEmpty()
+    shared = edges.select("src", "dst").join(out.select(F.col("id").alias("src"), (1.0 / F.col("n")).alias("share")), "src")
+    if some_hubs:
+        of_hubs = stage(shared.join(F.broadcast(hubs), "src", "left_semi"))
+        shared = shared.join(F.broadcast(hubs), "src", "left_anti")
+    links = shared.repartition(parts, "src").persist()
+    nodes = nodes.select("id", F.col("n").isNull().alias("loose")).repartition(parts, "id").persist()
+    ranks, mass = nodes.select("id", "loose", F.lit(1.0 / n).alias("score")), loose / n
     for k in range(1, iterations + 1):
-        mass = ranks.join(dangling, "id", "left_semi").agg(F.sum("score")).first()[0] if loose else 0.0
-        gained = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("gain"))
+        gains = links.join(ranks, links["src"] == ranks["id"]).select("dst", (F.col("score") * F.col("share")).alias("gain"))
+        if some_hubs:
+            top = F.broadcast(ranks.select(F.col("id").alias("src"), "score").join(F.broadcast(hubs), "src", "left_semi"))
+            gains = gains.unionAll(of_hubs.join(top, "src").select("dst", (F.col("score") * F.col("share")).alias("gain")))
+        gained = gains.groupBy("dst").agg(F.sum("gain").alias("gain"))
         base = (1.0 - damping) / n + damping * mass / n
-        ranks = nodes.join(gained, nodes["id"] == gained["dst"], "left").select("id", (F.lit(base) + damping * F.coalesce("gain", F.lit(0.0))).alias("score"))
-        if loose or k % 5 == 0:
+        ranks = nodes.join(gained, nodes["id"] == gained["dst"], "left").select("id", "loose", (F.lit(base) + damping * F.coalesce("gain", F.lit(0.0))).alias("score"))
+        if loose:
+            seen = Observation()
+            ranks = stage(ranks.observe(seen, F.coalesce(F.sum(F.when(F.col("loose"), F.col("score"))), F.lit(0.0)).alias("mass")))
+            mass = seen.get["mass"]
+        elif k % AT_ONCE == 0 or k == iterations:
             ranks = stage(ranks)
-    return ranks
+    links.unpersist()
+    nodes.unpersist()
+    return ranks.select("id", "score")
 
 
 def resolve_callees(calls: DataFrame, symbols: DataFrame, confirmed: Column) -> DataFrame:
@@ -100,19 +124,25 @@ def resolve_callees(calls: DataFrame, symbols: DataFrame, confirmed: Column) ->
     return kept.groupBy("caller", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("?::"), "name")).alias("target")).agg(F.max("weight").alias("weight"))
 
 
-def resolve_callees_by(calls: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
-    """resolve_callees() where equal `key`s confirm: `calls` (caller, name, key) against `symbols` (name, id, key).
+def resolve_callees_by(calls: DataFrame, symbols: DataFrame, key: str, linked: DataFrame | None = None) -> DataFrame:
+    """resolve_callees() where equal `key`s confirm, or keys that `linked` (key, other) names for the caller's: `calls`
+    (caller, name, key) against `symbols` (name, id, key).
 
-    Only a caller's names without a confirmed target meet all symbols of the name.
+    What confirms is decided once for each name and key, however many callers these have; only a caller's names without a
+    confirmed target meet all symbols of the name.
     """
     calls, symbols = calls.select("caller", "name", key).distinct(), symbols.select("name", "id", key).distinct()
     known = symbols.where(F.col("id").isNotNull())
-    sure = calls.join(known, ["name", key]).select("caller", "name", "id", F.lit(1.0).alias("weight"))
-    hits = calls.join(known.select("name", key).distinct().withColumn("hit", F.lit(True)), ["name", key], "left")
-    loose = hits.groupBy("caller", "name").agg(F.max("hit").alias("hit")).where("hit is null").select("caller", "name")
+    asked = calls.select("name", key).distinct()
+    sure = asked.join(known, ["name", key])
+    if linked is not None:
+        near = asked.join(linked.select(F.col(linked.columns[0]).alias(key), F.col(linked.columns[1]).alias("_other")), key)
+        sure = sure.unionByName(near.join(known.withColumnRenamed(key, "_other"), ["name", "_other"]).select("name", key, "id")).distinct()
+    hits = calls.join(sure, ["name", key]).select("caller", "name", "id")
+    loose = calls.select("caller", "name").distinct().join(hits, ["caller", "name"], "left_anti")
     unsure = loose.join(symbols.select("name", "id").distinct(), "name", "left").select("caller", "name", "id", F.lit(0.5).alias("weight"))
     target = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("?::"), "name")).alias("target")
-    return sure.unionByName(unsure).groupBy("caller", target).agg(F.max("weight").alias("weight"))
+    return hits.withColumn("weight", F.lit(1.0)).unionByName(unsure).groupBy("caller", target).agg(F.max("weight").alias("weight"))
 
 
 def resolve_ranked(symbols: DataFrame, name: str, *, hints: list[Column], limit: int = 10) -> DataFrame:
@@ -147,13 +177,21 @@ def hot_paths(symbols: DataFrame, calls: DataFrame, top_n: int = 10) -> DataFram
     return scored.withColumn("score", F.col("complexity") * F.col("callers")).orderBy(F.col("score").desc(), "id").limit(top_n)
 
 
+def numbered(names: DataFrame) -> DataFrame:
+    """(name, no) of distinct names in their order, from 0: by ranges of names, each in its task, and how many stand before."""
+    ranges = stage(names.repartitionByRange("name").withColumn("part", F.spark_partition_id()))
+    # a row a range
+    sizes = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1
+    return ranges.withColumn("place", place).join(F.broadcast(before), "part").select("name", (F.col("before") + F.col("place")).alias("no"))
+
+
 def dependency_graph(imports: DataFrame) -> DataFrame:
     """Distinct edges with both ends numbered by name, as a diagram needs them: src, src_no, dst, dst_no."""
     edges = imports.select("src", "dst").distinct()
-    names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
-    # numbers of a drawn graph: one per file of the diagram
-    numbered = names.withColumn("no", (F.row_number().over(Window.orderBy("name")) - 1).cast("long"))
-    return edges.join(numbered.toDF("src", "src_no"), "src").join(numbered.toDF("dst", "dst_no"), "dst").select("src", "src_no", "dst", "dst_no")
+    named = stage(numbered(edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()))
+    return edges.join(named.toDF("src", "src_no"), "src").join(named.toDF("dst", "dst_no"), "dst").select("src", "src_no", "dst", "dst_no")
 
 
 def contains_edges(levels: list[DataFrame]) -> DataFrame:

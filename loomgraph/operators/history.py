@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
+#: Paths of a commit, or of a block of one, that are paired at once.
+WIDE = 1000
+
 
 def churn(commits: DataFrame, existing: DataFrame | None = None, *, since: Column | None = None, top_n: int = 20) -> DataFrame:
     """(path, commits, additions, deletions), most commits first; only paths of `existing` (path), if given."""
@@ -17,6 +22,22 @@ def churn(commits: DataFrame, existing: DataFrame | None = None, *, since: Colum
     return counted.orderBy(F.col("commits").desc(), "path").limit(top_n)
 
 
+def _pairs(each: DataFrame) -> DataFrame:
+    """(a, b) with a < b for each two paths of a commit. A commit of over WIDE paths is cut into blocks of about WIDE, and
+    each two blocks meet by themselves, so no task has more than WIDE times WIDE pairs of a commit.
+    """
+    both = lambda left, right, keys: left.withColumnRenamed("path", "a").join(right.withColumnRenamed("path", "b"), keys)
+    wide = stage(each.groupBy("commit").agg(F.ceil(F.count(F.lit(1)) / F.lit(WIDE)).cast("int").alias("blocks")).where("blocks > 1"))
+    if wide.isEmpty():
+        return both(each, each, "commit").where("a < b").select("a", "b")
+    plain = each.join(wide, "commit", "left_anti")
+    cut = each.join(wide, "commit").withColumn("at", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    left = cut.select("commit", "path", F.col("at").alias("s"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("t"))
+    right = cut.select("commit", "path", F.explode(F.sequence(F.lit(0), "at")).alias("s"), F.col("at").alias("t"))
+    met = both(left, right, ["commit", "s", "t"]).where("s < t and a <> b or s = t and a < b")
+    return both(plain, plain, "commit").where("a < b").select("a", "b").unionAll(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def coupling(commits: DataFrame, *, path: object = None, min_commits: int = 3, top_n: int | None = None, most_paths: int | None = None) -> DataFrame:
     """Paths changed together: (a, b, co_commits, ratio), a < b; ratio is to the larger of both commit counts.
 
@@ -27,14 +48,15 @@ def coupling(commits: DataFrame, *, path: object = None, min_commits: int = 3, t
     if most_paths is not None:
         wide = each.groupBy("commit").count().where(F.col("count") > most_paths)
         each = each.join(wide, "commit", "left_anti")
-    counts = each.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    left, right = each.toDF("commit", "a"), each.toDF("commit", "b")
-    if path is not None:
-        touching = each.where(F.col("path") == path).select("commit")
-        left, right = left.join(touching, "commit", "left_semi"), right.join(touching, "commit", "left_semi")
-    pairs = left.join(right, "commit").where(F.col("a") < F.col("b"))
+    counts = stage(each.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_commits))
+    # a path with fewer commits has no pair with enough
+    each = each.join(counts.select("path"), "path", "left_semi")
     if path is not None:
-        pairs = pairs.where((F.col("a") == path) | (F.col("b") == path))
+        own = each.where(F.col("path") == path).select("commit")
+        others = each.where(F.col("path") != path).join(own, "commit", "left_semi").select("path")
+        pairs = others.select(F.least("path", F.lit(path)).alias("a"), F.greatest("path", F.lit(path)).alias("b"))
+    else:
+        pairs = _pairs(stage(each))
     together = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("co_commits")).where(F.col("co_commits") >= min_commits)
     rated = together.join(counts.toDF("a", "a_n"), "a").join(counts.toDF("b", "b_n"), "b")
     rated = rated.select("a", "b", "co_commits", F.round(F.col("co_commits") / F.greatest("a_n", "b_n"), 4).alias("ratio"))

@@ -13,6 +13,21 @@ FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 BRANCHES = {ast.For: "for", ast.AsyncFor: "for", ast.While: "while", ast.ExceptHandler: "except", ast.With: "with", ast.AsyncWith: "with"}
 
 
+class Text:
+    """The text of a node by its position, without cutting the file into lines for each."""
+
+    def __init__(self, source: str):
+        self._raw = source.encode()
+        self._starts = [0]
+        for line in re.split(rb"(?<=\n)|(?<=\r)(?!\n)", self._raw):
+            self._starts.append(self._starts[-1] + len(line))
+
+    def __call__(self, node: ast.AST) -> str:
+        if getattr(node, "end_lineno", None) is None:
+            return ""
+        return self._raw[self._starts[node.lineno - 1] + node.col_offset : self._starts[node.end_lineno - 1] + node.end_col_offset].decode()
+
+
 def parse(source: str) -> Parsed:
     out = Parsed(occurrences=[(t.text, t.line, t.column) for t in tokens(source, "python") if t.kind == "name" and t.text not in KEYWORDS["python"]])
     try:
@@ -21,17 +36,17 @@ def parse(source: str) -> Parsed:
         out.has_errors = True
         return _headers(source, out)
     lines = source.split("\n")
-    text = lambda node: ast.get_source_segment(source, node) or ""
+    text = Text(source)
     for node in tree.body:
         if isinstance(node, (ast.Import, ast.ImportFrom)):
             out.imports.append((node.lineno, text(node)))
         if isinstance(node, FUNCTIONS):
-            out.symbols.append(_function(node, None, source, lines))
+            out.symbols.append(_function(node, None, text, lines))
         elif isinstance(node, ast.ClassDef):
-            out.symbols.append(_symbol(node, "class", None, source))
+            out.symbols.append(_symbol(node, "class", None, text))
     for node in ast.walk(tree):
         if isinstance(node, ast.ClassDef):
-            out.symbols += [_function(f, node.name, source, lines) for f in node.body if isinstance(f, FUNCTIONS)]
+            out.symbols += [_function(f, node.name, text, lines) for f in node.body if isinstance(f, FUNCTIONS)]
     seen: dict[tuple[str, int], Symbol] = {}
     for s in out.symbols:
         seen.setdefault((s.name, s.line), s)
@@ -39,19 +54,18 @@ def parse(source: str) -> Parsed:
     return out
 
 
-def _symbol(node: ast.AST, kind: str, parent: str | None, source: str, params: str = "") -> Symbol:
+def _symbol(node: ast.AST, kind: str, parent: str | None, text: Text, params: str = "") -> Symbol:
     doc = next((x.strip() for x in (ast.get_docstring(node) or "").splitlines() if x.strip()), "")
-    return Symbol(node.name, kind, parent, node.lineno, node.end_lineno, params, doc, ast.get_source_segment(source, node) or "")
+    return Symbol(node.name, kind, parent, node.lineno, node.end_lineno, params, doc, text(node))
 
 
-def _function(node: ast.FunctionDef | ast.AsyncFunctionDef, parent: str | None, source: str, lines: list[str]) -> Symbol:
-    own = ast.get_source_segment(source, node) or ""
+def _function(node: ast.FunctionDef | ast.AsyncFunctionDef, parent: str | None, text: Text, lines: list[str]) -> Symbol:
+    own = text(node)
     code = [t for t in tokens(own, "python") if t.kind != "comment"]
     pairs, _ = matches(code)
     at = next((i for i, t in enumerate(code) if t.text == "(" and t.kind == "op"), None)
     params = own[code[at].at : code[pairs[at]].at + 1] if at is not None else "()"
-    s = _symbol(node, "method" if parent else "function", parent, source, params)
-    text = lambda n: ast.get_source_segment(source, n) or ""
+    s = _symbol(node, "method" if parent else "function", parent, text, params)
     calls, counts, known = set(), {}, set()
 
     def count(label: str, n: int = 1) -> None:
@@ -121,3 +135,22 @@ def _headers(source: str, out: Parsed) -> Parsed:
         elif re.match(r"(?:import|from)\s", line):
             out.imports.append((number, line.rstrip()))
     return out
+
+
+def tree(source: str, max_depth: int = -1, line: int | None = None) -> str | None:
+    """The syntax tree as nested (type [line:column-line:column] ...), of the whole text or of what is defined on a line; None if it doesn't parse."""
+    try:
+        root = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+    if line is not None:
+        root = next((n for n in ast.walk(root) if isinstance(n, (*FUNCTIONS, ast.ClassDef)) and n.lineno == line), root)
+
+    def show(node: ast.AST, depth: int) -> str:
+        where = f" [{node.lineno}:{node.col_offset}-{node.end_lineno}:{node.end_col_offset}]" if hasattr(node, "lineno") else ""
+        below = list(ast.iter_child_nodes(node))
+        if below and depth == max_depth:
+            return f"({type(node).__name__}{where} ...)"
+        return f"({type(node).__name__}{where}{''.join(' ' + show(b, depth + 1) for b in below)})"
+
+    return show(root, 0)

@@ -132,6 +132,21 @@ def read(spark: SparkSession, root: str, paths: DataFrame | None = None) -> Data
     return paths.mapInArrow(run, PARSED_KIND)
 
 
+def parse(texts: DataFrame) -> DataFrame:
+    """The same rows for files that are a table already: texts has path and source, and paths are as from a root."""
+    ship(texts.sparkSession)
+    added = added_languages()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        know_languages(added)
+        for batch in batches:
+            rows = [parsed_row(path, source.encode(), None) for path, source in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist())]
+            for at in range(0, len(rows), FILES_PER_TASK):
+                yield pa.RecordBatch.from_pylist(rows[at : at + FILES_PER_TASK], schema=_PARSED)
+
+    return texts.where("source is not null").select("path", "source").mapInArrow(run, PARSED_KIND)
+
+
 # The tables of a repository, all from one staged table of parsed files
 
 

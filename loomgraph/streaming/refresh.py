@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.lists import LANGUAGES
-from ..operators.store import Versions
+from ..operators.store import Conflict, Versions, upsert
 from ..sources import files as source_files
 from ..staging import stage
 
@@ -28,11 +28,16 @@ def apply_paths(versions: Versions, root: str, changed: DataFrame) -> int:
     inside = [n for n in names if not os.path.isabs(n) and ".." not in n.split("/") and not any(map(source_files.skipped, n.split("/"))) and n.rpartition(".")[2] in LANGUAGES]
     there = [(n, datetime.fromtimestamp(os.stat(os.path.join(root, n)).st_mtime, timezone.utc)) for n in inside if os.path.isfile(os.path.join(root, n)) and not os.path.islink(os.path.join(root, n))]
     fresh = stage(source_files.read(spark, root, spark.createDataFrame(there, "path string, mtime timestamp")))
-    if not versions.last():
-        return versions.publish({"parsed": fresh})
-    touched = spark.createDataFrame([(n,) for n in inside], "path string")
-    kept = versions.read("parsed").join(touched, "path", "left_anti")
-    return versions.publish({"parsed": kept.unionByName(fresh)})
+    gone = spark.createDataFrame([(n,) for n in inside], "path string")
+    while True:
+        base = versions.last()
+        try:
+            if not base:
+                return versions.publish({"parsed": fresh}, base)
+            kept = versions.read("parsed", base).join(gone, "path", "left_anti")
+            return versions.publish({"parsed": upsert(kept, fresh, ["path"])}, base)
+        except Conflict:  # another writer was first: these files once more, on top of its version
+            continue
 
 
 def refresh_stream(events: DataFrame, root: str, store_dir: str, checkpoint: str, **trigger) -> StreamingQuery:
