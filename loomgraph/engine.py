@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import cached_property
 from pathlib import PurePosixPath
 
@@ -35,30 +36,59 @@ def checked(path: str | None) -> str | None:
 
 
 class Engine:
-    """Tables of one repository. `refresh` reads what has changed since; with a `store` folder they outlive the session."""
+    """Tables of one repository. `refresh` reads what has changed since; with a `store` folder they outlive the session.
+
+    Of two writers to a store that start from the same version, one gets store.Conflict and its tables are not seen.
+    """
 
     def __init__(self, spark: SparkSession, root: str, store_dir: str | None = None):
         self.spark, self.root = spark, root
         self._versions = store.Versions(spark, store_dir) if store_dir else None
-        if self._versions and self._versions.last():
-            self.parsed = self._versions.read("parsed")
+        self._version = self._versions.last() if self._versions else 0
+        self._meta: dict[str, str] = {}
+        if self._version:
+            self.parsed = self._versions.read("parsed", self._version)
             self.refresh()
         else:
             self._publish(stage(source_files.read(spark, root)))
 
+    @classmethod
+    def over(cls, texts: DataFrame) -> Engine:
+        """The questions about files that are a table already: path and source. It has no folder to refresh from and no history."""
+        engine = cls.__new__(cls)
+        engine.spark, engine.root, engine._versions, engine._version, engine._meta = texts.sparkSession, None, None, 0, {}
+        engine._publish(stage(source_files.parse(texts)))
+        return engine
+
     def _publish(self, parsed: DataFrame) -> None:
         self.parsed = parsed
         if self._versions:
-            self._versions.publish({"parsed": parsed})
-            self.parsed = self._versions.read("parsed")
+            self._version = self._versions.publish({"parsed": parsed}, self._version)
+            self.parsed = self._versions.read("parsed", self._version)
+        self.set_meta("last_indexed_at", datetime.now(timezone.utc).isoformat(timespec="seconds"))
         for name in ("files", "symbols", "occurrences", "imports", "edges", "calls", "name_calls"):
             self.__dict__.pop(name, None)
 
-    def refresh(self) -> dict[str, int]:
-        """Parse the files whose time of change or content differs; all else is kept, edges are derived anew."""
+    def get_meta(self, key: str, default: str | None = None) -> str | None:
+        """What set_meta() has kept under a key, in the store if there is one."""
+        return (self._versions.get_meta(key) if self._versions else self._meta.get(key)) or default
+
+    def set_meta(self, key: str, value: str) -> None:
+        if self._versions:
+            self._versions.set_meta(key, value)
+        else:
+            self._meta[key] = value
+
+    def refresh(self, full: bool = False) -> dict[str, int]:
+        """Parse the files whose time of change differs; all else is kept, edges are derived anew.
+
+        Files whose content has changed and whose time has not are seen only if `full`, which reads all and goes by their hashes.
+        """
         listed = source_files.listing(self.root)
         now = self.spark.createDataFrame(listed, "path string, mtime timestamp")
         same = now.join(self.parsed.select("path", "mtime"), ["path", "mtime"], "left_semi")
+        if full:
+            same = same.limit(0)
         touched = stage(now.join(same, "path", "left_anti"))
         fresh = stage(source_files.read(self.spark, self.root, touched))
         keys = lambda df: df.select(F.col("path").alias("key"), F.col("sha256").alias("hash"))
@@ -160,27 +190,27 @@ class Engine:
     def get_variables(self, file_path: str, function_name: str) -> DataFrame:
         return self._first(file_path, function_name).select(F.inline("variables"))
 
-    def get_ast(self, file_path: str, symbol_name: str | None = None, max_depth: int = -1) -> str:
-        """The syntax tree of a Python file or symbol as nested (type [line:column-line:column] ...), of others as nested tokens."""
-        import ast
+    def get_ast(self, file_path: str, symbol_name: str | None = None, max_depth: int = -1, in_file: bool = False) -> str:
+        """The syntax tree of a Python file or symbol as nested (type [line:column-line:column] ...), of others as nested tokens.
 
+        A symbol is a tree of its own with positions in its own text, or, with `in_file`, its part of the file's tree. Python
+        that doesn't parse is shown as nested tokens, too; the files' has_errors says so.
+        """
         from .functions.lists import LANGUAGES
         from .parse.lexer import nested
+        from .parse.python_source import tree
 
-        rows = self.get_symbol(file_path, symbol_name).collect() if symbol_name else self.parsed.where(F.col("path") == checked(file_path)).select("source").collect()
-        if not rows:
+        symbols = self.get_symbol(file_path, symbol_name).collect() if symbol_name else []
+        files = self.parsed.where(F.col("path") == checked(file_path)).select("source").collect() if in_file or not symbol_name else []
+        if symbol_name and not symbols or not symbols and not files:
             return ""
-        if not file_path.endswith(".py"):
-            return nested(rows[0]["source"], LANGUAGES[file_path.rpartition(".")[2]], max_depth)
-
-        def show(node: ast.AST, depth: int) -> str:
-            where = f" [{node.lineno}:{node.col_offset}-{node.end_lineno}:{node.end_col_offset}]" if hasattr(node, "lineno") else ""
-            below = list(ast.iter_child_nodes(node))
-            if below and depth == max_depth:
-                return f"({type(node).__name__}{where} ...)"
-            return f"({type(node).__name__}{where}{''.join(' ' + show(b, depth + 1) for b in below)})"
-
-        return show(ast.parse(rows[0]["source"]), 0)
+        source = files[0]["source"] if files else symbols[0]["source"]
+        language = LANGUAGES[file_path.rpartition(".")[2]]
+        if language == "python":
+            found = tree(source, max_depth, symbols[0]["line"] if symbols and in_file else None)
+            if found is not None:
+                return found
+        return nested(symbols[0]["source"] if symbols else source, language, max_depth)
 
     def search_symbols(self, query: str | None = None, type: str | None = None, parent: str | None = None, has_doc: bool | None = None, min_complexity: int | None = None, language: str | None = None) -> DataFrame:
         out = self.symbols
@@ -207,13 +237,15 @@ class Engine:
         return text.dead(own.select("path", "line", "kind", "parent", "name"), self.occurrences.select("name", "path", "line")).orderBy("path", "line")
 
     def detect_clones(self, file_path: str | None = None, min_lines: int = 5) -> DataFrame:
-        """Functions whose text is equal but for names, literals and comments: clone (its group), path, name, line, line_count."""
-        own = self._functions().where((F.col("line_count") >= min_lines) & F.col("norm").isNotNull()).withColumn("clone", F.sha2("norm", 256))
-        keep = F.count(F.lit(1)) >= 2
-        groups = own.groupBy("clone").agg(keep.alias("keep"), F.bool_or(F.col("path") == (checked(file_path) or "")).alias("has")).where("keep")
-        if file_path:
-            groups = groups.where("has")
-        return own.join(groups.select("clone"), "clone", "left_semi").select("clone", "path", "name", "line", "line_count").orderBy("clone", "path", "line")
+        """Functions whose text is equal but for names, literals and comments: clone (its group), path, name, line, line_count.
+
+        Groups are in order of their first function, by path and line.
+        """
+        own = self._functions().where((F.col("line_count") >= min_lines) & F.col("norm").isNotNull())
+        has = F.bool_or(F.col("path") == checked(file_path)) if file_path else None
+        groups = text.clone_groups(own.select(F.struct("path", "line").alias("id"), "norm", "path"), F.col("norm"), having=has)
+        members = own.withColumn("clone", F.sha2("norm", 256)).join(groups.select(F.col("hash").alias("clone"), "first_id"), "clone")
+        return members.orderBy("first_id", "path", "line").select("clone", "path", "name", "line", "line_count")
 
     def find_tests(self, file_path: str, symbol_name: str) -> DataFrame:
         """Tests of a symbol by score: 3 for a use in the body, 2 for the name in the test's, 1 for the file's name."""
@@ -225,12 +257,13 @@ class Engine:
         inside = candidates.select("path", "name", "line", "end_line").join(uses, "path").where(F.col("use").between(F.col("line"), F.col("end_line"))).select("path", "name", "line", F.lit(3).alias("used")).distinct()
         file_stem = build.stem(F.col("path"))
         by_file = file_stem.isin(f"test_{stem}", f"{stem}_test") | (F.regexp_replace(file_stem, r"\.(test|spec)$", "") == stem)
-        scored = candidates.select("path", "name", "kind", "line").join(inside, ["path", "name", "line"], "left").withColumn(
-            "score", F.coalesce("used", F.lit(0)) + F.when(F.lower("name").contains(symbol_name.lower()), 2).otherwise(0) + F.when(by_file, 1).otherwise(0)
-        )
+        marks = [(F.col("used").isNotNull(), 3, "references symbol"), (F.lower("name").contains(symbol_name.lower()), 2, "name match"), (by_file, 1, "file match")]
+        score = sum((F.when(mark, points).otherwise(0) for mark, points, _ in marks), F.lit(0))
+        reason = F.concat_ws(", ", *[F.when(mark, said) for mark, _, said in marks])
+        scored = candidates.select("path", "name", "kind", "line").join(inside, ["path", "name", "line"], "left").withColumns({"score": score, "reason": reason})
         best = Window.partitionBy("path", "name").orderBy(F.col("score").desc(), "line")
         ranked = scored.where("score > 0").withColumn("r", F.row_number().over(best)).where("r = 1")
-        return ranked.select("path", "name", "line", "score").orderBy(F.col("score").desc(), "path", "line")
+        return ranked.select("path", "name", "line", "score", "reason").orderBy(F.col("score").desc(), "path", "line")
 
     def suggest_docs(self, file_path: str | None = None, symbol_name: str | None = None) -> DataFrame:
         """Functions without a description, with what they call, what calls them and their variables."""
@@ -242,21 +275,42 @@ class Engine:
     # Graph
 
     def get_blast_radius(self, file_path: str, symbol_name: str) -> DataFrame:
-        """All that reaches a symbol or is reached from it by calls of names: role, path, name, depth."""
+        """All that reaches a symbol or is reached from it by calls of names: role, path, name, depth, and the first line of the name in the file."""
         seed = self.spark.createDataFrame([(f"{checked(file_path)}::{symbol_name}",)], "id string")
         known = self.name_calls.where(~F.col("dst").startswith("?::"))
         named = lambda df, role: df.where("depth > 0").select(F.lit(role).alias("role"), F.split_part("id", F.lit("::"), F.lit(1)).alias("path"), F.split_part("id", F.lit("::"), F.lit(2)).alias("name"), "depth")
-        return named(graph.bfs(graph.reverse(known), seed), "caller").unionByName(named(graph.bfs(known, seed), "dependency")).orderBy("role", "depth", "path", "name")
+        reached = named(graph.bfs(graph.reverse(known), seed), "caller").unionByName(named(graph.bfs(known, seed), "dependency"))
+        lines = self.symbols.groupBy("path", "name").agg(F.min("line").alias("line"))
+        return reached.join(lines, ["path", "name"], "left").select("role", "path", "name", "depth", "line").orderBy("role", "depth", "path", "name")
 
-    def get_change_impact(self, symbol_query: str | None = None, diff_scope: str | None = None, depth: int = 3, min_weight: float | None = None) -> DataFrame:
-        """What calls the changed symbols, within `depth` calls: id, hop, risk, is_test. Tests of them have hop 0 at least."""
+    def _changed(self, symbol_query: str | None, diff_scope: str | None) -> DataFrame:
+        """The symbols that a change is about: those of the files that git names, or those of a name that are no tests."""
         plain = build.latest_symbols(self.symbols)
         if diff_scope:
             paths = gitlog.changed_paths(self.root, diff_scope)
-            seeds = plain.where(F.col("path").isin(*paths) if paths else F.lit(False))
-        else:
-            seeds = plain.where((F.col("name") == symbol_query) & ~F.col("is_test"))
-        seeds = seeds.select("id", "name")
+            return plain.where(F.col("path").isin(*paths) if paths else F.lit(False))
+        return plain.where((F.col("name") == symbol_query) & ~F.col("is_test"))
+
+    def change_impact_report(self, symbol_query: str | None = None, diff_scope: str | None = None, depth: int = 3) -> dict:
+        """changed_symbols, impact by risk, affected_tests, each symbol with qualified_name, name, file, line and hop."""
+        changed = self._changed(symbol_query, diff_scope).select("id", "name", "path").orderBy("id").collect()
+        known = build.latest_symbols(self.symbols).select("id", "name", "line")
+        rows = self.get_change_impact(symbol_query, diff_scope, depth).join(known, "id").orderBy("hop", "id").collect()
+        entry = lambda r: {"qualified_name": r["id"], "name": r["name"], "file": r["path"], "line": r["line"], "hop": r["hop"]}
+        impact: dict[str, list] = {}
+        for r in rows:
+            if not r["is_test"]:
+                impact.setdefault(r["risk"], []).append(entry(r))
+        return {
+            "changed_symbols": [{"qualified_name": r["id"], "name": r["name"], "file": r["path"]} for r in changed],
+            "impact": impact,
+            "affected_tests": [entry(r) for r in rows if r["is_test"]],
+        }
+
+    def get_change_impact(self, symbol_query: str | None = None, diff_scope: str | None = None, depth: int = 3, min_weight: float | None = None) -> DataFrame:
+        """What calls the changed symbols, within `depth` calls: id, hop, risk, is_test. Tests of them have hop 0 at least."""
+        seeds = self._changed(symbol_query, diff_scope).select("id", "name")
+        plain = build.latest_symbols(self.symbols)
         calls = self.calls if min_weight is None else self.calls.where(F.col("weight") >= min_weight)
         loose = calls.where(F.col("dst").startswith("?::")).withColumn("name", F.substring("dst", 4, 10_000)).join(seeds, "name").select("src", F.col("id").alias("dst"))
         reached = graph.change_impact(calls.select("src", "dst").union(loose), seeds.select("id"), depth)
@@ -283,6 +337,10 @@ class Engine:
             "stats": self.index_status(),
         }
 
+    def last_indexed_at(self) -> str | None:
+        """When the tables were last written, in UTC."""
+        return self.get_meta("last_indexed_at")
+
     def index_status(self) -> dict:
         return {"files": self.files.count(), "symbols": self.symbols.select("id").distinct().count(), "edges": self.edges.count(), "graph_exists": True}
 
@@ -308,6 +366,19 @@ class Engine:
             rows = rows.join(self.edges.where(F.col("type") == relationship).select(F.col(end).alias("id")), "id", "left_semi")
         return graph.search_page(rows, self.edges, min_degree=min_degree, max_degree=max_degree, limit=limit, offset=offset)
 
+    def search_graph_report(self, limit: int = 10, offset: int = 0, **filters) -> dict:
+        """total, limit, offset, has_more and the results of one page of search_graph()."""
+        page = self.search_graph(limit=limit, offset=offset, **filters).collect()
+        total = page[0]["total"] if page else self.search_graph(limit=1, **filters).select("total").first()
+        total = total if isinstance(total, int) else total["total"] if total else 0
+        results = [{"qualified_name": r["id"], "name": r["name"], "kind": r["kind"], "file_path": r["path"], "start_line": r["line"], "in_degree": r["in_degree"], "out_degree": r["out_degree"]} for r in page]
+        return {"total": total, "limit": limit, "offset": offset, "has_more": offset + limit < total, "results": results}
+
+    def resolve_report(self, query: str, **options) -> dict:
+        """query, and its matches as resolve_symbol() ranks them."""
+        rows = self.resolve_symbol(query, **options).collect()
+        return {"query": query, "matches": [{"qualified_name": r["id"], "name": r["id"].rpartition("::")[2].rpartition(".")[2], "kind": r["kind"], "file": r["path"], "line": r["line"], "is_test": r["is_test"]} for r in rows]}
+
     def find_hot_paths(self, top_n: int = 10) -> DataFrame:
         functions = build.latest_symbols(self.symbols).where(F.col("kind").isin("function", "method") & ~F.col("is_test"))
         hot = graph.hot_paths(functions.select("id", "complexity"), self.calls.select("src", "dst"), top_n)

@@ -70,6 +70,48 @@ def references(df: DataFrame, name: str) -> str:
     return "\n".join([f"References to '{name}':", *(f"  {r['path']}:{r['line']}" for r in rows)]) if rows else f"No references found for '{name}'"
 
 
+def call_graph(df: DataFrame, name: str) -> str:
+    rows = df.collect()
+    out = [f"Call graph for '{name}':"]
+    for role, heading, none, mark in (("callee", "calls", "(nothing detected)", ARROW), ("caller", "is called by", "(no callers found)", "←")):
+        own = [r for r in rows if r["role"] == role]
+        out.append(f"\n  {name} {heading}:" + ("" if own else f" {none}"))
+        out += [f"    {mark} " + (r["name"] if role == "callee" else f"{r['path']}:{r['line']}") for r in own]
+    return "\n".join(out)
+
+
+def imports(df: DataFrame, path: str) -> str:
+    rows = df.collect()
+    return "\n".join([f"Imports in {path}:", *(f"  {r['line']}: {r['text']}" for r in rows)]) if rows else f"No imports found in {path}"
+
+
+def search(df: DataFrame, compact: bool = False, **filters) -> str:
+    """Found symbols; where there are none, the filters that were given."""
+    rows = df.collect()
+    if not rows:
+        given = [f'{k}="{v}"' if isinstance(v, str) else f"{k}={v}" for k, v in filters.items() if v is not None and v != ""]
+        return f"No symbols found matching {', '.join(given) or 'criteria'}."
+    if compact:
+        out = []
+        for r in rows:
+            head = f".{r['name']}{(r['params'] or '').replace(', ', ',')}" if r["parent"] else f"{SHORT_KINDS.get(r['kind'], r['kind'][:3])} {r['name']}"
+            out.append(f"{r['path']}:{head}:{r['line']}" + (f" # {r['doc']}" if r["doc"] else ""))
+        return "\n".join([*out, f"\n{len(rows)} results"])
+    out = ["Search results:"]
+    for r in rows:
+        out.append(f"  {r['path']}: {r['kind']} {r['name']}{' (in ' + r['parent'] + ')' if r['parent'] else ''} {ARROW} line {r['line']}")
+        out += [f'    "{r["doc"]}"'] if r["doc"] else []
+    return "\n".join([*out, f"\nFound {_plural(len(rows), 'symbol')}"])
+
+
+def tests(df: DataFrame, path: str, name: str) -> str:
+    rows = df.collect()
+    if not rows:
+        return f"No tests found for '{name}' in {path}."
+    lines = [f"  {r['path']}: {r['name']}() {ARROW} line {r['line']}  ({r['reason']})" for r in rows]
+    return "\n".join([f"Tests for {name}() in {path}:", *lines, f"\nFound {_plural(len(rows), 'test')}"])
+
+
 def complexity(df: DataFrame) -> str:
     rows = df.collect()
     if not rows:
@@ -90,15 +132,17 @@ def dead_code(df: DataFrame) -> str:
     return "\n".join([*out, "", f"{_plural(len(rows), 'dead symbol')} in {_plural(files, 'file')}"])
 
 
-def blast_radius(df: DataFrame, name: str) -> str:
+def blast_radius(df: DataFrame, name: str, lines: bool = False) -> str:
+    """Callers by depth, then dependencies; each with the line it is defined on, if asked for."""
     rows = df.collect()
     callers, needs = [r for r in rows if r["role"] == "caller"], [r for r in rows if r["role"] == "dependency"]
+    placed = lambda r: f"  {r['path']}: {r['name']}()" + (f" {ARROW} line {r['line']}" if lines else "")
     out = [f"Blast radius of '{name}':"]
     for depth, own in groupby(callers, key=lambda r: r["depth"]):
         out.append("Direct callers:" if depth == 1 else f"Indirect callers (depth {depth}):")
-        out += [f"  {r['path']}: {r['name']}()" for r in own]
+        out += map(placed, own)
     if needs:
-        out += ["Dependencies:", *(f"  {r['path']}: {r['name']}()" for r in needs)]
+        out += ["Dependencies:", *map(placed, needs)]
     return "\n".join([*out, f"{_plural(len(callers), 'affected function')} in {_plural(len({r['path'] for r in callers}), 'file')}"])
 
 
