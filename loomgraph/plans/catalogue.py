@@ -1,6 +1,6 @@
 """All named queries over the driver tables, each with the SQL that must give the same rows."""
 
-from . import graph_queries, table_queries, text_queries
+from . import code_queries, graph_queries, table_queries, text_queries
 
-QUERIES = {**graph_queries.QUERIES, **table_queries.QUERIES, **text_queries.QUERIES}
-ORACLES = {**graph_queries.ORACLES, **table_queries.ORACLES, **text_queries.ORACLES}
+QUERIES = {**code_queries.QUERIES, **graph_queries.QUERIES, **table_queries.QUERIES, **text_queries.QUERIES}
+ORACLES = {**code_queries.ORACLES, **graph_queries.ORACLES, **table_queries.ORACLES, **text_queries.ORACLES}
