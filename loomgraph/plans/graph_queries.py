@@ -69,7 +69,7 @@ def blast_radius_deps(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CHANGED = "SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_name = (SELECT min(p_name) FROM part) AND p_size <= 10"
-_IMPACT = _reach("in", _CHANGED, 2) + ", hops AS (SELECT id, min(depth) AS hop FROM reach GROUP BY id)"
+_IMPACT = _reach("in", _CHANGED, 3) + ", hops AS (SELECT id, min(depth) AS hop FROM reach GROUP BY id)"
 
 
 def _changed(spark: SparkSession, d: str) -> DataFrame:
@@ -80,14 +80,12 @@ def _changed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_IMPACT + " SELECT id, hop, CASE hop WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM hops WHERE hop > 0")
 def change_impact(spark: SparkSession, d: str) -> DataFrame:
-    """At the operator's depth of three hops. The SQL ends at two, so it has no MEDIUM."""
     return graph.change_impact(stage(part_graph(spark, d)), _changed(spark, d))
 
 
 @query(_IMPACT + " SELECT id, hop, quality FROM hops JOIN labels ON doc_id = id WHERE hop > 0")
 def change_impact_tests(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    """Like change_impact; its SQL ends at two hops, too."""
     return graph.change_impact(stage(part_graph(spark, d)), _changed(spark, d)).join(labels, "id").select("id", "hop", "quality")
 
 
@@ -112,9 +110,8 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(stage(part_graph(spark, d)), parts(spark, d).select("id")).select("id", F.round("score", 6).alias("score"))
 
 
-@query(_pagerank("pgr", 10))
+@query(_pagerank("pgr", 25))
 def pagerank_dangling(spark: SparkSession, d: str) -> DataFrame:
-    """At the operator's 25 iterations. The SQL stops after 10, so its scores are those of an earlier step."""
     return graph.pagerank(stage(returned_graph(spark, d)), parts(spark, d).select("id")).select("id", F.round("score", 6).alias("score"))
 
 
@@ -188,7 +185,7 @@ def contains_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CALLS = """calls AS (
-  SELECT DISTINCT o_custkey AS caller, p_name AS name, p_brand AS brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 50 = 1
+  SELECT DISTINCT o_custkey AS caller, p_name AS name, p_brand AS brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
 )"""
 
 
@@ -200,10 +197,7 @@ _CALLS = """calls AS (
     SELECT caller, coalesce(id::VARCHAR, '?::' || name) AS target, max(weight) AS weight FROM best WHERE weight = best GROUP BY ALL"""
 )
 def resolve_weighted(spark: SparkSession, d: str) -> DataFrame:
-    """Customers' orders, all of them, call parts by name; a candidate of the same brand is confirmed.
-
-    The SQL still looks at one order in fifty only (o_orderkey % 50 = 1), so on whole tables it has fewer rows.
-    """
+    """Customers' orders, all of them, call parts by name; a candidate of the same brand is confirmed."""
     part = table(spark, d, "part")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     calls = table(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("p_partkey") == F.col("l_partkey"))

@@ -106,9 +106,6 @@ def dead_with_residual(spark: SparkSession, d: str) -> DataFrame:
     return text.dead(symbols, uses).select("p_partkey", F.col("name").alias("p_name"), F.col("path").alias("p_brand"))
 
 
-_FIRST = "string_split(text, ' ')[1:6]"
-
-
 #: Words of an item that find its documents; the rest is verified.
 OPENING = 13
 
@@ -123,8 +120,6 @@ def _needles(spark: SparkSession, d: str) -> DataFrame:
 def _holders(spark: SparkSession, d: str) -> DataFrame:
     """(item_id, id) of documents that contain an item's words, all of them in a row: found by its opening among the
     document's runs of as many words, and verified in the text.
-
-    The SQL looks at the first 13 words only, and at no item of fewer.
     """
     needles = stage(_needles(spark, d))
     docs = _docs(spark, d).where("text is not null")
@@ -138,8 +133,7 @@ def _holders(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("item_id", "id", "lang").distinct()
 
 
-_HOLD = """needles AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:13], ' ') AS needle FROM benchmark WHERE len(string_split(text, ' ')) >= 13),
-holders AS (SELECT DISTINCT item_id, doc_id AS id, lang FROM needles JOIN documents ON contains(' ' || text || ' ', ' ' || needle || ' '))"""
+_HOLD = """holders AS (SELECT DISTINCT item_id, doc_id AS id, lang FROM benchmark b JOIN documents d ON contains(' ' || d.text || ' ', ' ' || b.text || ' '))"""
 
 
 @query(f"WITH {_HOLD} SELECT item_id, id FROM holders")
