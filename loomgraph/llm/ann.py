@@ -44,6 +44,8 @@ BOOK_ROWS, CHECKED, FOUND = 8192, 512, 0.985
 LEAST_LISTS, MOST_LISTS, LEAST_PROBES, LEAST_SHORTLIST = 4, 4096, 8, 64
 #: Queries that are broadcast at once, queries and rows times queries that a task looks at together.
 QUERIES, TOGETHER, CELLS = 16_384, 128, 8_000_000
+#: Rows of whole lists that are looked up at once.
+RUN = 1024
 
 
 class Index(NamedTuple):
@@ -126,11 +128,11 @@ def list_order(index: Index, queries: np.ndarray) -> np.ndarray:
 
 def guesses(index: Index, queries: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Each query's inner product with each coded row, by tables of its products with the codebooks."""
-    tables = np.einsum("qsd,scd->sqc", queries.reshape(len(queries), len(index.books), -1), index.books)
-    out = (queries @ index.centroids.T)[:, at]
+    tables = np.einsum("qsd,scd->scq", queries.reshape(len(queries), len(index.books), -1), index.books)
+    out = (index.centroids @ queries.T)[at]  # a row's entries for all queries stand together
     for s, table in enumerate(tables):
-        out += table[:, codes[:, s]]
-    return out
+        out += table[codes[:, s]]
+    return out.T
 
 
 def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +158,9 @@ def shortlisted(index: Index, sizes: np.ndarray, at: np.ndarray, codes: np.ndarr
     """
     by_list = np.argsort(at, kind="stable")
     at, codes, ids = at[by_list], codes[by_list], ids[by_list]
-    here, begin = np.unique(at, return_index=True)
-    end = np.r_[begin[1:], len(at)]
+    ends = np.r_[np.unique(at, return_index=True)[1][1:], len(at)]  # of lists
+    ends = ends[np.r_[np.flatnonzero(ends[1:] // RUN != ends[:-1] // RUN), len(ends) - 1]]
+    runs = list(zip(np.r_[0, ends[:-1]], ends))
     by_id = np.argsort(ids, kind="stable")
     most = max(1, min(TOGETHER, CELLS // max(1, len(at))))
     for first in range(0, len(names), most):
@@ -168,10 +171,10 @@ def shortlisted(index: Index, sizes: np.ndarray, at: np.ndarray, codes: np.ndarr
         probed = np.zeros((len(part), len(index.centroids)), bool)
         np.put_along_axis(probed, order, np.arange(order.shape[1])[None] < probes[:, None], axis=1)
         guess = np.full((len(part), len(at)), -np.inf, np.float32)
-        for name, a, b in zip(here, begin, end):
-            who = np.flatnonzero(probed[:, name])
+        for a, b in runs:  # of a few lists: those who probe none of them are left out, then who doesn't probe a list
+            who = np.flatnonzero(probed[:, np.unique(at[a:b])].any(axis=1))
             if len(who):
-                guess[who, a:b] = guesses(index, part[who], at[a:b], codes[a:b])
+                guess[who, a:b] = np.where(probed[who][:, at[a:b]], guesses(index, part[who], at[a:b], codes[a:b]), -np.inf)
         for q, (a, b) in enumerate(zip(*(np.searchsorted(ids, own, side, sorter=by_id) for side in ("left", "right")))):
             guess[q, by_id[a:b]] = -np.inf
         if guess.shape[1] > index.shortlist:
@@ -271,11 +274,17 @@ def _answers(placed: DataFrame, asked: DataFrame, index: Index, sizes: np.ndarra
         at, ids, row = (held.column(c).to_numpy() for c in ("list", "vec_id", "row"))
         codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
         for who, place, guess in shortlisted(known, sizes, at, codes, ids, names, unit(vectors), own + k):
-            yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), pa.array(row[place]), pa.array(guess)], names=["query", "row", "guess"])
+            asked, first = np.unique(who, return_index=True)  # of each query, its codes stand together
+            offsets = pa.array(np.r_[first, len(who)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(asked.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(row[place])), pa.ListArray.from_arrays(offsets, pa.array(guess))], names=["query", "rows", "guesses"])
 
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.col("guess").desc(), "row"))
-    near = placed.select("vec_id", "list", "codes", "row").mapInArrow(probe, "query int, row long, guess float")
-    near = near.withColumn("_place", best).where(F.col("_place") <= index.shortlist).select("query", "row")
+    def best(table: pa.Table) -> pa.Table:
+        row, guess = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("rows", "guesses"))
+        top = np.lexsort((row, -guess))[: index.shortlist]
+        return pa.table({"query": pa.array(np.full(len(top), table.column("query")[0].as_py(), np.int32)), "row": pa.array(row[top])})
+
+    near = placed.select("vec_id", "list", "codes", "row").mapInArrow(probe, "query int, rows array<long>, guesses array<float>")
+    near = near.groupBy("query").applyInArrow(best, "query int, row long")
     pairs = placed.select("vec_id", "row", "embedding").join(near, "row")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
