@@ -90,8 +90,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, damping: float = 0.85, itera
     if some_hubs:
         of_hubs = stage(shared.join(F.broadcast(hubs), "src", "left_semi"))
         shared = shared.join(F.broadcast(hubs), "src", "left_anti")
-    links = shared.repartition(parts, "src").persist()
-    nodes = nodes.select("id", F.col("n").isNull().alias("loose")).repartition(parts, "id").persist()
+    # sorted, too, so that only gains are sorted again
+    links = shared.repartition(parts, "src").sortWithinPartitions("src").persist()
+    nodes = nodes.select("id", F.col("n").isNull().alias("loose")).repartition(parts, "id").sortWithinPartitions("id").persist()
     ranks, mass = nodes.select("id", "loose", F.lit(1.0 / n).alias("score")), loose / n
     for k in range(1, iterations + 1):
         gains = links.join(ranks, links["src"] == ranks["id"]).select("dst", (F.col("score") * F.col("share")).alias("gain"))
@@ -103,10 +104,10 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, damping: float = 0.85, itera
         ranks = nodes.join(gained, nodes["id"] == gained["dst"], "left").select("id", "loose", (F.lit(base) + damping * F.coalesce("gain", F.lit(0.0))).alias("score"))
         if loose:
             seen = Observation()
-            ranks = stage(ranks.observe(seen, F.coalesce(F.sum(F.when(F.col("loose"), F.col("score"))), F.lit(0.0)).alias("mass")))
+            ranks = stage(ranks.observe(seen, F.coalesce(F.sum(F.when(F.col("loose"), F.col("score"))), F.lit(0.0)).alias("mass")), rows=n)
             mass = seen.get["mass"]
         elif k % AT_ONCE == 0 or k == iterations:
-            ranks = stage(ranks)
+            ranks = stage(ranks, rows=n)
     links.unpersist()
     nodes.unpersist()
     return ranks.select("id", "score")

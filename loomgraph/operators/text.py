@@ -34,14 +34,31 @@ def clone_groups(texts: DataFrame, key: Column, *, having: Column | None = None)
     return groups if having is None else groups.where("keep").drop("keep")
 
 
-def branch_counts(text: Column, weights: dict[str, int]) -> tuple[Column, dict[str, Column]]:
-    """1 + the weighted sum of how often each ASCII token is in the text, and the counts."""
-    parts = F.split(text, "[^A-Za-z]+")
-    times = lambda token: F.size(F.filter(parts, lambda w: w == token)).cast("long")
+def branch_counts(words: Column, weights: dict[str, int]) -> tuple[Column, dict[str, Column]]:
+    """1 + the weighted sum of how often each token is among the words, and the counts. `words` should be a column that is there
+    already, as each count reads it.
+    """
+    times = lambda token: F.size(F.filter(words, lambda w: w == token)).cast("long")
     counts = {t: times(t) for t in weights}
     return sum((counts[t] * w for t, w in weights.items()), F.lit(1).cast("long")), counts
 
 
+def holders(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, id) of texts (id, text) that hold an item's text (item_id, item) whole, between spaces or the ends.
+
+    An item's longest word is among the words of each text that holds it: those meet first, short rows all of them, and the
+    item is then looked for in the texts that are left.
+    """
+    words = F.split("item", " ")
+    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("word")))), -1)["word"]
+    asked = items.where("item is not null").select("item_id", "item", longest.alias("word"))
+    said = texts.where("text is not null").select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    met = said.join(asked, "word").select(F.col("id").alias("_id"), "item_id", "item").distinct()
+    apart = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    both = texts.join(met, F.col("id").eqNullSafe(F.col("_id"))).where(F.contains(apart("text"), apart("item")))
+    return both.select("item_id", "id").distinct()
+
+
 def dead(symbols: DataFrame, uses: DataFrame) -> DataFrame:
     """Symbols (name, path, line) whose name is used nowhere but on their own line.
 

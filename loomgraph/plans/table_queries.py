@@ -147,11 +147,10 @@ def change_coupling_one(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH k AS (SELECT event_id, event_type, json_keys(props) AS ks, props FROM events)
-    SELECT event_type, key AS name, count(*) AS n, min(v)::BIGINT AS least, max(v)::BIGINT AS most
-    FROM (SELECT event_type, unnest(ks) AS key, (props->>'$.k')::BIGINT AS v FROM k) GROUP BY ALL"""
+    r"""SELECT event_type, key AS name, count(*) AS n, min(v)::BIGINT AS least, max(v)::BIGINT AS most
+    FROM (SELECT event_type, key, json_extract_string(props, '$."' || key || '"')::BIGINT AS v FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events)) GROUP BY ALL"""
 )
 def variables_usage(spark: SparkSession, d: str) -> DataFrame:
-    value = F.get_json_object("props", "$.k").cast("long")
-    keyed = table(spark, d, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("name"), value.alias("v"))
+    """Every key of the properties, each with its own values."""
+    keyed = table(spark, d, "events").select("event_type", F.explode(F.from_json("props", "map<string, string>")).alias("name", "value")).withColumn("v", F.col("value").cast("long"))
     return keyed.groupBy("event_type", "name").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))

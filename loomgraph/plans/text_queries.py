@@ -64,8 +64,9 @@ _COUNTS = ", ".join(f"len(list_filter(parts, lambda x: x = '{t}'))::BIGINT AS n_
 
 @query(f"SELECT id, {', '.join('n_' + t for t in _BRANCHES)}, (1 + {' + '.join(f'n_{t} * {w}' for t, w in _BRANCHES.items())})::BIGINT AS total FROM (SELECT doc_id AS id, {_COUNTS} FROM (SELECT doc_id, {_SPLIT} AS parts FROM documents))")
 def complexity_branches(spark: SparkSession, d: str) -> DataFrame:
-    total, counts = text.branch_counts(F.col("text"), _BRANCHES)
-    return _docs(spark, d).select("id", *[c.alias(f"n_{t}") for t, c in counts.items()], total.alias("total"))
+    total, counts = text.branch_counts(F.col("words"), _BRANCHES)
+    docs = _docs(spark, d).select("id", F.split("text", "[^A-Za-z]+").alias("words"))
+    return docs.select("id", *[c.alias(f"n_{t}") for t, c in counts.items()], total.alias("total"))
 
 
 @query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) >= 2")
@@ -106,31 +107,12 @@ def dead_with_residual(spark: SparkSession, d: str) -> DataFrame:
     return text.dead(symbols, uses).select("p_partkey", F.col("name").alias("p_name"), F.col("path").alias("p_brand"))
 
 
-#: Words of an item that find its documents; the rest is verified.
-OPENING = 13
-
-
-def _needles(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item with its opening of at most 13 words as one text, and their number."""
-    words = F.split("text", " ")
-    items = table(spark, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("item"), words.alias("w"), F.least(F.size(words), F.lit(OPENING)).alias("n"))
-    return items.select("item_id", "item", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("needle"))
-
-
 def _holders(spark: SparkSession, d: str) -> DataFrame:
-    """(item_id, id) of documents that contain an item's words, all of them in a row: found by its opening among the
-    document's runs of as many words, and verified in the text.
-    """
-    needles = stage(_needles(spark, d))
-    docs = _docs(spark, d).where("text is not null")
-    # at most OPENING rows
-    lengths = F.broadcast(needles.select("n").distinct())
-    runs = docs.select("id", F.split("text", " ").alias("w")).join(lengths, F.size("w") >= F.col("n")).select("id", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("at"))
-    runs = runs.select("id", "n", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("needle"))
-    found = runs.join(needles, ["needle", "n"]).select("item_id", "item", F.col("id").alias("found")).distinct()
-    apart = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    whole = docs.join(found, F.col("id").eqNullSafe(F.col("found"))).where(F.contains(apart("text"), apart("item")))
-    return whole.select("item_id", "id", "lang").distinct()
+    """(item_id, id, lang) of documents that contain an item's words, all of them in a row."""
+    docs = _docs(spark, d)
+    items = stage(table(spark, d, "benchmark").select("item_id", F.col("text").alias("item")))
+    found = stage(text.holders(docs.select("id", "text"), items))
+    return found.join(docs.select(F.col("id").alias("_id"), "lang"), F.col("id").eqNullSafe(F.col("_id"))).select("item_id", "id", "lang").distinct()
 
 
 _HOLD = """holders AS (SELECT DISTINCT item_id, doc_id AS id, lang FROM benchmark b JOIN documents d ON contains(' ' || d.text || ' ', ' ' || b.text || ' '))"""
