@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from .keywords import KEYWORDS, NO_CALL
-from .lexer import Token, matches, tokens
+from .lexer import Token, matches, tokens, without_value
 from .model import Parsed, Symbol, first_line
 
 MODIFIERS = {
@@ -38,7 +38,7 @@ class Reader:
         self.code = [t for t in every if t.kind != "comment"]
         self.comments = {t.line + t.text.count("\n"): t.text for t in every if t.kind == "comment"}
         self.pairs, whole = matches(self.code)
-        self.out = Parsed(has_errors=not whole)
+        self.out = Parsed(has_errors=not whole or without_value(self.code))
         words = KEYWORDS[language]
         self.out.occurrences = [(t.text, t.line, t.column) for t in self.code if t.kind == "name" and t.text not in words]
         self.modifiers = MODIFIERS.get(language, set())

@@ -87,6 +87,17 @@ def matches(code: list[Token]) -> tuple[dict[int, int], bool]:
     return pairs, whole and not stack
 
 
+ASSIGNS, NO_VALUE = {"=", "+=", "-=", "*=", "/=", "%=", ":="}, {"=", ";", ")", "}"}
+
+
+def without_value(code: list[Token]) -> bool:
+    """Whether something is assigned that can't begin a value, as in `x = = 1`. Names like `operator=` and captures like `[=]` aren't."""
+    for before, t, after in zip([None, *code], code, code[1:]):
+        if t.kind == after.kind == "op" and t.text in ASSIGNS and after.text in NO_VALUE and not (before and before.text in ("operator", "[", "&", "(")):
+            return True
+    return False
+
+
 def normalised(source: str, language: str) -> str:
     """Code without comments, names and literals by kind, everything else as it is: equal for renamed copies."""
     from .keywords import KEYWORDS

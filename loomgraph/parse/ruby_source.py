@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .keywords import KEYWORDS
-from .lexer import Token, tokens
+from .lexer import Token, tokens, without_value
 from .model import Parsed, Symbol, first_line
 
 OPENERS = {"class", "module", "def", "begin", "case", "do"}
@@ -60,7 +60,7 @@ def parse(source: str) -> Parsed:
                 continue
             if b.line - 1 in comments:
                 out.symbols[-1].doc = first_line(comments[b.line - 1])
-    out.has_errors |= bool(stack)
+    out.has_errors |= bool(stack) or without_value(code)
     out.symbols.sort(key=lambda s: s.line)
     return out
 

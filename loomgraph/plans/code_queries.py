@@ -14,22 +14,12 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..sources.tables import table
+from .registry import Registry
 
-QUERIES, ORACLES = {}, {}
 #: Parts in a module, and how far on the part is that a part calls.
 MODULE, STRIDE = 16, 5
 
 
-def query(sql: str):
-    """Register a query under its name with the SQL that gives the same rows."""
-
-    def keep(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = partial(_asked, f), sql
-        return f
-
-    return keep
-
-
 def sources(spark: SparkSession, d: str) -> DataFrame:
     """(path, source) of the modules and of the files of tests."""
     k, size = F.col("p_partkey"), F.col("p_size")
@@ -85,6 +75,10 @@ def _asked(f, spark: SparkSession, d: str) -> DataFrame:
     return f(engine(spark, d))
 
 
+_REGISTRY = Registry(lambda f: partial(_asked, f))
+query, QUERIES, ORACLES = _REGISTRY.query, _REGISTRY.queries, _REGISTRY.oracles
+
+
 #: fn has a row a part, with its first line and number of lines; occ every place of a name that is defined; tests by place in their file.
 _FN = """p AS (SELECT p_partkey AS k, p_partkey // 16 AS m, 'f_' || regexp_replace(lower(p_name), '[^a-z]', '', 'g') || '_' || p_size AS f, p_size AS s FROM part
 ), c AS (SELECT p.*, 'pkg/m_' || p.m || '.py' AS path, q.f AS callee, q.m AS cm, p.s % 3 AS r, (p.k % 3 = 0)::INTEGER AS l, (p.k % 2 = 0)::INTEGER AS d,

@@ -8,18 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..sources.tables import DEGREES, PG, PGR, part_graph, parts, returned_graph, table
 from ..staging import stage
+from .registry import Registry
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str):
-    """Register a query under its name with the SQL that gives the same rows."""
-
-    def keep(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return keep
+_REGISTRY = Registry()
+query, QUERIES, ORACLES = _REGISTRY.query, _REGISTRY.queries, _REGISTRY.oracles
 
 
 @query(f"WITH {PG}, {DEGREES} SELECT p_name AS name, id, in_degree, out_degree, degree FROM deg JOIN part ON p_partkey = id ORDER BY degree DESC, id LIMIT 10")

@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import flow, history, store
 from ..sources.tables import table
+from .registry import Registry
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str):
-    """Register a query under its name with the SQL that gives the same rows."""
-
-    def keep(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return keep
+_REGISTRY = Registry()
+query, QUERIES, ORACLES = _REGISTRY.query, _REGISTRY.queries, _REGISTRY.oracles
 
 
 @query("SELECT lang, count(*) AS files, sum(length(text))::BIGINT AS chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines FROM documents GROUP BY lang")

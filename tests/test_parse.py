@@ -251,3 +251,18 @@ def test_nested_tokens():
     assert nested("f(a)\n", "go") == "(file (name [1:0] 'f') (group [1:1-1:4] '(' (name [1:2] 'a') ')'))"
     assert nested("f(a(b))", "go", 1) == "(file (name [1:0] 'f') (group [1:1-1:7] '(' ... ')'))"
     assert nested("((", "go").startswith("(file")
+
+
+@pytest.mark.parametrize("ending", ["js", "ts", "go", "rs", "java", "c", "cpp", "rb"])
+def test_an_assignment_without_a_value_has_errors(ending):
+    for wrong in ("x = = 1\n", "f(a = )\n", "{ x += }\n" if ending != "rb" else "foo(x += )\n"):
+        assert parse_source(wrong, ending).has_errors, wrong
+    for right in ("x == 1\n", "x = (1)\n", "y >= z\n"):
+        assert not parse_source(right, ending).has_errors, right
+
+
+def test_operators_that_look_like_assignments_are_fine():
+    assert not parse_source("struct A { A& operator=(const A& o) = default; bool operator==(A) const; };\nauto f = [=] { return 1; };\nauto g = [=, &x]() {};\n", "cpp").has_errors
+    assert not parse_source("class A\n  def ==(o)\n    @a ||= []\n  end\n  def x=(v)\n    @x = v\n  end\n  def []=(k, v)\n  end\nend\n", "rb").has_errors
+    assert not parse_source("const f = (a = {}) => a;\nlet {b = 1} = c;\nfor (;;) {}\n", "js").has_errors
+    assert not parse_source("func f() { a, err := g(); if x := h(); x != nil {} }\n", "go").has_errors
