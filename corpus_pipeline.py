@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import decontam, mixing, quality, sharding, simhash
 from loomgraph.llm.common import shared_dir, table
+from loomgraph.staging import scratch
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     root = shared_dir(spark)
     for name, function in STAGES:
-        function(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        with scratch(spark):  # what a stage has staged is of no use once its rows are written
+            function(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
     return docs
 

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +43,31 @@ def stage(df: DataFrame, *, path: str | None = None, rows: int | None = None) ->
     path = path or shared_dir(spark)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+    for held in _SCRATCH.get(spark.sparkContext.applicationId, ()):
+        held.append(path)
     df.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: By application, the folders that each open scratch() has seen staged.
+_SCRATCH: dict[str, list[list[str]]] = {}
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside, at the end: for a job whose result has been written elsewhere by then."""
+    held: list[str] = []
+    open_ones = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    open_ones.append(held)
+    try:
+        yield
+    finally:
+        open_ones.remove(held)
+        conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for folder in held:
+            path(folder).getFileSystem(conf).delete(path(folder), True)
+
+
 _SHIPPED: set[str] = set()
 
 

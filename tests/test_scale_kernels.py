@@ -173,3 +173,17 @@ def test_names_and_weights_of_hidden_symbols(spark):
     """A function that is defined twice has the calls of the last one only."""
     e = Engine.over(spark.createDataFrame([("a.py", "def f():\n    one()\n\ndef f():\n    two()\n")], "path string, source string"))
     assert values(e.calls) == [("a.py::f", "?::two", 0.5)] and e.symbols.where(F.col("name") == "f").count() == 2
+
+
+def test_what_is_staged_in_scratch_is_deleted(spark):
+    from loomgraph.staging import scratch, shared_dir, stage
+
+    before, inner, outer = stage(spark.range(3)), [], []
+    with scratch(spark):
+        outer.append(stage(spark.range(4)).inputFiles()[0])
+        with scratch(spark):
+            inner.append(stage(spark.range(5)).inputFiles()[0])
+        assert not os.path.exists(inner[0].removeprefix("file://")) and os.path.exists(outer[0].removeprefix("file://"))
+        kept = shared_dir(spark)
+        stage(spark.range(6)).write.parquet(kept)
+    assert not os.path.exists(outer[0].removeprefix("file://")) and before.count() == 3 and spark.read.parquet(kept).count() == 6
