@@ -2,8 +2,8 @@
 
 A store is a folder of Parquet files:
 
-* `chunks/` has each distinct chunk once: its SHA-256 and its ids, little-endian, two bytes each (four, if the
-  vocabulary asks for it);
+* `chunks/` has each distinct chunk once: its SHA-256 and its ids, little-endian, two bytes each (`kind` says four for
+  larger vocabularies; one that doesn't fit raises an error);
 * `recipes/` has the documents in ascending order of doc_id, over numbered parts: each one's place in its part, ids
   before it there, number of ids, and its chunks' digests and lengths; at a part's end, a row with the part's totals
   and its Merkle root, whose leaves are the documents' roots, whose leaves are their chunks' digests.
@@ -18,7 +18,7 @@ length against its recipe. `summary` then gets a document's CRC-32 from those of
 so that chunks are read once and not sent to each document; `documents` puts the ids themselves together.
 
 Defined cases: a null or empty text is the end id alone; rows that share a doc_id stand in order of their digests; null
-doc_ids come first; an empty table gives no rows. A chunk that many documents share (empty texts, say) is written
+doc_ids come first; very long texts are read whole; further columns take no part; an empty table gives no rows. A chunk that many documents share (empty texts, say) is written
 once a task and then once; its references are joined by broadcast.
 """
 
@@ -70,6 +70,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer, self._kind = Tokenizer.from_file(path), kind
+        if self._tokenizer.get_vocab_size() > 1 << 8 * np.dtype(kind).itemsize:
+            raise ValueError(f"{self._tokenizer.get_vocab_size()} ids don't fit into {kind}")
         self._forget()
         made = json.loads(self._tokenizer.to_str())
         steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
