@@ -16,32 +16,52 @@ word pair that a third of all documents share is one entry a block. No count is
 it gets the totals, and for the weights a histogram of (bucket, log probability, log probability) cells of a quarter of
 a power of two, a number of cells that doesn't depend on the corpus.
 
+Buckets grow with the corpus, so blocks ask in levels: where there are more than 2^MOST_BITS buckets, a block asks 2^FAN_BITS ranges of
+them, there FAN blocks at a time are merged into one run, runs ask on, and what they are told is looked up for their blocks. So a
+block, or a run, sends so many messages whatever the corpus's size, there are as many runs a level as blocks, and levels are
+the logarithm of the buckets.
+
+Words are told apart by a hash of 64 bits and one of 32: where the first are equal and the second aren't, the job starts again with
+other hashes. Pairs are one hash of their words' (some hundreds of 1e11 pairs meet by chance). Two words are the highest order: the
+keys of a third, some 1.3 times as many as pairs, would be moved and staged again, beyond the disk that is allowed here.
+
 Defined cases: a null or empty text is the end token alone; rows that share a doc_id each get a score and each teach;
-a null doc_id counts as remainder 0; without training documents all counts are 0, V is 0 and each token has what the
-uniform estimate gives; an empty table gives no rows. Words are equal if their 64-bit hashes are.
+a null doc_id counts as remainder 0, and ids of any type by their text; very long texts are read whole and may be a block of their
+own; without training documents all counts are 0, V is 0 and each token has what the uniform estimate gives; further columns take
+no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import python_workers, stage
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-#: Tokens in a block, beyond which a task begins another, and tokens for each bucket of the hash space.
-BLOCK, BUCKET = 1_500_000, 1_000_000
-TEST, DEV, TRAIN = 0, 1, 2
+#: Tokens in a block, beyond which a task begins another, and the most tokens for a bucket of the hash space.
+BLOCK, BUCKET = 1_000_000, 2_000_000
+#: Buckets, as powers of two: the least, the most that are asked at once, and those ranges of them that more are asked by.
+LEAST_BITS, MOST_BITS, FAN_BITS = 5, 8, 6
+#: A block's number says its part: it is the rest by PARTS.
+TEST, DEV, TRAIN, PARTS = 0, 1, 2, 4
 ROUNDS, CELL = 60, 4.0
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-BLOCK_KIND = "block long, part int, n_tokens long, doc_ids binary, lengths binary, stream binary, words binary"
+#: Seeds that are tried until no two words share a hash.
+SEEDS = (0, 2, 4, 6)
+WORDS, PAIRS = 0, 1
+
+
+class Collision(Exception):
+    """Two words with one hash."""
 
 
 class Words(dict):
@@ -52,11 +72,6 @@ class Words(dict):
         return n
 
 
-def part_of(doc_id: object) -> int:
-    rest = 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS
-    return TEST if rest == HELD_OUT else DEV if rest == DELETED else TRAIN
-
-
 def mix_pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """A 64-bit hash of two."""
     x = u * np.uint64(0x9E3779B97F4A7C15) + (v ^ (v >> np.uint64(29)))
@@ -84,11 +99,9 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Token streams: documents of one part (test, deleted, training) by block."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    if kind not in ("bigint", "int"):
-        raise ValueError("doc_id must be an integer")
+    id_kind = docs.schema["doc_id"].dataType
     python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,25 +115,20 @@ def blocks(docs: DataFrame) -> DataFrame:
             nonlocal made
             ids, lengths, streams, words, total = held.pop(part)
             made += 1
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-            row = (
-                first + made,
-                part,
-                total,
-                np.array([i is not None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], np.int64).tobytes(),
-                np.array(lengths, np.uint32).tobytes(),
-                pack(np.concatenate(streams)),
-                np.r_[END, hashes].tobytes(),
-            )
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], schema=SCHEMA)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+            checks = np.fromiter((xxhash.xxh64_intdigest(w, seed + 1) & 0xFFFFFFFF for w in words), np.uint32, len(words))
+            row = (np.array(lengths, np.uint32).tobytes(), pack(np.concatenate(streams)), np.r_[END, hashes].tobytes(), np.r_[np.uint32(0), checks].tobytes())
+            columns = [pa.array([(first + made) * PARTS + part]), pa.array([part], pa.int32()), pa.array([total]), pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(ids))]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array([v], pa.binary()) for v in row)], names=BLOCK_NAMES)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
-                part = part_of(doc_id)
+            doc_ids = batch.column("doc_id")
+            for i, (rest, text) in enumerate(zip(batch.column("rest").to_pylist(), batch.column("text").cast(pa.binary()))):
+                part = TEST if rest == HELD_OUT else DEV if rest == DELETED else TRAIN
                 block = held.setdefault(part, [[], [], [], Words(), 0])
                 stream = list(map(block[3].__getitem__, (text.as_py() or b"").lower().split()))
                 stream.append(0)
-                for column, value in zip(block, (doc_id, len(stream), np.array(stream, np.uint32))):
+                for column, value in zip(block, (doc_ids[i : i + 1], len(stream), np.array(stream, np.uint32))):
                     column.append(value)
                 block[4] += len(stream)
                 if block[4] >= BLOCK:
@@ -128,10 +136,12 @@ def blocks(docs: DataFrame) -> DataFrame:
         for part in list(held):
             yield flush(part)
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOCK_KIND)
+    rest = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(0)).cast("int")
+    kind = f"block long, part int, n_tokens long, doc_ids array<{id_kind.simpleString()}>, lengths binary, stream binary, words binary, checks binary"
+    return docs.select("doc_id", "text", rest.alias("rest")).mapInArrow(run, kind)
 
 
-SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("stream", pa.binary()), ("words", pa.binary())])
+BLOCK_NAMES = ["block", "part", "n_tokens", "doc_ids", "lengths", "stream", "words", "checks"]
 
 
 def read_block(row: dict) -> dict[str, np.ndarray]:
@@ -147,103 +157,139 @@ def read_block(row: dict) -> dict[str, np.ndarray]:
     return {"lengths": lengths, "first": first, "stream": stream, "context": context, "words": words, "pairs": pairs, "place": place, "n": n.astype(np.uint32)}
 
 
-def cut(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted hashes are cut, so that each bucket has an even share of the hash space."""
-    edges = [(k << 64) // buckets for k in range(1, buckets)]
-    return np.r_[0, np.searchsorted(hashes, np.array(edges, np.uint64)), len(hashes)].astype(np.int64)
+ASK_KIND = "unit long, space long, keys binary, known binary, dev binary, checks binary"
+ASK_NAMES = [c.split()[0] for c in ASK_KIND.split(", ")]
+
+
+def asked(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (unit, space, sorted keys, their counts in training and in deleted documents, second hashes or None) packed."""
+    columns = list(zip(*rows)) if rows else [()] * 6
+    packed = [list(columns[0]), list(columns[1]), [pack_sorted(k) for k in columns[2]], *([pack(n.astype(np.uint32)) for n in c] for c in columns[3:5]), [None if c is None else c.tobytes() for c in columns[5]]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(packed, (pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=ASK_NAMES)
 
 
-ASK_KIND = "block long, part int, bucket int, words binary, n_words binary, pairs binary, n_pairs binary"
+def read_asked(table: pa.Table | pa.RecordBatch) -> list[tuple]:
+    rows = zip(*(table.column(c).to_pylist() for c in ASK_NAMES))
+    return [(unit, space, unpack_sorted(keys), unpack(known, "u4"), unpack(dev, "u4"), None if checks is None else np.frombuffer(checks, np.uint32)) for unit, space, keys, known, dev, checks in rows]
 
 
-def questions(packed: DataFrame, buckets: int) -> DataFrame:
-    """What each block asks of each bucket: its distinct hashes, and how often it has them itself."""
+def questions(packed: DataFrame) -> DataFrame:
+    """What each block asks: its distinct words and its distinct pairs, and how often it has them itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = read_block(row)
                 order = np.argsort(b["words"])
-                words, n = b["words"][order], np.bincount(b["stream"], minlength=len(b["words"]))[order].astype(np.uint32)
-                at, to = cut(words, buckets), cut(b["pairs"], buckets)
-                columns: list[list] = [[] for _ in range(7)]
-                for k in range(buckets):
-                    w, p = slice(at[k], at[k + 1]), slice(to[k], to[k + 1])
-                    for c, v in zip(columns, (row["block"], row["part"], k, pack_sorted(words[w]), pack(n[w]), pack_sorted(b["pairs"][p]), pack(b["n"][p]))):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=[c.split()[0] for c in ASK_KIND.split(", ")])
+                n = np.bincount(b["stream"], minlength=len(b["words"]))[order]
+                as_part = lambda n: (n if row["part"] != TEST else 0 * n, n if row["part"] == DEV else 0 * n)
+                checks = np.frombuffer(row["checks"], np.uint32)[order]
+                if len(order) > 1 and not np.diff(b["words"][order]).all():
+                    raise Collision("two words of a block")
+                yield asked([(row["block"], WORDS, b["words"][order], *as_part(n), checks), (row["block"], PAIRS, b["pairs"], *as_part(b["n"]), None)])
 
-    return packed.select("block", "part", "lengths", "stream", "words").mapInArrow(run, ASK_KIND)
+    return packed.select("block", "part", "lengths", "stream", "words", "checks").mapInArrow(run, ASK_KIND)
 
 
-ANSWER_KIND = "block long, bucket int, words binary, pairs binary, n long, v long, n_kept long"
+def dealt(asks: DataFrame, depth: int, bits: int) -> DataFrame:
+    """The same, each cut by the `bits` bits of the keys that follow their first `depth`, which its space goes on with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, space, keys, known, dev, checks in read_asked(batch):
+                at = np.searchsorted(keys << np.uint64(depth) >> np.uint64(64 - bits), np.arange(2**bits + 1))
+                cuts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+                for first in range(0, len(cuts), 64):
+                    yield asked([(unit, (space << bits) + k, keys[c], known[c], dev[c], None if checks is None else checks[c]) for k, c in cuts[first : first + 64]])
+
+    return asks.mapInArrow(run, ASK_KIND)
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their counts."""
-    if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
+def merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """Distinct keys, the sums of both counts, their second hashes, and the place of each row's keys among them."""
+    keys, first, place = np.unique(np.concatenate([r[2] for r in rows]), return_index=True, return_inverse=True)
+    known, dev = (np.bincount(place, np.concatenate([r[k] for r in rows]), len(keys)).astype(np.int64) for k in (3, 4))
+    checks = None
+    if rows[0][5] is not None:
+        every = np.concatenate([r[5] for r in rows])
+        checks = every[first]
+        if (checks[place] != every).any():
+            raise Collision("two words of a bucket")
+    return keys, known, dev, checks, place
 
 
-def _look_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(asked), np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, counts[at], 0)
+TOLD_KIND = "unit long, space long, told binary, n long, v long, n_kept long"
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """Corpus counts for each block, in the order of its questions: (training, deleted) pairs of numbers. One
-    further row a bucket (block null) has its share of the training tokens N, distinct words V, and N without the deleted.
+def answered(rows: list[tuple], place: np.ndarray, known: np.ndarray, dev: np.ndarray, totals: tuple | None = None) -> pa.Table:
+    """Each row's counts in the order of its keys, training then deleted; and a row of totals, without a unit."""
+    ends = np.cumsum([len(r[2]) for r in rows])
+    told = [pack(np.concatenate([known[p], dev[p]]).astype(np.uint32)) for p in np.split(place, ends[:-1])]
+    out = [(r[0], r[1], t, None, None, None) for r, t in zip(rows, told)]
+    if totals is not None:
+        out.append((None, rows[0][1], None, *totals))
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in TOLD_KIND.split(", ")])
+
+
+def told(asks: DataFrame, units: int, bits: int, depth: int = 0) -> DataFrame:
+    """Corpus counts for each ask, in pieces by space, whose order is that of its keys. A row of words' totals a bucket has the training
+    tokens N, distinct words V, and N without the deleted.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        part = table.column("part").to_numpy()
-        out: dict[str, list] = {"words": [], "pairs": []}
-        totals = (0, 0, 0)
-        for what in ("words", "pairs"):
-            keys = [unpack_sorted(x.as_py()) for x in table.column(what)]
-            counts = [unpack(x.as_py(), "u4") for x in table.column(f"n_{what}")]
-            held = {}
-            for name, which in (("all", part != TEST), ("dev", part == DEV)):
-                held[name] = _merged([k for k, w in zip(keys, which) if w], [c for c, w in zip(counts, which) if w])
-            if what == "words":
-                n, dev = int(held["all"][1].sum()), int(held["dev"][1].sum())
-                totals = (n, len(held["all"][0]), n - dev)
-            for k in keys:
-                out[what].append(pack(np.concatenate([_look_up(*held["all"], k), _look_up(*held["dev"], k)]).astype(np.uint32)))
-        rows = len(part)
-        return pa.table(
-            {
-                "block": pa.concat_arrays([table.column("block").combine_chunks(), pa.nulls(1, pa.int64())]),
-                "bucket": pa.array([bucket] * (rows + 1), pa.int32()),
-                "words": pa.array([*out["words"], None], pa.binary()),
-                "pairs": pa.array([*out["pairs"], None], pa.binary()),
-                "n": pa.array([None] * rows + [totals[0]], pa.int64()),
-                "v": pa.array([None] * rows + [totals[1]], pa.int64()),
-                "n_kept": pa.array([None] * rows + [totals[2]], pa.int64()),
-            }
-        )
-
-    return asked.groupBy("bucket").applyInArrow(run, ANSWER_KIND)
-
-
-def _with_counts(packed: DataFrame, told: DataFrame) -> DataFrame:
-    """Each block with its answers in order of the buckets."""
-    lists = told.where("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", F.col("words").alias("w"), F.col("pairs").alias("p")))).alias("told"))
-    return packed.join(lists, "block")
+    def answer(table: pa.Table) -> pa.Table:
+        rows = read_asked(table)
+        keys, known, dev, checks, place = merged(rows)
+        seen = known > 0
+        totals = (int(known.sum()), int(seen.sum()), int(known.sum() - dev.sum())) if checks is not None else None
+        return answered(rows, place, known, dev, totals)
+
+    if bits <= MOST_BITS:
+        return dealt(asks, depth, bits).groupBy("space").applyInArrow(answer, TOLD_KIND)
+
+    groups = -(-units // 2**FAN_BITS)
+    parts = stage(dealt(asks, depth, FAN_BITS).withColumn("run", F.col("space") * groups + F.pmod(F.xxhash64("unit"), F.lit(groups))))
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, known, dev, checks, _ = merged(read_asked(table))
+        return pa.Table.from_batches([asked([(table.column("run")[0].as_py(), table.column("space")[0].as_py(), keys, known, dev, checks)])])
+
+    runs = stage(parts.groupBy("run").applyInArrow(merge, ASK_KIND))
+    further = stage(told(runs, runs.count(), bits - FAN_BITS, depth + FAN_BITS))
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = read_asked(left)
+        run = {"told": right.column("told")[0].as_py()}
+        known, dev = counts_in_order(run["told"])
+        return answered(rows, merged(rows)[4], known, dev)
+
+    back = parts.groupBy("run").cogroup(in_order(further).withColumnRenamed("unit", "run").groupBy("run")).applyInArrow(look_up, TOLD_KIND)
+    return back.unionByName(further.where("unit is null"))
+
+
+def in_order(answers: DataFrame) -> DataFrame:
+    """Per unit, its pieces in order: unit, told (array of space and told)."""
+    return answers.where("unit is not null").groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("space", "told"))).alias("told"))
+
+
+def counts_in_order(pieces: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Training and deleted counts from a unit's pieces."""
+    split = [unpack(p["told"], "u4").reshape(2, -1) for p in pieces]
+    both = np.concatenate(split, axis=1).astype(np.int64) if split else np.zeros((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def _with_counts(packed: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each block with its answers in order."""
+    return packed.join(in_order(answers).withColumnRenamed("unit", "block"), "block")
 
 
 def counts_of(row: dict, b: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Training and deleted counts of the block's words (by number) and of its pairs (sorted by hash)."""
-    split = lambda key: [unpack(t[key], "u4").reshape(2, -1) for t in row["told"]]
-    words, pairs = np.concatenate(split("w"), axis=1).astype(np.int64), np.concatenate(split("p"), axis=1).astype(np.int64)
-    back = np.empty(len(b["words"]), np.int64)
-    back[np.argsort(b["words"])] = np.arange(len(b["words"]))
-    return words[0][back], words[1][back], pairs[0], pairs[1]
+    known, dev = counts_in_order(row["told"])  # words' spaces are less than pairs'
+    words, back = len(b["words"]), np.empty(len(b["words"]), np.int64)
+    back[np.argsort(b["words"])] = np.arange(words)
+    return known[:words][back], dev[:words][back], known[words:], dev[words:]
 
 
 def orders(b: dict[str, np.ndarray], word_n: np.ndarray, pair_n: np.ndarray, n: int, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,7 +320,7 @@ def histogram(packed: DataFrame, told: DataFrame, n_kept: int) -> DataFrame:
                     names=["bucket", "cell_two", "cell_one", "n", "two", "one"],
                 )
 
-    cells = _with_counts(packed.where(F.col("part") == DEV), told).mapInArrow(run, "bucket long, cell_two long, cell_one long, n long, two double, one double")
+    cells = _with_counts(packed.where(F.col("part") == DEV).drop("doc_ids"), told.where(F.col("unit") % PARTS == DEV)).mapInArrow(run, "bucket long, cell_two long, cell_one long, n long, two double, one double")
     return cells.groupBy("bucket", "cell_two", "cell_one").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one"))
 
 
@@ -305,13 +351,14 @@ def learn(cells: list, v: int, rounds: int = ROUNDS) -> np.ndarray:
     return out
 
 
-RESULT_KIND = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT_NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def scores(packed: DataFrame, told: DataFrame, weights: np.ndarray, n: int, v: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            ids = batch.column("doc_ids")
+            for k, row in enumerate(batch.drop_columns(["doc_ids"]).to_pylist()):
                 b = read_block(row)
                 words, _, pairs, _ = counts_of(row, b)
                 bucket, two, one = orders(b, words, pairs, n, int(words[0]))
@@ -321,11 +368,9 @@ def scores(packed: DataFrame, told: DataFrame, weights: np.ndarray, n: int, v: i
                 base = np.log10((of_word + 1) / (n + 1 * (v + 1)))
                 add = lambda x: np.add.reduceat(x, b["first"])
                 size = len(b["lengths"])
-                known = np.frombuffer(row["doc_ids"], np.uint8, size).astype(bool)
-                ids = np.frombuffer(row["doc_ids"], np.int64, size, size)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64(), mask=~known),
+                        ids[k].values,
                         pa.array(np.full(size, row["part"] == TEST)),
                         pa.array(b["lengths"], pa.int64()),
                         pa.array(add((of_word > 0).astype(np.int64)), pa.int64()),
@@ -333,20 +378,34 @@ def scores(packed: DataFrame, told: DataFrame, weights: np.ndarray, n: int, v: i
                         pa.array(np.round(add(base), 9)),
                         pa.array(np.round(add(model), 9)),
                     ],
-                    names=[c.split()[0] for c in RESULT_KIND.split(", ")],
+                    names=RESULT_NAMES,
                 )
 
-    return _with_counts(packed, told).mapInArrow(run, RESULT_KIND)
+    kinds = (packed.schema["doc_ids"].dataType.elementType.simpleString(), "boolean", "long", "long", "long", "double", "double")
+    return _with_counts(packed, told).mapInArrow(run, ", ".join(map(" ".join, zip(RESULT_NAMES, kinds))))
+
+
+def _counted(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks, and what they are told."""
+    packed = stage(blocks(docs, seed))
+    tokens, units = packed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, tokens / BUCKET))))
+    asks = questions(packed)
+    return packed, stage(told(asks if bits <= MOST_BITS else stage(asks), 2 * units, bits))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10."""
-    packed = stage(blocks(docs))
-    tokens = packed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
-    told = stage(answers(questions(packed, max(24, tokens // BUCKET))))
-    totals = told.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n_kept"), F.lit(0)).alias("k")).first()
-    weights = learn(histogram(packed, told, totals["k"]).collect(), totals["v"])  # at most 65 times some 140 by 140 cells
-    return scores(packed, told, weights, totals["n"], totals["v"])
+    for seed in SEEDS:
+        try:
+            packed, answers = _counted(docs, seed)
+            break
+        except PythonException as error:
+            if "Collision" not in str(error) or seed == SEEDS[-1]:
+                raise
+    totals = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n_kept"), F.lit(0)).alias("k")).first()
+    weights = learn(histogram(packed, answers, totals["k"]).collect(), totals["v"])  # at most 65 times some 140 by 140 cells
+    return scores(packed, answers, weights, totals["n"], totals["v"])
 
 
 digest = score

@@ -152,6 +152,57 @@ def test_language_model_by_hand(spark, monkeypatch, block):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_levels_of_buckets_change_nothing(spark, monkeypatch):
+    draw = random.Random(14)
+    words_ = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(draw.choice(words_) for _ in range(draw.randrange(40)))) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lm, "BLOCK", 150)
+    want = rows(lm.digest(frame))
+    monkeypatch.setattr(lm, "BUCKET", 8)
+    for most, fan in ((8, 2), (2, 3), (1, 1)):  # ten bits: two, four and many levels
+        monkeypatch.setattr(lm, "MOST_BITS", most)
+        monkeypatch.setattr(lm, "FAN_BITS", fan)
+        if most == 1:
+            monkeypatch.setattr(lm, "BUCKET", 400)
+        assert [r[:5] for r in rows(lm.digest(frame))] == [r[:5] for r in want]
+        assert [r[5:] for r in rows(lm.digest(frame))] == [pytest.approx(r[5:], abs=1e-6) for r in want]
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    import xxhash as real
+
+    class Weak:
+        """A first hash that is the same for some words under the first seed."""
+
+        @staticmethod
+        def xxh64_intdigest(word, seed=0):
+            return 5 if seed == 0 and word in (b"one", b"two") else real.xxh64_intdigest(word, seed)
+
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(["one a b", "two a b", "two c", "one", "b two a"] * 6)], "doc_id long, text string").repartition(2)
+    want = rows(lm.digest(docs))
+    for block in (lm.BLOCK, 4):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        with monkeypatch.context() as m:
+            m.setattr(lm, "xxhash", Weak)
+            tried = []
+            counted = lm._counted
+            m.setattr(lm, "_counted", lambda d, seed: tried.append(seed) or counted(d, seed))
+            got = rows(lm.digest(docs))
+            assert tried == [0, 2]
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+
+
+def test_ids_of_the_language_model_may_be_of_any_type(spark):
+    texts = ["the river of a", "And B", "of the river", "", "unknown"] * 8
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_text = rows(lm.digest(plain.withColumn("doc_id", F.col("doc_id").cast("string"))))
+    assert [(int(r[0]), *r[1:]) for r in sorted(by_text, key=lambda r: int(r[0]))] == sorted(rows(lm.digest(plain)), key=lambda r: r[0])
+    dated = plain.select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int")).alias("doc_id"), "text")
+    held = {str(r["doc_id"]): r["held_out"] for r in lm.digest(dated).collect()}
+    assert held == {d: zlib.crc32(d.encode()) % 7 == 2 for d in held} and len(held) == 40
+
+
 def test_weights_by_expectation_maximisation():
     """Tokens drawn from a known mixture give its weights back."""
     draw = np.random.default_rng(1)
@@ -550,3 +601,34 @@ def test_sample_by_hash(spark):
     few = sorted(r["k"] for r in hash_sample(rows_, "k", 300).collect())
     assert len(few) == 300 and few == sorted(r["k"] for r in rows_.orderBy(F.shiftrightunsigned(F.xxhash64("k"), 11)).limit(300).collect())
     assert hash_sample(rows_.limit(5), "k", 300).count() == 5 and hash_sample(rows_.limit(0), "k", 300).count() == 0
+
+
+# All of them
+
+CLASHES = (
+    "block", "part", "rest", "stream", "words", "unit", "space", "node", "text_hash", "root", "first", "n", "digests", "sizes", "fresh", "place", "total", "_page", "_sha1", "refers_to", "revisit",
+    "_words", "_place", "_word", "window", "windows", "items", "run", "_text", "row", "list", "codes", "own", "query", "score", "label", "at", "_key", "_n", "_all", "_source", "salt", "host", "path", "rows", "copies",
+)
+
+
+@pytest.mark.parametrize("name", ["quality", "lm", "simhash", "tokenstore", "mixing", "decontam", "urls", "warc", "ann"])
+def test_queries_with_columns_of_any_name(spark, odd, pages, name):
+    from loomgraph.llm import decontam, mixing, urlrep
+
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "one two three"), (2, "word word word")], "item_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0, i / 7, -1.0]) for i in range(120)], "vec_id long, embedding array<double>")
+    table, ask = {
+        "quality": (odd, lambda d: quality.digest(d, labels)),
+        "lm": (odd, lm.digest),
+        "simhash": (odd, simhash.digest),
+        "tokenstore": (odd, tokenstore.digest),
+        "mixing": (odd, mixing.digest),
+        "decontam": (odd, lambda d: decontam.digest(d, items)),
+        "urls": (pages, lambda d: urlrep.judge(d, labels)),
+        "warc": (pages, warc.digest),
+        "ann": (vectors, ann.digest),
+    }[name]
+    taken = {c.lower() for c in table.columns}
+    clashing = table.withColumns({c: F.lit(f"clash {c}") for c in CLASHES if c not in taken})
+    assert rows(ask(clashing)) == rows(ask(table))
