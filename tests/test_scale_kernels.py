@@ -175,6 +175,35 @@ def test_names_and_weights_of_hidden_symbols(spark):
     assert values(e.calls) == [("a.py::f", "?::two", 0.5)] and e.symbols.where(F.col("name") == "f").count() == 2
 
 
+@pytest.mark.parametrize("most", [5, 10**6])
+def test_flow_of_a_hot_user(spark, monkeypatch, most):
+    """A user with most of the events, by ranges and by one window, against plain Python."""
+    from datetime import datetime, timedelta
+
+    from loomgraph.operators import flow
+
+    monkeypatch.setattr(flow, "MOST", most)
+    draw = random.Random(11)
+    kinds = ["signup", "view", "purchase", None]
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=draw.randrange(400)), draw.choice([1, 1, 1, 2, 3, None]), draw.choice(kinds)) for i in range(160)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").repartition(4)
+    chain, verdicts = [], []
+    for user in (1, 2, 3, None):
+        own = sorted((r for r in rows if r[2] == user), key=lambda r: (r[1], r[0]))
+        for n, r in enumerate(own):
+            last = own[n - 1] if n else None
+            after = own[n + 1][3] if n + 1 < len(own) else None
+            chain.append((r[0], user, r[3], last[3] if last else None, after, (r[1] - last[1]) // timedelta(microseconds=1) if last else None))
+            if r[3] == "purchase":
+                source, clean = (max((o[1] for o in own[:n] if o[3] == k), default=None) for k in ("signup", "view"))
+                verdicts.append((r[0], "CLEAN" if source is None else "SAFE" if clean and clean > source else "UNSAFE"))
+    assert sorted(values(flow.event_chain(events)), key=str) == sorted(chain, key=str)
+    kind = F.col("event_type")
+    got = flow.taint_in_order(events, by="user_id", order=["ts", "event_id"], at="ts", source=kind == "signup", sanitizer=kind == "view", sink=kind == "purchase")
+    assert got.columns == [*events.columns, "verdict"] and sorted(values(got, "event_id", "verdict")) == sorted(verdicts)
+    assert values(flow.event_chain(events.limit(0))) == []
+
+
 def test_what_is_staged_in_scratch_is_deleted(spark):
     from loomgraph.staging import scratch, shared_dir, stage
 
