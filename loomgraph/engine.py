@@ -84,8 +84,7 @@ class Engine:
 
         Files whose content has changed and whose time has not are seen only if `full`, which reads all and goes by their hashes.
         """
-        listed = source_files.listing(self.root)
-        now = self.spark.createDataFrame(listed, "path string, mtime timestamp")
+        now = stage(source_files.listed(self.spark, self.root))
         same = now.join(self.parsed.select("path", "mtime"), ["path", "mtime"], "left_semi")
         if full:
             same = same.limit(0)
@@ -369,8 +368,8 @@ class Engine:
     def search_graph_report(self, limit: int = 10, offset: int = 0, **filters) -> dict:
         """total, limit, offset, has_more and the results of one page of search_graph()."""
         page = self.search_graph(limit=limit, offset=offset, **filters).collect()
-        total = page[0]["total"] if page else self.search_graph(limit=1, **filters).select("total").first()
-        total = total if isinstance(total, int) else total["total"] if total else 0
+        any_of_them = page or self.search_graph(limit=1, **filters).collect()  # a page beyond the last has no row to say it
+        total = any_of_them[0]["total"] if any_of_them else 0
         results = [{"qualified_name": r["id"], "name": r["name"], "kind": r["kind"], "file_path": r["path"], "start_line": r["line"], "in_degree": r["in_degree"], "out_degree": r["out_degree"]} for r in page]
         return {"total": total, "limit": limit, "offset": offset, "has_more": offset + limit < total, "results": results}
 

@@ -1,8 +1,8 @@
-"""Source repositories as tables: a listing by the driver, then one Arrow-batched stage that reads and parses each file once.
+"""Source repositories as tables: a listing, then one Arrow-batched stage that reads and parses each file once.
 
 Spark's own file sources leave out names that begin with `_` or `.` (`__init__.py` among them) and follow links, so
-the driver lists paths, which are small, and the tasks open them. Repositories must be on a file system that driver and
-executors share.
+paths are listed here, the upper folders by the driver and large trees by tasks, and the tasks open the files. Repositories must be on
+a file system that driver and executors share.
 """
 
 from __future__ import annotations
@@ -18,25 +18,73 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import LANGUAGES, SKIPPED_FOLDERS, TEST_FOLDERS
 from ..parse import added_languages, know_languages
-from ..staging import ship
+from ..staging import ship, stage
 
 FILES_PER_TASK = 64
+#: Folders from which on tasks walk them, and folders that a task walks.
+WALKED, FOLDERS_PER_TASK = 1024, 16
 
 
 def skipped(part: str) -> bool:
     return part in SKIPPED_FOLDERS or part.endswith(".egg-info")
 
 
+def entries(root: str, folder: str) -> tuple[list[tuple[str, datetime]], list[str]]:
+    """(path from the root, time of change) of a folder's source files, and its folders; no links are followed."""
+    files, folders = [], []
+    with os.scandir(os.path.join(root, folder)) as found:
+        for e in found:
+            path = f"{folder}/{e.name}" if folder else e.name
+            if skipped(e.name):
+                continue
+            if e.is_dir(follow_symlinks=False):
+                folders.append(path)
+            elif e.is_file(follow_symlinks=False) and "." in e.name and e.name.rpartition(".")[2] in LANGUAGES:
+                files.append((path, datetime.fromtimestamp(e.stat(follow_symlinks=False).st_mtime, timezone.utc)))
+    return files, folders
+
+
+def walk(root: str, folder: str = "") -> Iterator[tuple[str, datetime]]:
+    """entries() of a folder and all below it. A folder that goes meanwhile is left out, one that can't be read is an error."""
+    todo = [folder]
+    while todo:
+        try:
+            files, folders = entries(root, todo.pop())
+        except FileNotFoundError:
+            continue
+        yield from files
+        todo += folders
+
+
 def listing(root: str) -> list[tuple[str, datetime]]:
-    """(path from the root, time of change) of the source files, in order; no links are followed."""
-    out = []
-    for folder, folders, names in os.walk(root, followlinks=False):
-        folders[:] = sorted(f for f in folders if not skipped(f) and not os.path.islink(os.path.join(folder, f)))
-        for name in sorted(names):
-            full = os.path.join(folder, name)
-            if name.rpartition(".")[2] in LANGUAGES and "." in name and not skipped(name) and not os.path.islink(full) and os.path.isfile(full):
-                out.append((os.path.relpath(full, root).replace(os.sep, "/"), datetime.fromtimestamp(os.stat(full).st_mtime, timezone.utc)))
-    return sorted(out)
+    """(path from the root, time of change) of the source files, in order."""
+    return sorted(walk(root))
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """The same as a table (path, mtime): the driver goes down until there are WALKED folders or none, and tasks walk those."""
+    found, todo = [], [""]
+    while todo and len(todo) < WALKED:
+        level = [entries(root, folder) for folder in todo if os.path.isdir(os.path.join(root, folder))]
+        found += [f for files, _ in level for f in files]
+        todo = [f for _, folders in level for f in folders]
+    kind = "path string, mtime timestamp"
+    above = spark.createDataFrame(found, kind)
+    if not todo:
+        return above
+    ship(spark)
+    added = added_languages()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        know_languages(added)
+        schema = pa.schema([("path", pa.string()), ("mtime", pa.timestamp("us", "UTC"))])
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                rows = list(walk(root, folder))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    folders = spark.createDataFrame([(f,) for f in todo], "folder string").repartition(-(-len(todo) // FOLDERS_PER_TASK))
+    return above.unionByName(folders.mapInArrow(run, kind))
 
 
 def is_test_path(path: str) -> bool:
@@ -114,8 +162,8 @@ def read(spark: SparkSession, root: str, paths: DataFrame | None = None) -> Data
     ship(spark)
     added = added_languages()
     if paths is None:
-        found = listing(root)
-        paths = spark.createDataFrame(found, "path string, mtime timestamp").repartition(max(1, -(-len(found) // FILES_PER_TASK)), "path")
+        paths = stage(listed(spark, root))
+        paths = paths.repartition(max(1, -(-paths.count() // FILES_PER_TASK)), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know_languages(added)

@@ -128,6 +128,20 @@ def test_a_full_refresh_sees_what_kept_its_time(spark, repo):
     assert e.get_meta("k") == "v" and e.get_meta("no", "else") == "else"
 
 
+@pytest.mark.parametrize("walked", [1, 3, 1000])
+def test_large_trees_are_walked_by_tasks(spark, repo, monkeypatch, walked):
+    from loomgraph.sources import files as source_files
+
+    monkeypatch.setattr(source_files, "WALKED", walked)
+    monkeypatch.setattr(source_files, "FOLDERS_PER_TASK", 2)
+    root = repo({f"d{i}/e{i % 3}/f{i}.py": f"def f{i}(): pass\n" for i in range(12)} | {"top.py": "", "d0/node_modules/x.js": "", "d1/x.egg-info/y.py": "", "d2/.hidden.py": "", "d3/noending": ""})
+    os.symlink(os.path.join(root, "d4"), os.path.join(root, "d5", "linked"))
+    os.symlink(os.path.join(root, "top.py"), os.path.join(root, "link.py"))
+    want = sorted([f"d{i}/e{i % 3}/f{i}.py" for i in range(12)] + ["top.py", "d2/.hidden.py"])
+    assert [p for p, _ in source_files.listing(root)] == want == sorted(p for p, in values(source_files.listed(spark, root), "path"))
+    assert sorted(values(Engine(spark, root).symbols, "name")) == sorted((f"f{i}",) for i in range(12))
+
+
 def test_reports_and_text_forms(spark):
     from loomgraph import render
 
