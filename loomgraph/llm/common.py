@@ -32,11 +32,12 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def python_workers(spark: SparkSession) -> None:
-    """Python workers that know this package, and Arrow batches of a few MB from here on: texts are long, and a
-    batch is held on both sides of a worker.
+    """Python workers that know this package, and batches of a few MB from here on: texts are long, and a batch is held
+    by the scan and on both sides of a worker.
     """
     ship(spark)
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2048), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+    limits = (("spark.sql.execution.arrow.maxRecordsPerBatch", 2048), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20), ("spark.sql.parquet.columnarReaderBatchSize", 512))
+    for key, most in limits:
         now = int(spark.conf.get(key).rstrip("b"))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))

@@ -48,7 +48,9 @@ from .common import python_workers, stage
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Tokens in a block, beyond which a task begins another, and the most tokens for a bucket of the hash space.
-BLOCK, BUCKET = 1_000_000, 2_000_000
+BLOCK, BUCKET = 1_000_000, 1_000_000
+#: Tokens whose answers, or scores, are worth a file.
+FILE = 32_000_000
 #: Buckets, as powers of two: the least, the most that are asked at once, and those ranges of them that more are asked by.
 LEAST_BITS, MOST_BITS, FAN_BITS = 5, 8, 6
 #: A block's number says its part: it is the rest by PARTS.
@@ -173,8 +175,22 @@ def read_asked(table: pa.Table | pa.RecordBatch) -> list[tuple]:
     return [(unit, space, unpack_sorted(keys), unpack(known, "u4"), unpack(dev, "u4"), None if checks is None else np.frombuffer(checks, np.uint32)) for unit, space, keys, known, dev, checks in rows]
 
 
-def questions(packed: DataFrame) -> DataFrame:
-    """What each block asks: its distinct words and its distinct pairs, and how often it has them itself."""
+def level(bits: int) -> int:
+    """How many bits of the hash space are dealt at once where so many are left."""
+    return bits if bits <= MOST_BITS else FAN_BITS
+
+
+def dealt(ask: tuple, depth: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """An ask cut by the `bits` bits of its keys that follow their first `depth`, which its space goes on with."""
+    unit, space, keys, known, dev, checks = ask
+    at = np.searchsorted(keys << np.uint64(depth) >> np.uint64(64 - bits), np.arange(2**bits + 1))
+    cuts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+    for first in range(0, len(cuts), 64):
+        yield asked([(unit, (space << bits) + k, keys[c], known[c], dev[c], None if checks is None else checks[c]) for k, c in cuts[first : first + 64]])
+
+
+def questions(packed: DataFrame, bits: int) -> DataFrame:
+    """What each block asks: its distinct words and its distinct pairs, and how often it has them itself, dealt by the first bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,25 +202,12 @@ def questions(packed: DataFrame) -> DataFrame:
                 checks = np.frombuffer(row["checks"], np.uint32)[order]
                 if len(order) > 1 and not np.diff(b["words"][order]).all():
                     raise Collision("two words of a block")
-                yield asked([(row["block"], WORDS, b["words"][order], *as_part(n), checks), (row["block"], PAIRS, b["pairs"], *as_part(b["n"]), None)])
+                yield from dealt((row["block"], WORDS, b["words"][order], *as_part(n), checks), 0, bits)
+                yield from dealt((row["block"], PAIRS, b["pairs"], *as_part(b["n"]), None), 0, bits)
 
     return packed.select("block", "part", "lengths", "stream", "words", "checks").mapInArrow(run, ASK_KIND)
 
 
-def dealt(asks: DataFrame, depth: int, bits: int) -> DataFrame:
-    """The same, each cut by the `bits` bits of the keys that follow their first `depth`, which its space goes on with."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for unit, space, keys, known, dev, checks in read_asked(batch):
-                at = np.searchsorted(keys << np.uint64(depth) >> np.uint64(64 - bits), np.arange(2**bits + 1))
-                cuts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-                for first in range(0, len(cuts), 64):
-                    yield asked([(unit, (space << bits) + k, keys[c], known[c], dev[c], None if checks is None else checks[c]) for k, c in cuts[first : first + 64]])
-
-    return asks.mapInArrow(run, ASK_KIND)
-
-
 def merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
     """Distinct keys, the sums of both counts, their second hashes, and the place of each row's keys among them."""
     keys, first, place = np.unique(np.concatenate([r[2] for r in rows]), return_index=True, return_inverse=True)
@@ -232,35 +235,34 @@ def answered(rows: list[tuple], place: np.ndarray, known: np.ndarray, dev: np.nd
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in TOLD_KIND.split(", ")])
 
 
-def told(asks: DataFrame, units: int, bits: int, depth: int = 0) -> DataFrame:
-    """Corpus counts for each ask, in pieces by space, whose order is that of its keys. A row of words' totals a bucket has the training
-    tokens N, distinct words V, and N without the deleted.
+def told(parts: DataFrame, units: int, bits: int, depth: int = 0) -> DataFrame:
+    """Corpus counts for asks that are dealt by level(bits) bits, in pieces by space, whose order is that of an ask's keys. A row
+    of words' totals a bucket has the training tokens N, distinct words V, and N without the deleted.
     """
 
     def answer(table: pa.Table) -> pa.Table:
         rows = read_asked(table)
         keys, known, dev, checks, place = merged(rows)
-        seen = known > 0
-        totals = (int(known.sum()), int(seen.sum()), int(known.sum() - dev.sum())) if checks is not None else None
+        totals = (int(known.sum()), int((known > 0).sum()), int(known.sum() - dev.sum())) if checks is not None else None
         return answered(rows, place, known, dev, totals)
 
-    if bits <= MOST_BITS:
-        return dealt(asks, depth, bits).groupBy("space").applyInArrow(answer, TOLD_KIND)
+    now = level(bits)
+    if now == bits:
+        return parts.groupBy("space").applyInArrow(answer, TOLD_KIND)
 
     groups = -(-units // 2**FAN_BITS)
-    parts = stage(dealt(asks, depth, FAN_BITS).withColumn("run", F.col("space") * groups + F.pmod(F.xxhash64("unit"), F.lit(groups))))
+    parts = stage(parts.withColumn("run", F.col("space") * groups + F.pmod(F.xxhash64("unit"), F.lit(groups))))
 
     def merge(table: pa.Table) -> pa.Table:
         keys, known, dev, checks, _ = merged(read_asked(table))
-        return pa.Table.from_batches([asked([(table.column("run")[0].as_py(), table.column("space")[0].as_py(), keys, known, dev, checks)])])
+        run, space = table.column("run")[0].as_py(), table.column("space")[0].as_py()
+        return pa.Table.from_batches(dealt((run, space, keys, known, dev, checks), depth + now, level(bits - now)))
 
-    runs = stage(parts.groupBy("run").applyInArrow(merge, ASK_KIND))
-    further = stage(told(runs, runs.count(), bits - FAN_BITS, depth + FAN_BITS))
+    further = stage(told(stage(parts.groupBy("run").applyInArrow(merge, ASK_KIND)), groups << now + 1, bits - now, depth + now))
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = read_asked(left)
-        run = {"told": right.column("told")[0].as_py()}
-        known, dev = counts_in_order(run["told"])
+        known, dev = counts_in_order(right.column("told")[0].as_py())
         return answered(rows, merged(rows)[4], known, dev)
 
     back = parts.groupBy("run").cogroup(in_order(further).withColumnRenamed("unit", "run").groupBy("run")).applyInArrow(look_up, TOLD_KIND)
@@ -390,8 +392,9 @@ def _counted(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     packed = stage(blocks(docs, seed))
     tokens, units = packed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
     bits = max(LEAST_BITS, math.ceil(math.log2(max(1, tokens / BUCKET))))
-    asks = questions(packed)
-    return packed, stage(told(asks if bits <= MOST_BITS else stage(asks), 2 * units, bits))
+    # few, larger files: what is told takes about two bytes a token
+    files = max(2 * docs.sparkSession.sparkContext.defaultParallelism, tokens // FILE)
+    return packed, stage(told(questions(packed, level(bits)), units, bits).coalesce(files))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -405,7 +408,8 @@ def score(docs: DataFrame) -> DataFrame:
                 raise
     totals = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n_kept"), F.lit(0)).alias("k")).first()
     weights = learn(histogram(packed, answers, totals["k"]).collect(), totals["v"])  # at most 65 times some 140 by 140 cells
-    return scores(packed, answers, weights, totals["n"], totals["v"])
+    scored = scores(packed, answers, weights, totals["n"], totals["v"])
+    return scored.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, totals["n"] // FILE))
 
 
 digest = score

@@ -14,7 +14,7 @@ def lines(texts: DataFrame) -> DataFrame:
 def occurrences(texts: DataFrame, token: str) -> DataFrame:
     """(id, line, n) of lines that have the token between characters that aren't ASCII letters, digits or `_`."""
     parts = F.split("text", "[^A-Za-z0-9_]+")
-    counted = lines(texts).where(F.col("text").contains(token)).select("id", "line", F.size(F.filter(parts, lambda w: w == token)).cast("long").alias("n"))
+    counted = lines(texts.where(F.col("text").contains(token))).where(F.col("text").contains(token)).select("id", "line", F.size(F.filter(parts, lambda w: w == token)).cast("long").alias("n"))
     return counted.where("n > 0")
 
 

@@ -106,6 +106,40 @@ def test_votes_against_brute_force():
         assert got == pytest.approx((weight * labels[best]).sum() / weight.sum(), abs=1e-5)
 
 
+def test_quality_query_against_brute_force(spark):
+    """Every document's score by the model that the query learns, from features that are counted here."""
+    draw = random.Random(21)
+    docs = [(i, junk(draw, 5 + i % 40) if i % 3 == 0 else prose(draw, 3 + i % 50)) for i in range(150)] + [(150, None), (151, ""), (5, "again " * 9), (None, "no id")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(0, 150, 2)], "doc_id long, quality int")
+    model = quality.fit(frame, labels)
+    want = []
+    for doc_id, text in docs:
+        words_ = (text or "").encode().split()
+        x = np.zeros(quality.WIDTH)
+        for word, n in Counter(w.lower() for w in words_).items():
+            x[zlib.crc32(word) % quality.WORDS] += 1 + math.log(n)
+        if words_:
+            x *= quality.WORD_SHARE / math.sqrt((x**2).sum())
+            shapes = np.zeros(quality.SHAPES)
+            for w in words_:
+                shaped = w.translate(quality.CLASSES)
+                shapes[zlib.crc32(shaped[:1] + shaped[-1:]) % quality.SHAPES] += 1 / len(words_)
+            x[quality.WORDS : quality.WORDS + quality.SHAPES] = np.sqrt(shapes)
+            x[-2] = math.sqrt(quality.REPEAT_SHARE * sum(a == b for a, b in zip(words_, words_[1:])) / len(words_))
+        x[-1] = math.sqrt(1 / (1 + len(words_) / quality.SHORT))
+        v = (x * model.weights) @ model.basis.astype(float)
+        cosines = model.vectors.astype(float) @ (v / np.linalg.norm(v))
+        near = np.argsort(-cosines, kind="stable")[: quality.NEIGHBOURS]
+        weight = np.maximum(cosines[near], 0) ** quality.POWER
+        want.append((doc_id, zlib.crc32(str(doc_id).encode()) % 5 == 0 if doc_id is not None else True, (weight * model.labels[near]).sum() / weight.sum()))
+    got = [(r["doc_id"], r["held_out"], r["score"], r["predicted"]) for r in quality.digest(frame, labels).collect()]
+    assert all(p == int(s >= 0.3) for _, _, s, p in got)
+    key = lambda r: (str(r[0]), round(r[2], 3))
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-4)
+
+
 # Language model
 
 
@@ -338,6 +372,22 @@ def test_warc_round_trip(spark, pages):
     assert (1, "revisit") in small and (3, "response") in small  # empty payloads are below the bound
 
 
+def test_warc_query_against_brute_force(spark):
+    draw = random.Random(22)
+    pages_ = [(i, f"http://h{i % 3}/", draw.choice(["", "a", "same page", "é" * 40, None, f"own {i}"])) for i in range(90)] + [(7, "again", "same page"), (None, "x", "a"), (None, "y", "only null"), (None, "z", "only null"), (200, None, "z" * 200_000)]
+    groups = {}
+    for page_id, _, html in pages_:
+        groups.setdefault(html or "", []).append(page_id)
+    want = []
+    for page_id, _, html in pages_:
+        payload = (html or "").encode()
+        largest = max((p for p in groups[html or ""] if p is not None), default=None)
+        revisit = len(groups[html or ""]) > 1 and largest is not None and page_id != largest
+        want.append((page_id, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if revisit else "response", largest if revisit else None))
+    got = warc.digest(spark.createDataFrame(pages_, "page_id long, url string, html string").repartition(5))
+    assert rows(got) == sorted(want, key=str)
+
+
 def archive(*records, dictionary=b"the quick brown fox " * 50, packed=True):
     known = warc._dictionary(dictionary)
     frames = [zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=True).compress(r) for r in records]
