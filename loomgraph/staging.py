@@ -63,9 +63,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         open_ones.remove(held)
-        conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for folder in held:
-            path(folder).getFileSystem(conf).delete(path(folder), True)
+            discard(spark, folder)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()
