@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, lm, mixing, quality, sharding, simhash, tokenstore, urlrep, warc
+from . import ann, centroids, decontam, divergence, licenses, lm, mixing, quality, sharding, simhash, tokenstore, urlrep, warc
 from .common import table
 
 QUERIES = {
@@ -16,9 +16,15 @@ QUERIES = {
     "op8_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op9_warc": lambda spark, d: warc.digest(table(spark, d, "pages")),
     "op10_decontamination": lambda spark, d: decontam.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op11_divergence": lambda spark, d: divergence.digest(table(spark, d, "documents")),
+    "op12_centroids": lambda spark, d: centroids.digest(table(spark, d, "embeddings")),
+    "op13_licenses": lambda spark, d: licenses.digest(table(spark, d, "documents")),
 }
 ORACLES = {
     "op4_url_filter": urlrep.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_decontamination": decontam.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_centroids": centroids.ORACLE,
+    "op13_licenses": licenses.ORACLE,
 }
