@@ -35,6 +35,8 @@ TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128
 MIN_DOCUMENTS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of a text that are cut into terms at once.
 PIECE = 1 << 20
+#: Rows of documents and terms, some 20 bytes each, that a task sorts and scans together before it emits their runs.
+TOGETHER = 3_000_000
 #: Terms of a language that are scanned together, and sources of one block.
 SLICE, BLOCK = 2048, 256
 RUN = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("doc", pa.int64()), ("documents", pa.int64()), ("n", pa.int64())])
@@ -69,67 +71,84 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def runs_of(batch: pa.RecordBatch, size: int = PIECE) -> pa.RecordBatch:
-    """The runs of (lang, source, term) in some documents, with their first document, how many there are, and occurrences."""
-    texts = batch.column("text").cast(pa.binary())
-    names: list[pa.Array] = []
-    docs, codes, counts = [], [], []
-    words: list[bytes] = []
-    lengths: list[tuple[int, int]] = []
-
-    def close() -> None:
+class Runs:
+    """The runs of (lang, source, term) in some documents: first a row for each document and term, then sorted and scanned."""
+
+    def __init__(self, size: int = PIECE):
+        self.size, self.rows, self.documents = size, 0, 0
+        self.names: list[pa.Array] = []
+        self.docs, self.codes, self.counts, self.batches = [], [], [], []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        words: list[bytes] = []
+        lengths: list[tuple[int, int]] = []
+        for i, text in enumerate(batch.column("text").cast(pa.binary()), self.documents):
+            for part in pieces(text.as_py() or b"", self.size):
+                found = part.split()
+                words += found
+                lengths.append((i, len(found)))
+                if len(words) >= self.size // 4:
+                    self._count(words, lengths)
+        self._count(words, lengths)
+        self.documents += batch.num_rows
+        self.batches.append(batch.select(["lang", "source", "doc"]))
+
+    def _count(self, words: list[bytes], lengths: list[tuple[int, int]]) -> None:
         """Count the words so far by (document, term): of a long text only its distinct terms stay."""
         flat = pa.array(words, pa.binary()).dictionary_encode()
         wide = max(1, len(flat.dictionary))
         owner = np.repeat(np.array([i for i, _ in lengths], np.int64), [n for _, n in lengths])
         key, n = np.unique(owner * wide + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        docs.append(key // wide)
-        codes.append(key % wide + sum(map(len, names)))
-        counts.append(n)
-        names.append(flat.dictionary)
+        self.docs.append((key // wide).astype(np.int32))
+        self.codes.append((key % wide + sum(map(len, self.names))).astype(np.int32))
+        self.counts.append(n.astype(np.int64))
+        self.names.append(flat.dictionary)
+        self.rows += len(n)
         words.clear(), lengths.clear()
 
-    for i, text in enumerate(texts):
-        for part in pieces(text.as_py() or b"", size):
-            found = part.split()
-            words += found
-            lengths.append((i, len(found)))
-            if len(words) >= size // 4:
-                close()
-    close()
-    encoded = pa.concat_arrays(names).dictionary_encode()
-    terms = encoded.dictionary
-    doc, count = np.concatenate(docs), np.concatenate(counts).astype(np.int64)
-    term = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[np.concatenate(codes)]
-    groups = pa.StructArray.from_arrays([pc.fill_null(batch.column(c), "") for c in ("lang", "source")], ["lang", "source"])
-    lang, source = (groups.field(c).dictionary_encode() for c in ("lang", "source"))
-    sources = max(1, len(source.dictionary))
-    group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * sources + source.indices.to_numpy(zero_copy_only=False)
-    order = np.lexsort((doc, term, group[doc]))
-    doc, term, count = doc[order], term[order], count[order]
-    own = group[doc]
-    rows = _starts(own, term, doc)  # a document of several chunks is one
-    doc, term, own = doc[rows], term[rows], own[rows]
-    count = np.add.reduceat(count, rows) if len(rows) else count
-    runs = _starts(own, term)
-    documents = np.diff(np.append(runs, len(doc)))
-    n = np.add.reduceat(count, runs) if len(runs) else count
-    ids = pc.fill_null(batch.column("doc"), 0).take(pa.array(doc[runs]))
-    return pa.RecordBatch.from_arrays(
-        [lang.dictionary.take(pa.array(own[runs] // sources)), source.dictionary.take(pa.array(own[runs] % sources)), terms.take(pa.array(term[runs])).cast(pa.string()), ids, pa.array(documents, pa.int64()), pa.array(n, pa.int64())],
-        schema=RUN,
-    )
-
-
-def partial_runs(docs: DataFrame, size: int = PIECE) -> DataFrame:
-    """(lang, source, term, doc, documents, n): what each batch of documents has counted. `doc` only orders a run."""
+    def close(self) -> pa.RecordBatch:
+        """Each run with its first document, how many there are, and occurrences, in order of (lang, source, term)."""
+        encoded = pa.concat_arrays(self.names).dictionary_encode()
+        doc, count = np.concatenate(self.docs), np.concatenate(self.counts)
+        term = encoded.indices.to_numpy(zero_copy_only=False)[np.concatenate(self.codes)]
+        about = pa.Table.from_batches(self.batches).combine_chunks()
+        lang, source = (about.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+        sources = max(1, len(source.dictionary))
+        group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * sources + source.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((doc, term, group[doc]))
+        doc, term, count = doc[order], term[order], count[order]
+        own = group[doc]
+        rows = _starts(own, term, doc)  # a document whose pieces were counted apart is one
+        doc, term, own = doc[rows], term[rows], own[rows]
+        count = np.add.reduceat(count, rows) if len(rows) else count
+        runs = _starts(own, term)
+        documents = np.diff(np.append(runs, len(doc)))
+        n = np.add.reduceat(count, runs) if len(runs) else count
+        columns = [
+            lang.dictionary.take(pa.array(own[runs] // sources)),
+            source.dictionary.take(pa.array(own[runs] % sources)),
+            encoded.dictionary.take(pa.array(term[runs])).cast(pa.string()),
+            about.column("doc").combine_chunks().take(pa.array(doc[runs])),
+            pa.array(documents, pa.int64()),
+            pa.array(n, pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=RUN)
+
+
+def partial_runs(docs: DataFrame, size: int = PIECE, most: int = TOGETHER) -> DataFrame:
+    """(lang, source, term, doc, documents, n): what a task has counted in some documents. `doc` only orders a run."""
     python_workers(docs.sparkSession)
     chosen = docs.select(F.coalesce("text", F.lit("")).alias("text"), _text("lang"), _text("source"), F.xxhash64("doc_id").alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(size)
         for batch in batches:
-            if batch.num_rows:
-                yield runs_of(batch, size)
+            runs.add(batch)
+            if runs.rows >= most:
+                yield runs.close()
+                runs = Runs(size)
+        if runs.documents:
+            yield runs.close()
 
     return chosen.mapInArrow(run, RUN_KIND)
 
