@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.lists import ALWAYS_USED
-from .operators import build, graph, history, store, taint, text
+from .operators import build, dataflow, graph, history, store, text
 from .sources import files as source_files
 from .sources import gitlog
 from .staging import stage
@@ -66,6 +66,7 @@ class Engine:
             self._version = self._versions.publish({"parsed": parsed}, self._version)
             self.parsed = self._versions.read("parsed", self._version)
         self.set_meta("last_indexed_at", datetime.now(timezone.utc).isoformat(timespec="seconds"))
+        self._flows: dict[str, dataflow.Flow] = {}
         for name in ("files", "symbols", "occurrences", "imports", "edges", "calls", "name_calls"):
             self.__dict__.pop(name, None)
 
@@ -311,7 +312,7 @@ class Engine:
         seeds = self._changed(symbol_query, diff_scope).select("id", "name")
         plain = build.latest_symbols(self.symbols)
         calls = self.calls if min_weight is None else self.calls.where(F.col("weight") >= min_weight)
-        loose = calls.where(F.col("dst").startswith("?::")).withColumn("name", F.substring("dst", 4, 10_000)).join(seeds, "name").select("src", F.col("id").alias("dst"))
+        loose = calls.where(F.col("dst").startswith("?::")).withColumn("name", F.expr("substring(dst, 4)")).join(seeds, "name").select("src", F.col("id").alias("dst"))
         reached = graph.change_impact(calls.select("src", "dst").union(loose), seeds.select("id"), depth)
         tested = self.edges.where("type = 'TESTS'").join(seeds.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("risk"))
         rows = reached.unionByName(tested.join(reached, "id", "left_anti")).join(plain.select("id", "path", "is_test"), "id", "left").distinct()
@@ -405,24 +406,39 @@ class Engine:
         """A report on one function: mode flow, taint, or cross_taint."""
         if mode not in ("flow", "taint", "cross_taint"):
             return {"error": f"unknown mode: {mode}"}
-        columns = ("path", "name", "variables", "assigns", "call_sites")
-        rows = [r.asDict(recursive=True) for r in self._first(file_path, function_name).select(*columns).collect()]
-        if not rows:
+        first = stage(self._first(file_path, function_name).where(F.col("kind").isin("function", "method")))
+        if first.isEmpty():
             return {"paths": []} if mode == "taint" else {"error": f"no function {function_name} in {file_path}"}
-        if mode == "flow":
-            return taint.flow(rows[0], match)
+        judged = ("verdict", "chain", "sanitizer", "risk")
+        if mode == "cross_taint":
+            whole, start = self.flow(match), dataflow.functions(first).select("fn", "name")
+            facts = stage(whole.tainted_parameters(depth, start))
+            rows = whole.cross_taint_paths(facts, start).orderBy("hop", "path", "line", "site", "pos").select(*judged, "functions").collect()
+            return {"paths": [r.asDict() for r in rows], "depth_reached": facts.select("fn").union(start.select("fn")).distinct().count()}
+        own = dataflow.Flow(first, match)
         if mode == "taint":
-            return {"paths": taint.taint(rows[0], match)}
-
-        def lookup(names: list[str]) -> list[dict]:
-            found = self._functions().where(F.col("name").isin(*names)).select(*columns).orderBy("path", "line")
-            return [r.asDict(recursive=True) for r in found.collect()]
-
-        return taint.cross_taint(rows, lookup, depth, match)
+            return {"paths": [r.asDict() for r in own.taint_paths().orderBy("site", "pos").select(*judged).collect()]}
+        variables = own.variables().orderBy("seq").select(F.col("variable").alias("name"), F.col("at").alias("line"), "depends_on", F.col("expr").alias("source_expr"))
+        sites = own.sites.orderBy("site")
+        sources = sites.where("source is not null").select("expr", "line", F.lit("external_input").alias("kind"))
+        sinks = sites.where("sink is not null").select("expr", "line", dataflow.sink_kind(F.col("expr")).alias("kind"))
+        listed = lambda df: [r.asDict() for r in df.collect()]
+        return {"variables": listed(variables), "flow_chains": [r["chain"] for r in own.chains().orderBy("variable").collect()], "sources": listed(sources), "sinks": listed(sinks)}
+
+    def flow(self, match: str = "call") -> dataflow.Flow:
+        """The dataflow tables of every function of the repository."""
+        if match not in self._flows:
+            self._flows[match] = dataflow.Flow(self.symbols, match)
+        return self._flows[match]
 
     def taint_paths(self, match: str = "call") -> DataFrame:
         """Taint paths of every function of the repository."""
-        return taint.taint_paths(self.symbols, match)
+        return self.flow(match).taint_paths().drop("line", "site", "pos")
+
+    def cross_taint_paths(self, depth: int | None = 3, match: str = "call") -> DataFrame:
+        """Taint paths of every function, also from what its callers hand it, `depth` calls off; None for however many."""
+        whole = self.flow(match)
+        return whole.cross_taint_paths(whole.tainted_parameters(depth)).drop("site", "pos")
 
     # History
 

@@ -59,7 +59,7 @@ def name_edges(symbols: DataFrame) -> DataFrame:
 
 def tests_edges(symbols: DataFrame) -> DataFrame:
     """(src, dst): test_x and Testx of test files against symbols named x that are no tests."""
-    tested = F.when(F.col("name").startswith("test_"), F.substring("name", 6, 1_000)).when(F.col("name").startswith("Test"), F.substring("name", 5, 1_000))
+    tested = F.when(F.col("name").startswith("test_"), F.expr("substring(name, 6)")).when(F.col("name").startswith("Test"), F.expr("substring(name, 5)"))
     tests = symbols.where("is_test").select(F.col("id").alias("src"), tested.alias("name")).where("name is not null and name <> ''")
     return tests.join(symbols.where(~F.col("is_test")).select("name", F.col("id").alias("dst")), "name").select("src", "dst").distinct()
 

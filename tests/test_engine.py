@@ -223,19 +223,3 @@ def test_a_file_that_cannot_be_read_fails_the_job_and_one_that_has_gone_does_not
 
 def test_history_without_a_repository(spark, tmp_path):
     assert values(gitlog.commits(spark, str(tmp_path / "gone"))) == []
-
-
-def test_taint_follows_every_variable():
-    """A source, or a sanitizer, behind more than twenty variables that the sink draws on."""
-    from loomgraph.operators.taint import taint
-
-    def symbol(last):
-        plain = [{"name": f"v{i}", "line": i, "names": [], "expr": str(i)} for i in range(25)]
-        end = {"name": "q", "line": 40, "names": [*(f"v{i}" for i in range(25)), "x"], "expr": "v0 + x"}
-        return {"assigns": [*plain, *last, end], "call_sites": [{"expr": "cursor.execute(q)", "line": 41}]}
-
-    source = {"name": "x", "line": 30, "names": [], "expr": "input()"}
-    found = taint(symbol([source]))
-    assert [(p["verdict"], p["risk"]) for p in found] == [("UNSAFE", "SQL injection")] and len(found[0]["chain"]) == 28
-    clean = [source | {"name": "raw"}, {"name": "x", "line": 31, "names": ["raw"], "expr": "sanitize(raw)"}]
-    assert [(p["verdict"], p["sanitizer"]) for p in taint(symbol(clean))] == [("SAFE", "sanitize")]
