@@ -418,7 +418,7 @@ class Engine:
         own = dataflow.Flow(first, match)
         if mode == "taint":
             return {"paths": [r.asDict() for r in own.taint_paths().orderBy("site", "pos").select(*judged).collect()]}
-        variables = own.variables().orderBy("seq").select(F.col("variable").alias("name"), F.col("at").alias("line"), "depends_on", F.col("expr").alias("source_expr"))
+        variables = own.variables().orderBy("seq").select(F.col("variable").alias("name"), F.col("at_line").alias("line"), "depends_on", F.col("expr").alias("source_expr"))
         sites = own.sites.orderBy("site")
         sources = sites.where("source is not null").select("expr", "line", F.lit("external_input").alias("kind"))
         sinks = sites.where("sink is not null").select("expr", "line", dataflow.sink_kind(F.col("expr")).alias("kind"))

@@ -236,11 +236,11 @@ class Flow:
         return _judged(first).join(about, "fn").select("path", "name", "line", "site", "pos", "verdict", "chain", "sanitizer", "risk", "hop", F.col("way").alias("functions"))
 
     def variables(self) -> DataFrame:
-        """path, name, variable, at (its line), seq, depends_on (sorted), expr: each assignment."""
+        """path, name, variable, at_line, seq, depends_on (sorted), expr: each assignment."""
         deps = self.def_use.where(~F.col("dep").startswith("@")).groupBy("fn", "seq").agg(F.array_sort(F.collect_set("dep")).alias("depends_on"))
-        rows = self.assigns.select("fn", "seq", F.col("name").alias("variable"), F.col("line").alias("at"), "expr").join(deps, ["fn", "seq"], "left")
+        rows = self.assigns.select("fn", "seq", F.col("name").alias("variable"), F.col("line").alias("at_line"), "expr").join(deps, ["fn", "seq"], "left")
         told = rows.withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>")))
-        return told.join(self.functions.select("fn", "path", "name", "line"), "fn").select("path", "name", "line", "seq", "variable", "at", "depends_on", "expr")
+        return told.join(self.functions.select("fn", "path", "name", "line"), "fn").select("path", "name", "line", "seq", "variable", "at_line", "depends_on", "expr")
 
     def chains(self) -> DataFrame:
         """path, name, variable, chain: each variable that no other is made of, and what it is made of, by steps."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..sources.tables import table
+from ..sources.tables import state, table
 from .registry import Registry
 
 #: Parts in a module, and how far on the part is that a part calls.
@@ -59,20 +59,41 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return code.unionByName(tests)
 
 
-#: By application and folder, so that the texts are parsed once for all queries.
-_ENGINES: dict[tuple[str, str], Engine] = {}
+def flow_sources(spark: SparkSession, d: str) -> DataFrame:
+    """(path, source): a file a part with one function, which hands a value from outside or its own parameter to the part three further on."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    line = lambda *pieces: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in pieces], F.lit("\n"))
+    only = lambda where, text: F.when(where, text).otherwise(F.lit(""))
+    outside = s % 5 == 0
+    source = F.concat(
+        line("def w_", k, "(a, b):"),
+        line("    t = ", F.when(k % 7 == 0, "sanitize(a)").otherwise("a")),
+        line("    u = t + ", s),
+        only(outside, line("    raw = input()")),
+        only(k % 4 != 0, line("    w_", k + 3, "(", F.when(outside, "raw").otherwise("u"), ", b)")),
+        only(s % 3 == 0, line("    db.execute(u)")),
+        only(s % 10 == 0, line("    os.system(raw)")),
+    )
+    return table(spark, d, "part").select(F.concat(F.lit("flow/w_"), k.cast("string"), F.lit(".py")).alias("path"), source.alias("source"))
+
 
+#: The engine of each application, folder and kind of sources, with the state of the table that it was made from.
+_ENGINES: dict[tuple[str, str, str], tuple[tuple, Engine]] = {}
 
-def engine(spark: SparkSession, d: str) -> Engine:
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _ENGINES:
-        texts = sources(spark, d)
-        _ENGINES[key] = Engine.over(texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"))
-    return _ENGINES[key]
+
+def engine(spark: SparkSession, d: str, made=sources) -> Engine:
+    """Texts are parsed once for all queries, and again once the files of the table have changed."""
+    key, now = (spark.sparkContext.applicationId, d, made.__name__), state(table(spark, d, "part"))
+    was, known = _ENGINES.get(key, (None, None))
+    if was != now:
+        texts = made(spark, d)
+        known = Engine.over(texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"))
+        _ENGINES[key] = now, known
+    return known
 
 
 def _asked(f, spark: SparkSession, d: str) -> DataFrame:
-    return f(engine(spark, d))
+    return f(engine(spark, d, flow_sources if f.__name__.startswith("code_cross") else sources))
 
 
 _REGISTRY = Registry(lambda f: partial(_asked, f))
@@ -329,3 +350,45 @@ def code_change_impact(e: Engine) -> DataFrame:
 @query(f"WITH {_ALL}, n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS no FROM (SELECT path AS name FROM files_linked UNION SELECT other FROM files_linked)) SELECT path AS src, s.no AS src_no, other AS dst, o.no AS dst_no FROM files_linked JOIN n s ON s.name = path JOIN n o ON o.name = other")
 def code_dependencies(e: Engine) -> DataFrame:
     return e.get_dependency_graph()
+
+
+@query(
+    f"""WITH {_FN}, a AS (
+      SELECT path, f AS name, line, 0 AS seq, 'x' AS variable, line + 1 + d AS at_line, '' AS depends_on, 'a + ' || s AS expr FROM fn
+      UNION ALL SELECT path, f, line, i::INTEGER, 'x', line + 1 + d + 2 * i, 'x', 'x - 1' FROM fn, generate_series(1, 2) g(i) WHERE i <= r
+      UNION ALL SELECT path, f, line, (1 + r)::INTEGER, 'x', line + 3 + d + 2 * r, 'x', 'x + i' FROM fn WHERE l = 1
+      UNION ALL SELECT path, f, line, (1 + r + l)::INTEGER, 'raw', line + 3 + d + 2 * r + 2 * l + calls, '', 'input()' FROM fn WHERE outside
+      UNION ALL SELECT path, f, line, (2 + r + l)::INTEGER, 'safe', line + 4 + d + 2 * r + 2 * l + calls, 'raw', 'sanitize(raw)' FROM fn WHERE safe)
+    SELECT path, name, line, seq, variable, at_line::INTEGER AS at_line, depends_on, expr FROM a"""
+)
+def code_flow(e: Engine) -> DataFrame:
+    return e.flow().variables().withColumn("depends_on", F.array_join("depends_on", ","))
+
+
+@query(f"WITH {_FN} SELECT path, f AS name, line, 'safe' AS variable, 'safe,raw' AS chain FROM fn WHERE safe")
+def code_flow_chains(e: Engine) -> DataFrame:
+    return e.flow().chains().withColumn("chain", F.array_join("chain", ","))
+
+
+#: Parts whose function gets something from outside as its first argument: from the part three before it, or through that.
+_HANDED = """parts AS (SELECT p_partkey AS k, p_size AS s FROM part), held AS (
+  SELECT t.k, 1 AS hop, ['w_' || j.k, 'w_' || t.k] AS way FROM parts j JOIN parts t ON t.k = j.k + 3 WHERE j.k % 4 <> 0 AND j.s % 5 = 0
+  UNION ALL SELECT t.k, hop + 1, list_append(way, 'w_' || t.k) FROM held JOIN parts j ON j.k = held.k JOIN parts t ON t.k = j.k + 3 WHERE j.k % 4 <> 0 AND j.s % 5 <> 0
+)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_HANDED}
+    SELECT 'flow/w_' || k || '.py' AS path, 'w_' || k AS name, 1 AS line, CASE k % 7 WHEN 0 THEN 'SAFE' ELSE 'UNSAFE' END AS verdict, 'u,t,a,db.execute(u)' AS chain, CASE k % 7 WHEN 0 THEN 'sanitize' END AS sanitizer,
+      CASE WHEN k % 7 <> 0 THEN 'SQL injection' END AS risk, hop, array_to_string(way, ',') AS functions FROM held JOIN parts USING (k) WHERE s % 3 = 0
+    UNION ALL SELECT 'flow/w_' || k || '.py', 'w_' || k, 1, 'UNSAFE', 'raw,os.system(raw)', NULL, 'Command injection', 0, 'w_' || k FROM parts WHERE s % 10 = 0"""
+)
+def code_cross_taint(e: Engine) -> DataFrame:
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return e.cross_taint_paths(None).select("path", "name", "line", "verdict", joined("chain"), "sanitizer", "risk", "hop", joined("functions"))
+
+
+@query(f"WITH RECURSIVE {_HANDED} SELECT 'w_' || k AS name, 'a' AS param, hop FROM held")
+def code_cross_parameters(e: Engine) -> DataFrame:
+    flow = e.flow()
+    return flow.tainted_parameters().join(flow.functions.select("fn", "name"), "fn").select("name", "param", "hop")

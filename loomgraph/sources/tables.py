@@ -10,6 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """(path, size, time of change) of the files that a table reads: another value once they have been replaced."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for file in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def succession(lineitem: DataFrame) -> DataFrame:
     """Parts that follow each other in an order: distinct (src, dst). The sort key is total."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
