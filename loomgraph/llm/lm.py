@@ -101,6 +101,15 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts of up to 63 bits, byte planes apart: the planes that are all zeros cost nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(data, "u1").reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
+
+
 def blocks(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Token streams: documents of one part (test, deleted, training) by block."""
     id_kind = docs.schema["doc_id"].dataType
@@ -166,13 +175,13 @@ ASK_NAMES = [c.split()[0] for c in ASK_KIND.split(", ")]
 def asked(rows: list[tuple]) -> pa.RecordBatch:
     """Rows (unit, space, sorted keys, their counts in training and in deleted documents, second hashes or None) packed."""
     columns = list(zip(*rows)) if rows else [()] * 6
-    packed = [list(columns[0]), list(columns[1]), [pack_sorted(k) for k in columns[2]], *([pack(n.astype(np.uint32)) for n in c] for c in columns[3:5]), [None if c is None else c.tobytes() for c in columns[5]]]
+    packed = [list(columns[0]), list(columns[1]), [pack_sorted(k) for k in columns[2]], *([pack_counts(n) for n in c] for c in columns[3:5]), [None if c is None else c.tobytes() for c in columns[5]]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(packed, (pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=ASK_NAMES)
 
 
 def read_asked(table: pa.Table | pa.RecordBatch) -> list[tuple]:
     rows = zip(*(table.column(c).to_pylist() for c in ASK_NAMES))
-    return [(unit, space, unpack_sorted(keys), unpack(known, "u4"), unpack(dev, "u4"), None if checks is None else np.frombuffer(checks, np.uint32)) for unit, space, keys, known, dev, checks in rows]
+    return [(unit, space, unpack_sorted(keys), unpack_counts(known), unpack_counts(dev), None if checks is None else np.frombuffer(checks, np.uint32)) for unit, space, keys, known, dev, checks in rows]
 
 
 def level(bits: int) -> int:
@@ -211,7 +220,9 @@ def questions(packed: DataFrame, bits: int) -> DataFrame:
 def merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
     """Distinct keys, the sums of both counts, their second hashes, and the place of each row's keys among them."""
     keys, first, place = np.unique(np.concatenate([r[2] for r in rows]), return_index=True, return_inverse=True)
-    known, dev = (np.bincount(place, np.concatenate([r[k] for r in rows]), len(keys)).astype(np.int64) for k in (3, 4))
+    known, dev = np.zeros((2, len(keys)), np.int64)
+    for sums, k in ((known, 3), (dev, 4)):
+        np.add.at(sums, place, np.concatenate([r[k] for r in rows]))
     checks = None
     if rows[0][5] is not None:
         every = np.concatenate([r[5] for r in rows])
@@ -227,7 +238,7 @@ TOLD_KIND = "unit long, space long, told binary, n long, v long, n_kept long"
 def answered(rows: list[tuple], place: np.ndarray, known: np.ndarray, dev: np.ndarray, totals: tuple | None = None) -> pa.Table:
     """Each row's counts in the order of its keys, training then deleted; and a row of totals, without a unit."""
     ends = np.cumsum([len(r[2]) for r in rows])
-    told = [pack(np.concatenate([known[p], dev[p]]).astype(np.uint32)) for p in np.split(place, ends[:-1])]
+    told = [pack_counts(np.concatenate([known[p], dev[p]])) for p in np.split(place, ends[:-1])]
     out = [(r[0], r[1], t, None, None, None) for r, t in zip(rows, told)]
     if totals is not None:
         out.append((None, rows[0][1], None, *totals))
@@ -236,7 +247,7 @@ def answered(rows: list[tuple], place: np.ndarray, known: np.ndarray, dev: np.nd
 
 
 def told(parts: DataFrame, units: int, bits: int, depth: int = 0) -> DataFrame:
-    """Corpus counts for asks that are dealt by level(bits) bits, in pieces by space, whose order is that of an ask's keys. A row
+    """Corpus counts for asks of at most `units` units a space that are dealt by level(bits) bits, in pieces by space, whose order is that of an ask's keys. A row
     of words' totals a bucket has the training tokens N, distinct words V, and N without the deleted.
     """
 
@@ -253,12 +264,14 @@ def told(parts: DataFrame, units: int, bits: int, depth: int = 0) -> DataFrame:
     groups = -(-units // 2**FAN_BITS)
     parts = stage(parts.withColumn("run", F.col("space") * groups + F.pmod(F.xxhash64("unit"), F.lit(groups))))
 
+    following = level(bits - now)
+
     def merge(table: pa.Table) -> pa.Table:
         keys, known, dev, checks, _ = merged(read_asked(table))
         run, space = table.column("run")[0].as_py(), table.column("space")[0].as_py()
-        return pa.Table.from_batches(dealt((run, space, keys, known, dev, checks), depth + now, level(bits - now)))
+        return pa.Table.from_batches(dealt((run, space, keys, known, dev, checks), depth + now, following))
 
-    further = stage(told(stage(parts.groupBy("run").applyInArrow(merge, ASK_KIND)), groups << now + 1, bits - now, depth + now))
+    further = stage(told(stage(parts.groupBy("run").applyInArrow(merge, ASK_KIND)), groups, bits - now, depth + now))
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = read_asked(left)
@@ -276,8 +289,8 @@ def in_order(answers: DataFrame) -> DataFrame:
 
 def counts_in_order(pieces: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Training and deleted counts from a unit's pieces."""
-    split = [unpack(p["told"], "u4").reshape(2, -1) for p in pieces]
-    both = np.concatenate(split, axis=1).astype(np.int64) if split else np.zeros((2, 0), np.int64)
+    split = [unpack_counts(p["told"]).reshape(2, -1) for p in pieces]
+    both = np.concatenate(split, axis=1) if split else np.zeros((2, 0), np.int64)
     return both[0], both[1]
 
 

@@ -12,7 +12,7 @@ without a shuffle; texts are read whole.
 
 Defined cases: null and empty texts are one and the same text, without words but with the shape feature of
 shortness, and so vote like the shortest; labels of one doc_id are averaged; null labels and ids teach
-nothing; without any label each score is 0.5; rows that repeat a doc_id are scored one by one; labelled rows as near as
+nothing; without any label each score is 0.5; rows that repeat a doc_id are scored one by one, and one of them teaches, that of the least features; labelled rows as near as
 the last neighbour all vote, so copies in the sample don't depend on its order; cosines are single precision, so scores may
 differ in the last of their nine digits with the shape of a block; very long texts are read whole; an empty table gives
 no rows. A column of the documents that is called like the score is replaced by `score` and kept by `keep`.
@@ -153,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, folds: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, f"doc_id {kind}, label double, at binary, value binary")
-    # at most `sample` rows, of which none is longer than WIDTH
+    # a row an id, however often it is repeated; at most `sample` rows, of which none is longer than WIDTH
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("at", "value", "label")).alias("r")).select("doc_id", "r.*")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "at", "value").limit(sample).select("label", "at", "value").toArrow()
     if not rows.num_rows:
         return None

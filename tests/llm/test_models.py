@@ -81,6 +81,17 @@ def test_labels_without_a_document_take_no_room_in_the_sample(spark):
     assert len(model.labels) == 40 and set(model.labels) == {0.0, 1.0}
 
 
+def test_a_repeated_id_takes_one_place_in_the_sample(spark):
+    docs = [(i, f"good text {i} the river and a house" if i % 2 else f"BUY!!! {i} $$$ ###") for i in range(80)]
+    taught = next(i for i in range(80) if zlib.crc32(str(i).encode()) % 5)
+    many = docs + [(taught, docs[taught][1])] * 200 + [(taught, f"again {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string"
+    want = quality.fit(spark.createDataFrame(docs, schema), labels, sample=50)
+    got = quality.fit(spark.createDataFrame(many, schema).repartition(5), labels, sample=50)
+    assert len(got.labels) == len(want.labels) == 50 and sorted(got.labels) == sorted(want.labels) and set(got.labels) == {0.0, 1.0}
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1), (6, None)], "doc_id long, quality int")
     got = quality.digest(odd, labels)
@@ -203,6 +214,81 @@ def test_levels_of_buckets_change_nothing(spark, monkeypatch):
         assert [r[5:] for r in rows(lm.digest(frame))] == [pytest.approx(r[5:], abs=1e-6) for r in want]
 
 
+def test_levels_merge(spark, monkeypatch):
+    """Four levels: each has at most 2 * 2^FAN messages a block, and as many runs as blocks, two or three times over."""
+    draw = random.Random(15)
+    docs = spark.createDataFrame([(i, " ".join(f"w{draw.randrange(300)}" for _ in range(40))) for i in range(400)], "doc_id long, text string").repartition(3)
+    for name, value in (("BLOCK", 130), ("MOST_BITS", 2), ("FAN_BITS", 2)):
+        monkeypatch.setattr(lm, name, value)
+    packed = lm.stage(lm.blocks(docs))
+    units = packed.count()
+    seen = []
+    told = lm.told
+
+    def watched(parts, of_space, bits, depth=0):
+        seen.append((parts.count(), parts.select("unit").distinct().count(), of_space, bits))
+        most = parts.groupBy("space").agg(F.countDistinct("unit").alias("n")).agg(F.max("n")).first()[0]
+        assert most <= of_space
+        return told(parts, of_space, bits, depth)
+
+    monkeypatch.setattr(lm, "told", watched)
+    lm.told(lm.questions(packed, lm.level(8)), units, 8).count()
+    assert [bits for *_, bits in seen] == [8, 6, 4, 2] and units > 100
+    assert all(rows_ <= 2 * units * 2**2 * 1.2 and runs <= 3 * units for rows_, runs, _, _ in seen), seen
+    assert seen[-1][2] == -(-(-(-(-(-units // 4) // 4)) // 4))
+
+
+def test_counts_beyond_32_bits_are_whole():
+    counts = np.array([0, 1, 255, 256, 5_000_000_000, 2**32, 2**62, 7])
+    assert lm.unpack_counts(lm.pack_counts(counts)).tolist() == counts.tolist()
+    ask = (1, 2, np.array([3, 9], np.uint64), np.array([5_000_000_000, 2**53 + 1]), np.array([0, 2**33]), None)
+    again = lm.read_asked(lm.asked([ask, (2, *ask[1:])]))
+    keys, known, dev, _, place = lm.merged(again)
+    assert known.tolist() == [10_000_000_000, 2**54 + 2] and dev.tolist() == [0, 2**34]
+    told = lm.answered(again, place, known, dev)
+    assert [x.tolist() for x in lm.counts_in_order([{"told": told.column("told")[0].as_py()}])] == [known.tolist(), dev.tolist()]
+
+
+def test_deleted_counts_against_the_documents(spark, monkeypatch):
+    """The histogram's cells, and the weights of them, from counts of the documents by hand."""
+    monkeypatch.setattr(lm, "BLOCK", 90)
+    monkeypatch.setattr(lm, "BUCKET", 30)
+    draw = random.Random(16)
+    docs = [(i, " ".join(draw.choice(["the", "a", "of", f"r{draw.randrange(90)}"]) for _ in range(draw.randrange(20)))) for i in range(200)]
+    part = lambda i: zlib.crc32(str(i).encode()) % 7
+    uni, bi, starts, vocabulary = Counter(), Counter(), 0, set()
+    for i, t in docs:
+        toks = [*t.split(), None]
+        if part(i) != 2:
+            vocabulary.update(toks)
+        if part(i) not in (2, 3):
+            uni.update(toks)
+            bi.update(zip([0, *toks], toks))
+            starts += 1
+    want = Counter()
+    sums = Counter()
+    log = lambda p: math.log2(p) if p else -999.0
+    for i, t in docs:
+        if part(i) == 3:
+            toks = [*t.split(), None]
+            for u, w in zip([0, *toks], toks):
+                cu = starts if u == 0 else uni[u]
+                two, one = log(bi[u, w] / cu if cu else 0), log(uni[w] / sum(uni.values()))
+                cell = (int(math.log2(cu)) if cu else -1, math.floor(4 * two), math.floor(4 * one))
+                want[cell] += 1
+                sums[cell, "two"] += two
+                sums[cell, "one"] += one
+    packed, answers = lm._counted(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 0)
+    cells = lm.histogram(packed, answers, sum(uni.values())).collect()
+    assert {(c["bucket"], c["cell_two"], c["cell_one"]): c["n"] for c in cells} == dict(want)
+    for c in cells:
+        cell = c["bucket"], c["cell_two"], c["cell_one"]
+        assert (c["two"], c["one"]) == (pytest.approx(sums[cell, "two"]), pytest.approx(sums[cell, "one"]))
+    weights = lm.learn(cells, len(vocabulary))
+    hand = lm.learn([{"bucket": b, "cell_two": x, "cell_one": y, "n": n, "two": sums[(b, x, y), "two"], "one": sums[(b, x, y), "one"]} for (b, x, y), n in want.items()], len(vocabulary))
+    assert np.allclose(weights, hand, atol=1e-9) and weights[5][0] > 0
+
+
 def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
     import xxhash as real
 
