@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
-from functools import cached_property
+from functools import cached_property, reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.lists import ALWAYS_USED
-from .operators import build, dataflow, graph, history, store, text
+from .operators import build, dataflow, graph, history, spans, store, text
 from .sources import files as source_files
 from .sources import gitlog
 from .staging import stage
 
 
+#: Parts of the table of edges by the file that an edge begins in, and changes after which all parts are written together.
+EDGE_PARTS, PATCHES = 64, 8
+
+
+def edge_part(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(EDGE_PARTS)).cast("int")
+
+
+def parted(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("part", edge_part(F.split_part("src", F.lit("::"), F.lit(1))))
+
+
 class PathError(ValueError):
     """A path that leaves the repository."""
 
@@ -46,6 +58,7 @@ class Engine:
         self._versions = store.Versions(spark, store_dir) if store_dir else None
         self._version = self._versions.last() if self._versions else 0
         self._meta: dict[str, str] = {}
+        self._flows, self._edge_tables = {}, []
         if self._version:
             self.parsed = self._versions.read("parsed", self._version)
             self.refresh()
@@ -60,7 +73,9 @@ class Engine:
         engine._publish(stage(source_files.parse(texts)))
         return engine
 
-    def _publish(self, parsed: DataFrame) -> None:
+    def _publish(self, parsed: DataFrame, touched: DataFrame | None = None) -> None:
+        """Make these the parsed files. If `touched` (path) says which differ, edges that have been derived are replaced where that matters."""
+        was = (self.symbols, self.files, self._edge_tables) if touched is not None and "edges" in self.__dict__ else None
         self.parsed = parsed
         if self._versions:
             self._version = self._versions.publish({"parsed": parsed}, self._version)
@@ -69,6 +84,36 @@ class Engine:
         self._flows: dict[str, dataflow.Flow] = {}
         for name in ("files", "symbols", "occurrences", "imports", "edges", "calls", "name_calls"):
             self.__dict__.pop(name, None)
+        self._edge_tables: list[tuple[DataFrame, frozenset[int]]] = []
+        if was is not None:
+            self._patch_edges(*was, touched)
+
+    def _patch_edges(self, symbols: DataFrame, files: DataFrame, tables: list[tuple[DataFrame, frozenset[int]]], touched: DataFrame) -> None:
+        """Derive the edges of the files that a change concerns anew, and write the parts of the table that hold them again; other parts are
+        read where they are. After PATCHES changes all parts are written together.
+        """
+        paths = lambda df: df.select("path")
+        come_or_gone = paths(files).exceptAll(paths(self.files)).unionByName(paths(self.files).exceptAll(paths(files)))
+        only = stage(build.concerned(symbols, self.symbols, touched, self.imports, come_or_gone))
+        parts = frozenset(r[0] for r in only.select(edge_part(F.col("path"))).distinct().collect())  # at most EDGE_PARTS
+        held = self._joined_edges(tables).where(F.col("part").isin(*parts)) if parts else self._joined_edges(tables).limit(0)
+        kept = held.withColumn("path", F.split_part("src", F.lit("::"), F.lit(1))).join(only, "path", "left_anti").drop("path")
+        fresh = self._stage_edges(kept.unionByName(parted(build.edges(self.symbols, self.imports, self.files, only))))
+        tables = [(t, gone | parts) for t, gone in tables] + [(fresh, frozenset())]
+        if len(tables) > PATCHES:
+            tables = [(self._stage_edges(self._joined_edges(tables)), frozenset())]
+        self._edge_tables = tables
+        self.__dict__["edges"] = self._joined_edges(tables).drop("part")
+
+    @staticmethod
+    def _stage_edges(edges: DataFrame) -> DataFrame:
+        return stage(edges.repartitionByRange("part", "src"), by="part")
+
+    @staticmethod
+    def _joined_edges(tables: list[tuple[DataFrame, frozenset[int]]]) -> DataFrame:
+        """The parts of each table that no later one has replaced."""
+        left = [t.where(~F.col("part").isin(*gone)) if gone else t for t, gone in tables]
+        return reduce(DataFrame.unionByName, left)
 
     def get_meta(self, key: str, default: str | None = None) -> str | None:
         """What set_meta() has kept under a key, in the store if there is one."""
@@ -81,7 +126,7 @@ class Engine:
             self._meta[key] = value
 
     def refresh(self, full: bool = False) -> dict[str, int]:
-        """Parse the files whose time of change differs; all else is kept, edges are derived anew.
+        """Parse the files whose time of change differs; all else is kept, and so are the edges that the change doesn't concern.
 
         Files whose content has changed and whose time has not are seen only if `full`, which reads all and goes by their hashes.
         """
@@ -97,7 +142,8 @@ class Engine:
         counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
         changed = {s: counts.get(s, 0) for s in ("added", "changed", "deleted", "same")}
         if changed["added"] or changed["changed"] or changed["deleted"]:
-            self._publish(stage(kept.unionByName(fresh)))
+            altered = stage(status.where("status <> 'same'").select(F.col("key").alias("path")))
+            self._publish(stage(kept.unionByName(fresh)), altered)
         return changed
 
     # Tables, each staged once
@@ -120,7 +166,8 @@ class Engine:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return stage(build.edges(build.latest_symbols(self.symbols), self.imports, self.files))
+        self._edge_tables = [(self._stage_edges(parted(build.edges(self.symbols, self.imports, self.files))), frozenset())]
+        return self._joined_edges(self._edge_tables).drop("part")
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -172,6 +219,12 @@ class Engine:
     def find_references(self, symbol_name: str) -> DataFrame:
         return self.occurrences.where(F.col("name") == symbol_name).select("path", "line", "col").orderBy("path", "line", "col")
 
+    def get_callers(self, symbol_name: str | None = None) -> DataFrame:
+        """Every use of a name, or of all names that have a symbol, with the innermost symbol around it: name, path, line, col, symbol."""
+        known = self.symbols.select("name").distinct()
+        uses = self.occurrences.join(known, "name", "left_semi") if symbol_name is None else self.occurrences.where(F.col("name") == symbol_name)
+        return spans.innermost(uses.select("name", "path", "line", "col"), self.symbols.select("path", "line", "end_line", "ordinal", "id")).withColumnRenamed("id", "symbol")
+
     def get_call_graph(self, file_path: str, function_name: str) -> DataFrame:
         """role callee (name) or caller (path and line of every use of the name)."""
         callees = self._first(file_path, function_name).select(F.explode("calls").alias("name"))
@@ -253,14 +306,14 @@ class Engine:
         spec = F.col("path").rlike(r"\.(spec|test)\.(js|ts)x?$")
         named = F.col("name").startswith("test_") | F.col("name").startswith("Test") | F.col("name").endswith("Test")
         candidates = self.symbols.join(self.files.where("is_test").select("path"), "path", "left_semi").where(named | spec | (F.col("kind") == "class"))
-        uses = self.occurrences.where(F.col("name") == symbol_name).select("path", F.col("line").alias("use"))
-        inside = candidates.select("path", "name", "line", "end_line").join(uses, "path").where(F.col("use").between(F.col("line"), F.col("end_line"))).select("path", "name", "line", F.lit(3).alias("used")).distinct()
+        uses = self.occurrences.where(F.col("name") == symbol_name).select("path", "line")
+        held = spans.holding(uses, candidates.select("path", "line", "end_line", "ordinal", "id")).select("path", "ordinal", F.lit(3).alias("used"))
         file_stem = build.stem(F.col("path"))
         by_file = file_stem.isin(f"test_{stem}", f"{stem}_test") | (F.regexp_replace(file_stem, r"\.(test|spec)$", "") == stem)
         marks = [(F.col("used").isNotNull(), 3, "references symbol"), (F.lower("name").contains(symbol_name.lower()), 2, "name match"), (by_file, 1, "file match")]
         score = sum((F.when(mark, points).otherwise(0) for mark, points, _ in marks), F.lit(0))
         reason = F.concat_ws(", ", *[F.when(mark, said) for mark, _, said in marks])
-        scored = candidates.select("path", "name", "kind", "line").join(inside, ["path", "name", "line"], "left").withColumns({"score": score, "reason": reason})
+        scored = candidates.select("path", "name", "kind", "line", "ordinal").join(held, ["path", "ordinal"], "left").withColumns({"score": score, "reason": reason})
         best = Window.partitionBy("path", "name").orderBy(F.col("score").desc(), "line")
         ranked = scored.where("score > 0").withColumn("r", F.row_number().over(best)).where("r = 1")
         return ranked.select("path", "name", "line", "score", "reason").orderBy(F.col("score").desc(), "path", "line")

@@ -1,4 +1,4 @@
-"""Edges of a repository's graph from its symbols, calls and imports. Nothing is patched: a refresh derives them anew."""
+"""Edges of a repository's graph from its symbols, calls and imports, of all files or of those that a change concerns."""
 
 from __future__ import annotations
 
@@ -40,12 +40,13 @@ def calls_of(symbols: DataFrame) -> DataFrame:
     return symbols.where(F.col("kind").isin("function", "method")).select(F.col("id").alias("caller"), "path", F.explode("calls").alias("name"))
 
 
-def call_edges(symbols: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
+def call_edges(symbols: DataFrame, imports: DataFrame, files: DataFrame, callers: DataFrame | None = None) -> DataFrame:
     """(src, dst, weight): a target in the caller's file or in one it imports has weight 1, another of the name 0.5, and
-    is left out if the name has a target of weight 1; names without symbols go to `?::name`.
+    is left out if the name has a target of weight 1; names without symbols go to `?::name`. `callers` are the symbols whose calls
+    count, all by default.
     """
     linked = import_edges(imports, files).toDF("path", "other")
-    found = graph.resolve_callees_by(calls_of(symbols), symbols.select("name", "id", "path"), "path", linked)
+    found = graph.resolve_callees_by(calls_of(symbols if callers is None else callers), symbols.select("name", "id", "path"), "path", linked)
     return found.select(F.col("caller").alias("src"), F.col("target").alias("dst"), "weight")
 
 
@@ -57,17 +58,50 @@ def name_edges(symbols: DataFrame) -> DataFrame:
     return calls.distinct().join(targets, "name", "left").select("src", F.coalesce("dst", F.concat(F.lit("?::"), "name")).alias("dst")).distinct()
 
 
-def tests_edges(symbols: DataFrame) -> DataFrame:
-    """(src, dst): test_x and Testx of test files against symbols named x that are no tests."""
+def tested_names(symbols: DataFrame) -> DataFrame:
+    """(src, name): test_x and Testx of test files, and x."""
     tested = F.when(F.col("name").startswith("test_"), F.expr("substring(name, 6)")).when(F.col("name").startswith("Test"), F.expr("substring(name, 5)"))
-    tests = symbols.where("is_test").select(F.col("id").alias("src"), tested.alias("name")).where("name is not null and name <> ''")
+    return symbols.where("is_test").select(F.col("id").alias("src"), "path", tested.alias("name")).where("name is not null and name <> ''")
+
+
+def tests_edges(symbols: DataFrame, testing: DataFrame | None = None) -> DataFrame:
+    """(src, dst): test_x and Testx of test files against symbols named x that are no tests."""
+    tests = tested_names(symbols if testing is None else testing)
     return tests.join(symbols.where(~F.col("is_test")).select("name", F.col("id").alias("dst")), "name").select("src", "dst").distinct()
 
 
-def edges(symbols: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
-    """All edges: src, dst, type (CALLS, CONTAINS, IMPORTS, TESTS), weight; one row each."""
+def edges(symbols: DataFrame, imports: DataFrame, files: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """All edges: src, dst, type (CALLS, CONTAINS, IMPORTS, TESTS), weight; one row each. With `only` (path), those that begin in such a file.
+
+    Symbols may repeat an id; the lowest in the file counts. A file's edges need its own symbols and imports, and of all others only
+    the symbols of the names it uses, so with `only` all else is filtered away before anything is shuffled.
+    """
     typed = lambda df, kind: df.select("src", "dst", F.lit(kind).alias("type"), F.lit(1.0).alias("weight"))
-    contains = graph.contains_edges([symbols.where("parent is not null").select(F.col("parent_id").alias("parent"), F.col("id").alias("child"))]).toDF("src", "dst")
+    if only is None:
+        known = own = latest_symbols(symbols)
+    else:
+        own = latest_symbols(symbols.join(only, "path", "left_semi"))
+        names = calls_of(own).select("name").unionByName(tested_names(own).select("name")).distinct()
+        known = latest_symbols(symbols.join(names, "name", "left_semi"))
+        imports = imports.join(only, "path", "left_semi")
+    contains = graph.contains_edges([own.where("parent is not null").select(F.col("parent_id").alias("parent"), F.col("id").alias("child"))]).toDF("src", "dst")
     of_files = import_edges(imports, files).select(F.concat("src", F.lit("::__file__")).alias("src"), F.concat("dst", F.lit("::__file__")).alias("dst"))
-    calls = call_edges(symbols, imports, files).select("src", "dst", F.lit("CALLS").alias("type"), "weight")
-    return calls.unionByName(typed(contains, "CONTAINS")).unionByName(typed(of_files, "IMPORTS")).unionByName(typed(tests_edges(symbols), "TESTS"))
+    calls = call_edges(known, imports, files, own).select("src", "dst", F.lit("CALLS").alias("type"), "weight")
+    return calls.unionByName(typed(contains, "CONTAINS")).unionByName(typed(of_files, "IMPORTS")).unionByName(typed(tests_edges(known, own), "TESTS"))
+
+
+def concerned(was: DataFrame, now: DataFrame, touched: DataFrame, imports: DataFrame, files_changed: DataFrame) -> DataFrame:
+    """(path): the files whose edges a change may alter. `was` and `now` are the symbols before and after, `touched` (path) the files
+    that were added, changed or deleted, `imports` those of now, `files_changed` (path) the files that were added or deleted.
+
+    These are the touched files; those that call, or test, a name whose set of symbols has changed; and those whose imports name
+    a file that has come or gone. Large tables are only filtered by small ones.
+    """
+    columns = ("name", "id", "path", "is_test")
+    before, after = (latest_symbols(s.join(touched, "path", "left_semi")).select(*columns) for s in (was, now))
+    names = before.exceptAll(after).unionByName(after.exceptAll(before)).select("name").distinct()
+    callers = calls_of(now).join(names, "name", "left_semi").select("path")
+    tests = tested_names(now).join(names, "name", "left_semi").select("path")
+    tokens = files_changed.select(stem(F.col("path")).alias("token")).distinct()
+    importers = import_tokens(imports).join(tokens, "token", "left_semi").select("path")
+    return touched.select("path").unionByName(callers).unionByName(tests).unionByName(importers).distinct()

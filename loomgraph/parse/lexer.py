@@ -46,19 +46,22 @@ _PATTERNS = {language: _pattern(language) for language in STYLES}
 
 def tokens(source: str, language: str) -> list[Token]:
     """All tokens in order, comments among them."""
-    out, line, begin, at = [], 1, 0, 0
+    out, line, at = [], 1, 0
+    begin, column = 0, 0  # a place in the line, and how many bytes of the line are before it
     for found in _PATTERNS[language].finditer(source):
         skipped = source.count("\n", at, found.start())
         if skipped:
             line += skipped
-            begin = source.rfind("\n", at, found.start()) + 1
+            begin, column = source.rfind("\n", at, found.start()) + 1, 0
+        column += len(source[begin : found.start()].encode())
+        begin = found.start()
         kind = found.lastgroup
         text = found[0]
-        out.append(Token("op" if kind == "symbol" else kind, text, found.start(), line, len(source[begin : found.start()].encode())))
+        out.append(Token("op" if kind == "symbol" else kind, text, found.start(), line, column))
         inside = text.count("\n")
         if inside:
             line += inside
-            begin = found.start() + text.rfind("\n") + 1
+            begin, column = found.start() + text.rfind("\n") + 1, 0
         at = found.end()
     return out
 

@@ -197,6 +197,14 @@ def code_references(e: Engine) -> DataFrame:
     return e.find_references("ext_1")
 
 
+@query(
+    f"""WITH {_FN}, {_SYMBOLS}, {_OCC}
+    SELECT DISTINCT o.name, o.path, o.line::INTEGER AS line, arg_max(s.id, (s.line, -s.end_line)) AS symbol FROM occ o LEFT JOIN symbols s ON s.path = o.path AND o.line BETWEEN s.line AND s.end_line GROUP BY o.name, o.path, o.line"""
+)
+def code_callers(e: Engine) -> DataFrame:
+    return e.get_callers().select("name", "path", "line", "symbol").distinct()
+
+
 _SEVENTH = "(SELECT f FROM p WHERE k = 7)"
 
 

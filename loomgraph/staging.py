@@ -33,11 +33,11 @@ ROWS_PER_FILE = 50_000
 ROW_GROUP = 32 << 20
 
 
-def stage(df: DataFrame, *, path: str | None = None, rows: int | None = None) -> DataFrame:
+def stage(df: DataFrame, *, path: str | None = None, rows: int | None = None, by: str | None = None) -> DataFrame:
     """Write to the shared folder and read again: computed once, lineage cut, and lost executors don't matter.
 
     `rows` is a bound on a table of short rows: it is written as a file for each ROWS_PER_FILE, however many
-    partitions a shuffle has left it in.
+    partitions a shuffle has left it in. `by` names a column whose values are folders, which readers that filter by it skip.
     """
     spark = df.sparkSession
     path = path or shared_dir(spark)
@@ -45,7 +45,8 @@ def stage(df: DataFrame, *, path: str | None = None, rows: int | None = None) ->
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     for held in _SCRATCH.get(spark.sparkContext.applicationId, ()):
         held.append(path)
-    df.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    writer = df.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -266,3 +266,13 @@ def test_operators_that_look_like_assignments_are_fine():
     assert not parse_source("class A\n  def ==(o)\n    @a ||= []\n  end\n  def x=(v)\n    @x = v\n  end\n  def []=(k, v)\n  end\nend\n", "rb").has_errors
     assert not parse_source("const f = (a = {}) => a;\nlet {b = 1} = c;\nfor (;;) {}\n", "js").has_errors
     assert not parse_source("func f() { a, err := g(); if x := h(); x != nil {} }\n", "go").has_errors
+
+
+def test_columns_of_tokens_are_bytes_of_their_line():
+    """However many tokens, strings and comments over several lines are before them."""
+    from loomgraph.parse.lexer import tokens
+
+    source = "var é = 1; f('é', `a\n\nü`); g(x) /* b\nc é */ h('y')\n  k(é);" + "a=b+'ü';" * 50
+    for token in tokens(source, "javascript"):
+        begin = source.rfind("\n", 0, token.at) + 1
+        assert (token.line, token.column) == (source.count("\n", 0, token.at) + 1, len(source[begin : token.at].encode()))
