@@ -235,7 +235,7 @@ def test_levels_merge(spark, monkeypatch):
     lm.told(lm.questions(packed, lm.level(8)), units, 8).count()
     assert [bits for *_, bits in seen] == [8, 6, 4, 2] and units > 100
     assert all(rows_ <= 2 * units * 2**2 * 1.2 and runs <= 3 * units for rows_, runs, _, _ in seen), seen
-    assert seen[-1][2] == -(-(-(-(-(-units // 4) // 4)) // 4))
+    assert all(later == -(-earlier // 2**2) for (*_, earlier, _), (*_, later, _) in zip(seen, seen[1:])), seen
 
 
 def test_counts_beyond_32_bits_are_whole():
