@@ -9,8 +9,8 @@ run of words are part of the join's condition, so only true occurrences leave it
 never move: the windows come to them in broadcast blocks of at most `BLOCK` windows, however many
 windows there are.
 
-Defined cases: null and wordless texts have no words and are not contaminated; items without words or
-without id take no part; rows that repeat an item_id add to one item; repeated rows of documents each
+Defined cases: null and wordless texts have no words and are not contaminated; items without words take no part; windows of
+items without id hit like any other, and name no item; rows that repeat an item_id add to one item; repeated rows of documents each
 get a row, and rows that share a doc_id but not the text are told apart; very long texts are read whole; further
 columns, whatever they are called, take no part and `clean` keeps them; empty tables give no items and no rows.
 """
@@ -41,7 +41,7 @@ def said(run: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Distinct windows: window_id, window (its text), length (in words); and whose they are: window_id, item (as a string)."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     runs = items.select("item", "w", F.explode(starts).alias("start")).select("item", F.slice("w", F.col("start"), F.lit(width)).alias("run"))
     owned = stage(runs.select("item", said(F.col("run")).alias("window"), F.size("run").alias("length")).distinct())
@@ -141,7 +141,7 @@ ORACLE = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), items AS (
-  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), win AS (
   SELECT DISTINCT item, least(len(w), 13) AS length, array_to_string(w[s : s + 12], ' ') AS said
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM items WHERE len(w) > 0)
@@ -153,7 +153,7 @@ WITH docs AS (
 ), hit AS (
   SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + length)) AS p FROM (SELECT DISTINCT rid, s, length FROM hits)) GROUP BY rid
 ), found AS (
-  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM hits WHERE item IS NOT NULL) GROUP BY rid
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated

@@ -286,7 +286,7 @@ def brute(docs, items):
     found = {}
     for item, text in items:
         w = words(text)
-        if item is not None and w:
+        if w:
             found.setdefault(item, []).extend(tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12)))
     out = []
     for doc_id, text in docs:
@@ -296,7 +296,7 @@ def brute(docs, items):
                 for i in range(len(w) - len(run) + 1):
                     if tuple(w[i : i + len(run)]) == run:
                         hit |= set(range(i, i + len(run)))
-                        names.add(str(item))
+                        names |= {str(item)} - {"None"}
         out.append((doc_id, len(w), len(hit), sorted(names), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
 
@@ -307,7 +307,7 @@ def test_decontamination_against_brute_force(spark, monkeypatch, block):
     draw = random.Random(5)
     vocabulary = ["the", "of", "a", "Ünï", "É", "É".lower(), "x1", "long", "rare", "words", "here", "and", "there", "b2b"]
     say = lambda n: " ".join(draw.choice(vocabulary) + draw.choice(["", ",", "."]) for _ in range(n))
-    items = [(k, say(draw.choice([1, 3, 12, 13, 14, 30]))) for k in range(12)] + [(3, say(20)), (50, ""), (51, None), (None, say(20)), (52, "... !!")]
+    items = [(k, say(draw.choice([1, 3, 12, 13, 14, 30]))) for k in range(12)] + [(3, say(20)), (50, ""), (51, None), (None, say(20)), (None, "x1 x1 x1"), (52, "... !!")]
     docs = [(i, say(draw.randrange(60))) for i in range(60)]
     docs += [(100 + k, say(20) + " " + (text or "").upper() + "-" + say(30)) for k, (_, text) in enumerate(items)]
     docs += [(200, None), (201, ""), (202, "..."), (1, docs[1][1]), (1, "other text"), (None, items[5][1])]
