@@ -25,3 +25,13 @@ def test_engine_against_sql(spark, sql, name):
     want = sql.sql(code_queries.ORACLES[name]).select(*[f'"{c}"' for c in columns])
     assert sorted(sql.sql(code_queries.ORACLES[name]).columns) == columns
     assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_a_replaced_table_gives_new_rows(spark, tmp_path):
+    """The engine that queries share is made again once the files of its table are others."""
+    parts = spark.read.parquet(f"{SF}/part.parquet")
+    counts = []
+    for most in (20, 60):
+        parts.where(f"p_partkey < {most}").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+        counts.append(code_queries.QUERIES["code_symbols"](spark, str(tmp_path)).where("kind = 'function' and not is_test").count())
+    assert counts == [20, 60]
