@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from loomgraph.plans import code_queries
+from loomgraph.plans import code_queries, language_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,12 +18,15 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(code_queries.QUERIES))
+QUERIES, ORACLES = code_queries.QUERIES | language_queries.QUERIES, code_queries.ORACLES | language_queries.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_engine_against_sql(spark, sql, name):
-    got = code_queries.QUERIES[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    want = sql.sql(code_queries.ORACLES[name]).select(*[f'"{c}"' for c in columns])
-    assert sorted(sql.sql(code_queries.ORACLES[name]).columns) == columns
+    want = sql.sql(ORACLES[name]).select(*[f'"{c}"' for c in columns])
+    assert sorted(sql.sql(ORACLES[name]).columns) == columns
     assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
