@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.lists import ALWAYS_USED
-from .operators import build, dataflow, graph, history, spans, store, text
+from .operators import build, dataflow, graph, history, names, spans, store, text
 from .sources import files as source_files
 from .sources import gitlog
 from .staging import stage
@@ -58,7 +58,7 @@ class Engine:
         self._versions = store.Versions(spark, store_dir) if store_dir else None
         self._version = self._versions.last() if self._versions else 0
         self._meta: dict[str, str] = {}
-        self._flows, self._edge_tables = {}, []
+        self._flows, self._edge_tables, self._indexed = {}, [], False
         if self._version:
             self.parsed = self._versions.read("parsed", self._version)
             self.refresh()
@@ -70,6 +70,7 @@ class Engine:
         """The questions about files that are a table already: path and source. It has no folder to refresh from and no history."""
         engine = cls.__new__(cls)
         engine.spark, engine.root, engine._versions, engine._version, engine._meta = texts.sparkSession, None, None, 0, {}
+        engine._indexed = False
         engine._publish(stage(source_files.parse(texts)))
         return engine
 
@@ -82,7 +83,7 @@ class Engine:
             self.parsed = self._versions.read("parsed", self._version)
         self.set_meta("last_indexed_at", datetime.now(timezone.utc).isoformat(timespec="seconds"))
         self._flows: dict[str, dataflow.Flow] = {}
-        for name in ("files", "symbols", "occurrences", "imports", "edges", "calls", "name_calls"):
+        for name in ("files", "symbols", "occurrences", "imports", "edges", "calls", "name_calls", "name_index"):
             self.__dict__.pop(name, None)
         self._edge_tables: list[tuple[DataFrame, frozenset[int]]] = []
         if was is not None:
@@ -177,6 +178,36 @@ class Engine:
     def name_calls(self) -> DataFrame:
         return stage(build.name_edges(self.symbols))
 
+    @cached_property
+    def name_index(self) -> names.NameIndex:
+        return names.NameIndex(self.symbols, self.occurrences)
+
+    def index_names(self) -> names.NameIndex:
+        """Lay symbols and uses out by name and list names by what they contain. From now on questions about a name or a part of one read
+        only what they need of that; it is made anew at the first such question after a change of the files.
+        """
+        self._indexed = True
+        return self.name_index
+
+    def _named(self, name: str) -> DataFrame:
+        """The symbols of a name in any case."""
+        return self.name_index.named(name) if self._indexed else self.symbols.where(F.lower("name") == name.lower())
+
+    def _containing(self, query: str | None) -> DataFrame:
+        """The symbols whose name contains a text in any case."""
+        if not query:
+            return self.symbols
+        return self.name_index.containing(query) if self._indexed else self.symbols.where(F.lower("name").contains(query.lower()))
+
+    def _uses(self, name: str) -> DataFrame:
+        return self.name_index.uses(name) if self._indexed else self.occurrences.where(F.col("name") == name)
+
+    def search_names(self, queries: DataFrame) -> DataFrame:
+        """For many questions at once: query and id, path, line, kind, name of each symbol whose name contains it in any case."""
+        found = self.index_names().names_with_each(queries)
+        rows = self.name_index.symbols.select("low", "id", "path", "line", "kind", "name")
+        return found.join(rows, "low").select("query", "id", "path", "line", "kind", "name")
+
     def sql(self, query: str, **args) -> DataFrame:
         """SQL over the tables by their names; :name stands for an argument."""
         for name in ("files", "symbols", "occurrences", "imports", "edges"):
@@ -217,12 +248,12 @@ class Engine:
         return found.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "ordinal").orderBy("request")
 
     def find_references(self, symbol_name: str) -> DataFrame:
-        return self.occurrences.where(F.col("name") == symbol_name).select("path", "line", "col").orderBy("path", "line", "col")
+        return self._uses(symbol_name).select("path", "line", "col").orderBy("path", "line", "col")
 
     def get_callers(self, symbol_name: str | None = None) -> DataFrame:
         """Every use of a name, or of all names that have a symbol, with the innermost symbol around it: name, path, line, col, symbol."""
         known = self.symbols.select("name").distinct()
-        uses = self.occurrences.join(known, "name", "left_semi") if symbol_name is None else self.occurrences.where(F.col("name") == symbol_name)
+        uses = self.occurrences.join(known, "name", "left_semi") if symbol_name is None else self._uses(symbol_name)
         return spans.innermost(uses.select("name", "path", "line", "col"), self.symbols.select("path", "line", "end_line", "ordinal", "id")).withColumnRenamed("id", "symbol")
 
     def get_call_graph(self, file_path: str, function_name: str) -> DataFrame:
@@ -266,9 +297,7 @@ class Engine:
         return nested(symbols[0]["source"] if symbols else source, language, max_depth)
 
     def search_symbols(self, query: str | None = None, type: str | None = None, parent: str | None = None, has_doc: bool | None = None, min_complexity: int | None = None, language: str | None = None) -> DataFrame:
-        out = self.symbols
-        if query:
-            out = out.where(F.lower("name").contains(query.lower()))
+        out = self._containing(query)
         if type:
             out = out.where(F.col("kind") == type)
         if parent:
@@ -306,7 +335,7 @@ class Engine:
         spec = F.col("path").rlike(r"\.(spec|test)\.(js|ts)x?$")
         named = F.col("name").startswith("test_") | F.col("name").startswith("Test") | F.col("name").endswith("Test")
         candidates = self.symbols.join(self.files.where("is_test").select("path"), "path", "left_semi").where(named | spec | (F.col("kind") == "class"))
-        uses = self.occurrences.where(F.col("name") == symbol_name).select("path", "line")
+        uses = self._uses(symbol_name).select("path", "line")
         held = spans.holding(uses, candidates.select("path", "line", "end_line", "ordinal", "id")).select("path", "ordinal", F.lit(3).alias("used"))
         file_stem = build.stem(F.col("path"))
         by_file = file_stem.isin(f"test_{stem}", f"{stem}_test") | (F.regexp_replace(file_stem, r"\.(test|spec)$", "") == stem)
@@ -398,7 +427,7 @@ class Engine:
         return {"files": self.files.count(), "symbols": self.symbols.select("id").distinct().count(), "edges": self.edges.count(), "graph_exists": True}
 
     def resolve_symbol(self, query: str, kind: str | None = None, path_hint: str | None = None, limit: int = 10) -> DataFrame:
-        rows = build.latest_symbols(self.symbols).where(F.lower("name") == query.lower())
+        rows = build.latest_symbols(self._named(query))
         if kind:
             rows = rows.where(F.col("kind") == kind)
         rows = rows.join(graph.degrees(self.edges).select("id", "in_degree"), "id", "left").fillna(0, ["in_degree"])
@@ -407,9 +436,7 @@ class Engine:
         return found.select("rank", "id", "kind", "path", "line", "is_test", "in_degree").orderBy("rank")
 
     def search_graph(self, query: str | None = None, kind: str | None = None, file_pattern: str | None = None, relationship: str | None = None, direction: str = "outbound", min_degree: int | None = None, max_degree: int | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
-        rows = build.latest_symbols(self.symbols).select("id", "name", "kind", "path", "line")
-        if query:
-            rows = rows.where(F.lower("name").contains(query.lower()))
+        rows = build.latest_symbols(self._containing(query)).select("id", "name", "kind", "path", "line")
         if kind:
             rows = rows.where(F.col("kind") == kind)
         if file_pattern:

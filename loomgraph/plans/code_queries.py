@@ -7,7 +7,8 @@ file of tests. The engine parses the texts and answers; the SQL never sees a tex
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,7 +94,8 @@ def engine(spark: SparkSession, d: str, made=sources) -> Engine:
 
 
 def _asked(f, spark: SparkSession, d: str) -> DataFrame:
-    return f(engine(spark, d, flow_sources if f.__name__.startswith("code_cross") else sources))
+    e = engine(spark, d, flow_sources if f.__name__.startswith("code_cross") else sources)
+    return f(e, table(spark, d, "part")) if "part" in signature(f).parameters else f(e)
 
 
 _REGISTRY = Registry(lambda f: partial(_asked, f))
@@ -328,6 +330,17 @@ def code_search_graph(e: Engine) -> DataFrame:
     return e.search_graph(query="1", kind="function", file_pattern="PKG/", relationship="CALLS", direction="inbound", min_degree=3, max_degree=50, limit=20, offset=5)
 
 
+@query(
+    f"""WITH {_FN}, {_SYMBOLS}, asked AS (SELECT p_name AS query FROM part UNION SELECT replace(p_name, ' ', '') FROM part UNION SELECT p_brand FROM part UNION SELECT 'F_' || left(p_name, 2) FROM part UNION SELECT p_size::VARCHAR FROM part)
+    SELECT query, id, path, line::INTEGER AS line, kind, name FROM asked JOIN symbols ON contains(lower(name), lower(query)) WHERE query <> ''"""
+)
+def code_search_names(e: Engine, part: DataFrame) -> DataFrame:
+    """Many questions at once, those that are in no name and those of a character or two included."""
+    name = F.col("p_name")
+    asked = (name, F.replace(name, F.lit(" "), F.lit("")), F.col("p_brand"), F.concat(F.lit("F_"), F.left(name, F.lit(2))), F.col("p_size").cast("string"))
+    return e.search_names(reduce(DataFrame.unionByName, [part.select(q.alias("query")).distinct() for q in asked]))
+
+
 _COMMON = "(SELECT f FROM p GROUP BY f ORDER BY count(*) DESC, f LIMIT 1)"
 
 
