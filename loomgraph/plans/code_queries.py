@@ -150,8 +150,8 @@ _EDGES = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id
 _ALL = f"{_FN}, {_SYMBOLS}, {_EDGES}"
 
 
-@query(
-    f"""WITH {_FN}, texts AS (
+#: all_files has a row a file, with its text.
+_TEXTS = """texts AS (
       SELECT m, path, string_agg('def ' || f || '(a, b):' || chr(10) || CASE d WHEN 1 THEN '    \"\"\"Part ' || k || '.\"\"\"' || chr(10) ELSE '' END || '    x = a + ' || s || chr(10)
         || repeat('    if x > b:' || chr(10) || '        x = x - 1' || chr(10), r) || repeat('    for i in b:' || chr(10) || '        x = x + i' || chr(10), l) || CASE calls WHEN 1 THEN '    ' || callee || '(x, b)' || chr(10) ELSE '' END
         || '    ext_' || (s % 5) || '(x)' || chr(10) || CASE WHEN safe THEN '    raw = input()' || chr(10) || '    safe = sanitize(raw)' || chr(10) || '    db.execute(safe)' || chr(10)
@@ -161,8 +161,10 @@ _ALL = f"{_FN}, {_SYMBOLS}, {_EDGES}"
       SELECT path, coalesce(head, '') || functions || 'class M_' || m || ':' || chr(10) || '    def size(self):' || chr(10) || '        return ' || parts || chr(10) AS source, line + 2 AS n_lines, parts + 2 AS n_symbols, FALSE AS is_test
       FROM texts JOIN klass USING (m, path) LEFT JOIN heads USING (m)
       UNION ALL SELECT path, string_agg('from pkg.m_' || m || ' import ' || f || chr(10), '' ORDER BY f) || string_agg('def test_' || f || '():' || chr(10) || '    assert ' || f || '(1, [2])' || chr(10) || chr(10), '' ORDER BY f), 4 * count(*), count(*), TRUE FROM t GROUP BY path
-    ) SELECT path, 'py' AS language, sha256(source) AS sha256, is_test, FALSE AS has_errors, n_lines::INTEGER AS n_lines, n_symbols::INTEGER AS n_symbols FROM all_files"""
-)
+    )"""
+
+
+@query(f"WITH {_FN}, {_TEXTS} SELECT path, 'py' AS language, sha256(source) AS sha256, is_test, FALSE AS has_errors, n_lines::INTEGER AS n_lines, n_symbols::INTEGER AS n_symbols FROM all_files")
 def code_files(e: Engine) -> DataFrame:
     return e.files.drop("mtime")
 

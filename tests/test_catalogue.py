@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from loomgraph.plans import code_queries, language_queries
+from loomgraph.plans import code_queries, engine_queries, language_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,8 @@ def sql():
     return con
 
 
-QUERIES, ORACLES = code_queries.QUERIES | language_queries.QUERIES, code_queries.ORACLES | language_queries.ORACLES
+QUERIES = code_queries.QUERIES | language_queries.QUERIES | engine_queries.QUERIES
+ORACLES = code_queries.ORACLES | language_queries.ORACLES | engine_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
