@@ -27,6 +27,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 13
 #: Windows broadcast at once: some 10 MB at 13 words of 12 bytes.
 BLOCK = 50_000
+#: A window in over 1/HOT of all documents' windows is hot, so there are at most HOT of them; below FEW rows in all none is.
+HOT, FEW = 1000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -111,6 +113,20 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return measured.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def whose(met: DataFrame, owners: DataFrame) -> DataFrame:
+    """A staged `met` (window_id and more) with the items that own the windows.
+
+    Rows of a hot window stay where they are and meet its items by broadcast, in blocks; the others meet in a shuffle.
+    """
+    total = met.count()
+    if total < FEW:
+        return met.join(owners, "window_id")
+    hot = stage(met.groupBy("window_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > total // HOT).select("window_id"), rows=HOT)
+    of_hot = stage(owners.join(F.broadcast(hot), "window_id"))
+    blocks = [met.join(F.broadcast(block), "window_id") for block in _blocks(of_hot, of_hot.count(), "item")]
+    return _union([*blocks, met.join(F.broadcast(hot), "window_id", "left_anti").join(owners, "window_id")])
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, items (sorted ids of those with a window in it), contaminated, _text.
 
@@ -118,8 +134,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFr
     """
     windows, owners = item_windows(benchmark, width)
     found = stage(occurrences(docs, windows))
-    met = found.where(F.size("windows") > 0).select("doc_id", "_text", F.explode("windows").alias("window_id")).distinct()
-    named = met.join(owners, "window_id").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    met = stage(found.where(F.size("windows") > 0).select("doc_id", "_text", F.explode("windows").alias("window_id")).distinct())
+    named = whose(met, owners).groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.array_sort(F.collect_set("item")).alias("items"))
     both = found.join(stage(named), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
     return both.select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "contaminated", "_text")
 

@@ -320,6 +320,17 @@ def test_decontamination_against_brute_force(spark, monkeypatch, block):
     assert kept.columns == frame.columns and kept.count() == sum(not r[4] for r in brute(docs, items))
 
 
+def test_a_window_of_most_documents_meets_its_items_where_it_is(spark, monkeypatch):
+    """Hot windows with many items and with one, in blocks of two items, and windows that aren't hot."""
+    monkeypatch.setattr(decontam, "FEW", 0)
+    monkeypatch.setattr(decontam, "HOT", 4)
+    monkeypatch.setattr(decontam, "BLOCK", 2)
+    items = [(k, "of all the passages here one is everywhere") for k in range(7)] + [(10, "some words of a few"), (11, "only once"), (None, "of all the passages here one is everywhere")]
+    docs = [(i, "so of all the passages here one is everywhere" + (" some words of a few" if i % 9 == 0 else "") + (" only once" if i == 20 else "")) for i in range(40)] + [(50, "clean"), (51, None)]
+    got = decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got.select("doc_id", "n_words", "n_hit", "items", "contaminated")) == brute(docs, items)
+
+
 def test_decontamination_of_empty_tables(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert rows(decontam.digest(none, benchmark)) == []
