@@ -26,7 +26,7 @@ def file_scan_stats(spark: SparkSession, d: str) -> DataFrame:
 )
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
-    return store.latest(orders, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).drop("o_orderdate")
+    return store.newest(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 @query(

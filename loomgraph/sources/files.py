@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import stat
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -87,6 +88,34 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return above.unionByName(folders.mapInArrow(run, kind))
 
 
+def inside(path: str) -> bool:
+    """Whether a scan of the root would take a file of this path."""
+    parts = path.split("/")
+    return not os.path.isabs(path) and ".." not in parts and not any(map(skipped, parts)) and "." in parts[-1] and parts[-1].rpartition(".")[2] in LANGUAGES
+
+
+def present(paths: DataFrame, root: str) -> DataFrame:
+    """(path, mtime) of the distinct paths that a scan would take; mtime is null where no such file is there. Tasks look, not the driver."""
+    ship(paths.sparkSession)
+    added = added_languages()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        know_languages(added)
+        schema = pa.schema([("path", pa.string()), ("mtime", pa.timestamp("us", "UTC"))])
+        for batch in batches:
+            taken, times = [p for p in batch.column("path").to_pylist() if inside(p)], []
+            for path in taken:
+                full = os.path.join(root, path)
+                try:
+                    found = os.lstat(full)
+                except (FileNotFoundError, NotADirectoryError):
+                    found = None
+                times.append(datetime.fromtimestamp(found.st_mtime, timezone.utc) if found and stat.S_ISREG(found.st_mode) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(taken, pa.string()), pa.array(times, pa.timestamp("us", "UTC"))], schema=schema)
+
+    return paths.select("path").where("path is not null").distinct().mapInArrow(run, "path string, mtime timestamp")
+
+
 def is_test_path(path: str) -> bool:
     *folders, name = path.split("/")
     return (

@@ -1,41 +1,36 @@
 """Keep a repository's tables fresh from a stream of changed paths.
 
 The stream has a column `path` (and anything else): a queue of file events, or a folder that a watcher writes lists
-into. Each micro-batch re-reads only what it names and publishes one new version of the parsed table, so readers
-see whole versions; a batch that is replayed after a failure publishes the same content again.
+into. Each micro-batch reads only what it names, and publishes one new version of the parsed table if the hash of a file's content
+is another than the table's; so readers see whole versions, and a batch that is replayed after a failure, or tells of files
+that were written with what they held, makes no version.
 """
 
 from __future__ import annotations
 
-import os
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.lists import LANGUAGES
-from ..operators.store import Conflict, Versions, upsert
+from ..operators.store import Conflict, Versions, snapshot_diff, upsert
 from ..sources import files as source_files
 from ..staging import stage
 
 
 def apply_paths(versions: Versions, root: str, changed: DataFrame) -> int:
-    """Re-read the named files, drop those that have gone, publish; the version."""
-    spark = changed.sparkSession
-    # the paths of one batch, not of the repository
-    names = sorted({r["path"] for r in changed.select("path").where("path is not null").distinct().collect()})
-    inside = [n for n in names if not os.path.isabs(n) and ".." not in n.split("/") and not any(map(source_files.skipped, n.split("/"))) and n.rpartition(".")[2] in LANGUAGES]
-    there = [(n, datetime.fromtimestamp(os.stat(os.path.join(root, n)).st_mtime, timezone.utc)) for n in inside if os.path.isfile(os.path.join(root, n)) and not os.path.islink(os.path.join(root, n))]
-    fresh = stage(source_files.read(spark, root, spark.createDataFrame(there, "path string, mtime timestamp")))
-    gone = spark.createDataFrame([(n,) for n in inside], "path string")
+    """Re-read the named files, drop those that have gone, publish if that makes a difference; the version."""
+    named = stage(source_files.present(changed, root))
+    fresh = stage(source_files.read(changed.sparkSession, root, named.where("mtime is not null")))
+    keys = lambda df: df.select(F.col("path").alias("key"), F.col("sha256").alias("hash"))
     while True:
         base = versions.last()
         try:
             if not base:
                 return versions.publish({"parsed": fresh}, base)
-            kept = versions.read("parsed", base).join(gone, "path", "left_anti")
-            return versions.publish({"parsed": upsert(kept, fresh, ["path"])}, base)
+            parsed = versions.read("parsed", base)
+            if snapshot_diff(keys(parsed.join(named, "path", "left_semi")), keys(fresh)).where("status <> 'same'").isEmpty():
+                return base
+            return versions.publish({"parsed": upsert(parsed.join(named, "path", "left_anti"), fresh, ["path"])}, base)
         except Conflict:  # another writer was first: these files once more, on top of its version
             continue
 

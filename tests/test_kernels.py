@@ -92,7 +92,7 @@ def test_snapshot_diff_and_upsert(spark):
     assert sorted(values(store.snapshot_diff(old, new))) == [(1, "deleted"), (2, "same"), (3, "changed"), (4, "added")]
     assert sorted(values(store.upsert(old, new, ["key"]))) == [(1, "x"), (2, "y"), (3, "w"), (4, "v")]
     rows = spark.createDataFrame([(1, 5), (1, 7), (2, 1)], "k int, v int")
-    assert sorted(values(store.latest(rows, ["k"], [F.col("v").desc()]))) == [(1, 7), (2, 1)]
+    assert sorted(values(store.newest(rows, ["k"], ["v"]))) == [(1, 7), (2, 1)]
 
 
 def test_versions(spark, tmp_path):

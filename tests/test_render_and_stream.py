@@ -7,7 +7,7 @@ from conftest import values
 from loomgraph import render
 from loomgraph.engine import Engine
 from loomgraph.operators.store import Versions
-from loomgraph.streaming.refresh import refresh_stream
+from loomgraph.streaming.refresh import apply_paths, refresh_stream
 
 FILES = {"calc.py": 'class Calc:\n    """Adds."""\n    def add(self, a, b):\n        return a + b\n\ndef lonely():\n    pass\n', "main.py": "from calc import Calc\n\ndef run():\n    return Calc().add(1, 2)\nrun()\n"}
 
@@ -46,6 +46,16 @@ def test_stream_of_changed_paths(spark, repo, tmp_path_factory):
     run()
     assert versions.last() == 2 and values(versions.read("parsed").selectExpr("path", "symbols.name")) == [("calc.py", ["other"])]
     assert versions.read("parsed", 1).count() == 2
+    repo({"calc.py": "def other():\n    pass\n"})  # written again with what it holds
+    write("calc.py", "main.py", "gone.py", "node_modules/x.py")
+    run()
+    assert versions.last() == 2
+    apply_paths(versions, root, spark.createDataFrame([("calc.py",), (None,), ("calc.py",), ("calc.py/below.py",)], "path string"))  # a replay
+    assert versions.last() == 2
+    repo({"lib/new.py": "def new():\n    pass\n"})
+    write("lib/new.py")
+    run()
+    assert versions.last() == 3 and sorted(values(versions.read("parsed"), "path")) == [("calc.py",), ("lib/new.py",)]
 
 
 def test_entry_points(spark):
