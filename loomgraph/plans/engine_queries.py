@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..sources import datasource
 from ..staging import shared_dir
+from . import language_queries
 from .code_queries import _ALL, _FN, _SEVENTH, _SYMBOLS, _TEXTS, _seventh, engine, sources
 from .registry import Registry
 
@@ -106,6 +108,20 @@ def code_refresh_edges(spark: SparkSession, d: str) -> DataFrame:
     return _changed(spark, d)[0].edges
 
 
+@in_folder(
+    f"""WITH {language_queries._FN}, files AS (SELECT path, e AS language, CASE e WHEN 'rs' THEN size_line + 3 WHEN 'go' THEN size_line + 2 ELSE end_line END AS n_lines FROM klass)
+    SELECT path, language, n_lines::INTEGER AS n_lines FROM files WHERE language IN ('go', 'rs', 'rb') AND NOT starts_with(path, 'rb/') UNION ALL SELECT path, language, n_lines::INTEGER FROM files WHERE starts_with(path, 'java/java_')"""
+)
+def code_data_source(spark: SparkSession, d: str) -> DataFrame:
+    """Languages and folders that the data source is asked for; it opens no other files."""
+    root = _folder(spark)
+    written(language_queries.language_sources(spark, d), root)
+    datasource.register(spark)
+    files = lambda **options: spark.read.format("loomgraph_files").options(**options).load(root)
+    asked = files(languages="go,rs,rb").where(~F.col("path").startswith("rb/")).unionByName(files(prefix="java/java_"))
+    return asked.select("path", "language", F.length(F.regexp_replace("source", "[^\n]", "")).alias("n_lines"))
+
+
 #: names links functions and what they call by file and name alone.
 _NAMES = f"""{_FN}, {_SYMBOLS}, named_calls AS (
   SELECT path || '::' || f AS src, callee AS name FROM fn WHERE calls = 1 UNION SELECT path || '::' || f, 'ext_' || (s % 5) FROM fn UNION SELECT path || '::' || f, unnest(['input', 'execute']) FROM fn WHERE outside
