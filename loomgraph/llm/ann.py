@@ -2,14 +2,16 @@
 
 The centroids and the codebooks are fitted on the driver on at most `SAMPLE` vectors, those with the least hash of
 vec_id; every row is indexed. A row goes to the list of its nearest centroid with one byte per subspace of its
-residual (unit vectors, so that nearness by distance is nearness by cosine). A query probes the lists nearest to it, and
+residual (unit vectors less their mean, so that nearness by distance is nearness by cosine, and vectors that all point one way
+stay apart). A query probes the lists nearest to it, and
 for these makes tables of inner products, one per subspace (its own, shared by all lists, plus one with the
-centroid), and adds up each code's entries. The best codes of all lists are its one shortlist, whose rows alone are
-fetched and reranked by the exact cosine of the original vectors in double precision.
+centroid), and adds up each code's entries, less half the square of what is coded. The best codes of all lists are its one
+shortlist, whose rows alone are fetched and reranked by the exact cosine of the original vectors in double precision.
 
-How many lists are probed and how long the shortlist is follow from the sample: for CHECKED of its rows the true neighbours
-are found by brute force, and both are as large as FOUND of these ask for, each, and the shortlist as many times longer as there
-are more rows than the sample has. So clustered vectors need few probes; vectors without clusters need most lists.
+How many lists are probed and how long the shortlist is follow from the sample and from the queries: for CHECKED rows of each the true
+neighbours are found by brute force, among the sample and among all rows, and both are as large as FOUND of these ask for,
+each, equal codes counted (and, by the sample, the shortlist as many times longer as there are more rows than the sample has). So
+clustered vectors need few probes; vectors without clusters, or queries that lie apart from the rows, need most lists.
 
 Rows are dealt to tasks by ranges of lists and, in a list, of rows, so a list of any length is split. Queries go to the tasks
 in broadcast blocks of at most QUERIES, however many there are, and a task answers with its best codes a query, so what is
@@ -39,7 +41,7 @@ from .common import hash_sample, python_workers, stage
 SAMPLE = 16_384
 K, QUERY_STEP = 5, 50
 SUBSPACES, CODES, ITERATIONS = 32, 256, 8
-#: Rows of the sample that codebooks are fitted on, rows whose neighbours are checked, and the share of these to be found.
+#: Rows of the sample that codebooks are fitted on, rows of the sample and queries whose neighbours are checked, and the share of these to be found.
 BOOK_ROWS, CHECKED, FOUND = 8192, 512, 0.985
 LEAST_LISTS, MOST_LISTS, LEAST_PROBES, LEAST_SHORTLIST = 4, 4096, 8, 64
 #: Queries that are broadcast at once, queries and rows times queries that a task looks at together.
@@ -53,6 +55,7 @@ class Index(NamedTuple):
     books: np.ndarray  # subspaces by codes by dimensions of a subspace
     probes: int
     shortlist: int
+    mean: np.ndarray  # of the sample's unit vectors
 
 
 def usable(v: Column) -> Column:
@@ -81,22 +84,30 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def unit(x: np.ndarray) -> np.ndarray:
     top = np.abs(x).max(axis=1, keepdims=True)
     x = x / top  # else squares of very large or small components leave the range
-    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def centred(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Unit vectors less a mean, with zeros up to as many components as the subspaces have together."""
+    width = x.shape[1]
+    each = -(-width // SUBSPACES)
+    return np.pad((x - mean).astype(np.float32), ((0, 0), (0, -width % each)))
 
 
 def fit_rows(x: np.ndarray, n: int, k: int = K) -> Index:
     """An index for about n rows like x, whose rows are unit vectors."""
     rng = np.random.default_rng(11)
+    mean = x.mean(axis=0)
+    x = centred(x, mean)
     lists = int(max(LEAST_LISTS, min(MOST_LISTS, 2 ** round(math.log2(max(1, math.sqrt(n)))))))
     centroids = _means(x, lists, rng)
-    width = x.shape[1]
-    subspaces = max(s for s in range(1, min(SUBSPACES, width) + 1) if width % s == 0)
+    subspaces = x.shape[1] // -(-x.shape[1] // SUBSPACES)
     parts = (x - centroids[nearest(x, centroids)])[:BOOK_ROWS].reshape(min(len(x), BOOK_ROWS), subspaces, -1)
     books = []
     for s in range(subspaces):
         book = _means(np.ascontiguousarray(parts[:, s]), CODES, rng)
         books.append(np.vstack([book, np.repeat(book[:1], CODES - len(book), axis=0)]))
-    index = Index(centroids, np.stack(books), len(centroids), len(x))
+    index = Index(centroids, np.stack(books), len(centroids), len(x), mean)
     return index._replace(**dict(zip(("probes", "shortlist"), _wanted(index, x, n, k, rng))))
 
 
@@ -108,17 +119,21 @@ def _wanted(index: Index, x: np.ndarray, n: int, k: int, rng: np.random.Generato
     at, codes = encode(index, x)
     places, ranks = [], []
     for own in np.array_split(rng.permutation(len(x))[:CHECKED], min(8, len(x))):
-        exact = x[own] @ x.T
+        exact = x[own] @ x.T - (x**2).sum(axis=1) / 2
         exact[np.arange(len(own)), own] = -np.inf
         true = np.argpartition(-exact, k - 1, axis=1)[:, :k]
         order = np.argsort(list_order(index, x[own]), axis=1)
         places.append(np.take_along_axis(order, at[true], axis=1).ravel())
         guess = guesses(index, x[own], at, codes)
         guess[np.arange(len(own)), own] = -np.inf
-        ranks += [np.count_nonzero(g > g[t]) for g, row in zip(guess, true) for t in row]
-    place, rank = (float(np.quantile(v, FOUND)) for v in (np.concatenate(places), np.array(ranks)))
-    longer = max(1.0, n / len(x))
-    return min(len(index.centroids), max(LEAST_PROBES, math.ceil(place) + 1)), max(LEAST_SHORTLIST, 4 * k, math.ceil((rank + 1) * longer))
+        ranks += [np.count_nonzero(g >= g[t]) for g, row in zip(guess, true) for t in row]
+    return _enough(index, np.concatenate(places), np.array(ranks) * max(1.0, n / len(x)), k)
+
+
+def _enough(index: Index, places: np.ndarray, ranks: np.ndarray, k: int) -> tuple[int, int]:
+    """Probes and length of a shortlist by which FOUND of some rows are met: their lists' places from 0, and their own from 1."""
+    place, rank = (float(np.quantile(v, FOUND)) for v in (places, ranks))
+    return min(len(index.centroids), max(LEAST_PROBES, math.ceil(place) + 1)), max(LEAST_SHORTLIST, 4 * k, math.ceil(rank))
 
 
 def list_order(index: Index, queries: np.ndarray) -> np.ndarray:
@@ -127,16 +142,24 @@ def list_order(index: Index, queries: np.ndarray) -> np.ndarray:
 
 
 def guesses(index: Index, queries: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Each query's inner product with each coded row, by tables of its products with the codebooks."""
+    """The nearness of each query and each coded row, by tables of the query's products with the codebooks: their inner product less half the
+    row's square, which falls as their distance grows.
+    """
     tables = np.einsum("qsd,scd->scq", queries.reshape(len(queries), len(index.books), -1), index.books)
     out = (index.centroids @ queries.T)[at]  # a row's entries for all queries stand together
+    out -= (decoded(index, at, codes) ** 2).sum(axis=1, keepdims=True) / 2
     for s, table in enumerate(tables):
         out += table[codes[:, s]]
     return out.T
 
 
+def decoded(index: Index, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """What lists and codes stand for."""
+    return index.centroids[at] + index.books[np.arange(len(index.books)), codes].reshape(len(at), -1)
+
+
 def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """List and codes of each unit vector."""
+    """List and codes of each centred vector."""
     at = nearest(x, index.centroids)
     parts = (x - index.centroids[at]).reshape(len(x), len(index.books), -1)
     return at, np.stack([nearest(np.ascontiguousarray(parts[:, s]), b) for s, b in enumerate(index.books)], axis=1).astype(np.uint8)
@@ -231,7 +254,7 @@ def search(embeddings: DataFrame, is_query: Column, *, k: int = K, sample: int =
         known = Index(*sent.value)
         for batch in batches:
             if batch.num_rows:
-                at, codes = encode(known, unit(_doubles(batch.column("embedding"))))
+                at, codes = encode(known, centred(unit(_doubles(batch.column("embedding"))), known.mean))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("vec_id"), batch.column("embedding"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "embedding", "list", "codes"]
                 )
@@ -249,6 +272,7 @@ def search(embeddings: DataFrame, is_query: Column, *, k: int = K, sample: int =
     blocks = -(-asked.count() // QUERIES)
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index = checked(placed, asked, index, k)
     found = None
     for b in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
@@ -258,6 +282,63 @@ def search(embeddings: DataFrame, is_query: Column, *, k: int = K, sample: int =
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def checked(placed: DataFrame, asked: DataFrame, index: Index, k: int) -> Index:
+    """The index, with as many probes and as long a shortlist as the true neighbours of CHECKED queries among all rows ask for, if more.
+
+    Two passes over the rows: each task's nearest k of a checked query, and for the nearest k of all how many codes promise as much.
+    """
+    table = hash_sample(asked.select("vec_id", "embedding"), "vec_id", CHECKED).toArrow()
+    names, vectors = table.column("vec_id").to_numpy(), unit(_doubles(table.column("embedding")))
+    queries = centred(vectors, index.mean)
+    sent = placed.sparkSession.sparkContext.broadcast((tuple(index), names, vectors, queries))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, names, vectors, _ = sent.value
+        best = np.full((len(names), k), -np.inf)
+        at, codes = np.zeros(best.shape, np.int32), np.full(best.shape, b"", object)
+        for batch in batches:
+            if batch.num_rows:
+                score = vectors @ unit(_doubles(batch.column("embedding"))).T
+                score[names[:, None] == batch.column("vec_id").to_numpy()] = -np.inf
+                score = np.hstack([best, score])
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                best = np.take_along_axis(score, top, axis=1)
+                old, new = top < k, np.maximum(top - k, 0)
+                at = np.where(old, np.take_along_axis(at, np.minimum(top, k - 1), axis=1), batch.column("list").to_numpy()[new])
+                codes = np.where(old, np.take_along_axis(codes, np.minimum(top, k - 1), axis=1), np.array(batch.column("codes").to_pylist(), object)[new])
+        who, place = np.nonzero(best > -np.inf)
+        found = [who.astype(np.int32), best[who, place], at[who, place].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(list(codes[who, place]), pa.binary())], names=["query", "score", "list", "codes"])
+
+    first = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc()))
+    true = placed.select("vec_id", "embedding", "list", "codes").mapInArrow(near, "query int, score double, list int, codes binary").withColumn("r", first).where(F.col("r") <= k).drop("r").toArrow()
+    if not true.num_rows:
+        return index
+    who, at = true.column("query").to_numpy(), true.column("list").to_numpy()
+    codes = np.frombuffer(b"".join(true.column("codes").to_pylist()), np.uint8).reshape(len(who), -1)
+    rows, own = decoded(index, at, codes), queries[who]
+    size = np.sqrt((rows**2).sum(axis=1))
+    promised = (rows * own).sum(axis=1) - size**2 / 2 - 1e-6 * size * (size + np.sqrt((own**2).sum(axis=1)))  # less what sums in another order differ by
+    sought = placed.sparkSession.sparkContext.broadcast((who, promised))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, names, _, queries = sent.value
+        who, promised = sought.value
+        n = np.zeros(len(who), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                guess = guesses(Index(*known), queries, batch.column("list").to_numpy(), codes)
+                guess[names[:, None] == batch.column("vec_id").to_numpy()] = -np.inf
+                n += [np.count_nonzero(guess[q] >= p) for q, p in zip(who, promised)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["place", "n"])
+
+    ranks = placed.select("vec_id", "list", "codes").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow().column("n").to_numpy()
+    place = np.argsort(list_order(index, queries), axis=1)[who, at]
+    probes, shortlist = _enough(index, place, ranks, k)
+    return index._replace(probes=max(index.probes, probes), shortlist=max(index.shortlist, shortlist))
+
+
 def _answers(placed: DataFrame, asked: DataFrame, index: Index, sizes: np.ndarray, k: int) -> DataFrame:
     """query_id, vec_id, row, score of the shortlists of a block of queries, which is all that is collected here."""
     spark = placed.sparkSession
@@ -273,7 +354,7 @@ def _answers(placed: DataFrame, asked: DataFrame, index: Index, sizes: np.ndarra
         known = Index(*known)
         at, ids, row = (held.column(c).to_numpy() for c in ("list", "vec_id", "row"))
         codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-        for who, place, guess in shortlisted(known, sizes, at, codes, ids, names, unit(vectors), own + k):
+        for who, place, guess in shortlisted(known, sizes, at, codes, ids, names, centred(unit(vectors), known.mean), own + k):
             asked, first = np.unique(who, return_index=True)  # of each query, its codes stand together
             offsets = pa.array(np.r_[first, len(who)].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(asked.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(row[place])), pa.ListArray.from_arrays(offsets, pa.array(guess))], names=["query", "rows", "guesses"])

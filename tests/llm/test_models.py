@@ -566,6 +566,28 @@ def test_recall_without_clusters_from_short_lists(spark, monkeypatch):
     assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["apart", "between clusters", "one direction", "prime width"])
+def test_recall_on_other_rows(spark, kind):
+    """Queries unlike the rows that the sample shows, rows that nearly agree, and a width that no number of subspaces divides."""
+    draw = np.random.default_rng(12)
+    n, width = {"apart": (10_000, 64), "prime width": (4000, 37)}.get(kind, (4000, 32))
+    x = draw.standard_normal((n, width))
+    if kind == "apart":
+        x[::50] = x[::50] * 0.2 + 3
+    elif kind == "between clusters":
+        x = draw.standard_normal((60, 32))[np.arange(4000) % 60] + 0.05 * x
+        x[::50] = draw.standard_normal((80, 32))
+    elif kind == "one direction":
+        x = 1 + 0.001 * x
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.digest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = by_brute_force(vectors, range(0, n, 50))
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
+    assert ann.fit_rows(ann.unit(x), n).shortlist <= 0.1 * n
+
+
 def test_clusters_are_found_with_few_probes():
     draw = np.random.default_rng(9)
     centres = draw.standard_normal((64, 16)) * 8
