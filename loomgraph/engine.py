@@ -83,7 +83,7 @@ class Engine:
             self.parsed = self._versions.read("parsed", self._version)
         self.set_meta("last_indexed_at", datetime.now(timezone.utc).isoformat(timespec="seconds"))
         self._flows: dict[str, dataflow.Flow] = {}
-        for name in ("files", "symbols", "occurrences", "imports", "edges", "calls", "name_calls", "name_index"):
+        for name in ("files", "symbols", "occurrences", "imports", "edges", "calls", "name_links", "name_index"):
             self.__dict__.pop(name, None)
         self._edge_tables: list[tuple[DataFrame, frozenset[int]]] = []
         if was is not None:
@@ -175,8 +175,13 @@ class Engine:
         return self.edges.where("type = 'CALLS'").select("src", "dst", "weight")
 
     @cached_property
+    def name_links(self) -> tuple[DataFrame, DataFrame]:
+        calls, targets = build.name_links(self.symbols)
+        return stage(calls), stage(targets)
+
+    @property
     def name_calls(self) -> DataFrame:
-        return stage(build.name_edges(self.symbols))
+        return build.name_edges(*self.name_links)
 
     @cached_property
     def name_index(self) -> names.NameIndex:
@@ -359,9 +364,11 @@ class Engine:
     def get_blast_radius(self, file_path: str, symbol_name: str) -> DataFrame:
         """All that reaches a symbol or is reached from it by calls of names: role, path, name, depth, and the first line of the name in the file."""
         seed = self.spark.createDataFrame([(f"{checked(file_path)}::{symbol_name}",)], "id string")
-        known = self.name_calls.where(~F.col("dst").startswith("?::"))
+        calls, targets = self.name_links
+        down = (calls.toDF("src", "dst"), targets.toDF("src", "dst"))
+        up = tuple(graph.reverse(hop) for hop in reversed(down))
         named = lambda df, role: df.where("depth > 0").select(F.lit(role).alias("role"), F.split_part("id", F.lit("::"), F.lit(1)).alias("path"), F.split_part("id", F.lit("::"), F.lit(2)).alias("name"), "depth")
-        reached = named(graph.bfs(graph.reverse(known), seed), "caller").unionByName(named(graph.bfs(known, seed), "dependency"))
+        reached = named(graph.bfs(up, seed), "caller").unionByName(named(graph.bfs(down, seed), "dependency"))
         lines = self.symbols.groupBy("path", "name").agg(F.min("line").alias("line"))
         return reached.join(lines, ["path", "name"], "left").select("role", "path", "name", "depth", "line").orderBy("role", "depth", "path", "name")
 
@@ -472,9 +479,7 @@ class Engine:
 
     def rank_symbols(self, top_n: int = 20, file_path: str | None = None) -> DataFrame:
         """PageRank over calls of names: path, name, score."""
-        key = F.concat("path", F.lit("::"), "name")
-        known = self.name_calls.where(~F.col("dst").startswith("?::"))
-        ranked = graph.pagerank(known, self.symbols.select(key.alias("id")).distinct())
+        ranked = graph.pagerank_by_name(*self.name_links)
         out = ranked.select(F.split_part("id", F.lit("::"), F.lit(1)).alias("path"), F.split_part("id", F.lit("::"), F.lit(2)).alias("name"), F.round("score", 6).alias("score"))
         if file_path:
             out = out.where(F.col("path") == checked(file_path))

@@ -50,12 +50,18 @@ def call_edges(symbols: DataFrame, imports: DataFrame, files: DataFrame, callers
     return found.select(F.col("caller").alias("src"), F.col("target").alias("dst"), "weight")
 
 
-def name_edges(symbols: DataFrame) -> DataFrame:
-    """(src, dst) by names alone: a file's callers against every symbol of the name, without parents."""
+def name_links(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph of names in two tables that together are as long as the symbols and their calls: (src, name) of a file's callers, and
+    (name, dst) of every symbol of a name, without parents. A dst has one name.
+    """
     key = lambda path, name: F.concat(path, F.lit("::"), name)
     calls = symbols.where(F.col("kind").isin("function", "method")).select(key(F.col("path"), F.col("name")).alias("src"), F.explode("calls").alias("name"))
-    targets = symbols.select("name", key(F.col("path"), F.col("name")).alias("dst")).distinct()
-    return calls.distinct().join(targets, "name", "left").select("src", F.coalesce("dst", F.concat(F.lit("?::"), "name")).alias("dst")).distinct()
+    return calls.distinct(), symbols.select("name", key(F.col("path"), F.col("name")).alias("dst")).distinct()
+
+
+def name_edges(calls: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src, dst) of name_links(), each pair once: as many as a name's callers times its symbols, so it's neither staged nor shuffled."""
+    return calls.join(targets, "name", "left").select("src", F.coalesce("dst", F.concat(F.lit("?::"), "name")).alias("dst"))
 
 
 def tested_names(symbols: DataFrame) -> DataFrame:

@@ -24,12 +24,14 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame | tuple[DataFrame, ...], seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth) of everything reachable along edges, seeds at 0, each at its least depth.
 
+    Several tables of edges are the hops that make an edge together, so a graph of names needs no row a pair.
     A level joins the frontier alone with the edges, drops what has been seen by an anti-join, and is staged;
     it stops at max_depth or at an empty frontier, so cycles end it.
     """
+    hops = (edges,) if isinstance(edges, DataFrame) else edges
     frontier = stage(seeds.select(F.col("id")).where("id is not null").distinct().withColumn("depth", F.lit(0)))
     levels, depth = [frontier], 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
@@ -37,7 +39,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> Dat
         seen = levels[0]
         for level in levels[1:]:
             seen = seen.unionAll(level)
-        reached = edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        reached = frontier
+        for hop in hops:
+            reached = hop.join(reached.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         frontier = stage(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         levels.append(frontier)
         if len(levels) > 8:  # a long chain: fold what has been seen into one table
@@ -76,23 +80,53 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, damping: float = 0.85, itera
     where they are and meet the hubs' ranks by broadcast. The mass of nodes without out-edges is counted while their ranks are
     written, one number an iteration. What is kept comes from staged tables, so it can be made again where an executor is lost.
     """
-    spark = edges.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = stage(edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")))
     nodes = stage(nodes.select("id").distinct().join(out, "id", "left"))
     n, loose = nodes.agg(F.count(F.lit(1)), F.count(F.when(F.col("n").isNull(), 1))).first()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("score"))
+    shared = edges.select("src", "dst").join(out.select(F.col("id").alias("src"), (1.0 / F.col("n")).alias("share")), "src")
+    return _ranks(shared, out, nodes.select("id", F.col("n").isNull().cast("long").alias("loose")), n, loose, damping, iterations)
+
+
+def pagerank_by_name(calls: DataFrame, targets: DataFrame, *, damping: float = 0.85, iterations: int = 25) -> DataFrame:
+    """pagerank() of the graph in which each src of `calls` (src, name) has an edge to each dst of `targets` (name, dst) of the name, each row
+    once, over the nodes dst, which have one name each.
+
+    A name's nodes get the same from the same callers, so they have one score: ranks are those of names, whose links have the shares of
+    all callers of one name in another. No row a pair is made.
+    """
+    sizes = stage(targets.groupBy("name").agg(F.count(F.lit(1)).alias("size")))
+    n = sizes.agg(F.sum("size")).first()[0]
+    if not n:
+        return targets.select(F.col("dst").alias("id"), F.lit(0.0).alias("score"))
+    out = stage(calls.join(sizes, "name").groupBy("src").agg(F.sum("size").alias("out")))
+    own = targets.select(F.col("name").alias("own"), F.col("dst").alias("src"))
+    named = stage(own.join(out, "src", "left"))
+    loose = named.where(F.col("out").isNull()).groupBy(F.col("own").alias("id")).agg(F.count(F.lit(1)).alias("loose"))
+    nodes = stage(sizes.select(F.col("name").alias("id")).join(loose, "id", "left").fillna(0, ["loose"]))
+    known = calls.join(sizes, "name", "left_semi").join(named.where(F.col("out").isNotNull()), "src")
+    shared = stage(known.groupBy(F.col("own").alias("src"), F.col("name").alias("dst")).agg(F.sum(1.0 / F.col("out")).alias("share")))
+    links = stage(shared.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    ranks = _ranks(shared, links, nodes, n, nodes.agg(F.sum("loose")).first()[0], damping, iterations)
+    return targets.join(ranks.withColumnRenamed("id", "name"), "name").select(F.col("dst").alias("id"), "score")
+
+
+def _ranks(shared: DataFrame, out: DataFrame, nodes: DataFrame, n: int, loose: int, damping: float, iterations: int) -> DataFrame:
+    """(id, score) after some iterations: `shared` (src, dst, share of src's score), `out` (id, its number n of those), and `nodes` (id, loose,
+    how many of the n nodes without out-edges it stands for).
+    """
+    spark = shared.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = out.agg(F.sum("n")).first()[0] or 0
     hubs = out.where(F.col("n") > max(total // HUB, 1)).select(F.col("id").alias("src"))
     some_hubs = total > HUB and not hubs.isEmpty()
-    shared = edges.select("src", "dst").join(out.select(F.col("id").alias("src"), (1.0 / F.col("n")).alias("share")), "src")
     if some_hubs:
         of_hubs = stage(shared.join(F.broadcast(hubs), "src", "left_semi"))
         shared = shared.join(F.broadcast(hubs), "src", "left_anti")
     # sorted, too, so that only gains are sorted again
     links = shared.repartition(parts, "src").sortWithinPartitions("src").persist()
-    nodes = nodes.select("id", F.col("n").isNull().alias("loose")).repartition(parts, "id").sortWithinPartitions("id").persist()
+    nodes = nodes.repartition(parts, "id").sortWithinPartitions("id").persist()
     ranks, mass = nodes.select("id", "loose", F.lit(1.0 / n).alias("score")), loose / n
     for k in range(1, iterations + 1):
         gains = links.join(ranks, links["src"] == ranks["id"]).select("dst", (F.col("score") * F.col("share")).alias("gain"))
@@ -104,7 +138,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, damping: float = 0.85, itera
         ranks = nodes.join(gained, nodes["id"] == gained["dst"], "left").select("id", "loose", (F.lit(base) + damping * F.coalesce("gain", F.lit(0.0))).alias("score"))
         if loose:
             seen = Observation()
-            ranks = stage(ranks.observe(seen, F.coalesce(F.sum(F.when(F.col("loose"), F.col("score"))), F.lit(0.0)).alias("mass")), rows=n)
+            ranks = stage(ranks.observe(seen, F.coalesce(F.sum(F.col("loose") * F.col("score")), F.lit(0.0)).alias("mass")), rows=n)
             mass = seen.get["mass"]
         elif k % AT_ONCE == 0 or k == iterations:
             ranks = stage(ranks, rows=n)

@@ -230,3 +230,32 @@ def test_what_is_staged_in_scratch_is_deleted(spark):
         kept = shared_dir(spark)
         stage(spark.range(6)).write.parquet(kept)
     assert not os.path.exists(outer[0].removeprefix("file://")) and before.count() == 3 and spark.read.parquet(kept).count() == 6
+
+
+def test_ranks_by_name_are_those_of_all_pairs(spark):
+    draw = random.Random(3)
+    targets = [(f"n{i % 7}", f"{i}::n{i % 7}") for i in range(40)]
+    calls = sorted({(t, f"n{draw.randrange(10)}") for _, t in targets[:30] for _ in range(3)})
+    edges = [(s, t) for s, name in calls for own, t in targets if own == name]
+    got = dict(values(graph.pagerank_by_name(spark.createDataFrame(calls, "src string, name string"), spark.createDataFrame(targets, "name string, dst string"))))
+    assert got == pytest.approx(ranks(edges, [t for _, t in targets]), abs=1e-12)
+
+
+def test_a_graph_of_names_is_not_written_pair_by_pair(spark, monkeypatch):
+    """60 files with one function that calls its name: 3,600 pairs, of which no table that is staged has a row each."""
+    from loomgraph import engine
+
+    e = Engine.over(spark.createDataFrame([(f"m_{i}.py", "def again():\n    again()\n") for i in range(60)], "path string, source string"))
+    rows, stage = [], engine.stage
+
+    def counted(df, **options):
+        out = stage(df, **options)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(engine, "stage", counted)
+    monkeypatch.setattr(graph, "stage", counted)
+    assert e.name_calls.count() == 3600
+    assert len(values(e.rank_symbols())) == 20
+    assert e.get_blast_radius("m_0.py", "again").count() == 118
+    assert max(rows) <= 60
