@@ -259,3 +259,26 @@ def test_a_graph_of_names_is_not_written_pair_by_pair(spark, monkeypatch):
     assert len(values(e.rank_symbols())) == 20
     assert e.get_blast_radius("m_0.py", "again").count() == 118
     assert max(rows) <= 60
+
+
+def test_resolved_pairs_are_not_shuffled(spark):
+    """Rows are as many as callers times symbols of a name, and leave the join as they are; where a row can come twice, it comes once."""
+    calls = [(f"c{i}", "f", "k" if i < 3 else "x") for i in range(20)]
+    symbols = [("f", i, "k" if i < 4 else "y") for i in range(20)]
+    found = graph.resolve_callees_by(spark.createDataFrame(calls, "caller string, name string, key string"), spark.createDataFrame(symbols, "name string, id long, key string"), "key")
+    assert sorted(values(found)) == sorted((c, str(i), 1.0 if k == "k" else 0.5) for c, _, k in calls for _, i, own in symbols if k != "k" or own == "k")
+    top = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in top.split("Join")[0]
+    twice = [("g", 1, "z"), ("f", 1, "k")]
+    found = graph.resolve_callees_by(spark.createDataFrame([("c", "f", "k"), ("c", "g", "x")], "caller string, name string, key string"), spark.createDataFrame(twice, "name string, id long, key string"), "key")
+    assert values(found) == [("c", "1", 1.0)]
+
+
+def test_staged_tables_are_broadcast_by_their_rows_not_their_files(spark):
+    """300,000 rows of names take some MB as a file, and tens in a driver that would broadcast them."""
+    from loomgraph.staging import stage
+
+    name = F.concat(F.lit("pkg/of/some/length/m_"), (F.col("id") / 16).cast("long").cast("string"), F.lit(".py::function_"), F.col("id").cast("string"))
+    names = stage(spark.range(300_000).select(name.alias("name"), F.col("id").alias("k")))
+    paths = stage(spark.range(300_000).select(F.col("id").alias("k"), name.alias("path")))
+    assert "Broadcast" not in names.join(paths, "k")._jdf.queryExecution().sparkPlan().toString()
