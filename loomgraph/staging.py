@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of a small table that are worth a file.
 ROWS_PER_FILE = 50_000
+#: Bytes of rows to a byte of a file: names and paths that repeat take next to nothing in a file, and Spark would broadcast by that size.
+INFLATED = 50
 #: Bytes of a Parquet row group: a writer holds one in memory, and an executor has several writers.
 ROW_GROUP = 32 << 20
 
@@ -40,6 +42,8 @@ def stage(df: DataFrame, *, path: str | None = None, rows: int | None = None, by
     partitions a shuffle has left it in. `by` names a column whose values are folders, which readers that filter by it skip.
     """
     spark = df.sparkSession
+    if float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) < INFLATED:
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", str(float(INFLATED)))
     path = path or shared_dir(spark)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
