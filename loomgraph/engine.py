@@ -76,14 +76,14 @@ class Engine:
 
     def _publish(self, parsed: DataFrame, touched: DataFrame | None = None) -> None:
         """Make these the parsed files. If `touched` (path) says which differ, edges that have been derived are replaced where that matters."""
-        was = (self.symbols, self.files, self._edge_tables) if touched is not None and "edges" in self.__dict__ else None
+        was = (self.symbols, self.files, self._edge_tables) if touched is not None and "links" in self.__dict__ else None
         self.parsed = parsed
         if self._versions:
             self._version = self._versions.publish({"parsed": parsed}, self._version)
             self.parsed = self._versions.read("parsed", self._version)
         self.set_meta("last_indexed_at", datetime.now(timezone.utc).isoformat(timespec="seconds"))
         self._flows: dict[str, dataflow.Flow] = {}
-        for name in ("files", "symbols", "occurrences", "imports", "edges", "calls", "name_links", "name_index"):
+        for name in ("files", "symbols", "occurrences", "imports", "links", "ends", "name_links", "name_index"):
             self.__dict__.pop(name, None)
         self._edge_tables: list[tuple[DataFrame, frozenset[int]]] = []
         if was is not None:
@@ -99,12 +99,12 @@ class Engine:
         parts = frozenset(r[0] for r in only.select(edge_part(F.col("path"))).distinct().collect())  # at most EDGE_PARTS
         held = self._joined_edges(tables).where(F.col("part").isin(*parts)) if parts else self._joined_edges(tables).limit(0)
         kept = held.withColumn("path", F.split_part("src", F.lit("::"), F.lit(1))).join(only, "path", "left_anti").drop("path")
-        fresh = self._stage_edges(kept.unionByName(parted(build.edges(self.symbols, self.imports, self.files, only))))
+        fresh = self._stage_edges(kept.unionByName(parted(build.links(self.symbols, self.imports, self.files, only))))
         tables = [(t, gone | parts) for t, gone in tables] + [(fresh, frozenset())]
         if len(tables) > PATCHES:
             tables = [(self._stage_edges(self._joined_edges(tables)), frozenset())]
         self._edge_tables = tables
-        self.__dict__["edges"] = self._joined_edges(tables).drop("part")
+        self.__dict__["links"] = self._joined_edges(tables).drop("part")
 
     @staticmethod
     def _stage_edges(edges: DataFrame) -> DataFrame:
@@ -166,11 +166,24 @@ class Engine:
         return stage(source_files.imports(self.parsed))
 
     @cached_property
-    def edges(self) -> DataFrame:
-        self._edge_tables = [(self._stage_edges(parted(build.edges(self.symbols, self.imports, self.files))), frozenset())]
+    def links(self) -> DataFrame:
+        """The edges, with a name in place of all its symbols."""
+        self._edge_tables = [(self._stage_edges(parted(build.links(self.symbols, self.imports, self.files))), frozenset())]
         return self._joined_edges(self._edge_tables).drop("part")
 
     @cached_property
+    def ends(self) -> DataFrame:
+        return stage(build.ends(self.symbols, self.links))
+
+    @property
+    def edges(self) -> DataFrame:
+        return build.edges(self.links, self.ends)
+
+    def degrees(self, type: str | None = None) -> DataFrame:
+        """id, in_degree, out_degree, degree of every node with an edge, or with one of a type."""
+        return build.degrees(self.links if type is None else self.links.where(F.col("type") == type), self.ends)
+
+    @property
     def calls(self) -> DataFrame:
         return self.edges.where("type = 'CALLS'").select("src", "dst", "weight")
 
@@ -400,10 +413,15 @@ class Engine:
         """What calls the changed symbols, within `depth` calls: id, hop, risk, is_test. Tests of them have hop 0 at least."""
         seeds = self._changed(symbol_query, diff_scope).select("id", "name")
         plain = build.latest_symbols(self.symbols)
-        calls = self.calls if min_weight is None else self.calls.where(F.col("weight") >= min_weight)
-        loose = calls.where(F.col("dst").startswith("?::")).withColumn("name", F.expr("substring(dst, 4)")).join(seeds, "name").select("src", F.col("id").alias("dst"))
-        reached = graph.change_impact(calls.select("src", "dst").union(loose), seeds.select("id"), depth)
-        tested = self.edges.where("type = 'TESTS'").join(seeds.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("risk"))
+        calls = self.links.where("type = 'CALLS'")
+        if min_weight is not None:
+            calls = calls.where(F.col("weight") >= min_weight)
+        by_name, exact = F.concat(F.lit("?::"), "name"), calls.where("dst is not null")
+        of_names = self.ends.where("type = 'CALLS'").select(by_name.alias("src"), "dst")
+        hops = calls.select("src", F.coalesce("dst", by_name).alias("dst")), of_names.unionByName(exact.select(F.col("dst").alias("src"), "dst").distinct())
+        reached = graph.change_impact(hops, seeds.select("id"), depth)
+        tests = self.links.where("type = 'TESTS'").drop("dst")
+        tested = self.ends.where("type = 'TESTS'").join(seeds.select(F.col("id").alias("dst")), "dst", "left_semi").join(tests, "name").select(F.col("src").alias("id"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("risk"))
         rows = reached.unionByName(tested.join(reached, "id", "left_anti")).join(plain.select("id", "path", "is_test"), "id", "left").distinct()
         return rows.orderBy("hop", "id")
 
@@ -413,7 +431,7 @@ class Engine:
         top = F.split_part("path", F.lit("/"), F.lit(1))
         folders = self.files.where(F.col("path").contains("/")).groupBy(F.concat(top, F.lit("/")).alias("folder")).count().orderBy(F.col("count").desc(), "folder").limit(max_items)
         entries = [r["id"] for r in plain.where("is_entry_point").select("id").orderBy("id").limit(max_items).collect()]
-        hot = plain.join(graph.degrees(self.edges), "id").orderBy(F.col("degree").desc(), "id").limit(max_items).select("id", "degree").collect()
+        hot = plain.join(self.degrees(), "id").orderBy(F.col("degree").desc(), "id").limit(max_items).select("id", "degree").collect()
         tests = self.files.where("is_test").select(F.when(F.col("path").contains("/"), F.concat(top, F.lit("/"))).otherwise("./").alias("root")).distinct().orderBy("root").limit(max_items)
         languages = self.files.groupBy("language").count().orderBy(F.col("count").desc(), "language")
         return {
@@ -431,13 +449,13 @@ class Engine:
         return self.get_meta("last_indexed_at")
 
     def index_status(self) -> dict:
-        return {"files": self.files.count(), "symbols": self.symbols.select("id").distinct().count(), "edges": self.edges.count(), "graph_exists": True}
+        return {"files": self.files.count(), "symbols": self.symbols.select("id").distinct().count(), "edges": self.degrees().agg(F.sum("in_degree")).first()[0] or 0, "graph_exists": True}
 
     def resolve_symbol(self, query: str, kind: str | None = None, path_hint: str | None = None, limit: int = 10) -> DataFrame:
         rows = build.latest_symbols(self._named(query))
         if kind:
             rows = rows.where(F.col("kind") == kind)
-        rows = rows.join(graph.degrees(self.edges).select("id", "in_degree"), "id", "left").fillna(0, ["in_degree"])
+        rows = rows.join(self.degrees().select("id", "in_degree"), "id", "left").fillna(0, ["in_degree"])
         hint = F.col("path").contains(path_hint) if path_hint else F.lit(False)
         found = graph.resolve_ranked(rows, query, hints=[hint, ~F.col("is_test"), F.col("is_entry_point"), F.col("in_degree")], limit=limit)
         return found.select("rank", "id", "kind", "path", "line", "is_test", "in_degree").orderBy("rank")
@@ -449,9 +467,9 @@ class Engine:
         if file_pattern:
             rows = rows.where(F.lower("path").contains(file_pattern.lower()))
         if relationship:
-            end = "dst" if direction == "inbound" else "src"
-            rows = rows.join(self.edges.where(F.col("type") == relationship).select(F.col(end).alias("id")), "id", "left_semi")
-        return graph.search_page(rows, self.edges, min_degree=min_degree, max_degree=max_degree, limit=limit, offset=offset)
+            end = "in_degree" if direction == "inbound" else "out_degree"
+            rows = rows.join(self.degrees(relationship).where(F.col(end) > 0), "id", "left_semi")
+        return graph.search_page(rows, self.edges, min_degree=min_degree, max_degree=max_degree, limit=limit, offset=offset, counted=self.degrees())
 
     def search_graph_report(self, limit: int = 10, offset: int = 0, **filters) -> dict:
         """total, limit, offset, has_more and the results of one page of search_graph()."""
@@ -468,11 +486,12 @@ class Engine:
 
     def find_hot_paths(self, top_n: int = 10) -> DataFrame:
         functions = build.latest_symbols(self.symbols).where(F.col("kind").isin("function", "method") & ~F.col("is_test"))
-        hot = graph.hot_paths(functions.select("id", "complexity"), self.calls.select("src", "dst"), top_n)
+        callers = self.degrees("CALLS").where("in_degree > 0").select("id", F.col("in_degree").alias("callers"))
+        hot = graph.hottest(functions.select("id", "complexity"), callers, top_n)
         return hot.join(functions.select("id", "path", "name", "line"), "id").orderBy(F.col("score").desc(), "id")
 
     def get_dependency_graph(self, file_path: str | None = None) -> DataFrame:
-        ends = self.edges.where("type = 'IMPORTS'").select(*[F.split_part(c, F.lit("::"), F.lit(1)).alias(c) for c in ("src", "dst")])
+        ends = self.links.where("type = 'IMPORTS'").select(*[F.split_part(c, F.lit("::"), F.lit(1)).alias(c) for c in ("src", "dst")])
         if file_path:
             ends = ends.where((F.col("src") == checked(file_path)) | (F.col("dst") == file_path))
         return graph.dependency_graph(ends).orderBy("src", "dst")

@@ -40,16 +40,6 @@ def calls_of(symbols: DataFrame) -> DataFrame:
     return symbols.where(F.col("kind").isin("function", "method")).select(F.col("id").alias("caller"), "path", F.explode("calls").alias("name"))
 
 
-def call_edges(symbols: DataFrame, imports: DataFrame, files: DataFrame, callers: DataFrame | None = None) -> DataFrame:
-    """(src, dst, weight): a target in the caller's file or in one it imports has weight 1, another of the name 0.5, and
-    is left out if the name has a target of weight 1; names without symbols go to `?::name`. `callers` are the symbols whose calls
-    count, all by default.
-    """
-    linked = import_edges(imports, files).toDF("path", "other")
-    found = graph.resolve_callees_by(calls_of(symbols if callers is None else callers), symbols.select("name", "id", "path"), "path", linked)
-    return found.select(F.col("caller").alias("src"), F.col("target").alias("dst"), "weight")
-
-
 def name_links(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph of names in two tables that together are as long as the symbols and their calls: (src, name) of a file's callers, and
     (name, dst) of every symbol of a name, without parents. A dst has one name.
@@ -70,30 +60,60 @@ def tested_names(symbols: DataFrame) -> DataFrame:
     return symbols.where("is_test").select(F.col("id").alias("src"), "path", tested.alias("name")).where("name is not null and name <> ''")
 
 
-def tests_edges(symbols: DataFrame, testing: DataFrame | None = None) -> DataFrame:
-    """(src, dst): test_x and Testx of test files against symbols named x that are no tests."""
-    tests = tested_names(symbols if testing is None else testing)
-    return tests.join(symbols.where(~F.col("is_test")).select("name", F.col("id").alias("dst")), "name").select("src", "dst").distinct()
-
+def links(symbols: DataFrame, imports: DataFrame, files: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """All edges before they meet the symbols of a name: src, dst, name, type (CALLS, CONTAINS, IMPORTS, TESTS), weight; one row each. With
+    `only` (path), those that begin in such a file.
 
-def edges(symbols: DataFrame, imports: DataFrame, files: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """All edges: src, dst, type (CALLS, CONTAINS, IMPORTS, TESTS), weight; one row each. With `only` (path), those that begin in such a file.
+    A call of a target in the caller's file or in one it imports has that dst and weight 1. Other calls have weight 0.5 and a name in
+    place of dst, and so have tests: they stand for an edge to each of the name's ends(), as many as callers times symbols.
 
     Symbols may repeat an id; the lowest in the file counts. A file's edges need its own symbols and imports, and of all others only
     the symbols of the names it uses, so with `only` all else is filtered away before anything is shuffled.
     """
-    typed = lambda df, kind: df.select("src", "dst", F.lit(kind).alias("type"), F.lit(1.0).alias("weight"))
+    typed = lambda df, kind, weight=1.0: df.select("src", "dst", "name", F.lit(kind).alias("type"), F.lit(weight).alias("weight"))
+    exact = lambda df, kind: typed(df.withColumn("name", F.lit(None).cast("string")), kind)
+    named = lambda df, kind, weight: typed(df.withColumn("dst", F.lit(None).cast("string")), kind, weight)
     if only is None:
         known = own = latest_symbols(symbols)
     else:
         own = latest_symbols(symbols.join(only, "path", "left_semi"))
-        names = calls_of(own).select("name").unionByName(tested_names(own).select("name")).distinct()
+        names = calls_of(own).select("name").distinct()
         known = latest_symbols(symbols.join(names, "name", "left_semi"))
         imports = imports.join(only, "path", "left_semi")
     contains = graph.contains_edges([own.where("parent is not null").select(F.col("parent_id").alias("parent"), F.col("id").alias("child"))]).toDF("src", "dst")
-    of_files = import_edges(imports, files).select(F.concat("src", F.lit("::__file__")).alias("src"), F.concat("dst", F.lit("::__file__")).alias("dst"))
-    calls = call_edges(known, imports, files, own).select("src", "dst", F.lit("CALLS").alias("type"), "weight")
-    return calls.unionByName(typed(contains, "CONTAINS")).unionByName(typed(of_files, "IMPORTS")).unionByName(typed(tests_edges(known, own), "TESTS"))
+    linked = import_edges(imports, files)
+    of_files = linked.select(F.concat("src", F.lit("::__file__")).alias("src"), F.concat("dst", F.lit("::__file__")).alias("dst"))
+    sure, loose = graph.resolve_links(calls_of(own), known.select("name", "id", "path"), "path", linked.toDF("path", "other"))
+    out = exact(sure.select(F.col("caller").alias("src"), F.col("id").alias("dst")), "CALLS").unionByName(named(loose.select(F.col("caller").alias("src"), "name"), "CALLS", 0.5))
+    out = out.unionByName(exact(contains, "CONTAINS")).unionByName(exact(of_files, "IMPORTS"))
+    return out.unionByName(named(tested_names(own).select("src", "name").distinct(), "TESTS", 1.0))
+
+
+def ends(symbols: DataFrame, links: DataFrame) -> DataFrame:
+    """(type, name, dst): what a name stands for. A call's are all symbols of the name, or `?::name` where there are none; those of test_x and
+    Testx are the symbols named x that are no tests.
+    """
+    known = latest_symbols(symbols).select("name", F.col("id").alias("dst"), "is_test")
+    called = links.where("type = 'CALLS' and dst is null").select("name").distinct().join(known, "name", "left_anti")
+    typed = lambda df, kind: df.select(F.lit(kind).alias("type"), "name", "dst")
+    return typed(known, "CALLS").unionByName(typed(called.withColumn("dst", F.concat(F.lit("?::"), "name")), "CALLS")).unionByName(typed(known.where(~F.col("is_test")), "TESTS"))
+
+
+def edges(links: DataFrame, ends: DataFrame) -> DataFrame:
+    """(src, dst, type, weight) of links() and ends(), one row each; they leave the join as they are, neither staged nor shuffled."""
+    named = links.where("dst is null").drop("dst").join(ends, ["type", "name"])
+    columns = ("src", "dst", "type", "weight")
+    return links.where("dst is not null").select(*columns).unionByName(named.select(*columns))
+
+
+def degrees(links: DataFrame, ends: DataFrame) -> DataFrame:
+    """graph.degrees() of the edges, by counting the links and the ends of each name, without a row an edge."""
+    named, by = links.where("dst is null"), ["type", "name"]
+    callers = ends.join(named.groupBy(*by).agg(F.count(F.lit(1)).alias("i")), by).select(F.col("dst").alias("id"), "i", F.lit(0).cast("long").alias("o"))
+    callees = named.join(ends.groupBy(*by).agg(F.count(F.lit(1)).alias("o")), by).select(F.col("src").alias("id"), F.lit(0).cast("long").alias("i"), "o")
+    exact = graph.degrees(links.where("dst is not null")).select("id", F.col("in_degree").alias("i"), F.col("out_degree").alias("o"))
+    sums = exact.unionByName(callers).unionByName(callees).groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    return sums.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
 def concerned(was: DataFrame, now: DataFrame, touched: DataFrame, imports: DataFrame, files_changed: DataFrame) -> DataFrame:

@@ -59,11 +59,12 @@ def risk(hop: Column) -> Column:
     return F.when(hop == 1, RISKS[0]).when(hop == 2, RISKS[1]).when(hop == 3, RISKS[2]).otherwise(RISKS[3])
 
 
-def change_impact(calls: DataFrame, changed: DataFrame, depth: int = 3, min_weight: float | None = None) -> DataFrame:
-    """(id, hop, risk) of what calls the changed ids (column id) within `depth` calls, the changed left out."""
+def change_impact(calls: DataFrame | tuple[DataFrame, ...], changed: DataFrame, depth: int = 3, min_weight: float | None = None) -> DataFrame:
+    """(id, hop, risk) of what calls the changed ids (column id) within `depth` calls, the changed left out; hops as in bfs()."""
     if min_weight is not None:
         calls = calls.where(F.col("weight") >= min_weight)
-    reached = bfs(reverse(calls.select("src", "dst")), changed, depth)
+    hops = (calls.select("src", "dst"),) if isinstance(calls, DataFrame) else calls
+    reached = bfs(tuple(reverse(hop) for hop in reversed(hops)), changed, depth)
     return reached.where("depth > 0").select("id", F.col("depth").alias("hop"), risk(F.col("depth")).alias("risk"))
 
 
@@ -159,6 +160,18 @@ def resolve_callees(calls: DataFrame, symbols: DataFrame, confirmed: Column) ->
     return kept.groupBy("caller", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("?::"), "name")).alias("target")).agg(F.max("weight").alias("weight"))
 
 
+def resolve_links(calls: DataFrame, symbols: DataFrame, key: str, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What resolve_callees_by() makes rows of: (caller, name, id) that are confirmed, and (caller, name) that mean all symbols of the name."""
+    calls, known = calls.select("caller", "name", key).distinct(), symbols.where(F.col("id").isNotNull()).select("name", "id", key).distinct()
+    asked = calls.select("name", key).distinct()
+    sure = asked.join(known, ["name", key])
+    if linked is not None:
+        near = asked.join(linked.select(F.col(linked.columns[0]).alias(key), F.col(linked.columns[1]).alias("_other")), key)
+        sure = sure.unionByName(near.join(known.withColumnRenamed(key, "_other"), ["name", "_other"]).select("name", key, "id")).distinct()
+    confirmed = calls.join(sure.select("name", key).distinct(), ["name", key], "left_semi").select("caller", "name")
+    return calls.join(sure, ["name", key]).select("caller", "name", "id"), calls.select("caller", "name").distinct().join(confirmed, ["caller", "name"], "left_anti")
+
+
 def resolve_callees_by(calls: DataFrame, symbols: DataFrame, key: str, linked: DataFrame | None = None) -> DataFrame:
     """resolve_callees() where equal `key`s confirm, or keys that `linked` (key, other) names for the caller's: `calls`
     (caller, name, key) against `symbols` (name, id, key).
@@ -169,14 +182,7 @@ def resolve_callees_by(calls: DataFrame, symbols: DataFrame, key: str, linked: D
     """
     calls, symbols = calls.select("caller", "name", key).distinct(), symbols.select("name", "id", key).distinct()
     known = symbols.where(F.col("id").isNotNull())
-    asked = calls.select("name", key).distinct()
-    sure = asked.join(known, ["name", key])
-    if linked is not None:
-        near = asked.join(linked.select(F.col(linked.columns[0]).alias(key), F.col(linked.columns[1]).alias("_other")), key)
-        sure = sure.unionByName(near.join(known.withColumnRenamed(key, "_other"), ["name", "_other"]).select("name", key, "id")).distinct()
-    hits = calls.join(sure, ["name", key]).select("caller", "name", "id")
-    confirmed = calls.join(sure.select("name", key).distinct(), ["name", key], "left_semi").select("caller", "name")
-    loose = calls.select("caller", "name").distinct().join(confirmed, ["caller", "name"], "left_anti")
+    hits, loose = resolve_links(calls, symbols, key, linked)
     unsure = loose.join(symbols.select("name", "id").distinct(), "name", "left").select("caller", "name", "id", F.lit(0.5).alias("weight"))
     target = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("?::"), "name")).alias("target")
     found = hits.withColumn("weight", F.lit(1.0)).unionByName(unsure)
@@ -194,16 +200,16 @@ def resolve_ranked(symbols: DataFrame, name: str, *, hints: list[Column], limit:
     return found.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def search_page(nodes: DataFrame, edges: DataFrame, *, where: Column | None = None, min_degree: int | None = None, max_degree: int | None = None, linked_to: DataFrame | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
+def search_page(nodes: DataFrame, edges: DataFrame, *, where: Column | None = None, min_degree: int | None = None, max_degree: int | None = None, linked_to: DataFrame | None = None, limit: int = 10, offset: int = 0, counted: DataFrame | None = None) -> DataFrame:
     """A page of nodes (id, ...) by degree descending, then id: with degree, in_degree, out_degree and total, the number found.
 
-    `linked_to` (id) keeps nodes that have an edge to one of those ids.
+    `counted` are the edges' degrees, if they are known. `linked_to` (id) keeps nodes that have an edge to one of those ids.
     """
     found = nodes if where is None else nodes.where(where)
     if linked_to is not None:
         sources = edges.join(linked_to.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
         found = found.join(sources, "id", "left_semi")
-    counts = found.join(degrees(edges), "id", "left").fillna(0, ["in_degree", "out_degree", "degree"])
+    counts = found.join(degrees(edges) if counted is None else counted, "id", "left").fillna(0, ["in_degree", "out_degree", "degree"])
     if min_degree is not None:
         counts = counts.where(F.col("degree") >= min_degree)
     if max_degree is not None:
@@ -214,7 +220,11 @@ def search_page(nodes: DataFrame, edges: DataFrame, *, where: Column | None = No
 
 def hot_paths(symbols: DataFrame, calls: DataFrame, top_n: int = 10) -> DataFrame:
     """(id, complexity, callers, score) of the symbols with the largest complexity times distinct callers."""
-    callers = calls.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("callers"))
+    return hottest(symbols, calls.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("callers")), top_n)
+
+
+def hottest(symbols: DataFrame, callers: DataFrame, top_n: int = 10) -> DataFrame:
+    """hot_paths() where the callers of each id are counted."""
     scored = symbols.select("id", F.coalesce("complexity", F.lit(1)).cast("long").alias("complexity")).join(callers, "id")
     return scored.withColumn("score", F.col("complexity") * F.col("callers")).orderBy(F.col("score").desc(), "id").limit(top_n)
 

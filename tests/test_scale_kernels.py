@@ -282,3 +282,24 @@ def test_staged_tables_are_broadcast_by_their_rows_not_their_files(spark):
     names = stage(spark.range(300_000).select(name.alias("name"), F.col("id").alias("k")))
     paths = stage(spark.range(300_000).select(F.col("id").alias("k"), name.alias("path")))
     assert "Broadcast" not in names.join(paths, "k")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_edges_are_not_written_pair_by_pair(spark, monkeypatch):
+    """60 callers of a name that 60 other files have, and 60 tests of it: 7,200 edges, of which no table that is staged has a row each."""
+    from loomgraph import engine
+
+    files = [(f"m_{i}.py", "def f():\n    pass\n") for i in range(60)] + [(f"c_{i}.py", f"def c{i}():\n    f()\n") for i in range(60)] + [(f"tests/test_{i}.py", "def test_f():\n    pass\n") for i in range(60)]
+    e = Engine.over(spark.createDataFrame(files, "path string, source string"))
+    rows, stage = [], engine.stage
+
+    def counted(df, **options):
+        out = stage(df, **options)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(engine, "stage", counted)
+    monkeypatch.setattr(graph, "stage", counted)
+    assert e.edges.count() == e.index_status()["edges"] == 7200
+    assert sorted(values(e.degrees())) == sorted(values(graph.degrees(e.edges)))
+    assert values(e.get_change_impact("f").groupBy("hop", "is_test").count().orderBy("hop")) == [(0, True, 60), (1, False, 60)]
+    assert max(rows) <= 600
