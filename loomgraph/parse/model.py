@@ -20,6 +20,7 @@ class Symbol:
     variables: list[tuple[str, int, str, str]] = field(default_factory=list)  # name, line, type, kind
     assigns: list[tuple[str, int, list[str], str]] = field(default_factory=list)  # name, line, names on the right, their text
     call_sites: list[tuple[str, int]] = field(default_factory=list)  # text, line
+    norm: str | None = None  # of a function, if the extractor has it: normalised(source)
 
     @property
     def callable(self) -> bool:

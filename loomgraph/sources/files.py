@@ -10,8 +10,9 @@ from __future__ import annotations
 import hashlib
 import os
 import stat
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,29 +153,51 @@ PARSED_KIND = (
 )
 
 
-def parsed_row(path: str, raw: bytes, mtime: datetime | None) -> dict:
-    """A file and all that its text says."""
+def parsed_row(path: str, raw: bytes, mtime: datetime | None) -> tuple:
+    """A file and all that its text says, in the order of _PARSED; what is nested is in the order of its fields."""
     from ..parse import normalised, parse_source
 
     source = raw.decode("utf-8", errors="replace")
     ending = path.rpartition(".")[2]
+    language = LANGUAGES[ending]
     p = parse_source(source, ending)
+    norm = lambda s: s.norm if s.norm is not None else normalised(s.source, language) if language in _lexed() else None
     symbols = [
-        {
-            "name": s.name, "kind": s.kind, "parent": s.parent, "line": s.line, "end_line": s.end_line, "params": s.params, "doc": s.doc, "source": s.source,
-            "norm": normalised(s.source, LANGUAGES[ending]) if s.callable and LANGUAGES[ending] in _lexed() else None,
-            "breakdown": list(s.breakdown.items()), "calls": s.calls,
-            "variables": [dict(zip(("name", "line", "type", "kind"), v)) for v in s.variables],
-            "assigns": [dict(zip(("name", "line", "names", "expr"), a)) for a in s.assigns],
-            "call_sites": [dict(zip(("expr", "line"), c)) for c in s.call_sites],
-        }
+        (
+            s.name, s.kind, s.parent, s.line, s.end_line, s.params, s.doc, s.source, norm(s) if s.callable else None,
+            list(s.breakdown.items()), s.calls, s.variables, s.assigns, s.call_sites,
+        )
         for s in p.symbols
     ]
-    return {
-        "path": path, "language": ending, "sha256": hashlib.sha256(raw).hexdigest(), "mtime": mtime, "is_test": is_test_path(path), "has_errors": p.has_errors,
-        "n_lines": source.count("\n") + bool(source and not source.endswith("\n")), "source": source, "symbols": symbols,
-        "imports": [dict(zip(("line", "text"), i)) for i in p.imports], "occurrences": [dict(zip(("name", "line", "col"), o)) for o in p.occurrences],
-    }
+    n_lines = source.count("\n") + bool(source and not source.endswith("\n"))
+    return path, ending, hashlib.sha256(raw).hexdigest(), mtime, is_test_path(path), p.has_errors, n_lines, source, symbols, p.imports, p.occurrences
+
+
+def _column(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """Values as an array of a kind, field by field, so that no row is looked up by names. Nested values are there, if empty."""
+    if pa.types.is_struct(kind):
+        fields = list(kind)
+        columns = zip(*values) if values else [()] * len(fields)
+        return pa.StructArray.from_arrays([_column(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+    if not pa.types.is_nested(kind):
+        return pa.array(values, kind)
+    offsets = pa.array(accumulate(map(len, values), initial=0), pa.int32())
+    inner = list(chain.from_iterable(values))
+    if pa.types.is_map(kind):
+        keys, items = zip(*inner) if inner else ((), ())
+        return pa.MapArray.from_arrays(offsets, _column(keys, kind.key_type), _column(items, kind.item_type), kind)
+    return pa.ListArray.from_arrays(offsets, _column(inner, kind.value_type), kind)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(_PARSED)
+    return pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(columns, _PARSED)], schema=_PARSED)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """A batch for each FILES_PER_TASK files, so a task holds no more of what its files say, however many it has."""
+    while held := list(islice(rows, FILES_PER_TASK)):
+        yield _batch(held)
 
 
 def _lexed() -> frozenset[str]:
@@ -196,15 +219,17 @@ def read(spark: SparkSession, root: str, paths: DataFrame | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know_languages(added)
-        for batch in batches:
-            rows = []
-            for path, mtime in zip(batch.column("path").to_pylist(), batch.column("mtime").to_pylist()):
-                try:
-                    with open(os.path.join(root, path), "rb") as f:
-                        rows.append(parsed_row(path, f.read(), mtime))
-                except FileNotFoundError:  # gone since the listing
-                    continue
-            yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for path, mtime in zip(batch.column("path").to_pylist(), batch.column("mtime").to_pylist()):
+                    try:
+                        with open(os.path.join(root, path), "rb") as f:
+                            raw = f.read()
+                    except FileNotFoundError:  # gone since the listing
+                        continue
+                    yield parsed_row(path, raw, mtime)
+
+        yield from _batches(rows())
 
     return paths.mapInArrow(run, PARSED_KIND)
 
@@ -216,10 +241,8 @@ def parse(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know_languages(added)
-        for batch in batches:
-            rows = [parsed_row(path, source.encode(), None) for path, source in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist())]
-            for at in range(0, len(rows), FILES_PER_TASK):
-                yield pa.RecordBatch.from_pylist(rows[at : at + FILES_PER_TASK], schema=_PARSED)
+        # a text at a time: a batch of Spark's may have ten thousand
+        yield from _batches(parsed_row(path.as_py(), source.as_py().encode(), None) for batch in batches for path, source in zip(batch.column("path"), batch.column("source")))
 
     return texts.where("source is not null").select("path", "source").mapInArrow(run, PARSED_KIND)
 
