@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,9 +26,10 @@ def state(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
 
 def succession(lineitem: DataFrame) -> DataFrame:
     """Parts that follow each other in an order: distinct (src, dst). The sort key is total."""
+    rows = lineitem.count()
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    pairs = lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
-    return pairs.where("dst is not null").distinct()
+    pairs = spread(lineitem, rows, "l_orderkey").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    return spread(pairs.where("dst is not null"), rows, "src", "dst").distinct()
 
 
 #: The same as SQL: pg over all lines, pgr over returned ones.

@@ -54,6 +54,18 @@ def stage(df: DataFrame, *, path: str | None = None, rows: int | None = None, by
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task sorts or groups at once.
+ROWS_PER_TASK = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal a table of about so many rows by keys, so that a task's memory doesn't grow with the table: in more partitions than the session's
+    shuffles have, if those would get more than ROWS_PER_TASK each. A window or aggregation by the keys then shuffles no further.
+    """
+    parts = -(-rows // ROWS_PER_TASK)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 #: By application, the folders that each open scratch() has seen staged.
 _SCRATCH: dict[str, list[list[str]]] = {}
 
