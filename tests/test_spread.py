@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomgraph import staging
-from loomgraph.operators import graph
+from loomgraph.operators import graph, history
 from loomgraph.sources import tables
 
 
@@ -39,3 +39,14 @@ def test_degrees_make_their_edges_once(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src long, dst long").mapInArrow(counted, "src long, dst long")
     assert sorted(map(tuple, graph.degrees(edges).collect())) == [(1, 0, 2, 2), (2, 1, 1, 2), (3, 2, 0, 2)]
     assert seen.value == 3
+
+
+def test_pairs_of_commits(spark, monkeypatch):
+    commits = lineitem(spark, 1000).select(F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("path")).unionByName(spark.range(30).select(F.lit(-1).alias("commit"), F.col("id").alias("path")))
+    plain = sorted(map(tuple, history.coupling(commits).collect()))
+    for wide in (history.WIDE, 8):
+        monkeypatch.setattr(history, "WIDE", wide)
+        monkeypatch.setattr(staging, "ROWS_PER_TASK", 300)
+        each = commits.distinct()
+        assert widest(history._pairs(each)) < 700
+        assert sorted(map(tuple, history.coupling(commits).collect())) == plain
