@@ -30,10 +30,13 @@ def written(texts: DataFrame, root: str) -> None:
     """Write (path, source) as files under a folder that all executors share; a task that runs again writes the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
         for batch in batches:
             for path, source in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist()):
                 full = os.path.join(root, path)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
+                if (folder := os.path.dirname(full)) not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 with open(full, "w", encoding="utf-8") as out:
                     out.write(source)
             yield pa.RecordBatch.from_arrays([batch.column("path")], names=["path"])
@@ -60,10 +63,11 @@ def _folder(spark: SparkSession) -> str:
 def code_scan(spark: SparkSession, d: str) -> DataFrame:
     """Every file is there again under folders that a scan leaves out, and under endings that it doesn't know."""
     root, texts = _folder(spark), sources(spark, d)
-    beside = lambda path: texts.select(path.alias("path"), "source")
-    skipped = [beside(F.concat(F.lit(f"{folder}/"), "path")) for folder in ("node_modules", "pkg/__pycache__", ".venv/lib", "x.egg-info")]
-    for part in [texts, *skipped, beside(F.concat("path", F.lit(".txt"))), beside(F.replace("path", F.lit(".py"), F.lit("")))]:
-        written(part, root)
+    skipped = [F.concat(F.lit(f"{folder}/"), "path") for folder in ("node_modules", "pkg/__pycache__", ".venv/lib", "x.egg-info")]
+    beside = F.array("path", *skipped, F.concat("path", F.lit(".txt")), F.replace("path", F.lit(".py"), F.lit("")))
+    # a text is made once, and the task that has it writes all its files
+    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    written(texts.select(F.explode(beside).alias("path"), "source"), root)
     return Engine(spark, root).files.select("path", "language", "sha256", "is_test", "n_lines", "n_symbols")
 
 

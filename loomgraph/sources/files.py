@@ -23,14 +23,26 @@ from ..parse import added_languages, know_languages
 from ..staging import ship, stage
 
 FILES_PER_TASK = 64
-#: Folders from which on tasks walk them, and folders that a task walks.
-WALKED, FOLDERS_PER_TASK = 1024, 16
+#: Folders from which on tasks look for those below, folders that a task walks, and files that it holds at once.
+WALKED, FOLDERS_PER_TASK, FILES_AT_ONCE = 1024, 16, 4096
 
 
 def skipped(part: str) -> bool:
     return part in SKIPPED_FOLDERS or part.endswith(".egg-info")
 
 
+def own(root: str, folder: str) -> Iterator[tuple[str, datetime]]:
+    """(path from the root, time of change) of the source files in a folder, and not below."""
+    with os.scandir(os.path.join(root, folder)) as found:
+        for e in found:
+            if not skipped(e.name) and "." in e.name and e.name.rpartition(".")[2] in LANGUAGES and e.is_file(follow_symlinks=False):
+                try:
+                    changed = e.stat(follow_symlinks=False).st_mtime
+                except FileNotFoundError:  # gone since it was listed
+                    continue
+                yield f"{folder}/{e.name}" if folder else e.name, datetime.fromtimestamp(changed, timezone.utc)
+
+
 def entries(root: str, folder: str) -> tuple[list[tuple[str, datetime]], list[str]]:
     """(path from the root, time of change) of a folder's source files, and its folders; no links are followed."""
     files, folders = [], []
@@ -63,30 +75,43 @@ def listing(root: str) -> list[tuple[str, datetime]]:
     return sorted(walk(root))
 
 
+def subfolders(root: str, folder: str) -> list[str]:
+    """The folders in one that a scan goes into."""
+    with os.scandir(os.path.join(root, folder)) as found:
+        return [f"{folder}/{e.name}" if folder else e.name for e in found if not skipped(e.name) and e.is_dir(follow_symlinks=False)]
+
+
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """The same as a table (path, mtime): the driver goes down until there are WALKED folders or none, and tasks walk those."""
-    found, todo = [], [""]
+    """The same as a table (path, mtime): the driver goes down through the folders until there are WALKED or none; tasks list the files of
+    those above, walk those below, and hold FILES_AT_ONCE, however many a folder has.
+    """
+    above, todo = [], [""]
     while todo and len(todo) < WALKED:
-        level = [entries(root, folder) for folder in todo if os.path.isdir(os.path.join(root, folder))]
-        found += [f for files, _ in level for f in files]
-        todo = [f for _, folders in level for f in folders]
+        there = [folder for folder in todo if os.path.isdir(os.path.join(root, folder))]
+        above += there
+        todo = [f for folder in there for f in subfolders(root, folder)]
     kind = "path string, mtime timestamp"
-    above = spark.createDataFrame(found, kind)
-    if not todo:
-        return above
     ship(spark)
     added = added_languages()
 
+    def of_one(folder: str) -> Iterator[tuple[str, datetime]]:
+        try:
+            yield from own(root, folder)
+        except FileNotFoundError:  # gone since the driver saw it
+            return
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know_languages(added)
         schema = pa.schema([("path", pa.string()), ("mtime", pa.timestamp("us", "UTC"))])
         for batch in batches:
-            for folder in batch.column("folder").to_pylist():
-                rows = list(walk(root, folder))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-
-    folders = spark.createDataFrame([(f,) for f in todo], "folder string").repartition(-(-len(todo) // FOLDERS_PER_TASK))
-    return above.unionByName(folders.mapInArrow(run, kind))
+            for folder, whole in zip(batch.column("folder").to_pylist(), batch.column("whole").to_pylist()):
+                found = walk(root, folder) if whole else of_one(folder)
+                while rows := list(islice(found, FILES_AT_ONCE)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    asked = [(f, False) for f in above] + [(f, True) for f in todo]
+    parts = max(1, -(-len(asked) // FOLDERS_PER_TASK))
+    return spark.createDataFrame(asked, "folder string, whole boolean").repartition(parts).mapInArrow(run, kind)
 
 
 def inside(path: str) -> bool:

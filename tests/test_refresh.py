@@ -6,6 +6,7 @@ from conftest import values
 
 from loomgraph import engine as engine_module
 from loomgraph.engine import Engine
+from loomgraph.sources import files as source_files
 
 
 def module(draw, k, n):
@@ -54,3 +55,21 @@ def test_a_change_leaves_the_parts_that_it_does_not_concern(spark, repo, tmp_pat
     plan = e.edges._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "part" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert ("user.py::use", "?::g7") in values(e.calls, "src", "dst") and ("a7.py::g7b", "a7.py::h7") in values(e.calls, "src", "dst")
+
+
+def test_tasks_list_the_files_of_a_folder_in_batches(spark, tmp_path, monkeypatch):
+    """The driver sees folders alone, and a task holds few of a folder's files."""
+    for i in range(25):
+        (tmp_path / f"f{i}.py").write_text("x = 1\n")
+    (tmp_path / "pkg" / "__pycache__").mkdir(parents=True)
+    (tmp_path / "pkg" / "__pycache__" / "g.py").write_text("x = 1\n")
+    (tmp_path / "pkg" / "g.py").write_text("x = 1\n")
+    (tmp_path / "pkg" / "g.txt").write_text("x\n")
+    opened, real = [], source_files.entries
+    monkeypatch.setattr(source_files, "entries", lambda *given: opened.append(given) or real(*given))
+    monkeypatch.setattr(source_files, "FILES_AT_ONCE", 4)
+    found = source_files.listed(spark, str(tmp_path))
+    assert not opened
+    monkeypatch.undo()
+    assert sorted(map(tuple, found.select("path").collect())) == sorted((p,) for p, _ in source_files.listing(str(tmp_path)))
+    assert found.count() == 26
