@@ -10,12 +10,13 @@ Names that are parameters and not yet assigned are nodes of their own, written @
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lists import SANITIZERS, TAINT_SINKS, TAINT_SOURCES
-from ..staging import stage
+from ..staging import spread, stage
 
 NAME = "[A-Za-z_][A-Za-z0-9_]*"
 #: Commas that part the arguments of a call: those that no closing bracket follows before an opening one.
@@ -58,19 +59,20 @@ def assignments(functions: DataFrame) -> DataFrame:
     return functions.select("fn", "params", F.posexplode("assigns").alias("seq", "a")).select("fn", "seq", "a.name", "a.line", "a.expr", "a.names", "params")
 
 
-def def_use(assigns: DataFrame) -> DataFrame:
+def def_use(assigns: DataFrame, rows: int = 0) -> DataFrame:
     """(fn, seq, name, dep, bound, is_last): each name that an assignment reads, with the last assignment of it before.
 
     A name that is assigned nowhere before is the parameter of that name (@name, without `bound`), or the
     assignment itself if it reads its own target; other names are not of the function. `is_last` marks the last assignment of `name`.
+    `rows` says about how many assignments there are, so that tasks sort no more of them in larger tables.
     """
     own = Window.partitionBy("fn", "name")
-    again = assigns.withColumn("is_last", F.max("seq").over(own) == F.col("seq"))
+    again = spread(assigns.drop("expr", "line"), rows, "fn", "name").withColumn("is_last", F.max("seq").over(own) == F.col("seq"))
     reads = again.select("fn", "seq", F.col("name").alias("target"), "is_last", F.explode(F.array_distinct("names")).alias("name"), "params")
     uses = reads.select("fn", "name", "seq", F.lit(0).alias("of"), "target", "is_last", F.array_contains("params", F.col("name")).alias("given"), F.lit(None).cast("int").alias("bound"))
     defs = assigns.select("fn", "name", "seq", F.lit(1).alias("of"), F.col("seq").alias("bound"))
     before = own.orderBy("seq", "of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bound = uses.unionByName(defs, allowMissingColumns=True).withColumn("bound", F.last("bound", ignorenulls=True).over(before)).where("of = 0")
+    bound = spread(uses.unionByName(defs, allowMissingColumns=True), 2 * rows, "fn", "name").withColumn("bound", F.last("bound", ignorenulls=True).over(before)).where("of = 0")
     dep = F.when(F.col("bound").isNotNull(), F.col("name")).when(F.col("given"), F.concat(F.lit("@"), "name")).when(F.col("name") == F.col("target"), F.col("name"))
     itself = F.when(~F.col("given") & (F.col("name") == F.col("target")), F.col("seq"))
     return bound.select("fn", "seq", F.col("target").alias("name"), dep.alias("dep"), F.coalesce("bound", itself).alias("bound"), "is_last").where("dep is not null")
@@ -112,7 +114,11 @@ class Flow:
 
     @property
     def def_use(self) -> DataFrame:
-        return self._staged("def_use", lambda: def_use(self.assigns))
+        return self._staged("def_use", lambda: def_use(self.assigns, self.n_assigns))
+
+    @cached_property
+    def n_assigns(self) -> int:
+        return self.functions.agg(F.sum(F.size("assigns"))).first()[0] or 0
 
     @property
     def nodes(self) -> DataFrame:
@@ -237,10 +243,14 @@ class Flow:
 
     def variables(self) -> DataFrame:
         """path, name, variable, at_line, seq, depends_on (sorted), expr: each assignment."""
-        deps = self.def_use.where(~F.col("dep").startswith("@")).groupBy("fn", "seq").agg(F.array_sort(F.collect_set("dep")).alias("depends_on"))
-        rows = self.assigns.select("fn", "seq", F.col("name").alias("variable"), F.col("line").alias("at_line"), "expr").join(deps, ["fn", "seq"], "left")
+        n = self.n_assigns
+        reads = self.def_use.where(~F.col("dep").startswith("@")).select("fn", "seq", "dep")
+        deps = spread(reads, n, "fn", "seq").groupBy("fn", "seq").agg(F.array_sort(F.collect_set("dep")).alias("depends_on"))
+        each = self.functions.select("fn", "path", "name", "line", F.posexplode("assigns").alias("seq", "a"))
+        each = each.select("fn", "path", "name", "line", "seq", F.col("a.name").alias("variable"), F.col("a.line").alias("at_line"), "a.expr")
+        rows = spread(each, n, "fn", "seq").join(deps, ["fn", "seq"], "left")
         told = rows.withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>")))
-        return told.join(self.functions.select("fn", "path", "name", "line"), "fn").select("path", "name", "line", "seq", "variable", "at_line", "depends_on", "expr")
+        return told.select("path", "name", "line", "seq", "variable", "at_line", "depends_on", "expr")
 
     def chains(self) -> DataFrame:
         """path, name, variable, chain: each variable that no other is made of, and what it is made of, by steps."""

@@ -59,11 +59,13 @@ ROWS_PER_TASK = 500_000
 
 
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """Deal a table of about so many rows by keys, so that a task's memory doesn't grow with the table: in more partitions than the session's
-    shuffles have, if those would get more than ROWS_PER_TASK each. A window or aggregation by the keys then shuffles no further.
+    """Deal a table of about so many rows by keys, so that a task's memory doesn't grow with the table: in partitions of ROWS_PER_TASK, if
+    there are more of them than cores. Spark puts small partitions of its own shuffles together by their compressed bytes, down to about one a
+    core, and names and paths take next to nothing there. A window or aggregation by the keys then shuffles no further.
     """
-    parts = -(-rows // ROWS_PER_TASK)
-    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    parts, spark = -(-rows // ROWS_PER_TASK), df.sparkSession
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys) if parts > few else df
 
 
 #: By application, the folders that each open scratch() has seen staged.

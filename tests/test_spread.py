@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomgraph import staging
-from loomgraph.operators import graph, history
+from loomgraph.operators import dataflow, graph, history
 from loomgraph.sources import tables
 
 
@@ -50,3 +50,24 @@ def test_pairs_of_commits(spark, monkeypatch):
         each = commits.distinct()
         assert widest(history._pairs(each)) < 700
         assert sorted(map(tuple, history.coupling(commits).collect())) == plain
+
+
+def test_assignments_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks get no more of them than ROWS_PER_TASK or so, also where Spark would put its own shuffle's partitions together."""
+    one = lambda k, name, reads: f"named_struct('name', '{name}', 'line', {k}, 'names', array({reads}), 'expr', '{name}{k}')"
+    functions = spark.range(1000).selectExpr(
+        "concat('f', id) as fn", "'p' as path", "concat('n', id) as name", "1 as line", "array('a') as params",
+        f"array({one(1, 'x', chr(39) + 'a' + chr(39))}, {one(2, 'y', chr(39) + 'x' + chr(39))}, {one(3, 'x', chr(39) + 'y' + chr(39))}) as assigns", "array() as call_sites",
+    )
+    flow = lambda: vars(f := dataflow.Flow.__new__(dataflow.Flow)).update(functions=functions, assigns=dataflow.assignments(functions), _made={}, match="call") or f
+    plain = sorted(map(str, flow().variables().collect()))
+    monkeypatch.setattr(staging, "ROWS_PER_TASK", 150)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        dealt = flow().variables()
+        assert widest(dealt) < 300
+        assert sorted(map(str, dealt.collect())) == plain and len(plain) == 3000
+        assert widest(dataflow.def_use(dataflow.assignments(functions), 3000)) < 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
