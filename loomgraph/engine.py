@@ -532,7 +532,8 @@ class Engine:
     def flow(self, match: str = "call") -> dataflow.Flow:
         """The dataflow tables of every function of the repository."""
         if match not in self._flows:
-            self._flows[match] = dataflow.Flow(self.symbols, match)
+            # functions are staged by themselves, without what else symbols have
+            self._flows[match] = dataflow.Flow(self.__dict__.get("symbols") or source_files.symbols(self.parsed), match)
         return self._flows[match]
 
     def taint_paths(self, match: str = "call") -> DataFrame:

@@ -1,8 +1,9 @@
 """Dataflow and taint of all functions at once, as tables. A function is its place in a file: `fn`, path#ordinal.
 
-Uses are bound to assignments as of their place; what a value is made of is the closure of that, by doubling, so a chain of
-thousands of assignments takes a dozen rounds and a cycle ends; what a call hands on is matched to the callee's parameters by
-position, and taint spreads from function to function one delta a level. Nothing of a function is collected anywhere.
+Uses are bound to assignments as of their place. What the variables of all functions are made of is the closure of that, by doubling, so a
+chain of thousands of assignments takes a dozen rounds and a cycle ends. What sinks and arguments are made of is followed within the row
+that a function is, in tasks. What a call hands on is matched to the callee's parameters by position, and taint spreads from function to
+function one delta a level.
 
 Names that are parameters and not yet assigned are nodes of their own, written @name.
 """
@@ -10,13 +11,17 @@ Names that are parameters and not yet assigned are nodes of their own, written @
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cached_property
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lists import SANITIZERS, TAINT_SINKS, TAINT_SOURCES
-from ..staging import spread, stage
+from ..sources.files import record_batch
+from ..staging import ship, spread, stage
 
 NAME = "[A-Za-z_][A-Za-z0-9_]*"
 #: Commas that part the arguments of a call: those that no closing bracket follows before an opening one.
@@ -98,6 +103,94 @@ def reach(roots: DataFrame, edges: DataFrame) -> DataFrame:
         walks = stage(walks.join(on, ["space", "dst"]).select("space", "src", F.col("end").alias("dst")).distinct())
 
 
+_STEP = pa.struct([("hop", pa.int32()), ("node", pa.string()), ("source", pa.string()), ("sanitizer", pa.string())])
+_MADE_OF = pa.schema(
+    [
+        ("fn", pa.string()), ("path", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("site", pa.int32()), ("pos", pa.int32()), ("text", pa.string()),
+        ("steps", pa.list_(_STEP)), ("origins", pa.list_(pa.string())),
+    ]
+)
+_MADE_OF_KIND = "fn string, path string, name string, line int, site int, pos int, text string, steps array<struct<hop: int, node: string, source: string, sanitizer: string>>, origins array<string>"
+#: Rows, and steps of them, that a task holds at once.
+_ROWS_AT_ONCE, _STEPS_AT_ONCE = 4096, 1 << 16
+
+
+def steps_of(root: str, edges: dict[str, list[str]]) -> dict[str, int]:
+    """All that a name is made of, with the least number of steps."""
+    hops, level = {root: 0}, [root]
+    while level:
+        nearer, level = level, []
+        for node in nearer:
+            for dep in edges.get(node, ()):
+                if dep not in hops:
+                    hops[dep] = hops[node] + 1
+                    level.append(dep)
+    return hops
+
+
+def uses_of(params: list[str], assigns: list[tuple], uses: list[tuple]) -> Iterator[tuple]:
+    """(site, pos, text, steps, origins) of one function's uses, in the order of _MADE_OF; those of a callee's argument are one. Its assignments
+    are name, names, source, sanitizer, calls, and its uses site (-1 in an argument), pos, name, text.
+    """
+    given, every, last, newest, sources = set(params), {}, {}, {}, set()
+    for name, names, source, sanitizer, calls in assigns:
+        deps = []
+        for n in names:
+            if n in last:
+                deps.append(n)
+            elif n in given:
+                deps.append(f"@{n}")
+            elif n == name:
+                deps.append(n)
+        last[name] = deps
+        every.setdefault(name, {}).update(dict.fromkeys(deps))
+        newest[name] = (source, sanitizer) if calls else (None, None)
+        if source is not None:
+            sources.add(name)
+    known: dict[tuple, list] = {}
+    handed: dict[tuple, dict] = {}
+    for site, pos, name, text in uses:
+        if name not in last and name not in given:
+            continue
+        root, sink = name if name in last else f"@{name}", site >= 0
+        if (root, sink) not in known:
+            hops = steps_of(root, last if sink else every)
+            if sink:
+                known[root, sink] = sorted((hop, node, *newest.get(node, (None, None))) for node, hop in hops.items())
+            else:
+                known[root, sink] = [node[1:] if node[0] == "@" else None for node in hops if node[0] == "@" or node in sources]
+        if sink:
+            yield site, pos, text, known[root, sink], ()
+        else:
+            handed.setdefault((text, pos), {}).update(dict.fromkeys(known[root, sink]))
+    for (callee, pos), origins in handed.items():
+        if origins:
+            yield None, pos, callee, (), tuple(origins)
+
+
+def _plain(column: pa.Array) -> list:
+    """The values of an array, those of a struct as tuples, of a list as lists: field by field, so that no value is looked up by its place and name."""
+    if pa.types.is_struct(column.type):
+        return list(zip(*map(_plain, column.flatten())))
+    if pa.types.is_list(column.type):
+        inner, ends = _plain(column.flatten()), list(accumulate((n or 0 for n in column.value_lengths().to_pylist()), initial=0))
+        return [inner[i:j] for i, j in zip(ends, ends[1:])]
+    return column.to_pylist() if column.null_count and pa.types.is_primitive(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _made_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, n = [], 0
+    for batch in batches:
+        for fn, path, name, line, params, assigns, uses in zip(*map(_plain, batch.columns)):
+            for row in uses_of(params, assigns, uses):
+                rows.append((fn, path, name, line, *row))
+                n += len(row[3])
+                if len(rows) >= _ROWS_AT_ONCE or n >= _STEPS_AT_ONCE:
+                    yield record_batch(rows, _MADE_OF)
+                    rows, n = [], 0
+    yield record_batch(rows, _MADE_OF)
+
+
 class Flow:
     """The tables of some functions; each is staged when it is first needed."""
 
@@ -120,13 +213,6 @@ class Flow:
     def n_assigns(self) -> int:
         return self.functions.agg(F.sum(F.size("assigns"))).first()[0] or 0
 
-    @property
-    def nodes(self) -> DataFrame:
-        """(fn, name, node): what a name means in a call: an assigned variable, or else a parameter."""
-        assigned = self.assigns.select("fn", "name").distinct().withColumn("node", F.col("name"))
-        given = self.functions.select("fn", F.explode("params").alias("name")).distinct()
-        return self._staged("nodes", lambda: assigned.unionByName(given.join(assigned, ["fn", "name"], "left_anti").withColumn("node", F.concat(F.lit("@"), "name"))))
-
     @property
     def sites(self) -> DataFrame:
         """fn, site, expr, line, source, sink (the marks in the call's text, or null)."""
@@ -134,67 +220,44 @@ class Flow:
         return each.withColumns({"source": mark(F.col("expr"), TAINT_SOURCES, self.match), "sink": mark(F.col("expr"), TAINT_SINKS, self.match)})
 
     @property
-    def _uses(self) -> DataFrame:
-        """(fn, graph, site, pos, name, node, expr, callee): names in sinks, and names in arguments of calls of functions that are here.
+    def made_of(self) -> DataFrame:
+        """fn, path, name, line, site, pos, text, steps, origins: names in sinks, with what their values are made of, and arguments of calls (site is
+        null), with the parameters and the source (null) that theirs are made of; `text` is the sink's or the callee's name.
 
-        A sink sees the last assignment of a variable, an argument each of them.
+        A sink sees the last assignment of a variable, an argument each of them. A function is a row already and needs nothing of others, so
+        nothing is shuffled.
         """
-        names = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), 0))
-        sites = self.sites
-        sinks = sites.where("sink is not null").select("fn", F.lit("last").alias("graph"), "site", "expr", F.lit(None).cast("string").alias("callee"), F.posexplode(names(F.col("expr"))).alias("pos", "name"))
-        callee = F.trim(F.substring_index(F.substring_index("expr", "(", 1), ".", -1))
-        inner = F.regexp_replace(F.regexp_replace("expr", r"^[^(]*\(", ""), r"\)\s*$", "")
-        calls = sites.where(F.col("expr").contains("(")).select("fn", "site", "expr", callee.alias("callee"), F.posexplode(F.split(inner, COMMA)).alias("pos", "arg"))
-        known = self.functions.select(F.col("name").alias("callee")).distinct()
-        handed = calls.join(known, "callee", "left_semi").select("fn", F.lit("all").alias("graph"), "site", "expr", "callee", "pos", F.explode(names(F.col("arg"))).alias("name"))
-        return self._staged("uses", lambda: sinks.unionByName(handed).join(self.nodes, ["fn", "name"]))
-
-    @property
-    def origins(self) -> DataFrame:
-        """(fn, graph, root, node, hop): what the value of each name that is used is made of."""
-        space = lambda graph: F.concat("fn", F.lit("|"), graph)
-        du = self.def_use
-        edges = du.select(space(F.lit("all")).alias("space"), F.col("name").alias("src"), F.col("dep").alias("dst"))
-        edges = edges.unionByName(du.where("is_last").select(space(F.lit("last")).alias("space"), F.col("name").alias("src"), F.col("dep").alias("dst")))
+        names = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)))
+        sinks = F.filter(F.transform("call_sites", lambda c, i: F.struct(i.alias("site"), c["expr"].alias("expr"))), lambda c: mark(c["expr"], TAINT_SINKS, self.match).isNotNull())
+        in_sinks = F.flatten(F.transform(sinks, lambda c: F.transform(names(c["expr"]), lambda n, pos: F.struct(c["site"].alias("site"), pos.alias("pos"), n.alias("name"), c["expr"].alias("text")))))
+        calls = F.filter(F.transform("call_sites", lambda c: c["expr"]), lambda e: e.contains("("))
+        inner = lambda e: F.regexp_replace(F.regexp_replace(e, r"^[^(]*\(", ""), r"\)\s*$", "")
+        callee = lambda e: F.trim(F.substring_index(F.substring_index(e, "(", 1), ".", -1))
+        in_arguments = F.flatten(F.transform(calls, lambda e: F.flatten(F.transform(F.split(inner(e), COMMA), lambda arg, pos: F.transform(names(arg), lambda n: F.struct(F.lit(-1).alias("site"), pos.alias("pos"), n.alias("name"), callee(e).alias("text")))))))
+        marked = F.transform("assigns", lambda a: F.struct(a["name"].alias("name"), a["names"].alias("names"), mark(a["expr"], TAINT_SOURCES, self.match).alias("source"), mark(a["expr"], SANITIZERS, self.match).alias("sanitizer"), a["expr"].contains("(").alias("calls")))
 
         def make() -> DataFrame:
-            found = reach(self._uses.select(space(F.col("graph")).alias("space"), F.col("node").alias("root")), edges)
-            return found.select(F.regexp_replace("space", r"\|(all|last)$", "").alias("fn"), F.substring_index("space", "|", -1).alias("graph"), "root", "node", "hop")
+            ship(self.functions.sparkSession)
+            asked = self.functions.select("fn", "path", "name", "line", "params", marked.alias("assigns"), F.concat(in_sinks, in_arguments).alias("uses"))
+            return asked.where(F.size("uses") > 0).mapInArrow(_made_of, _MADE_OF_KIND)
 
-        return self._staged("origins", make)
-
-    @property
-    def _facts(self) -> DataFrame:
-        """(fn, name, graph, source, sanitizer) of assigned names: by their last assignment, if it calls something, or by any."""
-        marks = self.assigns.select("fn", "seq", "name", mark(F.col("expr"), TAINT_SOURCES, self.match).alias("source"), mark(F.col("expr"), SANITIZERS, self.match).alias("sanitizer"), F.col("expr").contains("(").alias("calls"))
-        newest = marks.groupBy("fn", "name").agg(F.max_by(F.struct("source", "sanitizer", "calls"), "seq").alias("m"))
-        only = lambda c: F.when(F.col("m.calls"), F.col(f"m.{c}")).alias(c)
-        last = newest.select("fn", "name", F.lit("last").alias("graph"), only("source"), only("sanitizer"))
-        any_of = marks.groupBy("fn", "name").agg(F.min("source").alias("source")).select("fn", "name", F.lit("all").alias("graph"), "source", F.lit(None).cast("string").alias("sanitizer"))
-        return last.unionByName(any_of)
+        return self._staged("made_of", make)
 
     @property
     def sink_uses(self) -> DataFrame:
-        """fn, site, pos, expr, chain (names by steps, then the sink), tainted (by a source of its own), sanitizer, given (parameters in it)."""
-        marks = self.origins.where("graph = 'last'").join(self._facts.where("graph = 'last'").drop("graph").withColumnRenamed("name", "node"), ["fn", "node"], "left")
-        of_root = marks.groupBy("fn", "root").agg(
-            F.array_sort(F.collect_list(F.struct("hop", "node"))).alias("steps"),
-            F.bool_or(F.col("source").isNotNull()).alias("tainted"),
-            F.min(F.when(F.col("sanitizer").isNotNull(), F.struct("hop", "node", "sanitizer"))).alias("clean"),
-            F.collect_set(F.when(F.col("node").startswith("@"), F.expr("substring(node, 2)"))).alias("given"),
-        )
+        """fn, path, name, line, site, pos, expr, chain (names by steps, then the sink), tainted (by a source of its own), sanitizer, given (parameters in it)."""
         named = F.transform("steps", lambda s: F.ltrim(s["node"], F.lit("@")))
-        used = self._uses.where("graph = 'last'").select("fn", "site", "pos", "expr", F.col("node").alias("root"))
-        return self._staged("sink_uses", lambda: used.join(of_root, ["fn", "root"]).select("fn", "site", "pos", "expr", F.concat(named, F.array("expr")).alias("chain"), "tainted", F.col("clean.sanitizer").alias("sanitizer"), "given"))
+        clean = F.get(F.filter("steps", lambda s: s["sanitizer"].isNotNull()), F.lit(0))["sanitizer"]
+        given = F.transform(F.filter("steps", lambda s: s["node"].startswith("@")), lambda s: F.substring(s["node"], 2, 1 << 30))
+        return self.made_of.where("site is not null").select(
+            "fn", "path", "name", "line", "site", "pos", F.col("text").alias("expr"), F.concat(named, F.array("text")).alias("chain"), F.exists("steps", lambda s: s["source"].isNotNull()).alias("tainted"),
+            clean.alias("sanitizer"), given.alias("given"),
+        )
 
     @property
     def passes(self) -> DataFrame:
-        """(fn, callee, pos, origin): calls whose argument at a position is made of a parameter (its name) or of a source (null)."""
-        marks = self.origins.where("graph = 'all'").join(self._facts.where("graph = 'all'").select("fn", F.col("name").alias("node"), "source"), ["fn", "node"], "left")
-        origin = F.when(F.col("node").startswith("@"), F.expr("substring(node, 2)"))
-        from_what = marks.where(F.col("node").startswith("@") | F.col("source").isNotNull()).select("fn", "root", origin.alias("origin")).distinct()
-        used = self._uses.where("graph = 'all'").select("fn", "callee", "pos", F.col("node").alias("root"))
-        return self._staged("passes", lambda: used.join(from_what, ["fn", "root"]).select("fn", "callee", "pos", "origin").distinct())
+        """(fn, name, callee, pos, origin): calls whose argument at a position is made of a parameter (its name) or of a source (null)."""
+        return self.made_of.where("site is null").select("fn", "name", F.col("text").alias("callee"), "pos", F.explode("origins").alias("origin"))
 
     def tainted_parameters(self, depth: int | None = None, start: DataFrame | None = None) -> DataFrame:
         """(fn, param, hop, way): parameters that get something from outside, after how many calls, and the functions' names on the way.
@@ -202,11 +265,10 @@ class Flow:
         A semi-naive fixpoint: a level joins only the facts of the level before with the calls that hand them on. `start` (fn) are the
         functions whose sources count, all by default; `depth` bounds the calls. Of several ways the first of the shortest stays.
         """
-        names = self.functions.select("fn", "name")
         targets = self.functions.select(F.col("fn").alias("to"), F.col("name").alias("callee"), F.posexplode("params").alias("pos", "param"))
         # a call hands a value to each function of the name
-        edges = stage(self.passes.join(targets, ["callee", "pos"]).select("fn", "origin", "to", "param", "callee"))
-        begun = edges.where("origin is null").join(names, "fn")
+        edges = stage(self.passes.join(targets, ["callee", "pos"]).select("fn", "name", "origin", "to", "param", "callee"))
+        begun = edges.where("origin is null")
         if start is not None:
             begun = begun.join(start.select("fn"), "fn", "left_semi")
         best = lambda df: df.groupBy("fn", "param").agg(F.min("way").alias("way"))
@@ -224,8 +286,7 @@ class Flow:
 
     def taint_paths(self) -> DataFrame:
         """path, name, verdict, chain, sanitizer, risk, line of each way from a source to a sink within a function."""
-        about = self.functions.select("fn", "path", "name", "line")
-        return _judged(self.sink_uses.where("tainted")).join(about, "fn").select("path", "name", "line", "site", "pos", "verdict", "chain", "sanitizer", "risk")
+        return _judged(self.sink_uses.where("tainted")).select("path", "name", "line", "site", "pos", "verdict", "chain", "sanitizer", "risk")
 
     def cross_taint_paths(self, facts: DataFrame, start: DataFrame | None = None) -> DataFrame:
         """The same over calls, by tainted_parameters(): hop (calls from the source's function) and functions (their names), the
@@ -234,12 +295,13 @@ class Flow:
         own = self.sink_uses.where("tainted")
         if start is not None:
             own = own.join(start.select("fn"), "fn", "left_semi")
-        about = self.functions.select("fn", "path", "name", "line")
-        own = own.join(about.select("fn", "name"), "fn").select("fn", "site", "pos", "expr", "chain", "sanitizer", F.lit(0).alias("hop"), F.array("name").alias("way"))
-        held = self.sink_uses.withColumn("param", F.explode("given")).join(facts, ["fn", "param"])
-        both = own.unionByName(held.select("fn", "site", "pos", "expr", "chain", "sanitizer", "hop", "way"))
-        first = both.groupBy("fn", "site", "pos").agg(F.min_by(F.struct("expr", "chain", "sanitizer", "hop", "way"), F.struct("hop", "way")).alias("r")).select("fn", "site", "pos", "r.*")
-        return _judged(first).join(about, "fn").select("path", "name", "line", "site", "pos", "verdict", "chain", "sanitizer", "risk", "hop", F.col("way").alias("functions"))
+        told = ("fn", "path", "name", "line", "site", "pos", "expr", "chain", "sanitizer", "hop", "way")
+        own = own.withColumns({"hop": F.lit(0), "way": F.array("name")}).select(*told)
+        held = self.sink_uses.where(F.size("given") > 0).withColumn("param", F.explode("given")).join(facts, ["fn", "param"]).select(*told)
+        both = own.unionByName(held)
+        rest = F.struct(*told[1:4], *told[6:])
+        first = both.groupBy("fn", "site", "pos").agg(F.min_by(rest, F.struct("hop", "way")).alias("r")).select("site", "pos", "r.*")
+        return _judged(first).select("path", "name", "line", "site", "pos", "verdict", "chain", "sanitizer", "risk", "hop", F.col("way").alias("functions"))
 
     def variables(self) -> DataFrame:
         """path, name, variable, at_line, seq, depends_on (sorted), expr: each assignment."""

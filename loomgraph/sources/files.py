@@ -7,6 +7,7 @@ a file system that driver and executors share.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import stat
@@ -214,15 +215,27 @@ def _column(values: Sequence, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, _column(inner, kind.value_type), kind)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [()] * len(_PARSED)
-    return pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(columns, _PARSED)], schema=_PARSED)
+def record_batch(rows: list[tuple], schema: pa.Schema = _PARSED) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """A batch for each FILES_PER_TASK files, so a task holds no more of what its files say, however many it has."""
-    while held := list(islice(rows, FILES_PER_TASK)):
-        yield _batch(held)
+    """A batch for each FILES_PER_TASK files, so a task holds no more of what its files say, however many it has.
+
+    What a file says is made of lists and tuples that point at nothing above them, so cycles are not looked for until a batch is made.
+    """
+    while True:
+        gc.disable()
+        try:
+            held = list(islice(rows, FILES_PER_TASK))
+            batch = record_batch(held) if held else None
+        finally:
+            gc.enable()
+        if batch is None:
+            return
+        del held
+        yield batch
 
 
 def _lexed() -> frozenset[str]:

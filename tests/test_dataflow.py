@@ -198,3 +198,35 @@ def test_methods_get_their_arguments_without_self(spark):
     got = values(flow.cross_taint_paths(flow.tainted_parameters(1)), "name", "functions", "verdict")
     assert got == [("store", ["handle", "store"], "UNSAFE")]
     assert values(flow.cross_taint_paths(flow.tainted_parameters(0))) == []
+
+
+def test_what_uses_are_made_of_is_neither_shuffled_nor_staged_by_rounds(spark, monkeypatch):
+    """However long the chain of assignments: functions and uses are staged, the edges of calls, and each level of callers."""
+    rounds = []
+    stage = dataflow.stage
+    monkeypatch.setattr(dataflow, "stage", lambda df: rounds.append(df) or stage(df))
+    chain = [("v0", "input()"), *((f"v{i}", f"v{i - 1}") for i in range(1, 40))]
+    symbols = [symbol("a.py", "a", [], chain, ["b(1, v39)"]), symbol("b.py", "b", ["p", "q"], [("x", "q")], ["db.execute(x)", "log(p)"])]
+    flow = dataflow.Flow(spark.createDataFrame(symbols, SYMBOL))
+    assert values(flow.cross_taint_paths(flow.tainted_parameters(None)), "name", "functions", "chain") == [("b", ["a", "b"], ["x", "q", "db.execute(x)"])]
+    assert len(rounds) == 5 and "Exchange" not in flow.made_of._jdf.queryExecution().executedPlan().toString()
+
+
+def test_uses_of_many_names_come_in_batches():
+    """A task holds so many steps at once, whatever the function."""
+    import pyarrow as pa
+
+    n = 600
+    assigns = [(f"v{i}", [f"v{i - 1}"] if i else [], "input" if not i else None, None, not i) for i in range(n)]
+    uses = [(0, i, f"v{i}", "f()") for i in range(n)]
+    kinds = [pa.string()] * 3 + [pa.int32(), pa.list_(pa.string())]
+    struct = lambda fields: pa.list_(pa.struct(fields))
+    kinds += [struct([("name", pa.string()), ("names", pa.list_(pa.string())), ("source", pa.string()), ("sanitizer", pa.string()), ("calls", pa.bool_())])]
+    kinds += [struct([("site", pa.int32()), ("pos", pa.int32()), ("name", pa.string()), ("text", pa.string())])]
+    from loomgraph.sources.files import _column
+
+    batch = pa.RecordBatch.from_arrays([_column([v], k) for v, k in zip(("f", "p", "n", 1, [], assigns, uses), kinds)], names=list("abcdefg"))
+    made = list(dataflow._made_of(iter([batch])))
+    assert sum(b.num_rows for b in made) == n and max(len(b.column("steps").flatten()) for b in made) < dataflow._STEPS_AT_ONCE + n
+    last = made[-1].slice(made[-1].num_rows - 1).to_pylist()[0]
+    assert [s["node"] for s in last["steps"]] == [f"v{i}" for i in reversed(range(n))] and last["steps"][-1]["source"] == "input"
