@@ -54,3 +54,17 @@ def test_a_task_holds_few_files(monkeypatch):
     assert next(out).num_rows == len(seen) == files.FILES_PER_TASK
     rest = list(out)
     assert sum(b.num_rows for b in rest) + files.FILES_PER_TASK == n and rest[-1].column("path").to_pylist() == [f"{n - 1}.py"]
+
+
+def test_ruby_is_cut_into_tokens_once(monkeypatch):
+    """However many methods a file has; their shapes are those of their own texts."""
+    from loomgraph.parse import lexer, ruby_source
+    from loomgraph.sources.files import parsed_row
+
+    source, cut = "".join(f"# {i}\ndef m{i}(a)\n  x = a + {i}\n  m{i + 1}(x)\nend\n" for i in range(20)), []
+    real = lexer.tokens
+    for module in (lexer, ruby_source):
+        monkeypatch.setattr(module, "tokens", lambda text, language: cut.append(len(text)) or real(text, language))
+    symbols = parsed_row("m.rb", source.encode(), None)[8]
+    assert cut == [len(source)] and len(symbols) == 20
+    assert {s[8] for s in symbols} == {lexer.normalised(symbols[0][7], "ruby")}
