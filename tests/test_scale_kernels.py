@@ -303,3 +303,36 @@ def test_edges_are_not_written_pair_by_pair(spark, monkeypatch):
     assert sorted(values(e.degrees())) == sorted(values(graph.degrees(e.edges)))
     assert values(e.get_change_impact("f").groupBy("hop", "is_test").count().orderBy("hop")) == [(0, True, 60), (1, False, 60)]
     assert max(rows) <= 600
+
+
+@pytest.mark.parametrize("sent", [1 << 20, -1])
+def test_resolved_pairs_are_made_from_blocks_of_targets(spark, monkeypatch, sent):
+    """Calls are made once, rows come from arrays of targets, broadcast or not, and null callers, names and keys are what SQL has for them."""
+    import duckdb
+
+    monkeypatch.setattr(graph, "BLOCK", 3, raising=False)
+    monkeypatch.setattr(graph, "SENT", sent, raising=False)
+    calls = [(c, n, k) for c in (None, 1, 2, 3) for n, k in (("f", "k"), ("f", "k"), ("f", "x"), ("g", "x"), ("g", None), ("h", "k"), (None, "k"))] + [(4, "f", "z"), (4, "f", "y"), (5, "f", "k"), (5, "f", "y")]
+    symbols = [("f", i, "k" if i < 8 else "y") for i in range(20)] + [("g", 20 + i, None if i % 2 else "y") for i in range(9)] + [("h", None, "k"), (None, 40, "k")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kind = "caller long, name string, key string"
+    found = graph.resolve_callees_by(spark.createDataFrame(calls, kind).mapInArrow(counted, kind), spark.createDataFrame(symbols, "name string, id long, key string"), "key")
+    got = sorted(values(found), key=str)
+    assert seen.value == len(calls)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE calls (caller BIGINT, name VARCHAR, key VARCHAR); CREATE TABLE symbols (name VARCHAR, id BIGINT, key VARCHAR)")
+    con.executemany("INSERT INTO calls VALUES (?, ?, ?)", calls)
+    con.executemany("INSERT INTO symbols VALUES (?, ?, ?)", symbols)
+    want = con.sql(
+        """WITH pairs AS (SELECT caller, c.name, id, CASE WHEN id IS NOT NULL AND c.key = s.key THEN 1.0 ELSE 0.5 END::DOUBLE AS weight FROM calls c LEFT JOIN symbols s ON s.name = c.name
+        ), best AS (SELECT *, max(weight) OVER (PARTITION BY caller, name) AS best FROM pairs)
+        SELECT caller, coalesce(id::VARCHAR, '?::' || name) AS target, max(weight) AS weight FROM best WHERE weight = best GROUP BY ALL"""
+    ).fetchall()
+    assert got == sorted(want, key=str) and {w for _, _, w in got} == {0.5, 1.0}
+    assert "Generate" in found._jdf.queryExecution().optimizedPlan().toString()
