@@ -13,7 +13,7 @@ from .functions.lists import ALWAYS_USED
 from .operators import build, dataflow, graph, history, names, spans, store, text
 from .sources import files as source_files
 from .sources import gitlog
-from .staging import stage
+from .staging import sent, stage
 
 
 #: Parts of the table of edges by the file that an edge begins in, and changes after which all parts are written together.
@@ -58,7 +58,7 @@ class Engine:
         self._versions = store.Versions(spark, store_dir) if store_dir else None
         self._version = self._versions.last() if self._versions else 0
         self._meta: dict[str, str] = {}
-        self._flows, self._edge_tables, self._indexed = {}, [], False
+        self._flows, self._edge_tables, self._indexed, self._once = {}, [], False, True
         if self._version:
             self.parsed = self._versions.read("parsed", self._version)
             self.refresh()
@@ -71,7 +71,9 @@ class Engine:
         engine = cls.__new__(cls)
         engine.spark, engine.root, engine._versions, engine._version, engine._meta = texts.sparkSession, None, None, 0, {}
         engine._indexed = False
-        engine._publish(stage(source_files.parse(texts)))
+        parsed = stage(source_files.parse(texts))
+        engine._once = parsed.groupBy("path").count().where("count > 1").isEmpty()
+        engine._publish(parsed)
         return engine
 
     def _publish(self, parsed: DataFrame, touched: DataFrame | None = None) -> None:
@@ -132,13 +134,12 @@ class Engine:
         Files whose content has changed and whose time has not are seen only if `full`, which reads all and goes by their hashes.
         """
         now = stage(source_files.listed(self.spark, self.root))
-        same = now.join(self.parsed.select("path", "mtime"), ["path", "mtime"], "left_semi")
-        if full:
-            same = same.limit(0)
-        touched = stage(now.join(same, "path", "left_anti"))
+        known = self.parsed.select("path", "mtime")
+        touched = now if full else stage(now.join(known, ["path", "mtime"], "left_anti"))
         fresh = stage(source_files.read(self.spark, self.root, touched))
         keys = lambda df: df.select(F.col("path").alias("key"), F.col("sha256").alias("hash"))
-        kept = self.parsed.join(same.select("path"), "path", "left_semi")
+        # the paths meet in narrow tables; rows with all that a file says are not shuffled
+        kept = self.parsed.limit(0) if full else self.parsed.join(sent(stage(known.join(now, ["path", "mtime"], "left_anti").select("path"))), "path", "left_anti")
         status = store.snapshot_diff(keys(self.parsed), keys(kept).unionByName(keys(fresh)))
         counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
         changed = {s: counts.get(s, 0) for s in ("added", "changed", "deleted", "same")}
@@ -155,7 +156,7 @@ class Engine:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return stage(source_files.symbols(self.parsed))
+        return stage(source_files.symbols(self.parsed, self._once))
 
     @cached_property
     def occurrences(self) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, store
+from ..staging import sent
+from . import graph
 
 #: What an import statement's words are made of, besides names.
 WORDS_APART = r"[\s\"'<>;{}()]+"
@@ -31,13 +32,13 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def latest_symbols(symbols: DataFrame) -> DataFrame:
-    """One row per qualified name, the lowest in the file."""
-    return store.newest(symbols, ["id"], ["line", "ordinal"])
+    """One row per qualified name, the lowest in the file: which these are is said where a file's symbols are listed, so nothing is shuffled."""
+    return symbols.where("is_last")
 
 
 def calls_of(symbols: DataFrame) -> DataFrame:
-    """(caller, path, name) of functions and methods."""
-    return symbols.where(F.col("kind").isin("function", "method")).select(F.col("id").alias("caller"), "path", F.explode("calls").alias("name"))
+    """(caller, path, name) of functions and methods, once for each caller."""
+    return symbols.where(F.col("kind").isin("function", "method")).select(F.col("id").alias("caller"), "path", F.explode(F.array_distinct("calls")).alias("name"))
 
 
 def name_links(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,10 +73,10 @@ def links(symbols: DataFrame, imports: DataFrame, files: DataFrame, only: DataFr
     """
     typed = lambda df, kind, weight=1.0: df.select("src", "dst", "name", F.lit(kind).alias("type"), F.lit(weight).alias("weight"))
     exact = lambda df, kind: typed(df.withColumn("name", F.lit(None).cast("string")), kind)
-    named = lambda df, kind, weight: typed(df.withColumn("dst", F.lit(None).cast("string")), kind, weight)
     if only is None:
         known = own = latest_symbols(symbols)
     else:
+        only = sent(only)
         own = latest_symbols(symbols.join(only, "path", "left_semi"))
         names = calls_of(own).select("name").distinct()
         known = latest_symbols(symbols.join(names, "name", "left_semi"))
@@ -83,10 +84,11 @@ def links(symbols: DataFrame, imports: DataFrame, files: DataFrame, only: DataFr
     contains = graph.contains_edges([own.where("parent is not null").select(F.col("parent_id").alias("parent"), F.col("id").alias("child"))]).toDF("src", "dst")
     linked = import_edges(imports, files)
     of_files = linked.select(F.concat("src", F.lit("::__file__")).alias("src"), F.concat("dst", F.lit("::__file__")).alias("dst"))
-    sure, loose = graph.resolve_links(calls_of(own), known.select("name", "id", "path"), "path", linked.toDF("path", "other"))
-    out = exact(sure.select(F.col("caller").alias("src"), F.col("id").alias("dst")), "CALLS").unionByName(named(loose.select(F.col("caller").alias("src"), "name"), "CALLS", 0.5))
+    called = graph.resolve_links(calls_of(own), known.select("name", "id", "path"), "path", linked.toDF("path", "other"))
+    loose = F.col("id").isNull()
+    out = called.select(F.col("caller").alias("src"), F.col("id").alias("dst"), F.when(loose, F.col("name")).alias("name"), F.lit("CALLS").alias("type"), F.when(loose, 0.5).otherwise(1.0).alias("weight"))
     out = out.unionByName(exact(contains, "CONTAINS")).unionByName(exact(of_files, "IMPORTS"))
-    return out.unionByName(named(tested_names(own).select("src", "name").distinct(), "TESTS", 1.0))
+    return out.unionByName(typed(tested_names(own).select("src", F.lit(None).cast("string").alias("dst"), "name"), "TESTS"))
 
 
 def ends(symbols: DataFrame, links: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def concerned(was: DataFrame, now: DataFrame, touched: DataFrame, imports: DataF
     These are the touched files; those that call, or test, a name whose set of symbols has changed; and those whose imports name
     a file that has come or gone. Large tables are only filtered by small ones.
     """
-    columns = ("name", "id", "path", "is_test")
+    touched, columns = sent(touched), ("name", "id", "path", "is_test")
     before, after = (latest_symbols(s.join(touched, "path", "left_semi")).select(*columns) for s in (was, now))
     names = before.exceptAll(after).unionByName(after.exceptAll(before)).select("name").distinct()
     callers = calls_of(now).join(names, "name", "left_semi").select("path")

@@ -166,16 +166,17 @@ def _confirmed(asked: DataFrame, known: DataFrame, key: str, linked: DataFrame |
     sure = asked.join(known, ["name", key])
     if linked is not None:
         near = asked.join(linked.select(F.col(linked.columns[0]).alias(key), F.col(linked.columns[1]).alias("_other")), key)
-        sure = sure.unionByName(near.join(known.withColumnRenamed(key, "_other"), ["name", "_other"]).select("name", key, "id")).distinct()
+        sure = sure.unionByName(near.join(known.withColumnRenamed(key, "_other"), ["name", "_other"]).select("name", key, "id"))
+        sure = sure.repartition("name", key).distinct()  # as joins by name and key need it
     return sure
 
 
-def resolve_links(calls: DataFrame, symbols: DataFrame, key: str, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """What resolve_callees_by() makes rows of: (caller, name, id) that are confirmed, and (caller, name) that mean all symbols of the name."""
-    calls, known = calls.select("caller", "name", key).distinct(), symbols.where(F.col("id").isNotNull()).select("name", "id", key).distinct()
-    sure = _confirmed(calls.select("name", key).distinct(), known, key, linked)
-    confirmed = calls.join(sure.select("name", key).distinct(), ["name", key], "left_semi").select("caller", "name")
-    return calls.join(sure, ["name", key]).select("caller", "name", "id"), calls.select("caller", "name").distinct().join(confirmed, ["caller", "name"], "left_anti")
+def resolve_links(calls: DataFrame, symbols: DataFrame, key: str, linked: DataFrame | None = None) -> DataFrame:
+    """(caller, name, id): what resolve_callees_by() confirms, and a null id where a caller's name means all symbols of the name. Calls are
+    distinct, with one key a caller, and so are symbols; so one join by name and key decides both.
+    """
+    sure = _confirmed(calls.select("name", key).distinct(), symbols.select("name", "id", key), key, linked)
+    return calls.join(sure, ["name", key], "left").select("caller", "name", "id")
 
 
 #: Targets in a row of blocks(), bytes of them that are broadcast, and tasks a core that make rows of them.

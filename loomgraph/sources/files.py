@@ -16,7 +16,7 @@ from datetime import datetime, timezone
 from itertools import accumulate, chain, islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lists import LANGUAGES, SKIPPED_FOLDERS, TEST_FOLDERS
@@ -245,7 +245,7 @@ def _lexed() -> frozenset[str]:
 
 
 def read(spark: SparkSession, root: str, paths: DataFrame | None = None) -> DataFrame:
-    """A row per source file under root with everything parsed; `paths` (path, mtime) in place of a listing.
+    """A row per source file under root with everything parsed; `paths` (path, mtime), staged, in place of a listing.
 
     A file that has gone since the listing is left out; one that can't be read fails the job.
     """
@@ -253,7 +253,8 @@ def read(spark: SparkSession, root: str, paths: DataFrame | None = None) -> Data
     added = added_languages()
     if paths is None:
         paths = stage(listed(spark, root))
-        paths = paths.repartition(max(1, -(-paths.count() // FILES_PER_TASK)), "path")
+    # a staged list has few small files, which Spark would put into one task
+    paths = paths.repartition(max(1, -(-paths.count() // FILES_PER_TASK)), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know_languages(added)
@@ -296,13 +297,22 @@ def files(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", "language", "sha256", "mtime", "is_test", "has_errors", "n_lines", F.size("symbols").alias("n_symbols"))
 
 
-def symbols(parsed: DataFrame) -> DataFrame:
-    """A row per symbol; `ordinal` is its place in the file, `id` its qualified name."""
-    each = parsed.select("path", "language", F.col("is_test").alias("in_test"), F.posexplode("symbols").alias("ordinal", "s"))
-    flat = each.select("path", "language", "in_test", "ordinal", "s.*")
+def _repeated(symbols: str) -> Column:
+    """The places of a file's symbols that have another of their name and parent further down."""
+    named = F.array_sort(F.transform(symbols, lambda s, i: F.struct(F.concat(F.coalesce(F.concat(s["parent"], F.lit(".")), F.lit("")), s["name"]).alias("key"), s["line"].alias("line"), i.alias("at"))))
+    return F.filter(F.zip_with(named, F.slice(named, 2, F.size(symbols)), lambda a, b: F.when(a["key"] == b["key"], a["at"])), lambda at: at.isNotNull())
+
+
+def symbols(parsed: DataFrame, once: bool = True) -> DataFrame:
+    """A row per symbol; `ordinal` is its place in the file, `id` its qualified name, and `is_last` whether no further one in the file has
+    that. Not `once`: paths may repeat.
+    """
+    marked = parsed.withColumn("_repeated", _repeated("symbols"))
+    each = marked.select("path", "language", F.col("is_test").alias("in_test"), "_repeated", F.posexplode("symbols").alias("ordinal", "s"))
+    flat = each.select("path", "language", "in_test", "ordinal", "s.*", (~F.array_contains("_repeated", F.col("ordinal"))).alias("is_last"))
     test = F.col("in_test") | F.col("name").startswith("test_") | F.col("name").startswith("Test")
     complexity = F.when(F.col("kind").isin("function", "method"), 1 + F.aggregate(F.map_values("breakdown"), F.lit(0), lambda a, x: a + x))
-    return flat.withColumns(
+    out = flat.withColumns(
         {
             "id": qualified(F.col("path"), F.col("parent"), F.col("name")),
             "parent_id": F.concat("path", F.lit("::"), "parent"),
@@ -312,6 +322,10 @@ def symbols(parsed: DataFrame) -> DataFrame:
             "line_count": F.col("end_line") - F.col("line") + 1,
         }
     ).drop("in_test")
+    if once:
+        return out
+    lowest = Window.partitionBy("id").orderBy(F.col("line").desc(), F.col("ordinal").desc())
+    return out.withColumn("is_last", F.row_number().over(lowest) == 1)
 
 
 def occurrences(parsed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: By application, the temporary folder of a local session that names no shared one.
@@ -68,6 +69,16 @@ def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys) if parts > few else df
 
 
+#: Bytes of a staged table of texts that is broadcast whatever Spark thinks of its files.
+SENT = 64 << 20
+
+
+def sent(texts: DataFrame) -> DataFrame:
+    """A staged table of short texts, to be broadcast if its rows take no more than SENT: what meets it is then not shuffled."""
+    size = texts.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts.columns), F.lit(64).cast("long")))).first()[0] or 0
+    return F.broadcast(texts) if size <= SENT else texts
+
+
 #: By application, the folders that each open scratch() has seen staged.
 _SCRATCH: dict[str, list[list[str]]] = {}
 

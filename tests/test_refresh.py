@@ -5,7 +5,9 @@ import random
 from conftest import values
 
 from loomgraph import engine as engine_module
+from loomgraph import staging
 from loomgraph.engine import Engine
+from loomgraph.operators import build, store
 from loomgraph.sources import files as source_files
 
 
@@ -73,3 +75,52 @@ def test_tasks_list_the_files_of_a_folder_in_batches(spark, tmp_path, monkeypatc
     monkeypatch.undo()
     assert sorted(map(tuple, found.select("path").collect())) == sorted((p,) for p, _ in source_files.listing(str(tmp_path)))
     assert found.count() == 26
+
+
+def test_a_refresh_does_not_shuffle_what_files_say(spark, repo, tmp_path, monkeypatch):
+    """Whatever Spark takes for small: the paths of what has changed are sent to the parsed rows and to the symbols, not these dealt anew."""
+    root = repo({f"a{i}.py": f"def g{i}():\n    h{i}()\n\ndef h{i}():\n    pass\n" for i in range(12)})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = Engine(spark, root)
+        e.edges.count()
+        staged, stage = [], engine_module.stage
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(engine_module, "stage", lambda df, **options: staged.append((df.columns, plan(df))) or stage(df, **options))
+        (tmp_path / "a7.py").write_text("def g7b():\n    h7()\n\ndef h7():\n    pass\n")
+        (tmp_path / "a8.py").unlink()
+        assert e.refresh(full=False) == {"added": 0, "changed": 1, "deleted": 1, "same": 10}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    (parsed,) = [said for columns, said in staged if "occurrences" in columns and "Join" in said]
+    assert "BroadcastHashJoin" in parsed and "SortMergeJoin" not in parsed
+    assert e.symbols.where("name = 'g7b'").count() == 1 and e.symbols.where("path = 'a8.py'").isEmpty()
+
+
+def test_changed_files_are_read_by_as_many_tasks_as_all_files(spark, repo, monkeypatch):
+    """A staged list of paths is one small file; its files are not parsed in one task."""
+    monkeypatch.setattr(source_files, "FILES_PER_TASK", 4)
+    root = repo({f"a{i}.py": f"def g{i}():\n    pass\n" for i in range(40)})
+    found = source_files.read(spark, root, staging.stage(source_files.listed(spark, root).coalesce(1)))
+    assert found.rdd.getNumPartitions() == 10 and found.count() == 40
+
+
+def test_the_last_symbol_of_a_name_is_known_without_a_shuffle(spark):
+    """Those that a window over all symbols would find, also where a table of texts has a path twice."""
+    texts = [
+        ("a.py", "def f():\n    a()\n\ndef f():\n    b()\n\nclass A:\n    def f(self):\n        c()\n    def g(self):\n        d()\n    def f(self):\n        e()\n"),
+        ("b.py", "def f():\n    b()\n"),
+        ("c.js", "function f() { a(); }\nfunction f() { b(); }\nclass A { f() { c(); } }\nfunction g() { d(); }\n"),
+        ("e.py", ""),
+    ]
+    again = [("b.py", "def f():\n    z()\n\ndef f():\n    y()\n")]
+    for rows in (texts, texts + again):
+        e = Engine.over(spark.createDataFrame(rows, "path string, source string"))
+        last = build.latest_symbols(e.symbols)
+        want = store.newest(e.symbols, ["id"], ["line", "ordinal"])
+        columns = ("id", "line", "ordinal", "calls")
+        assert sorted(map(str, last.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+        assert last.count() < e.symbols.count() and last.select("id").distinct().count() == last.count()
+        assert "Exchange" not in last._jdf.queryExecution().executedPlan().toString()
+        assert e.edges.count() == e.edges.distinct().count()
